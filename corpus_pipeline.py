@@ -1,0 +1,82 @@
+"""A corpus, cleaned in five stages: quality, toxicity, near-duplicates, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir), reads all that the one before kept and
+returns a DataFrame; all but the last return the columns of `documents`. Stages
+handle nulls, repeated rows and empty tables as their operators do; extra
+columns pass through all but the last stage.
+"""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boundlab.llm import mixing, pieces, quality, simhash, toxicity
+from boundlab.llm.common import table
+
+#: SQL can't express the learnt, hashed and encoded stages.
+ORACLE_SQL = None
+
+
+def _having(docs: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `docs` whose keys, null or not, are in `decided`."""
+    decided = decided.select(*(F.col(k).alias(f"_d_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
+    return docs.join(decided, same, "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    verdicts = quality.quality_rules(docs, **quality.LIMITS)
+    return _having(docs, verdicts.where("kept"), ["doc_id", "source"])
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier calls toxic."""
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return _having(docs, scored.where("predicted = 0"), ["doc_id"])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    found = simhash.near_duplicates(docs)
+    kept = _having(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), ["doc_id"])
+    return kept.dropDuplicates(["doc_id"])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, once or twice, whole; untaken ones go."""
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("_t_doc"), F.ceil(F.try_divide(F.col("taken"), F.col("size"))).cast("int").alias("_times"))
+    taken = taken.where(F.col("_times") > 0).groupBy("_t_doc").agg(F.max("_times").alias("_times"))
+    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_t_doc")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, tokens, n_tokens and whether decoding gives the text back."""
+    model = pieces.read_model()
+    encoded = pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), model), model)
+    whole = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    return encoded.select("doc_id", "lang", "source", "tokens", F.size("tokens").alias("n_tokens"), whole.alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("source_mixing", mixing_stage),
+    ("sentencepiece", token_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/corpus-{uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
