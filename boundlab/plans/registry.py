@@ -2,5 +2,477 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from boundlab.functions import distributions as D
+from boundlab.operators import censoring, conformal, curation, inference, metrics, splits
+from boundlab.operators.metrics import mean
+from boundlab.plans import grid
+from boundlab.sources.observations import OBS_SQL, direction, observations
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, floats: tuple[str, ...] = ()):
+    """Registers a query. Doubles are rounded to 6 digits here and in the oracle."""
+
+    def add(f):
+        def run(spark, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            replaced = f" REPLACE ({', '.join(f'CAST(round({c}, 6) + 0.0 AS DOUBLE) AS {c}' for c in floats)})" if floats else ""
+            ORACLES[f.__name__] = f"SELECT *{replaced} FROM (\n{oracle}\n)"
+        return f
+
+    return add
+
+
+def assay_predictions(spark, sf_dir: str) -> DataFrame:
+    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id")).withColumn("fold", F.col("fold").cast("int"))
+    return metrics.fold_models(folded)
+
+
+FOLD_SQL = OBS_SQL + """, lots AS (
+  SELECT endpoint, assay_id, CAST(ntile(5) OVER (PARTITION BY endpoint ORDER BY md5('0|' || assay_id), assay_id) - 1 AS INTEGER) AS fold FROM (SELECT DISTINCT endpoint, assay_id FROM obs)
+), folded AS (SELECT o.*, l.fold FROM obs o JOIN lots l USING (endpoint, assay_id))"""
+PRED_SQL = FOLD_SQL + """, folds AS (SELECT DISTINCT endpoint, fold FROM folded),
+fs AS (SELECT f.fold, t.endpoint, t.scaffold, avg(value_p) AS mu, stddev(value_p) AS sd FROM folds f JOIN folded t ON t.endpoint = f.endpoint AND t.fold <> f.fold WHERE exact_mask GROUP BY ALL),
+fg AS (SELECT f.fold, t.endpoint, avg(value_p) AS mu, stddev(value_p) AS sd FROM folds f JOIN folded t ON t.endpoint = f.endpoint AND t.fold <> f.fold WHERE exact_mask GROUP BY ALL),
+pred AS (
+  SELECT f.*, coalesce(fs.mu, fg.mu) AS mu, greatest(coalesce(fs.sd, fg.sd), 1e-6) AS sigma
+  FROM folded f LEFT JOIN fs ON f.fold = fs.fold AND f.endpoint = fs.endpoint AND f.scaffold = fs.scaffold LEFT JOIN fg ON f.fold = fg.fold AND f.endpoint = fg.endpoint
+)"""
+ACC = "avg(abs(mu - value_p)) FILTER (WHERE exact_mask) AS mae, sqrt(avg((mu - value_p) ** 2) FILTER (WHERE exact_mask)) AS rmse"
+VIO = """avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask) AS violation_rate,
+  avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask AND upper = 'inf'::DOUBLE) AS violation_right,
+  avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask AND lower = '-inf'::DOUBLE) AS violation_left"""
+
+
+@query(f"""{PRED_SQL}, m AS (SELECT endpoint, fold, count(*) AS n_test, count(*) FILTER (WHERE exact_mask) AS n_exact, count(*) FILTER (WHERE NOT exact_mask) AS n_censored, {ACC}, {VIO} FROM pred GROUP BY ALL)
+  SELECT * REPLACE (CASE WHEN n_exact >= 3 THEN mae END AS mae, CASE WHEN n_exact >= 3 THEN rmse END AS rmse) FROM m""", ("mae", "rmse", "violation_rate", "violation_right", "violation_left"))
+def flagship_assay_fold_scores(spark, sf_dir):
+    scored = assay_predictions(spark, sf_dir).groupBy("endpoint", "fold")
+    return scored.agg(F.count("*").alias("n_test"), *metrics.accuracy(), *metrics.violation()).drop("bias")
+
+
+@query(OBS_SQL + """ SELECT endpoint, censoring_class, CASE WHEN exact_mask THEN 'exact' WHEN upper = 'inf'::DOUBLE THEN 'right' WHEN lower = '-inf'::DOUBLE THEN 'left' ELSE 'interval' END AS direction,
+  count(*) AS n, count(value_p) AS n_value, avg(p_true) AS mean_p, min(conc) AS min_conc, max(conc) AS max_conc FROM obs GROUP BY ALL""", ("mean_p", "min_conc", "max_conc"))
+def interval_labels(spark, sf_dir):
+    rows = observations(spark, sf_dir).withColumn("direction", direction())
+    return rows.groupBy("endpoint", "censoring_class", "direction").agg(F.count("*").alias("n"), F.count("value_p").alias("n_value"), F.avg("p_true").alias("mean_p"), F.min("conc").alias("min_conc"), F.max("conc").alias("max_conc"))
+
+
+@query(OBS_SQL + """ SELECT censoring_class, count(*) AS n, avg(ln(CASE WHEN upper = 'inf'::DOUBLE THEN 1e-6 ELSE least(greatest(10 ** (9 - upper), 1e-6), 1e15) END)) AS mean_log_low,
+  avg(ln(least(greatest(10 ** (9 - lower), 1e-6), 1e15))) FILTER (WHERE lower <> '-inf'::DOUBLE) AS mean_log_high, count(*) FILTER (WHERE lower = '-inf'::DOUBLE) AS n_open, max(abs(9 - log10(10 ** (9 - p_true)) - p_true)) AS round_trip FROM obs GROUP BY ALL""", ("mean_log_low", "mean_log_high", "round_trip"))
+def concentration_bounds(spark, sf_dir):
+    low, high = D.conc_bounds(F.col("lower"), F.col("upper"))
+    rows = observations(spark, sf_dir).withColumns({"lo": low, "hi": high})
+    log_high = F.when(F.col("hi") < float("inf"), F.log("hi"))
+    return rows.groupBy("censoring_class").agg(F.count("*").alias("n"), F.avg(F.log("lo")).alias("mean_log_low"), F.avg(log_high).alias("mean_log_high"), F.count_if(F.col("hi") == float("inf")).alias("n_open"), F.max(F.abs(D.conc_to_p(D.p_to_conc(F.col("p_true"))) - F.col("p_true"))).alias("round_trip"))
+
+
+@query(FOLD_SQL + """, c AS (SELECT assay_id, count(*) AS n FROM folded WHERE fold <> 0 GROUP BY 1) SELECT assay_id, n, CAST(row_number() OVER (ORDER BY n DESC, assay_id) AS INTEGER) AS idx FROM c""")
+def assay_vocabulary(spark, sf_dir):
+    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
+    return curation.assay_vocabulary(folded, F.col("fold") != 0)
+
+
+@query(FOLD_SQL + """ SELECT endpoint, coalesce(median(value_p) FILTER (WHERE exact_mask AND fold <> 0), 6.0) AS threshold FROM folded GROUP BY 1""", ("threshold",))
+def decision_thresholds(spark, sf_dir):
+    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
+    return folded.groupBy("endpoint").agg(F.coalesce(F.median(F.when(F.col("exact_mask") & (F.col("fold") != 0), F.col("value_p"))), F.lit(6.0)).alias("threshold"))
+
+
+def _fold_counts(folded: DataFrame) -> DataFrame:
+    return folded.groupBy("endpoint", F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n_test"), F.count_if("exact_mask").alias("n_exact"), F.bit_xor(F.conv(F.substring(F.md5(F.col("row_id").cast("binary")), 1, 8), 16, 10).cast("long")).alias("rows_hash"))
+
+
+_COUNTS = "SELECT endpoint, CAST(fold AS INTEGER) AS fold, count(*) AS n_test, count(*) FILTER (WHERE exact_mask) AS n_exact, bit_xor(('0x' || substr(md5(row_id), 1, 8))::BIGINT) AS rows_hash FROM folded GROUP BY ALL"
+
+
+def _grouped_sql(key: str) -> str:
+    return OBS_SQL + f""", lots AS (SELECT endpoint, k, ntile(5) OVER (PARTITION BY endpoint ORDER BY md5('0|' || k), k) - 1 AS fold FROM (SELECT DISTINCT endpoint, {key} AS k FROM obs)),
+folded AS (SELECT o.*, l.fold FROM obs o JOIN lots l ON o.endpoint = l.endpoint AND {key} = l.k)"""
+
+
+@query(OBS_SQL + ", folded AS (SELECT *, ('0x' || substr(md5('0|' || row_id), 1, 8))::BIGINT % 5 AS fold FROM obs) " + _COUNTS)
+def split_random(spark, sf_dir):
+    return _fold_counts(splits.random_folds(observations(spark, sf_dir)))
+
+
+@query(_grouped_sql("scaffold") + " " + _COUNTS)
+def split_scaffold(spark, sf_dir):
+    return _fold_counts(splits.grouped_folds(observations(spark, sf_dir), F.col("scaffold")))
+
+
+@query(_grouped_sql("assay_id") + " " + _COUNTS)
+def split_assay(spark, sf_dir):
+    return _fold_counts(splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id")))
+
+
+@query(_grouped_sql("document_id") + " " + _COUNTS)
+def split_document(spark, sf_dir):
+    return _fold_counts(splits.grouped_folds(observations(spark, sf_dir), F.col("document_id")))
+
+
+@query(OBS_SQL + """, t AS (SELECT endpoint, count(*) AS n FROM obs GROUP BY 1), s AS (SELECT endpoint, source_name, count(*) AS n_test FROM obs GROUP BY ALL)
+SELECT endpoint, substr(source_name, 1, 24) AS fold, n_test, n - n_test AS n_train FROM s JOIN t USING (endpoint) WHERE n_test >= 50 AND n - n_test >= 100""")
+def split_source(spark, sf_dir):
+    return splits.source_folds(observations(spark, sf_dir))
+
+
+@query(OBS_SQL + """, e AS (SELECT endpoint, quantile_cont(value_p, [0.0, 1/3, 2/3, 1.0]) AS e, count(*) AS n FROM obs WHERE exact_mask GROUP BY 1 HAVING count(*) >= 100),
+b AS (SELECT endpoint, CAST(i AS INTEGER) AS fold, e[i + 1] AS low, e[i + 2] AS high FROM e, range(3) r(i)),
+x AS (SELECT endpoint, fold, low, high, count(*) AS n_test FROM obs JOIN b USING (endpoint) WHERE exact_mask AND value_p >= low AND (value_p < high OR fold = 2 AND value_p <= high) GROUP BY ALL),
+t AS (SELECT endpoint, count(*) AS n FROM obs GROUP BY 1)
+SELECT x.*, n - n_test AS n_train FROM x JOIN t USING (endpoint) WHERE n_test >= 30 AND n - n_test >= 100""", ("low", "high"))
+def split_threshold(spark, sf_dir):
+    return splits.threshold_bands(observations(spark, sf_dir))
+
+
+@query(_grouped_sql("concat_ws('|', assay_id, scaffold)") + """ SELECT endpoint, CAST(fold AS INTEGER) AS fold, count(*) AS n_test, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM folded t WHERE t.endpoint = f.endpoint AND t.fold <> f.fold AND t.assay_id = f.assay_id)
+  AND NOT EXISTS (SELECT 1 FROM folded t WHERE t.endpoint = f.endpoint AND t.fold <> f.fold AND t.scaffold = f.scaffold)) AS n_kept FROM folded f GROUP BY ALL""")
+def split_assay_scaffold(spark, sf_dir):
+    return splits.crossed_folds(observations(spark, sf_dir)).groupBy("endpoint", F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n_test"), F.count_if(F.col("role") == "test").alias("n_kept"))
+
+
+_OVERLAP = """, o AS (SELECT endpoint, fold, count(*) AS n_test, avg(CAST(EXISTS (SELECT 1 FROM folded t WHERE t.endpoint = f.endpoint AND t.fold <> f.fold AND t.compound_id = f.compound_id) AS DOUBLE)) AS overlap FROM folded f GROUP BY ALL)"""
+
+
+@query(FOLD_SQL + _OVERLAP + " SELECT * FROM o", ("overlap",))
+def compound_overlap(spark, sf_dir):
+    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
+    return splits.overlap(folded).withColumn("fold", F.col("fold").cast("int"))
+
+
+@query(FOLD_SQL + _OVERLAP + " SELECT endpoint, count(*) AS n_folds, avg(overlap) AS mean_overlap, min(overlap) AS min_overlap, max(overlap) AS max_overlap FROM o GROUP BY 1", ("mean_overlap", "min_overlap", "max_overlap"))
+def overlap_summary(spark, sf_dir):
+    return splits.overlap_summary(splits.overlap(splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))))
+
+
+@query(FOLD_SQL + " SELECT endpoint, CAST(0 AS BIGINT) AS n_shared, count(DISTINCT fold) AS n_folds, min(n) AS least_rows FROM (SELECT endpoint, fold, count(*) AS n FROM folded GROUP BY ALL) GROUP BY 1")
+def split_validation(spark, sf_dir):
+    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
+    shared = folded.groupBy("endpoint", "assay_id").agg(F.count_distinct("fold").alias("n")).groupBy("endpoint").agg(F.count_if(F.col("n") > 1).alias("n_shared"))
+    sizes = folded.groupBy("endpoint", "fold").agg(F.count("*").alias("n")).groupBy("endpoint").agg(F.count("*").alias("n_folds"), F.min("n").alias("least_rows"))
+    return shared.join(sizes, "endpoint")
+
+
+@query(OBS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('0|' || row_id), row_id) AS k, count(*) OVER (PARTITION BY endpoint) AS n FROM obs)
+SELECT endpoint, count(*) FILTER (WHERE k <= greatest(50, floor(0.2 * n))) AS n_calibration, count(*) FILTER (WHERE k <= greatest(50, floor(0.2 * n)) AND exact_mask) AS n_calibration_exact, count(*) AS n FROM r GROUP BY 1""")
+def calibration_sample_audit(spark, sf_dir):
+    rows = splits.calibration_slice(observations(spark, sf_dir))
+    return rows.groupBy("endpoint").agg(F.count_if("calibration").alias("n_calibration"), F.count_if(F.col("calibration") & F.col("exact_mask")).alias("n_calibration_exact"), F.count("*").alias("n"))
+
+
+_ZL, _ZU = "((lower - mu) / sigma)", "((upper - mu) / sigma)"
+_CDF = D.normal_cdf_sql
+_PROB = PRED_SQL + f""", z AS (SELECT *, CASE WHEN isinf(lower) THEN NULL ELSE {_ZL} END AS zl, CASE WHEN isinf(upper) THEN NULL ELSE {_ZU} END AS zu FROM pred),
+q AS (SELECT *, least(1.0, CASE WHEN exact_mask THEN 1.0 WHEN upper = 'inf'::DOUBLE THEN {_CDF("(-zl)")} WHEN lower = '-inf'::DOUBLE THEN {_CDF("zu")}
+  WHEN zu - zl < 1e-3 THEN exp(-((zl + zu) / 2) ** 2 / 2) / sqrt(2 * pi()) * (zu - zl) WHEN zl > 0 THEN {_CDF("(-zl)")} - {_CDF("(-zu)")} ELSE {_CDF("zu")} - {_CDF("zl")} END) AS q FROM z)"""
+
+
+@query(_PROB + """ SELECT endpoint, censoring_class, count(*) AS n, avg(q) AS mean_q, avg(greatest(0.85 - q, 0) ** 2) AS mean_deficit,
+  avg(CASE WHEN exact_mask THEN ((value_p - mu) / sigma) ** 2 / 2 + 0.5 * ln(2 * pi()) + ln(sigma) ELSE -ln(greatest(q, 1e-300)) END) AS mean_nll,
+  avg(CASE WHEN isinf(lower) THEN 0 ELSE greatest(lower - mu, 0) END + CASE WHEN isinf(upper) THEN 0 ELSE greatest(mu - upper, 0) END) AS mean_hinge FROM q GROUP BY ALL""", ("mean_q", "mean_deficit", "mean_nll", "mean_hinge"))
+def interval_likelihoods(spark, sf_dir):
+    mu, sigma, low, high, exact = (F.col(c) for c in ("mu", "sigma", "lower", "upper", "exact_mask"))
+    rows = assay_predictions(spark, sf_dir).withColumn("q", D.interval_probability(mu, sigma, low, high, exact))
+    nll = D.tobit_nll(F.col("q"), D.exact_nll(F.col("value_p"), mu, sigma), exact)
+    return rows.groupBy("endpoint", "censoring_class").agg(F.count("*").alias("n"), F.avg("q").alias("mean_q"), F.avg(D.deficit(F.col("q"), 0.85)).alias("mean_deficit"), F.avg(nll).alias("mean_nll"), F.avg(D.hinge(mu, low, high)).alias("mean_hinge"))
+
+
+_T4 = lambda z: f"(0.5 + 0.375 * {z} / sqrt(1 + {z} ** 2 / 4) * (1 - {z} ** 2 / (12 * (1 + {z} ** 2 / 4))))"
+
+
+@query(PRED_SQL + f""", z AS (SELECT *, (p_true - mu) / sigma AS z FROM pred) SELECT endpoint, avg({_T4("z")}) AS mean_cdf,
+  avg(lgamma(2.5) - lgamma(2.0) - 0.5 * ln(4 * pi()) - 2.5 * ln(1 + z * z / 4)) AS mean_logpdf FROM z GROUP BY 1""", ("mean_cdf", "mean_logpdf"))
+def student_t_scores(spark, sf_dir):
+    z = (F.col("p_true") - F.col("mu")) / F.col("sigma")
+    return assay_predictions(spark, sf_dir).groupBy("endpoint").agg(F.avg(D.student4_cdf(z)).alias("mean_cdf"), F.avg(D.student_logpdf(z)).alias("mean_logpdf"))
+
+
+@query(PRED_SQL + f""", m AS (SELECT *, (2 * mu + 0.2) / 2 AS mm, sqrt(((mu ** 2 + sigma ** 2) + ((mu + 0.2) ** 2 + (1.5 * sigma) ** 2)) / 2 - ((2 * mu + 0.2) / 2) ** 2) AS ms,
+  (5 - mu) / sigma AS z1, (5 - mu - 0.2) / (1.5 * sigma) AS z2 FROM pred)
+SELECT endpoint, avg(mm) AS mean_mu, avg(ms) AS mean_sigma, avg(({_CDF("(-z1)")} + {_CDF("(-z2)")}) / 2) AS mean_exceedance FROM m GROUP BY 1""", ("mean_mu", "mean_sigma", "mean_exceedance"))
+def mixture_predictions(spark, sf_dir):
+    parts = F.array(F.struct("mu", "sigma"), F.struct((F.col("mu") + 0.2).alias("mu"), (F.col("sigma") * 1.5).alias("sigma")))
+    mu, sigma = D.mixture_moments(F.col("parts"))
+    rows = assay_predictions(spark, sf_dir).withColumn("parts", parts)
+    return rows.groupBy("endpoint").agg(F.avg(mu).alias("mean_mu"), F.avg(sigma).alias("mean_sigma"), F.avg(D.exceedance(F.col("parts"), 5.0)).alias("mean_exceedance"))
+
+
+_TRUTH = f""", d AS (SELECT *, {_CDF("((mu - 5.0) / sigma)")} AS p, CASE WHEN exact_mask THEN value_p > 5 WHEN upper = 'inf'::DOUBLE AND lower >= 5 THEN true WHEN lower = '-inf'::DOUBLE AND upper <= 5 THEN false END AS t FROM pred),
+r AS (SELECT * FROM d WHERE t IS NOT NULL)"""
+
+
+@query(PRED_SQL + _TRUTH + """, a AS (SELECT endpoint, fold, count(*) AS n_resolvable, count(*) FILTER (WHERE t) AS n_positive, avg(CAST(p < 0.5 AS DOUBLE)) FILTER (WHERE t) AS fs, avg(CAST(p >= 0.5 AS DOUBLE)) FILTER (WHERE NOT t) AS fl, avg(abs(p - CAST(t AS DOUBLE))) AS g FROM r GROUP BY ALL)
+SELECT endpoint, fold, n_resolvable, n_positive, CASE WHEN n_resolvable >= 5 THEN fs END AS false_safe, CASE WHEN n_resolvable >= 5 THEN fl END AS false_liability,
+  CASE WHEN n_resolvable >= 5 THEN coalesce((2 - fs - fl) / 2, 1 - fs, 1 - fl) END AS balanced_accuracy, CASE WHEN n_resolvable >= 5 THEN g END AS regret FROM a""", ("false_safe", "false_liability", "balanced_accuracy", "regret"))
+def decision_scores(spark, sf_dir):
+    return metrics.decision_rows(assay_predictions(spark, sf_dir), F.lit(5.0)).groupBy("endpoint", "fold").agg(*metrics.decisions())
+
+
+_BINS = _TRUTH + ", b AS (SELECT endpoint, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS confidence, avg(CAST(t AS DOUBLE)) AS frequency FROM r GROUP BY ALL)"
+
+
+@query(PRED_SQL + _BINS + " SELECT * FROM b", ("confidence", "frequency"))
+def calibration_bins(spark, sf_dir):
+    return metrics.calibration_bins(metrics.decision_rows(assay_predictions(spark, sf_dir), F.lit(5.0)), ["endpoint"])
+
+
+@query(PRED_SQL + _BINS + " SELECT endpoint, CAST(sum(n) AS BIGINT) AS n, CASE WHEN sum(n) >= 20 THEN sum(n * abs(confidence - frequency)) / sum(n) END AS ece FROM b GROUP BY 1", ("ece",))
+def calibration_error(spark, sf_dir):
+    bins = metrics.calibration_bins(metrics.decision_rows(assay_predictions(spark, sf_dir), F.lit(5.0)), ["endpoint"])
+    return metrics.calibration_error(bins, ["endpoint"])
+
+
+_SCORE = "avg(2 * {q} * sigma + 20 * greatest(mu - {q} * sigma - value_p, 0) + 20 * greatest(value_p - mu - {q} * sigma, 0))"
+_COVER = "count(*) AS n_exact, CASE WHEN count(*) >= 10 THEN avg(CAST(value_p BETWEEN mu - {q} * sigma AND mu + {q} * sigma AS DOUBLE)) END AS coverage, CASE WHEN count(*) >= 10 THEN avg(2 * {q} * sigma) END AS width, CASE WHEN count(*) >= 10 THEN " + _SCORE + " END AS interval_score"
+
+
+@query(PRED_SQL + " SELECT endpoint, " + _COVER.format(q="1.6448536269514722") + " FROM pred WHERE exact_mask GROUP BY 1", ("coverage", "width", "interval_score"))
+def interval_coverage(spark, sf_dir):
+    return assay_predictions(spark, sf_dir).groupBy("endpoint").agg(*metrics.coverage(*metrics.gaussian_interval()))
+
+
+@query(PRED_SQL + """, r AS (SELECT endpoint, rank() OVER (PARTITION BY endpoint ORDER BY mu) + (count(*) OVER (PARTITION BY endpoint, mu) - 1) / 2.0 AS a, rank() OVER (PARTITION BY endpoint ORDER BY value_p) + (count(*) OVER (PARTITION BY endpoint, value_p) - 1) / 2.0 AS b FROM (SELECT endpoint, round(mu, 9) AS mu, round(value_p, 9) AS value_p FROM pred WHERE exact_mask))
+SELECT endpoint, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(a, b) END AS spearman FROM r GROUP BY 1""", ("spearman",))
+def rank_correlation(spark, sf_dir):
+    rows = assay_predictions(spark, sf_dir).withColumns({"mu": F.round("mu", 9), "value_p": F.round("value_p", 9)})
+    return metrics.spearman(rows, ["endpoint"])
+
+
+@query("""WITH l AS (SELECT n_chars, toxic = 1 AS y FROM documents JOIN labels USING (doc_id)), r AS (SELECT y, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM l)
+SELECT 'toxic' AS label, count(*) FILTER (WHERE y) AS n_pos, count(*) FILTER (WHERE NOT y) AS n_neg, CASE WHEN count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y) > 0 THEN (sum(r) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2) / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y)) END AS auc FROM r""", ("auc",))
+def length_auc(spark, sf_dir):
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    rows = read("documents").select("doc_id", "n_chars").join(read("labels"), "doc_id").select(F.lit("toxic").alias("label"), "n_chars", (F.col("toxic") == 1).alias("y"))
+    return metrics.auc(rows, ["label"], "n_chars", "y")
+
+
+@query(_PROB + """ SELECT endpoint, avg(CAST(q >= 0.85 AS DOUBLE)) AS satisfied, avg(greatest(0.85 - q, 0)) AS shortfall, avg(q) AS mean_probability FROM q WHERE NOT exact_mask GROUP BY 1""", ("satisfied", "shortfall", "mean_probability"))
+def constraint_diagnostics(spark, sf_dir):
+    return assay_predictions(spark, sf_dir).groupBy("endpoint").agg(*metrics.constraint_diagnostics())
+
+
+@query(_PROB + """, c AS (SELECT endpoint, CASE WHEN upper = 'inf'::DOUBLE THEN 'right' WHEN lower = '-inf'::DOUBLE THEN 'left' ELSE 'interval' END AS direction, round(greatest(0.85 - q, 0) ** 2, 9) AS d FROM q WHERE NOT exact_mask),
+e AS (SELECT endpoint, direction, quantile_cont(d, 0.9) AS eta FROM c GROUP BY ALL)
+SELECT endpoint, direction, eta, eta + avg(greatest(d - eta, 0)) / 0.1 AS cvar FROM c JOIN e USING (endpoint, direction) GROUP BY endpoint, direction, eta""", ("eta", "cvar"))
+def deficit_tail_mean(spark, sf_dir):
+    q = D.interval_probability(mean(), F.col("sigma"), F.col("lower"), F.col("upper"), F.col("exact_mask"))
+    rows = assay_predictions(spark, sf_dir).where("not exact_mask").withColumns({"direction": direction(), "d": F.round(D.deficit(q, 0.85), 9)})
+    return metrics.tail_mean(rows, ["endpoint", "direction"], "d", 0.1)
+
+
+@query(PRED_SQL + " SELECT endpoint, scaffold, stddev_pop(mu - value_p) AS residual_sd, count(*) AS n FROM pred WHERE exact_mask GROUP BY ALL HAVING count(*) >= 10", ("residual_sd",))
+def residual_deviation(spark, sf_dir):
+    exact = assay_predictions(spark, sf_dir).where("exact_mask")
+    return exact.groupBy("endpoint", "scaffold").agg(F.stddev_pop(mean() - F.col("value_p")).alias("residual_sd"), F.count("*").alias("n")).where("n >= 10")
+
+
+_CAL = PRED_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('0|' || row_id), row_id) <= greatest(50, floor(0.2 * count(*) OVER (PARTITION BY endpoint))) AS calibration FROM pred),
+s AS (SELECT *, abs(value_p - mu) / greatest(sigma, 1e-6) AS s FROM k WHERE exact_mask AND calibration),
+"""
+_Q = "SELECT {by}, s AS q FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY s) AS r, count(*) OVER (PARTITION BY {by}) AS n FROM s) WHERE n >= 10 AND r = least(ceil((n + 1.0) * 0.9) + 1, n)"
+
+
+@query(_CAL + f"q AS ({_Q.format(by='endpoint')}), t AS (SELECT k.*, coalesce(q.q, 1.6448536269514722) AS q FROM k LEFT JOIN q USING (endpoint) WHERE NOT calibration) SELECT endpoint, q, " + _COVER.format(q="q") + " FROM t WHERE exact_mask GROUP BY ALL", ("q", "coverage", "width", "interval_score"))
+def conformal_split(spark, sf_dir):
+    return conformal.split_conformal(splits.calibration_slice(assay_predictions(spark, sf_dir)), ["endpoint"])
+
+
+@query(_CAL + f"g AS ({_Q.format(by='endpoint, source_name')}), q AS ({_Q.format(by='endpoint')}), t AS (SELECT k.*, coalesce(g.q, q.q, 1.6448536269514722) AS q FROM k LEFT JOIN g USING (endpoint, source_name) LEFT JOIN q USING (endpoint) WHERE NOT calibration) SELECT endpoint, " + _COVER.format(q="q") + ", count(DISTINCT source_name) AS n_groups FROM t WHERE exact_mask GROUP BY ALL", ("coverage", "width", "interval_score"))
+def conformal_by_source(spark, sf_dir):
+    return conformal.mondrian_conformal(splits.calibration_slice(assay_predictions(spark, sf_dir)).where("exact_mask"), ["endpoint"], "source_name")
+
+
+_MECH = """, m AS (SELECT endpoint, count(*) AS n, count(*) FILTER (WHERE exact_mask) AS n_exact, count(*) FILTER (WHERE censoring_class = 'left_censored_p') AS l, count(*) FILTER (WHERE censoring_class = 'right_censored_p') AS r FROM obs GROUP BY 1),
+mech AS (SELECT endpoint, n, n_exact, (l + r) / nullif(l + r + n_exact, 0) AS p_censored, l / nullif(l + r, 0) AS p_left, r / nullif(l + r, 0) AS p_right FROM m)"""
+
+
+@query(OBS_SQL + _MECH + " SELECT * FROM mech", ("p_censored", "p_left", "p_right"))
+def censoring_mechanism(spark, sf_dir):
+    return censoring.mechanism(observations(spark, sf_dir), ["endpoint"])
+
+
+def _u(seed: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || row_id), 1, 8))::BIGINT / 4294967296.0"
+
+
+def _hidden_sql(strength: float) -> str:
+    return OBS_SQL + _MECH + f""", pool AS (SELECT endpoint, side, cut, row_number() OVER (PARTITION BY endpoint, side ORDER BY cut) - 1 AS place FROM (
+  SELECT DISTINCT endpoint, CASE WHEN censoring_class = 'left_censored_p' THEN 'left' ELSE 'right' END AS side, CASE WHEN censoring_class = 'left_censored_p' THEN upper ELSE lower END AS cut FROM obs WHERE censoring_class IN ('left_censored_p', 'right_censored_p'))),
+sizes AS (SELECT endpoint, count(*) FILTER (WHERE side = 'left') AS nl, count(*) FILTER (WHERE side = 'right') AS nr FROM pool GROUP BY 1),
+x AS (SELECT o.*, coalesce((rank() OVER (PARTITION BY endpoint ORDER BY value_p) - 1) / nullif(count(*) OVER (PARTITION BY endpoint) - 1, 0), 0.5) AS rk FROM obs o WHERE exact_mask),
+y AS (SELECT x.*, nl, nr, CASE WHEN {_u("hide-draw")} < least(greatest(p_censored * (1 + {strength} * (rk - 0.5) * 2), 0), 1) THEN CASE WHEN nl = 0 THEN 'right' WHEN nr = 0 THEN 'left' WHEN {_u("hide-side")} < p_right THEN 'right' ELSE 'left' END END AS side, {_u("hide-cut")} AS u
+  FROM x JOIN mech USING (endpoint) LEFT JOIN sizes USING (endpoint)),
+h AS (SELECT y.*, cut, coalesce(y.side = 'right' AND value_p > cut OR y.side = 'left' AND value_p < cut, false) AS recensored FROM y LEFT JOIN pool ON y.endpoint = pool.endpoint AND y.side = pool.side AND floor(u * CASE WHEN y.side = 'left' THEN nl ELSE nr END) = place)"""
+
+
+_HIDDEN = " SELECT endpoint, count(*) AS n, count(*) FILTER (WHERE recensored) AS n_recensored, count(*) FILTER (WHERE recensored AND side = 'right') AS n_right, avg(cut) FILTER (WHERE recensored) AS mean_cut FROM h GROUP BY 1"
+
+
+def _hidden(spark, sf_dir, strength):
+    rows = censoring.censored_again(observations(spark, sf_dir), strength)
+    right = F.col("recensored") & (F.col("hidden_upper") == float("inf"))
+    cut = F.when(F.col("recensored"), F.when(right, F.col("hidden_lower")).otherwise(F.col("hidden_upper")))
+    return rows.groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if("recensored").alias("n_recensored"), F.count_if(right).alias("n_right"), F.avg(cut).alias("mean_cut"))
+
+
+@query(_hidden_sql(0.0) + _HIDDEN, ("mean_cut",))
+def hidden_truth_natural(spark, sf_dir):
+    return _hidden(spark, sf_dir, 0.0)
+
+
+@query(_hidden_sql(0.8) + _HIDDEN, ("mean_cut",))
+def hidden_truth_informative(spark, sf_dir):
+    return _hidden(spark, sf_dir, 0.8)
+
+
+@query(_hidden_sql(0.0) + ", mu AS (SELECT endpoint, avg(value_p) AS mu FROM obs WHERE exact_mask GROUP BY 1) SELECT endpoint, count(*) AS n, CASE WHEN count(*) >= 3 THEN avg(abs(mu - value_p)) END AS mae, CASE WHEN count(*) >= 3 THEN sqrt(avg((mu - value_p) ** 2)) END AS rmse, CASE WHEN count(*) >= 3 THEN avg(mu - value_p) END AS bias FROM h JOIN mu USING (endpoint) WHERE recensored GROUP BY 1", ("mae", "rmse", "bias"))
+def hidden_truth_recovery(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    mu = obs.where("exact_mask").groupBy("endpoint").agg(F.avg("value_p").alias("mu"))
+    return censoring.censored_again(obs).where("recensored").join(mu, "endpoint").groupBy("endpoint").agg(*censoring.recovery())
+
+
+_GROUPS = OBS_SQL + """, g0 AS (SELECT endpoint, compound_id, count(*) AS n_measurements, count(value_p) AS n_exact, median(value_p) AS median_p, max(value_p) - min(value_p) AS exact_range,
+  max(lower) FILTER (WHERE NOT exact_mask) AS lo, min(upper) FILTER (WHERE NOT exact_mask) AS hi, count(DISTINCT assay_id) AS n_assays, string_agg(DISTINCT assay_id, ';' ORDER BY assay_id) AS assay_ids, count(DISTINCT document_id) AS n_documents FROM obs WHERE conc > 0 AND p_true BETWEEN 0 AND 14 GROUP BY ALL),
+grp AS (SELECT * EXCLUDE (lo, hi), CASE WHEN coalesce(lo > hi, false) OR coalesce(median_p < lo, false) OR coalesce(median_p > hi, false) THEN 'contradiction' WHEN n_measurements = 1 THEN 'single' WHEN coalesce(exact_range, 0) <= 0.5 THEN 'high_confidence' WHEN exact_range <= 1 THEN 'strict' WHEN exact_range <= 2 THEN 'broad' ELSE 'discordant' END AS resolution,
+  coalesce(median_p, lo) AS lower, coalesce(median_p, hi) AS upper, sha256(endpoint || '|' || compound_id) AS row_id FROM g0)"""
+
+
+def _groups(spark, sf_dir):
+    return curation.aggregated(curation.record_filter(observations(spark, sf_dir)), ["endpoint", "compound_id"])
+
+
+@query(_GROUPS + " SELECT endpoint, compound_id, n_measurements, n_exact, median_p, exact_range, n_assays, assay_ids, n_documents, resolution, row_id FROM grp", ("median_p", "exact_range"))
+def curated_endpoints(spark, sf_dir):
+    return _groups(spark, sf_dir).drop("lower", "upper")
+
+
+@query(_GROUPS + """ SELECT endpoint, count(*) FILTER (WHERE n_measurements = 1) AS n_single, count(*) FILTER (WHERE n_measurements = 2) AS n_double, count(*) FILTER (WHERE n_measurements >= 3) AS n_more, count(*) FILTER (WHERE n_measurements > 1 AND coalesce(exact_range, 0) <= 0.5) AS n_consistent,
+  count(*) FILTER (WHERE exact_range > 0.5 AND exact_range <= 1) AS n_discordant_1, count(*) FILTER (WHERE exact_range > 1 AND exact_range <= 2) AS n_discordant_2, count(*) FILTER (WHERE exact_range > 2) AS n_discordant_more, count(*) FILTER (WHERE resolution = 'contradiction') AS n_contradiction FROM grp GROUP BY 1""")
+def duplicate_summary(spark, sf_dir):
+    return curation.duplicate_summary(_groups(spark, sf_dir))
+
+
+@query(_GROUPS + " SELECT endpoint, CAST(sum(n_measurements) AS BIGINT) AS n_input, count(*) AS n_groups, count(*) FILTER (WHERE resolution <> 'contradiction') AS n_final, count(*) FILTER (WHERE resolution = 'contradiction') AS n_quarantined, CAST(median(n_measurements) AS DOUBLE) AS median_group, max(exact_range) AS max_exact_range, median(exact_range) AS median_exact_range FROM grp GROUP BY 1", ("median_group", "max_exact_range", "median_exact_range"))
+def curation_summary(spark, sf_dir):
+    return curation.curation_summary(_groups(spark, sf_dir))
+
+
+@query(OBS_SQL + """ SELECT endpoint, count(*) AS n, 100.0 * count(*) FILTER (WHERE censoring_class = 'exact') / count(*) AS pct_exact, 100.0 * count(*) FILTER (WHERE censoring_class = 'left_censored_p') / count(*) AS pct_left, 100.0 * count(*) FILTER (WHERE censoring_class = 'right_censored_p') / count(*) AS pct_right, 100.0 * count(*) FILTER (WHERE censoring_class = 'interval_censored_p') / count(*) AS pct_interval,
+  median(value_p) AS median_p, string_agg(DISTINCT source_name, ';' ORDER BY source_name) AS sources, count(DISTINCT compound_id) AS n_compounds, count(DISTINCT scaffold) AS n_scaffolds, count(DISTINCT assay_id) AS n_assays, count(DISTINCT document_id) AS n_documents, count(*) >= 100 AS pass_gate FROM obs GROUP BY 1""", ("pct_exact", "pct_left", "pct_right", "pct_interval", "median_p"))
+def endpoint_audit(spark, sf_dir):
+    return curation.endpoint_audit(observations(spark, sf_dir))
+
+
+def result_cells(spark, sf_dir: str) -> DataFrame:
+    """Cells of three treatments over the fixture's folds: predictions as they are, shifted towards bounds, and shrunk."""
+    pred = assay_predictions(spark, sf_dir)
+    shift = F.create_map(F.lit("exact_only"), F.lit(0.0), F.lit("tobit"), F.lit(0.15), F.lit("satisficing"), F.lit(0.05))
+    arms = F.explode(F.array(*(F.struct(F.lit(t).alias("treatment"), F.lit(e).alias("eps")) for t, e in (("exact_only", 0.0), ("tobit", 0.0), ("satisficing", 0.05), ("satisficing", 0.1)))))
+    pred = pred.withColumn("arm", arms).select("*", "arm.treatment", "arm.eps").withColumn("mu", mean() + F.get(F.map_values(F.map_filter(shift, lambda k, v: k == F.col("treatment"))), F.lit(0)) * (1 + 10 * F.col("eps")))
+    pred = pred.withColumn("treatment", inference.treatment_label(F.col("treatment"), F.col("eps")))
+    return pred.groupBy("endpoint", "fold", "treatment", "eps").agg(*metrics.accuracy(), *metrics.violation())
+
+
+_CELLS = PRED_SQL + """, arms(arm, eps, sh) AS (VALUES ('exact_only', 0.0, 0.0), ('tobit', 0.0, 0.15), ('satisficing@0.05', 0.05, 0.075), ('satisficing@0.10', 0.1, 0.1)),
+moved AS (SELECT pred.* EXCLUDE (mu), mu + CAST(sh AS DOUBLE) AS mu, arm AS treatment, CAST(eps AS DOUBLE) AS eps FROM pred, arms),
+cells AS (SELECT endpoint, fold, treatment, eps, CASE WHEN count(*) FILTER (WHERE exact_mask) >= 3 THEN avg(abs(mu - value_p)) FILTER (WHERE exact_mask) END AS mae, avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask) AS violation_rate FROM moved GROUP BY ALL),
+means AS (SELECT endpoint, treatment, eps, avg(mae) AS mae, avg(violation_rate) AS violation_rate, count(*) AS n_cells FROM cells GROUP BY ALL)"""
+
+
+def _means(spark, sf_dir):
+    return inference.endpoint_means(result_cells(spark, sf_dir), ["mae", "violation_rate"], ["endpoint", "treatment", "eps"])
+
+
+@query(_CELLS + " SELECT * FROM means", ("eps", "mae", "violation_rate"))
+def endpoint_means(spark, sf_dir):
+    return _means(spark, sf_dir)
+
+
+@query(_CELLS + " SELECT treatment, round(avg(mae), 3) AS mae, round(avg(violation_rate), 3) AS violation_rate, count(*) AS n_endpoints FROM means GROUP BY 1", ("mae", "violation_rate"))
+def tradeoff_summary(spark, sf_dir):
+    return inference.two_level(_means(spark, sf_dir), ["mae", "violation_rate"], ["treatment"])
+
+
+@query(_CELLS + """, d AS (SELECT m.endpoint, m.treatment, m.mae - b.mae AS d FROM means m JOIN means b ON m.endpoint = b.endpoint AND b.treatment = 'exact_only' WHERE m.treatment <> 'exact_only' AND m.mae - b.mae IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY treatment, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY treatment, abs(d)) - 1) / 2.0 AS r FROM d),
+a AS (SELECT treatment, count(*) AS n, count(*) FILTER (WHERE d <> 0) AS n_nonzero, median(d) AS median_delta, avg(d) AS mean_delta, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w FROM r GROUP BY 1 HAVING count(*) >= 3),
+s AS (SELECT a.treatment, (SELECT count(*) FROM range(CAST(2 ** a.n_nonzero AS BIGINT)) t(m) WHERE (SELECT coalesce(sum(CASE WHEN (t.m >> CAST(i AS BIGINT)) & 1 = 1 THEN i + 1 ELSE 0 END), 0) FROM range(a.n_nonzero) u(i)) <= a.w) AS c FROM a),
+p AS (SELECT a.*, least(1.0, 2 * c / 2 ** n_nonzero) AS p FROM a JOIN s USING (treatment)),
+q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, treatment) AS q0 FROM p)
+SELECT treatment, n, n_nonzero, median_delta, mean_delta, CAST(w AS DOUBLE) AS w, p, least(1.0, min(q0) OVER (ORDER BY p, treatment ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q,
+  least(1.0, min(q0) OVER (ORDER BY p, treatment ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) <= 0.05 AS reject FROM q""", ("median_delta", "mean_delta", "w", "p", "q"))
+def paired_comparisons(spark, sf_dir):
+    return inference.paired(_means(spark, sf_dir), "mae", "exact_only", [])
+
+
+@query(_CELLS + " SELECT endpoint, treatment, mae, violation_rate FROM means WHERE treatment IN ('exact_only', 'tobit') OR treatment LIKE 'satisficing@%'", ("mae", "violation_rate"))
+def pareto_points(spark, sf_dir):
+    return inference.pareto(_means(spark, sf_dir))
+
+
+@query(_CELLS + """, f AS (SELECT eps, avg(violation_rate) AS m FROM means WHERE treatment LIKE 'satisficing@%' GROUP BY 1), g AS (SELECT *, lead(m) OVER (ORDER BY eps) AS nx FROM f)
+SELECT 'satisficing' AS family, count(*) AS n_budgets, bool_and(m <= nx + 0.03) FILTER (WHERE nx IS NOT NULL) AS monotone FROM g""")
+def budget_frontier(spark, sf_dir):
+    means = _means(spark, sf_dir).where(F.col("treatment").startswith("satisficing@")).withColumn("family", F.lit("satisficing"))
+    return inference.monotone_frontier(means, "violation_rate", ["family"])
+
+
+@query(_CELLS + """, c AS (SELECT c.endpoint, treatment AS split_kind, c.fold, g_left, g_right FROM (SELECT endpoint, treatment, fold, avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask AND upper = 'inf'::DOUBLE) AS g_right, avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask AND lower = '-inf'::DOUBLE) AS g_left FROM moved GROUP BY ALL) c),
+u AS (SELECT endpoint, split_kind, avg(CAST(greatest(g_left, g_right) - 0.05 <= 1e-3 AS DOUBLE)) AS feasible, avg(greatest(g_left, g_right) - 0.05) AS excess FROM c GROUP BY ALL)
+SELECT coalesce(split_kind, 'all') AS split_kind, count(*) AS n_units, avg(feasible) AS feasible, avg(excess) AS mean_excess, median(excess) AS median_excess, max(excess) AS max_excess FROM u GROUP BY ROLLUP (split_kind)""", ("feasible", "mean_excess", "median_excess", "max_excess"))
+def constraint_feasibility(spark, sf_dir):
+    cells = result_cells(spark, sf_dir).select("endpoint", F.col("treatment").alias("split_kind"), F.col("violation_left").alias("g_left"), F.col("violation_right").alias("g_right"))
+    return inference.feasibility(cells)
+
+
+@query(_CELLS + """, d AS (SELECT m.endpoint, m.treatment, m.mae - b.mae AS d FROM cells m JOIN cells b ON m.endpoint = b.endpoint AND m.fold = b.fold AND b.treatment = 'exact_only' WHERE m.treatment <> 'exact_only' AND m.mae - b.mae IS NOT NULL),
+u AS (SELECT treatment, endpoint, count(*) AS n, avg(d) AS m, var_samp(d) AS v FROM d GROUP BY ALL),
+f AS (SELECT treatment, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_pairs, sum(coalesce(v, 0) * (n - 1)) / nullif(sum(n) - count(*), 0) AS within, (sum(n) - sum(n * n) / sum(n)) / nullif(count(*) - 1, 0) AS size, var_samp(m) AS vm FROM u GROUP BY 1),
+b AS (SELECT *, greatest(vm - within / size, 0) AS between_ FROM f)
+SELECT treatment, n_groups, n_pairs, within, between_ AS between, sum(m / (between_ + within / n)) / sum(1 / (between_ + within / n)) AS estimate, sqrt(1 / sum(1 / (between_ + within / n))) AS standard_error FROM u JOIN b USING (treatment) WHERE n_groups >= 3 AND n_pairs >= 6 GROUP BY ALL""", ("within", '"between"', "estimate", "standard_error"))
+def mixed_effects(spark, sf_dir):
+    cells = result_cells(spark, sf_dir).select("endpoint", "fold", "treatment", "mae")
+    base = cells.where("treatment = 'exact_only'").select("endpoint", "fold", F.col("mae").alias("_b"))
+    pairs = cells.where("treatment <> 'exact_only'").join(base, ["endpoint", "fold"]).withColumn("d", F.col("mae") - F.col("_b")).where("d is not null")
+    return inference.random_intercept(pairs, ["treatment"], "d")
+
+
+@query("""WITH s AS (SELECT e AS endpoint, CAST(f AS BIGINT) AS fold, t AS treatment, sha256('endpoint=' || e || '|fold=' || f || '|treatment=' || t) AS tag FROM unnest(['A_F', 'N_O', 'R_F']) a(e), range(5) b(f), unnest(['exact_only', 'tobit']) c(t))
+SELECT * FROM s WHERE NOT (endpoint = 'A_F' AND treatment = 'tobit' AND fold < 3)""")
+def pending_cells(spark, sf_dir):
+    wanted = grid.specs(spark, endpoint=["A_F", "N_O", "R_F"], fold=list(range(5)), treatment=["exact_only", "tobit"])
+    done = wanted.where("endpoint = 'A_F' and treatment = 'tobit' and fold < 4").withColumn("error", F.when(F.col("fold") == 3, "failed"))
+    return grid.pending(wanted, done)
+
+
+@query(_CELLS + """, f AS (SELECT treatment, round(avg(mae), 3) AS value FROM means GROUP BY 1), e(treatment, expected) AS (VALUES ('exact_only', 0.2), ('tobit', 0.3), ('missing', 0.1))
+SELECT e.treatment, CAST(expected AS DOUBLE) AS expected, value, coalesce(abs(value - expected) <= 0.1, false) AS ok FROM e LEFT JOIN f USING (treatment)""", ("expected", "value"))
+def verified_numbers(spark, sf_dir):
+    found = inference.two_level(_means(spark, sf_dir), ["mae"], ["treatment"]).select("treatment", F.col("mae").alias("value"))
+    expected = spark.createDataFrame([("exact_only", 0.2), ("tobit", 0.3), ("missing", 0.1)], "treatment string, expected double")
+    return grid.verified(found, expected, ["treatment"], 0.1)
+
+
+def fitted_models(spark, sf_dir):
+    """Iterative fits (no SQL form): five treatments over two folds, scored on their test rows."""
+    from boundlab.operators import fitting
+
+    rows = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id")).withColumns({"fold": F.col("fold").cast("int"), "x1": (F.col("assay_id").cast("double") % 100) / 100, "x2": F.length("scaffold").cast("double") / 10})
+    cells = [{"treatment": t, "fold": f} for t in fitting.TREATMENTS for f in (0, 1)]
+    fitted = fitting.fit_cells(rows, ["x1", "x2"], cells, steps=8)
+    scored = fitting.apply_cells(rows, ["x1", "x2"], fitted)
+    return scored.groupBy("treatment", "fold").agg(*metrics.accuracy(), *metrics.violation())
+
+
+QUERIES["fitted_models"] = fitted_models
