@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 DIMENSIONS, FOLDS = 1 << 17, 5
-FIT = {"most_p": 4000, "most_u": 8000, "epochs": 30, "seeds": (1, 2, 3), "l2": 1e-5, "rate": 0.05, "least_z": 3.0, "lift": 0.1}
+FIT = {"most_p": 2000, "most_u": 4000, "epochs": 30, "seeds": (1, 2, 3), "l2": 1e-5, "rate": 0.05, "least_z": 3.0, "lift": 0.1}
 #: ASCII letters lower-cased, punctuation and control characters to spaces.
 FOLD_CASE = bytes(x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 
@@ -88,7 +88,10 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
 
     The rate in negatives follows from the mixture: (unlabelled - prior * positive) / (1 - prior).
     """
-    p, u = (np.bincount(np.concatenate([np.zeros(0, np.int64), *x]), minlength=DIMENSIONS) for x in (positive, unlabelled))
+    p, u = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    for count, rows in ((p, positive), (u, unlabelled)):
+        for r in rows:  # a row's features are different
+            count[r] += 1
     rp, ru = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
     rn = np.clip((ru - prior * rp) / (1 - prior), 1e-9, 1)
     z = (rp - ru) / np.sqrt(rp * (1 - rp) / len(positive) + ru * (1 - ru) / len(unlabelled))
@@ -153,9 +156,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_p: int, most_u: int, epochs:
     u = rows.select("doc_id", F.lit(False).alias("positive")).orderBy(*order).limit(most_u)
     chosen = F.broadcast(p.unionByName(u).withColumnRenamed("doc_id", "chosen"))  # most_p + most_u rows at most
     found = rows.join(chosen, F.col("doc_id") == F.col("chosen")).select("doc_id", "positive", "text").mapInArrow(_featured, "doc_id long, positive boolean, words array<int>")
-    sample = saved(found).toPandas().sort_values(["doc_id", "positive"])
-    positive = [np.asarray(x, np.int32) for x in sample[sample.positive].words]
-    unlabelled = [np.asarray(x, np.int32) for x in sample[~sample.positive].words]
+    sample = saved(found).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("positive", "ascending")])
+    words = sample.column("words").combine_chunks()
+    flat, ends = words.flatten().to_numpy(), np.cumsum(np.diff(words.offsets.to_numpy()))
+    rows_, marks = np.split(flat, ends[:-1]), sample.column("positive").to_numpy()  # views of one array
+    positive, unlabelled = ([r for r, m in zip(rows_, marks, strict=True) if m == kind] for kind in (True, False))
     prior = min(0.95, toxic / n)
     return ensemble(positive, unlabelled, prior, epochs, seeds, l2, rate, least_z, lift)
 
