@@ -16,7 +16,7 @@ without a piece become byte pieces, or the unknown id where a model has none.
 Decoding gives the text back, but for U+2581, which the models read as a space.
 
 Models with a normalisation table aren't supported. Memory follows the batch
-(about 2 million characters) or one longer text.
+(about 1 million bytes) or one longer text.
 
 Nulls: a null or empty text has no tokens. Rows are independent, so repeated
 rows, null ids and extra columns need no care. An empty table gives no rows.
@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import table
 
 SEGMENT = re.compile(" *[^ ]+| +")
-BATCH, SHORT = 2_000_000, 64
+BATCH, SHORT = 1_000_000, 64
 SPACE = "▁"
 
 
@@ -306,7 +306,7 @@ def decode(model: Model, ids: list[int]) -> str:
 
 
 def batched(batches):
-    """Slices of record batches with about BATCH characters of text each."""
+    """Slices of record batches with about BATCH bytes of text each."""
     for b in batches:
         sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in b.column("text")]) if b.num_rows else []
         at = 0
@@ -317,13 +317,21 @@ def batched(batches):
             at = end
 
 
-def encoder(model: Model):
+def decoded(model: Model, tokens: pa.Array) -> pa.Array:
+    """The texts of a list column, one row at a time."""
+    return pa.array((decode(model, t.values.to_numpy().tolist()) if t.is_valid else None for t in tokens), pa.string())
+
+
+def encoder(model: Model, back: bool = False):
+    """Adds `tokens`, and `decoded` in the same worker if `back`."""
+
     def run(batches):
         for b in batched(batches):
             ids, counts = encode(model, b.column("text").to_pylist())
             offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, tokens], [*b.schema.names, "tokens"])
+            more = [decoded(model, tokens)] if back else []
+            yield pa.RecordBatch.from_arrays([*b.columns, tokens, *more], [*b.schema.names, "tokens", *["decoded"] * back])
 
     return run
 
@@ -331,8 +339,7 @@ def encoder(model: Model):
 def decoder(model: Model):
     def run(batches):
         for b in batches:
-            texts = [None if t is None else decode(model, t) for t in b.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, decoded(model, b.column("tokens"))], [*b.schema.names, "decoded"])
 
     return run
 
@@ -366,10 +373,11 @@ def read_model(path: str | None = None) -> Model:
         return Model(f.read())
 
 
-def encode_pieces(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with `tokens` array<int>, the ids of `text`."""
-    layout = docs.drop("tokens")
-    return layout.mapInArrow(encoder(model), StructType([*layout.schema.fields, StructField("tokens", ArrayType(IntegerType()))]))
+def encode_pieces(docs: DataFrame, model: Model, back: bool = False) -> DataFrame:
+    """`docs` with `tokens` array<int>, the ids of `text`; if `back`, also with `decoded`, the text of `tokens`."""
+    layout = docs.drop("tokens", *["decoded"] * back)
+    more = [StructField("tokens", ArrayType(IntegerType())), *[StructField("decoded", StringType())] * back]
+    return layout.mapInArrow(encoder(model, back), StructType([*layout.schema.fields, *more]))
 
 
 def decode_pieces(rows: DataFrame, model: Model) -> DataFrame:
