@@ -57,7 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, tokens, n_tokens and whether decoding gives the text back."""
     model = pieces.read_model()
-    encoded = pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), model), model)
+    encoded = pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), model, back=True)  # one worker a task
     whole = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
     return encoded.select("doc_id", "lang", "source", "tokens", F.size("tokens").alias("n_tokens"), whole.alias("round_trip"))
 
