@@ -1,0 +1,201 @@
+"""Each dealt operator against SQL or brute force, on real rows, on the hard cases and on nothing."""
+
+import math
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pytest
+import sentencepiece
+from helpers import components, documents, duck, simhash, spark_rows, write_tables
+from pyspark.sql import functions as F
+
+from boundlab.llm import chat, language_model, mixing, pieces, sharding, simhash as sim, topk, toxicity
+from boundlab.llm.common import table
+from boundlab.llm.registry import ORACLES, QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def hard(tmp_path_factory):
+    return write_tables(tmp_path_factory.mktemp("hard"))
+
+
+@pytest.fixture(scope="module")
+def nothing(tmp_path_factory):
+    return write_tables(tmp_path_factory.mktemp("nothing"), empty=True)
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_sql_on_real_rows(spark, name):
+    assert spark_rows(QUERIES[name](spark, SMALL)) == duck(ORACLES[name], SMALL)
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_sql_on_hard_cases(spark, hard, name):
+    assert spark_rows(QUERIES[name](spark, hard)) == duck(ORACLES[name], hard)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_empty_tables(spark, nothing, name):
+    assert QUERIES[name](spark, nothing).count() == (1 if name.startswith("op5_") else 0)
+
+
+@pytest.mark.parametrize("name", ["op2_simhash_near_dedup", "op3_sentencepiece", "op8_balanced_shards", "op9_language_model", "op10_toxicity"])
+def test_every_row_comes_back(spark, hard, name):
+    found = [r["doc_id"] for r in QUERIES[name](spark, hard).collect()]
+    assert Counter(found) == Counter(d[0] for d in documents())
+
+
+def near_copies():
+    rng, rows = np.random.default_rng(5), []
+    words = [f"w{i}" for i in range(400)]
+    for _ in range(12):
+        text = list(rng.choice(words, 120))
+        for _ in range(15):
+            other = list(text)
+            other[rng.integers(120)] = "changed"
+            rows.append(" ".join(other))
+    return [(i, t) for i, t in enumerate(rows + [None, "", "x"])]
+
+
+@pytest.mark.parametrize(("distance", "hot"), [(0, 4096), (1, 4096), (2, 4096), (2, 3), (3, 3)])
+def test_simhash_components(spark, distance, hot):
+    rows = near_copies()
+    found = sim.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), distance, hot).collect()
+    prints = [simhash(t) for _, t in rows]
+    want = components([i for i, _ in rows], prints, distance)
+    assert {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in found} == {i: (p, c) for (i, _), p, c in zip(rows, prints, want, strict=True)}
+
+
+def test_simhash_hard_cases(spark, hard):
+    rows = documents()
+    prints = [simhash(t) for _, t, *_ in rows]
+    want = Counter((d[0], f"{p:016x}", c) for d, p, c in zip(rows, prints, components([d[0] for d in rows], prints), strict=True))
+    assert Counter(tuple(r) for r in sim.op2_simhash_near_dedup(spark, hard).select("doc_id", "fingerprint", "component_id").collect()) == want
+
+
+def test_pairs_in_large_cells(monkeypatch):
+    monkeypatch.setattr(sim, "HOT", 8)
+    rng = np.random.default_rng(1)
+    fp = np.unique(np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)))
+    a, b = sim.pairs_within(fp, 2)
+    assert len(set(sim.forest(len(fp), a, b))) == 1
+
+
+def test_sentencepiece_equals_library(spark, hard):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = table(spark, hard, "documents")
+    made = pieces.encode_pieces(docs, pieces.read_model(path), back=True).select("text", "tokens", "decoded").collect()
+    assert len(made) == len(documents())
+    for r in made:
+        assert r["tokens"] == library.encode(r["text"] or "")
+        assert r["decoded"] == (r["text"] or "")
+    apart = pieces.decode_pieces(pieces.encode_pieces(docs, pieces.read_model(path)), pieces.read_model(path))
+    assert Counter(r["decoded"] for r in apart.collect()) == Counter(t or "" for _, t, *_ in documents())
+
+
+def test_chat_reads_back(spark, hard):
+    rows = table(spark, hard, "conversations")
+    back = chat.read_back(chat.format_chats(rows)).collect()
+    want = defaultdict(list)
+    for r in rows.collect():
+        want[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in back} == {k: [x[1:] for x in sorted(v)] for k, v in want.items()}
+    assert {r["conv_id"]: r["valid"] for r in back} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True}
+
+
+def test_top_k_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)).astype(np.float32))]
+    rows += [(i + 300, v) for i, v in rows[:40]]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 7 == 0, 5, pivots=9)
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    want = []
+    for q in range(0, len(rows), 7):
+        best = sorted((-int(x[q] @ x[i]), i) for i in range(len(rows)) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_mixing_overlapping_sources(spark):
+    rows = [(i, " ".join(["w"] * (3 + i % 5)), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(90)]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in made)
+    wanted = mixing.targets({"a": sum(r["size"] for r in made if "a" in r["source"]), "b": sum(r["size"] for r in made if "b" in r["source"])})
+    most = 2 * sum(r["size"] for r in made)
+    assert abs(sum(r["taken"] for r in made) - min(most, sum(wanted.values()))) <= 2
+
+
+def test_flow_costs_are_least():
+    sent = mixing.route({("a",): 10, ("a", "b"): 10}, {"a": 12, "b": 8})
+    assert sent[("a",), "a"] + sent[("a", "b"), "a"] == 12 and sent[("a", "b"), "b"] == 8
+    assert sent[("a",), "a"] == 10  # nothing is repeated where fresh words are left
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40])
+def test_shards_are_even_and_gapless(spark, hard, shards):
+    made = sharding.balanced_shards(table(spark, hard, "documents"), shards).collect()
+    slots = defaultdict(list)
+    for r in made:
+        slots[r["shard"]].append(r["slot"])
+    counts = [len(slots[s]) for s in range(shards)]
+    assert max(counts) - min(counts) <= 1 and sum(counts) == len(documents())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_shards_keep_copies_together(spark):
+    rows = [(i, f"group {i % 20}" if i < 100 else f"alone {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, again = (sorted((r["doc_id"], r["text_crc32"], r["shard"]) for r in sharding.balanced_shards(docs, 8).collect()) for _ in range(2))
+    assert made == again
+    groups = defaultdict(set)
+    for d, crc, shard in made:
+        if d < 100:
+            groups[crc].add(shard)
+    assert sum(len(g) for g in groups.values()) <= 30  # 20 groups; 5 rows each fall into about 4 of 8 shards by chance
+
+
+def test_language_model_base_and_gain(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "ZZ zz unseenword")], docs.schema)).unionByName(docs.limit(3))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    made = language_model.score_texts(docs, held).collect()
+    count, rows = Counter(), docs.collect()
+    tokens = lambda t: [*(t or "").encode().lower().split(), "<end>"]
+    for d, t in rows:
+        if crc32(str(d).encode()) % 7 != 2:
+            count.update(tokens(t))
+    n, v = sum(count.values()), len(count)
+    base = {d: (sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t)), len(tokens(t)), sum(count[w] > 0 for w in tokens(t))) for d, t in rows}
+    assert len(made) == len(rows)
+    for r in made:
+        b, k, known = base[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (k, known)
+        assert r["score"] < 0 and r["base_score"] == pytest.approx(b, rel=1e-9) and r["train_tokens"] == n
+    again = language_model.score_texts(docs, held).collect()
+    assert sorted(map(str, made)) == sorted(map(str, again))
+    out = [r for r in made if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(base[r["doc_id"]][0] for r in out)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"  # smaller tables hold out six toxic rows or fewer
+    made = {r["doc_id"]: r for r in toxicity.op10_toxicity(spark, folder).collect()}
+    labels = [(r["toxic"], made[r["doc_id"]]) for r in table(spark, folder, "labels").collect() if r["doc_id"] in made]
+    test = [(y, r["score"]) for y, r in labels if r["held_out"]]
+    pos, neg = [s for y, s in test if y], [s for y, s in test if not y]
+    assert pos and neg
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    assert auc > 0.85
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in made.values())
+
+
+def test_toxicity_without_positives(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic long")
+    assert [r["score"] for r in toxicity.toxicity(docs, labels).collect()] == [0.0, 0.0]
