@@ -1,13 +1,18 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under quotas.
 
 Equal texts are linked. Every document starts in a shard drawn from its hash,
-which gives cells (group, first shard). Each round counts a group's rows by
-shard, and every cell proposes to move to the fullest shard of its group that
-has room and holds more of it than its own. Proposals are accepted in hash
-order up to the room of the shard. Rounds work on the aggregated cells, at most
-one row for each group and shard, so a group with a third of all rows is forty
-rows. At the end unlinked documents fill the shards up to exactly even counts
-(law `rows`: counts at most one apart).
+which gives each group a count by shard. A group larger than a shard takes whole
+shards, those that hold most of it first, and one more for its remainder. Any
+other group's rows propose, round by round, to move to the shard that holds most
+of the group. Two shards exchange equal numbers of rows, and what is left moves
+where there is room; leavers make room in the same round. Groups that are still
+split after the rounds, or don't fit, are laid one after the other into the room
+that is left. Where that cuts one, it goes whole into any shard that holds it.
+So at most shards - 1 groups that fit a shard stay cut, however many rounds ran.
+
+Rounds work on counts, at most one row for each group and shard. At the end
+unlinked documents fill the shards up to exactly even counts (law `rows`: counts
+at most one apart).
 
 Nulls: a null text is empty and equal to other empty texts; a null doc_id is
 hashed as an empty string. Repeated rows are each a document. An empty table
@@ -16,7 +21,7 @@ gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_total, saved, table
@@ -31,30 +36,78 @@ def sized(docs: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("bucket", F.substring("key", 1, 3)).withColumn("first", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
-def propagate(cells: DataFrame, room: int, shards: int, rounds: int) -> DataFrame:
-    """copies, first, n -> the same with `label`, the shard each cell ends in."""
+def at(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
+
+
+def exchange(asked: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the rows that ask to go from one shard to another may: equal numbers both ways, and more where there is room."""
+    allowed = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
+    free, more = list(free), True
+    while more:
+        more = False
+        for (s, t), n in sorted(asked.items()):
+            step = min(n - allowed[s, t], free[t])
+            if step > 0:
+                allowed[s, t], free[t], free[s], more = allowed[s, t] + step, free[t] - step, free[s] + step, True
+    return {k: n for k, n in allowed.items() if n}
+
+
+def fill(n: int, free: list[int], votes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(shard, from, to) for a group of n rows, in as few shards as the room allows; takes the room."""
+    parts, low = [], 0
+    while low < n:
+        holds = [s for s, f in enumerate(free) if f >= n - low]
+        s = min(holds, key=lambda s: (free[s], -votes.get(s, 0), s)) if holds else max(range(len(free)), key=lambda s: (free[s], votes.get(s, 0), -s))
+        step = min(n - low, free[s])
+        parts.append((s, low, low + step))
+        free[s], low = free[s] - step, low + step
+    return parts
+
+
+def propagate(cells: DataFrame, free: list[int], rounds: int) -> DataFrame:
+    """copies, label, n -> the same after the rounds."""
     spark = cells.sparkSession
-    state = saved(cells.withColumn("label", F.col("first")))
-    every = spark.range(shards).select(F.col("id").cast("int").alias("label"))
+    state = saved(cells)
     for k in range(rounds):
+        # ties go by hash: by number, all would move to the low shards and none back
+        best = state.groupBy("copies").agg(F.max(F.struct("n", F.xxhash64("copies", "label").alias("tie"), "label")).alias("best"), F.count("*").alias("parts"))
+        best = best.where("parts > 1").select(F.col("copies").alias("b_copies"), F.col("best.label").alias("target"))
+        asked = saved(state.join(best, F.col("copies") == F.col("b_copies")).where("label != target").select("copies", "label", "n", "target"))
+        flows = {(r["label"], r["target"]): r["n"] for r in asked.groupBy("label", "target").agg(F.sum("n").alias("n")).collect()}  # shards x shards
         loads = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-        free = spark.createDataFrame([(s, max(0, room - loads.get(s, 0))) for s in range(shards)], "target int, free long").where("free > 0")
-        votes = state.groupBy("copies", "label").agg(F.sum("n").alias("votes"))
-        best = votes.join(F.broadcast(free), F.col("label") == F.col("target"), "left")  # as many rows as shards
-        open_ = F.when(F.col("free").isNotNull(), F.struct("votes", (-F.col("label")).alias("minus")))
-        best = best.groupBy("copies").agg(F.max(open_).alias("best")).where("best is not null").select(F.col("copies").alias("b_copies"), F.col("best.votes").alias("b_votes"), (-F.col("best.minus")).alias("target"))
-        own = votes.select(F.col("copies").alias("v_copies"), F.col("label").alias("v_label"), "votes")
-        asked = state.join(own, (F.col("copies") == F.col("v_copies")) & (F.col("label") == F.col("v_label"))).join(best, F.col("copies") == F.col("b_copies"))
-        gain = (F.col("b_votes") > F.col("votes")) | ((F.col("b_votes") == F.col("votes")) & (F.col("target") < F.col("label")))
-        asked = asked.where(gain & (F.col("target") != F.col("label"))).withColumn("turn", F.md5(F.concat("copies", F.lit(f"|{k}")))).withColumn("turn_bucket", F.substring("turn", 1, 2))
-        asked = running_total(asked, ["target"], ["turn", "first"], "n", "before", "turn_bucket")
-        moved = asked.join(F.broadcast(free.withColumnRenamed("target", "f_target")), F.col("target") == F.col("f_target")).where(F.col("before") + F.col("n") <= F.col("free"))
-        moved = moved.select(F.col("copies").alias("m_copies"), F.col("first").alias("m_first"), "target")
-        state = saved(state.join(moved, (F.col("copies") == F.col("m_copies")) & (F.col("first") == F.col("m_first")), "left").select("copies", "first", "n", F.coalesce("target", "label").alias("label"), F.col("target").isNotNull().alias("moved")))
-        if not state.where("moved").limit(1).count():
+        allowed = exchange(flows, [f - loads.get(s, 0) for s, f in enumerate(free)])
+        if not allowed:
             break
-        state = state.drop("moved")
-    return state.select("copies", "first", "label")
+        limits = spark.createDataFrame([(*key, n) for key, n in allowed.items()], "a_label int, a_target int, allowed long")
+        turns = asked.withColumn("turn", F.md5(F.concat("copies", F.lit(f"|{k}")))).withColumn("turn_bucket", F.substring("turn", 1, 2))
+        turns = running_total(turns, ["label", "target"], ["turn"], "n", "before", "turn_bucket")
+        moved = turns.join(F.broadcast(limits), (F.col("label") == F.col("a_label")) & (F.col("target") == F.col("a_target"))).where("before < allowed")
+        moved = moved.withColumn("step", F.least("n", F.col("allowed") - F.col("before")))
+        change = moved.select("copies", F.explode(F.array(F.struct(F.col("label"), (-F.col("step")).alias("n")), F.struct(F.col("target").alias("label"), F.col("step").alias("n")))).alias("x"))
+        both = state.unionByName(change.select("copies", F.col("x.label").alias("label"), F.col("x.n").alias("n")))
+        state = saved(both.groupBy("copies", "label").agg(F.sum("n").alias("n")).where("n > 0"))
+    return state
+
+
+def settle(state: DataFrame, free: list[int]) -> tuple[DataFrame, list[tuple[str, int, int, int]]]:
+    """(copies, label) of groups that lie in one shard, and (copies, shard, from, to) of the others, fewer than shards."""
+    groups = state.groupBy("copies").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("label").alias("label")).withColumn("bucket", F.substring("copies", 1, 3))
+    whole = running_total(groups.where("parts = 1"), ["label"], ["copies"], "n", "before", "bucket")
+    whole = whole.withColumn("label", F.when(F.col("before") + F.col("n") <= F.get(at(free), F.col("label")), F.col("label"))).drop("before")
+    found = saved(whole.unionByName(groups.where("parts > 1").withColumn("label", F.lit(None).cast("int"))).drop("parts"))
+    sums = lambda df: {r["label"]: r["n"] for r in df.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    held = sums(found)
+    room = [f - held.get(s, 0) for s, f in enumerate(free)]
+    low = [sum(room[:s]) for s in range(len(room))]
+    rest = running_total(found.where("label is null").drop("label").withColumn("all", F.lit(0)), ["all"], ["copies"], "n", "before", "bucket")
+    shard = lambda row: F.size(F.filter(at(low), lambda x: x <= row)) - 1
+    rest = saved(rest.withColumn("s", shard(F.col("before"))).withColumn("label", F.when(F.col("s") == shard(F.col("before") + F.col("n") - 1), F.col("s"))).select("copies", "n", "label"))
+    held = sums(rest)
+    room = [f - held.get(s, 0) for s, f in enumerate(room)]
+    across = sorted((-r["n"], r["copies"]) for r in rest.where("label is null").collect())  # fewer than shards
+    parts = [(copies, *part) for n, copies in across for part in fill(-n, room, {})]
+    return found.select("copies", "label").unionByName(rest.select("copies", "label")).where("label is not null"), parts
 
 
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -64,10 +117,26 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     total = rows.count()
     want = [total // shards + (s < total % shards) for s in range(shards)]
     linked = rows.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1").select(F.col("copies").alias("l_copies"))
-    cells = rows.join(linked, F.col("copies") == F.col("l_copies"), "left_semi").groupBy("copies", "first").agg(F.count("*").alias("n"))
-    labels = propagate(cells, total // shards, shards, rounds)
+    cells = saved(rows.join(linked, F.col("copies") == F.col("l_copies"), "left_semi").groupBy("copies", "first").agg(F.count("*").alias("n")))
+    large = cells.groupBy("copies").agg(F.sum("n").alias("total")).where(F.col("total") > min(want)).select(F.col("copies").alias("g_copies"))  # fewer than shards
+    votes: dict[str, dict[int, int]] = {}
+    for r in cells.join(F.broadcast(large), F.col("copies") == F.col("g_copies"), "left_semi").collect():
+        votes.setdefault(r["copies"], {})[r["first"]] = r["n"]
+    free, parts = list(want), []
+    for copies, by in sorted(votes.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        parts += [(copies, *part) for part in fill(sum(by.values()), free, by)]
+    small = cells.join(F.broadcast(large), F.col("copies") == F.col("g_copies"), "left_anti")
+    whole, across = settle(propagate(small.select("copies", F.col("first").alias("label"), "n"), free, rounds), free)
+    parts += across
+    labels = cells.join(whole.select(F.col("copies").alias("w_copies"), "label"), F.col("copies") == F.col("w_copies"))
     labels = labels.select(F.col("copies").alias("c_copies"), F.col("first").alias("c_first"), "label")
-    placed = rows.join(labels, (F.col("copies") == F.col("c_copies")) & (F.col("first") == F.col("c_first")), "left").drop("c_copies", "c_first").withColumn("one", F.lit(1))
+    rows = rows.withColumn("one", F.lit(1))
+    cut = F.broadcast(spark.createDataFrame([(c,) for c in sorted({p[0] for p in parts})], "p_copies string"))
+    ranges = F.broadcast(spark.createDataFrame(parts, "r_copies string, label int, low long, high long"))
+    in_cut = F.col("copies") == F.col("p_copies")
+    split = running_total(rows.join(cut, in_cut, "left_semi"), ["copies"], ["key"], "one", "place", "bucket")
+    split = split.join(ranges, (F.col("copies") == F.col("r_copies")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))).select(*rows.columns, "label")
+    placed = rows.join(cut, in_cut, "left_anti").join(labels, (F.col("copies") == F.col("c_copies")) & (F.col("first") == F.col("c_first")), "left").select(*rows.columns, "label").unionByName(split)
     # order inside a shard; linked rows beyond the shard's size go to the pool of unlinked ones
     ranked = saved(running_total(placed, ["label"], ["key", "doc_id", "text_crc32", "size"], "one", "rank", "bucket"))
     sizes = spark.createDataFrame(list(enumerate(want)), "s int, want long")
@@ -77,7 +146,6 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     low = [0]  # the pool's ranks from low[s] on go to shard s, after the rows that it holds
     for s in range(shards - 1):
         low.append(low[-1] + want[s] - held[s])
-    at = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
     pool = running_total(kept.where("not stays").drop("rank").withColumn("all", F.lit(0)), ["all"], ["key", "doc_id", "text_crc32", "size"], "one", "rank", "bucket")
     pool = pool.withColumn("g", F.size(F.filter(at(low), lambda x: x <= F.col("rank"))) - 1)
     pool = pool.withColumn("slot", F.col("rank") - F.get(at(low), F.col("g")) + F.get(at(held), F.col("g")))

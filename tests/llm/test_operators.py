@@ -199,3 +199,29 @@ def test_toxicity_without_positives(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic long")
     assert [r["score"] for r in toxicity.toxicity(docs, labels).collect()] == [0.0, 0.0]
+
+
+def spread(spark, texts, shards):
+    """How many shards each text with copies lies in; counts must be even."""
+    made = sharding.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards).collect()
+    loads = Counter(r["shard"] for r in made)
+    assert len(made) == len(texts) and max(loads.values()) - min(loads[s] for s in range(shards)) <= 1
+    where = defaultdict(set)
+    for r in made:
+        where[r["doc_id"]].add(r["shard"])
+    groups, counts = defaultdict(set), Counter(texts)
+    for i, t in enumerate(texts):
+        if counts[t] > 1:
+            groups[t] |= where[i]
+    return {t: len(s) for t, s in groups.items()}
+
+
+def test_shards_of_pairs_alone(spark):
+    found = spread(spark, [f"pair {i // 2}" for i in range(2000)], 8)
+    assert sum(found.values()) - len(found) <= 7
+
+
+def test_shards_of_a_large_group(spark):
+    found = spread(spark, ["hot" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"alone {i}" for i in range(3000)], 40)
+    assert found.pop("hot") == 14  # 1000 rows, 75 a shard
+    assert sum(found.values()) == len(found)
