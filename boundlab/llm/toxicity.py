@@ -7,7 +7,8 @@ linear model over hashed words and word beginnings is trained in numpy with the
 whose second part, if negative, is climbed instead of descended. Several models
 are averaged, each fitted on two thirds of the sample, its cut chosen on the rest
 by the zero-one form of the same risk. Features are first screened: kept are
-those surely commoner in positives than, by the class prior, in negatives. The fit uses a bounded sample: the `most_p`
+those surely commoner in positives than, by the class prior, in negatives; Spark counts a
+feature's documents over all training rows. Weights and cuts come from a bounded sample: the `most_p`
 positives and `most_u` unlabelled rows with the smallest hashes of their ids.
 All counts for the prior and all scores cover every row.
 
@@ -29,22 +30,63 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 DIMENSIONS, FOLDS = 1 << 17, 5
-FIT = {"most_p": 2000, "most_u": 4000, "epochs": 30, "seeds": (1, 2, 3), "l2": 1e-5, "rate": 0.05, "least_z": 3.0, "lift": 0.1}
+FIT = {"most_p": 4000, "most_u": 8000, "epochs": 30, "seeds": (1, 2, 3), "l2": 1e-5, "rate": 0.05, "least_z": 3.0, "lift": 0.1}
 #: ASCII letters lower-cased, punctuation and control characters to spaces.
 FOLD_CASE = bytes(x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Hashed words of a text and their first 4, 5 and 6 characters, each once."""
-    words = set((text or b"").translate(FOLD_CASE).decode("utf-8", "replace").split())
-    parts = {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n} | words
-    return np.array(sorted({crc32(w.encode()) % DIMENSIONS for w in parts}), np.int32)
+PART_SALT, KNOWN_WORDS = 11, 1 << 17
+
+
+def _places(word: str) -> tuple[int, ...]:
+    return tuple({crc32(w.encode()) % DIMENSIONS for w in (word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n))})
+
+
+def features(text: bytes | None, known: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
+    """Hashed words of a text and their first 4, 5 and 6 characters, each once; `known` keeps places of words for later texts."""
+    known = {} if known is None else known
+    found: set[int] = set()
+    for w in set((text or b"").translate(FOLD_CASE).decode("utf-8", "replace").split()):
+        at = known.get(w)
+        if at is None:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            at = known[w] = _places(w)
+        found.update(at)
+    return np.array(sorted(found), np.int32)
 
 
 def _featured(batches):
+    known: dict = {}
     for b in batches:
-        rows = [features(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("positive"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "positive", "words"])
+        rows = [features(t.as_py(), known) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("positive"), b.column("part"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "positive", "part", "words"])
+
+
+def _counter(parts: int):
+    """A task's documents by part and feature; the feature -1 counts all."""
+
+    def run(batches):
+        known: dict = {}
+        found = np.zeros((parts, DIMENSIONS + 1), np.int64)
+        for b in batches:
+            for part, t in zip(b.column("part").to_pylist(), b.column("text"), strict=True):
+                found[part, features(t.as_py(), known)] += 1
+                found[part, -1] += 1
+        part, place = np.nonzero(found)
+        n = found[part, place]
+        place = np.where(place == DIMENSIONS, -1, place)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(place, pa.int32()), pa.array(n)], ["part", "place", "n"])
+
+    return run
+
+
+def document_counts(rows: DataFrame, parts: int) -> np.ndarray:
+    """(part, feature) -> documents of `rows` that hold it; the last column counts all."""
+    sums = rows.select("part", "text").mapInArrow(_counter(parts), "part int, place int, n long").groupBy("part", "place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((parts, DIMENSIONS + 1))
+    counts[sums.column("part").to_numpy(), sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+    return counts
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int, l2: float, rate: float) -> tuple[np.ndarray, float]:
@@ -83,18 +125,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return w[:-1], float(w[-1])
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_z: float, lift: float) -> np.ndarray:
-    """Mask of the features that are surely commoner in positives.
+def telling(positive: list[np.ndarray], u: np.ndarray, n_u: float, prior: float, least_z: float, lift: float) -> np.ndarray:
+    """Mask of the features that are surely commoner in positives; `u` counts a feature's documents among n_u unlabelled ones.
 
     The rate in negatives follows from the mixture: (unlabelled - prior * positive) / (1 - prior).
     """
-    p, u = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    for count, rows in ((p, positive), (u, unlabelled)):
-        for r in rows:  # a row's features are different
-            count[r] += 1
-    rp, ru = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
+    p = np.zeros(DIMENSIONS)
+    for r in positive:  # a row's features are different
+        p[r] += 1
+    rp, ru = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (n_u + 1)
     rn = np.clip((ru - prior * rp) / (1 - prior), 1e-9, 1)
-    z = (rp - ru) / np.sqrt(rp * (1 - rp) / len(positive) + ru * (1 - ru) / len(unlabelled))
+    z = (rp - ru) / np.sqrt(rp * (1 - rp) / len(positive) + ru * (1 - ru) / n_u)
     return (z > least_z) & (p >= 3) & (rn < lift * rp)
 
 
@@ -111,13 +152,15 @@ def offset(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
     return float(cuts[best[len(best) // 2]])
 
 
-def ensemble(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int, seeds, l2: float, rate: float, least_z: float, lift: float):
-    """One model for each seed: fitted on all but one part of the sample, its cut chosen on that part."""
-    weights, biases, parts = [], [], len(seeds)
+def ensemble(positive: list[tuple[int, np.ndarray]], unlabelled: list[tuple[int, np.ndarray]], counts: np.ndarray, prior: float, epochs: int, seeds, l2: float, rate: float, least_z: float, lift: float):
+    """One model for each seed: screened and fitted on all but one part of the rows, its cut chosen on that part."""
+    weights, biases = [], []
     for k, seed in enumerate(seeds):
-        fit_p, fit_u = ([r for i, r in enumerate(x) if i % parts != k] or x for x in (positive, unlabelled))
-        cut_p, cut_u = ([r for i, r in enumerate(x) if i % parts == k] or x for x in (positive, unlabelled))
-        mask = telling(fit_p, fit_u, prior, least_z, lift)
+        fit_p, fit_u = ([r for part, r in x if part != k] or [r for _, r in x] for x in (positive, unlabelled))
+        cut_p, cut_u = ([r for part, r in x if part == k] or [r for _, r in x] for x in (positive, unlabelled))
+        u = counts.sum(0) - counts[k]
+        u = u if u[-1] else counts.sum(0)
+        mask = telling(fit_p, u[:-1], u[-1], prior, least_z, lift)
         w, b = fit([r[mask[r]] for r in fit_p], [r[mask[r]] for r in fit_u], prior, seed, epochs, l2, rate)
         w[~mask] = 0
         zp, zu = (np.array([w[r].sum() + b for r in x]) for x in (cut_p, cut_u))
@@ -130,8 +173,9 @@ def scorer(weights: np.ndarray, bias: np.ndarray):
     """weights: (models, dimensions)."""
 
     def run(batches):
+        known: dict = {}
         for b in batches:
-            rows = [features(t.as_py()) for t in b.column("text")]
+            rows = [features(t.as_py(), known) for t in b.column("text")]
             sizes = np.array([len(r) for r in rows], np.int64)
             idx = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int32)
             owner = np.repeat(np.arange(len(rows)), sizes)
@@ -146,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_p: int, most_u: int, epochs:
     """(weights, biases) or None if no toxic row is known."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).where(~held)
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).where(~held).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(PART_SALT)), F.lit(len(seeds))).cast("int"))
     ids = rows.select("doc_id").join(known, F.col("doc_id") == F.col("label_id"))
     n, toxic = ids.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
     if not toxic:
@@ -155,14 +199,15 @@ def learn(docs: DataFrame, labels: DataFrame, most_p: int, most_u: int, epochs:
     p = ids.where("toxic > 0").select("doc_id", F.lit(True).alias("positive")).orderBy(*order).limit(most_p)
     u = rows.select("doc_id", F.lit(False).alias("positive")).orderBy(*order).limit(most_u)
     chosen = F.broadcast(p.unionByName(u).withColumnRenamed("doc_id", "chosen"))  # most_p + most_u rows at most
-    found = rows.join(chosen, F.col("doc_id") == F.col("chosen")).select("doc_id", "positive", "text").mapInArrow(_featured, "doc_id long, positive boolean, words array<int>")
+    found = rows.join(chosen, F.col("doc_id") == F.col("chosen")).select("doc_id", "positive", "part", "text").mapInArrow(_featured, "doc_id long, positive boolean, part int, words array<int>")
     sample = saved(found).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("positive", "ascending")])
     words = sample.column("words").combine_chunks()
     flat, ends = words.flatten().to_numpy(), np.cumsum(np.diff(words.offsets.to_numpy()))
     rows_, marks = np.split(flat, ends[:-1]), sample.column("positive").to_numpy()  # views of one array
-    positive, unlabelled = ([r for r, m in zip(rows_, marks, strict=True) if m == kind] for kind in (True, False))
+    own = sample.column("part").to_pylist()
+    positive, unlabelled = ([(part, r) for part, r, m in zip(own, rows_, marks, strict=True) if m == kind] for kind in (True, False))
     prior = min(0.95, toxic / n)
-    return ensemble(positive, unlabelled, prior, epochs, seeds, l2, rate, least_z, lift)
+    return ensemble(positive, unlabelled, document_counts(rows, len(seeds)), prior, epochs, seeds, l2, rate, least_z, lift)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

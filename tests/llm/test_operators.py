@@ -225,3 +225,21 @@ def test_shards_of_a_large_group(spark):
     found = spread(spark, ["hot" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"alone {i}" for i in range(3000)], 40)
     assert found.pop("hot") == 14  # 1000 rows, 75 a shard
     assert sum(found.values()) == len(found)
+
+
+def test_toxicity_screen_counts_all_rows(spark):
+    texts = {i: f"common w{i % 50}" + (" rare" if i % 100 == 0 else "") for i in range(9000)}
+    rows = spark.createDataFrame([(i % 3, t.encode()) for i, t in texts.items()], "part int, text binary")
+    counts = toxicity.document_counts(rows, 3)
+    place = lambda w: crc32(w.encode()) % toxicity.DIMENSIONS
+    assert counts[:, -1].tolist() == [3000] * 3
+    assert counts[:, place("common")].sum() == 9000 and counts[:, place("rare")].sum() == 90
+    seen = []
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in texts], "doc_id long, toxic long")
+    keep, toxicity.telling = toxicity.telling, lambda p, u, n, *more: seen.append(n) or keep(p, u, n, *more)
+    try:
+        toxicity.toxicity(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), labels, most_p=20, most_u=50, epochs=1)
+    finally:
+        toxicity.telling = keep
+    train = sum(crc32(str(i).encode()) % 5 != 0 for i in texts)
+    assert sum(seen) == 2 * train  # each model sees the counts of two parts of three, not of the sample
