@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +26,34 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's spark.checkpoint.dir names; driver and executors share it."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder.rstrip("/")
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset
-    (tests on one machine) a temporary one is made.
-    """
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """k1, k2: 128 bits that tell rows apart by all their columns, nulls included; equal rows share them."""
+    names = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    parts = [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(k), *parts).alias(f"k{k}") for k in (1, 2)]
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """k1, k2, `row` (a struct of all columns, so that no name can clash) and `more`."""
+    return docs.select(*row_keys(docs), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *more)
+
+
 def running_total(df: DataFrame, groups: list[str], order: list[str], value: str, name: str, buckets: str) -> DataFrame:
     """Adds `name`: the sum of `value` over the rows of the group that come before this one.
 

@@ -5,21 +5,26 @@ pattern; the flow routes each pattern's words to the quotas of its sources. The
 first copy of a pattern's words costs nothing, the r-th copy costs r - 1, so
 repetition is used only where it must be (convex costs). The flow works on one
 node per pattern and source, whose number doesn't grow with the documents.
-Within a (pattern, source) route documents are taken in a seeded order, md5 of
-seed and doc_id, until the routed words are reached; the document on the limit
-is taken in part, so the words taken equal the route.
+Within a pattern documents are taken in a seeded order, md5 of seed, doc_id and
+text; each source of the pattern takes the next stretch of it, as long as its
+route. The document on a limit is taken in part, so the words that a source
+takes equal its routes. Source totals, and of documents in several sources the
+patterns, come to the driver; beyond `most_patterns` different sets of sources
+an error is raised before any is collected.
 
 Running totals are two-level (see common.running_total), so a hot source is
 spread over thousands of pieces.
 
-Nulls: a null text has size 0; the null source is a source and comes last. A
-null doc_id is ordered as an empty string. Repeated rows are each a document. An
-empty table gives no rows. Extra columns are ignored.
+Nulls: a null text has size 0; the null source is a source and comes last; a
+null or empty array of sources is the null source alone. A null doc_id is
+ordered as an empty string. Repeated rows are each a document; the window that
+ranks one bucket of a source holds all rows that are equal in doc_id and text.
+An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +32,14 @@ from pyspark.sql import functions as F
 from .common import running_total, saved, table, words_of
 
 WEIGHTS = (5, 2, 1)
-SHARE, MOST, SEED = 1.5, 2, "mix-1"
+SHARE, MOST, SEED, MOST_PATTERNS = 1.5, 2, "mix-1", 100_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, order key and its bucket."""
-    key = F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    found = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
+    found = docs.select("doc_id", *carry, "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"))
     return found.withColumn("bucket", F.substring("key", 1, 3))
 
 
@@ -60,7 +66,12 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
 
     Successive shortest paths; a pattern has an arc of its size for each copy
     with costs 0, 1, 2, ... Source quotas bind; what can't be routed is left.
+    Patterns whose sources occur in no other one need no flow.
     """
+    uses = Counter(s for pattern in patterns for s in pattern)
+    alone = {p: n for p, n in patterns.items() if len(p) == 1 and uses[p[0]] == 1}
+    sent = {(p, p[0]): min(most * n, quotas[p[0]]) for p, n in alone.items()}
+    patterns = {p: n for p, n in patterns.items() if p not in alone}
     head, cost, left, out = [], [], [], {}
 
     def arc(a, b, capacity, price):
@@ -96,7 +107,6 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
         for e in path:
             left[e] -= push
             left[e ^ 1] += push
-    sent = {}
     for pattern in patterns:
         for e in out[("p", pattern)]:
             if head[e][0] == "s" and e % 2 == 0:
@@ -104,42 +114,55 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
     return sent
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """A row for each row of `docs`: doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: tuple[str, ...] = (), most_patterns: int = MOST_PATTERNS) -> DataFrame:
+    """A row for each row of `docs`: doc_id, source, size, source_size, target, taken, by_source array<struct<source, taken>>, and the columns `carry`.
 
-    `source` may be a string (one membership each) or an array of strings.
+    `source` may be a string (one membership each) or an array of strings; then
+    source_size and target are sums over the row's sources.
     """
     spark = docs.sparkSession
     many = dict(docs.dtypes)["source"].startswith("array")
-    rows = saved(sizes(docs))
-    member = rows.withColumn("pattern", F.array_sort(F.array_distinct("source")) if many else F.array("source"))
-    found = member.groupBy("pattern").agg(F.sum("size").alias("n")).collect()  # one row for each set of sources
-    patterns = {tuple(r["pattern"]): r["n"] for r in found}
+    rows = saved(sizes(docs, carry))
+    nothing = F.array(F.lit(None).cast("string"))
+    pattern = F.when(F.coalesce(F.size("source"), F.lit(0)) > 0, F.array_sort(F.array_distinct("source"))).otherwise(nothing) if many else F.array("source")
+    member = rows.withColumn("pattern", pattern)
+    sums = saved(member.groupBy("pattern").agg(F.sum("size").alias("n")))
+    if (n := sums.count()) > most_patterns:
+        raise ValueError(f"{n} different sets of sources; the flow takes {most_patterns}")
+    patterns = {tuple(r["pattern"]): r["n"] for r in sums.collect()}  # most_patterns rows at most
     totals: dict = {}
     for pattern, n in patterns.items():
         for s in pattern:
             totals[s] = totals.get(s, 0) + n
     wanted = targets(totals, weights, share, most)
     sent = route(patterns, {s: round(t) for s, t in wanted.items()}, most)
-    # each pattern's words are laid out `most` times in a row; its sources take one stretch after another
-    taken = {p: sum(sent.get((p, s), 0) for s in p) for p in patterns}
-    quota = spark.createDataFrame(
-        [(list(p), taken[p], patterns[p], sum(totals[s] for s in p), float(sum(wanted[s] for s in p))) for p in patterns],
-        "q_pattern array<string>, route long, pattern_size long, source_size long, target double",
-    )
+    quota = []  # each pattern's words are laid out `most` times in a row; its sources take one stretch after another
+    for p in patterns:
+        ends = [0]
+        for s in p:
+            ends.append(ends[-1] + sent.get((p, s), 0))
+        quota.append((list(p), list(zip(p, ends[:-1], ends[1:], strict=True)), patterns[p], sum(totals[s] for s in p), float(sum(wanted[s] for s in p))))
+    layout = "q_pattern array<string>, stretches array<struct<source: string, low: long, high: long>>, pattern_size long, source_size long, target double"
     ranked = running_total(member, ["pattern"], ["key", "doc_id", "size"], "size", "before", "bucket")
-    both = ranked.join(quota, F.col("pattern") == F.col("q_pattern"))  # arrays that hold a null are equal too
-    copies = [F.least(F.greatest(F.col("route") - F.lit(c) * F.col("pattern_size") - F.col("before"), F.lit(0)), F.col("size")) for c in range(most)]
-    return both.select("doc_id", "source", "size", "source_size", "target", sum(copies[1:], copies[0]).cast("long").alias("taken"))
+    both = ranked.join(spark.createDataFrame(quota, layout), F.col("pattern") == F.col("q_pattern"))  # arrays that hold a null are equal too
+
+    def share_of(stretch):
+        starts = [F.col("before") + F.lit(c) * F.col("pattern_size") for c in range(most)]
+        parts = [F.greatest(F.least(at + F.col("size"), stretch["high"]) - F.greatest(at, stretch["low"]), F.lit(0)) for at in starts]
+        return F.struct(stretch["source"].alias("source"), sum(parts[1:], parts[0]).cast("long").alias("taken"))
+
+    both = both.withColumn("by_source", F.transform("stretches", share_of))
+    taken = F.aggregate("by_source", F.lit(0).cast("long"), lambda a, x: a + x["taken"])
+    return both.select("doc_id", *carry, "source", "size", "source_size", "target", taken.alias("taken"), "by_source")
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source").withColumn("target", F.round("target", 4))
+    return mix(table(spark, sf_dir, "documents")).drop("source", "by_source").withColumn("target", F.round("target", 4))
 
 
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w

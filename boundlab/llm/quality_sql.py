@@ -1,7 +1,7 @@
 """DuckDB text for the quality rules."""
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text AS given, row_number() OVER () AS r FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
 g AS (
   SELECT r, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) AS g,
@@ -16,10 +16,10 @@ lines AS (
 ),
 worded AS (SELECT * FROM lines WHERE line <> ''),
 dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM worded GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT (doc_id, given)) AS n FROM d GROUP BY source),
 boiler AS (
-  SELECT l.source, l.line FROM (SELECT source, line, count(DISTINCT text) AS n FROM worded GROUP BY ALL) l
-  JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n >= 10 AND l.n > 0.05 * h.n
+  SELECT l.source, l.line FROM (SELECT source, line, count(DISTINCT (doc_id, text)) AS n FROM worded GROUP BY ALL) l
+  JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE l.n >= 10 AND (l.n > 0.05 * h.n OR l.n >= 200)
 ),
 lost AS (
   SELECT r, sum(len(string_split(line, ' '))) AS n FROM worded l

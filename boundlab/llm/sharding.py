@@ -15,7 +15,8 @@ unlinked documents fill the shards up to exactly even counts (law `rows`: counts
 at most one apart).
 
 Nulls: a null text is empty and equal to other empty texts; a null doc_id is
-hashed as an empty string. Repeated rows are each a document. An empty table
+hashed as an empty string. Repeated rows are each a document; those equal in
+doc_id and text are ranked by one window. An empty table
 gives no rows. Extra columns are ignored.
 """
 
@@ -31,7 +32,7 @@ SHARDS, ROUNDS = 40, 6
 
 def sized(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.md5(F.concat(F.lit("shard|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit("shard|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text.cast("binary"))).cast("binary"))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("copies"), key.alias("key"))
     return rows.withColumn("bucket", F.substring("key", 1, 3)).withColumn("first", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import saved, table
 
@@ -54,7 +55,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches):
     for b in batches:
         prints = [fingerprint(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        more = [k for k in b.schema.names if k != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in more), pa.array(prints, pa.int64())], [*more, "fp"])
 
 
 def syndromes(half: np.ndarray) -> np.ndarray:
@@ -219,11 +221,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) for each row of `docs`."""
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) and root (a fingerprint that only this component has) for each row of `docs`, with its columns `carry`."""
     if not 0 <= distance <= 3:
         raise ValueError("the anchors are laid out for 0 to 3 differing bits")
-    prints = saved(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    rows = docs.select("doc_id", *carry, F.col("text").cast("binary").alias("text"))
+    layout = StructType([*rows.drop("text").schema.fields, StructField("fp", LongType())])
+    prints = saved(rows.mapInArrow(_fingerprints, layout))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     layout = "cell long, fp long, sub long"
     rows = nodes.select("fp").mapInArrow(replicate(distance), layout)
@@ -235,8 +239,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, hot: int = HOT) -
     roots = components(found)
     labels = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("l_fp"), F.coalesce("root", "fp").alias("root"), "least")
     named = labels.groupBy(F.col("root").alias("c")).agg(F.min("least").alias("component_id"))
-    labels = labels.join(named, F.col("root") == F.col("c")).select("l_fp", "component_id")
-    return prints.join(labels, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
+    labels = labels.join(named, F.col("root") == F.col("c")).select("l_fp", "component_id", "root")
+    return prints.join(labels, F.col("fp") == F.col("l_fp")).select("doc_id", *carry, "fp", "component_id", "root")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

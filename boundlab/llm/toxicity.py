@@ -8,8 +8,9 @@ whose second part, if negative, is climbed instead of descended. Several models
 are averaged, each fitted on two thirds of the sample, its cut chosen on the rest
 by the zero-one form of the same risk. Features are first screened: kept are
 those surely commoner in positives than, by the class prior, in negatives; Spark counts a
-feature's documents over all training rows. Weights and cuts come from a bounded sample: the `most_p`
-positives and `most_u` unlabelled rows with the smallest hashes of their ids.
+feature's documents over all training rows. Weights and cuts come from a bounded sample: of the `most_p`
+positive and `most_u` unlabelled ids with the smallest hashes the as many rows with the smallest hashes of
+id and text. Rows equal in both are one there, so repeated ids can't exceed the bound.
 All counts for the prior and all scores cover every row.
 
 Nulls: a null or empty text has no features and gets the bias alone. Null
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import saved, table
 
@@ -60,7 +62,8 @@ def _featured(batches):
     known: dict = {}
     for b in batches:
         rows = [features(t.as_py(), known) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("positive"), b.column("part"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "positive", "part", "words"])
+        names = [k for k in b.schema.names if k != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(rows, pa.list_(pa.int32()))], [*names, "words"])
 
 
 def _counter(parts: int):
@@ -89,12 +92,8 @@ def document_counts(rows: DataFrame, parts: int) -> np.ndarray:
     return counts
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int, l2: float, rate: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of the classifier with the least non-negative risk, by Adam on batches."""
-    rng, n = np.random.default_rng(seed), DIMENSIONS + 1
-    w, m, v, t = np.zeros(n), np.zeros(n), np.zeros(n), 0
-    w[-1] = -1.0
-    batches = max(1, min(len(positive), len(unlabelled) // 256 + 1))
+def gradient(w: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[float, float, np.ndarray]:
+    """The two parts of the risk, prior * R+ and R-(unlabelled) - prior * R-(positive), and the direction of ascent: of their sum, or if the second is negative, of minus the second alone."""
 
     def scores(rows):
         sizes = np.array([len(r) for r in rows])
@@ -102,22 +101,32 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         owner = np.repeat(np.arange(len(rows)), sizes)
         return np.bincount(owner, w[idx], len(rows)) + w[-1], idx, owner
 
+    (zp, ip, op), (zu, iu, ou) = scores(positive), scores(unlabelled)
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+    # logistic losses; -log(1 - s) has the gradient s, -log(s) has s - 1
+    first, second = prior * np.mean(np.logaddexp(0, -zp)), np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
+    if second >= 0:
+        gp, gu = (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
+    else:
+        gp, gu = prior * sp / len(sp), -su / len(su)
+    g = np.bincount(ip, gp[op], len(w)).astype(float) + np.bincount(iu, gu[ou], len(w))
+    g[-1] = gp.sum() + gu.sum()
+    return first, second, g
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int, l2: float, rate: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the classifier with the least non-negative risk, by Adam on batches."""
+    rng, n = np.random.default_rng(seed), DIMENSIONS + 1
+    w, m, v, t = np.zeros(n), np.zeros(n), np.zeros(n), 0
+    w[-1] = -1.0
+    batches = max(1, min(len(positive), len(unlabelled) // 256 + 1))
     for _ in range(epochs):
         ps, us = (np.array_split(rng.permutation(len(x)), batches) for x in (positive, unlabelled))
         for p, u in zip(ps, us, strict=True):
             if not len(p) or not len(u):
                 continue
-            zp, ip, op = scores([positive[i] for i in p])
-            zu, iu, ou = scores([unlabelled[i] for i in u])
-            sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-            # logistic losses; -log(1 - s) has the gradient s, -log(s) has s - 1
-            negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-            if negative >= 0:
-                gp, gu = (prior * (sp - 1) - prior * sp) / len(p), su / len(u)
-            else:
-                gp, gu = prior * sp / len(p), -su / len(u)
-            g = np.bincount(ip, gp[op], n) + np.bincount(iu, gu[ou], n) + l2 * w
-            g[-1] = gp.sum() + gu.sum()
+            _, _, g = gradient(w, [positive[i] for i in p], [unlabelled[i] for i in u], prior)
+            g[:-1] += l2 * w[:-1]
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -170,18 +179,19 @@ def ensemble(positive: list[tuple[int, np.ndarray]], unlabelled: list[tuple[int,
 
 
 def scorer(weights: np.ndarray, bias: np.ndarray):
-    """weights: (models, dimensions)."""
+    """Adds `score` to rows with a struct `row` that has a text. weights: (models, dimensions)."""
 
     def run(batches):
         known: dict = {}
         for b in batches:
-            rows = [features(t.as_py(), known) for t in b.column("text")]
+            text = b.column("row").field("text").cast(pa.binary()) if b.num_rows else []
+            rows = [features(t.as_py(), known) for t in text]
             sizes = np.array([len(r) for r in rows], np.int64)
             idx = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int32)
             owner = np.repeat(np.arange(len(rows)), sizes)
             z = [np.bincount(owner, weights[k][idx], len(rows)) + bias[k] for k in range(len(bias))]
             score = np.mean([1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in z], axis=0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("text"), pa.array(score)], ["doc_id", "held_out", "text", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
 
     return run
 
@@ -196,11 +206,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_p: int, most_u: int, epochs:
     if not toxic:
         return None
     order = [F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("doc_id")]
-    p = ids.where("toxic > 0").select("doc_id", F.lit(True).alias("positive")).orderBy(*order).limit(most_p)
-    u = rows.select("doc_id", F.lit(False).alias("positive")).orderBy(*order).limit(most_u)
-    chosen = F.broadcast(p.unionByName(u).withColumnRenamed("doc_id", "chosen"))  # most_p + most_u rows at most
-    found = rows.join(chosen, F.col("doc_id") == F.col("chosen")).select("doc_id", "positive", "part", "text").mapInArrow(_featured, "doc_id long, positive boolean, part int, words array<int>")
-    sample = saved(found).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("positive", "ascending")])
+    first = lambda df, most: df.select("doc_id").distinct().orderBy(*order).limit(most).withColumnRenamed("doc_id", "chosen")
+
+    def drawn(frame, most, positive):
+        chosen = F.broadcast(first(frame, most))  # `most` ids at most
+        return rows.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi").withColumn("positive", F.lit(positive)).dropDuplicates(["doc_id", "text"])
+
+    found = drawn(ids.where("toxic > 0"), most_p, True).unionByName(drawn(rows, most_u, False)).withColumn("hash", F.xxhash64("text"))
+    found = saved(found.select("doc_id", "positive", "part", "hash", "text").mapInArrow(_featured, "doc_id long, positive boolean, part int, hash long, words array<int>"))
+    bounded = [found.where(F.col("positive") == kind).orderBy(*order, "hash").limit(most) for kind, most in ((True, most_p), (False, most_u))]
+    sample = bounded[0].unionByName(bounded[1]).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("positive", "ascending"), ("hash", "ascending")])
     words = sample.column("words").combine_chunks()
     flat, ends = words.flatten().to_numpy(), np.cumsum(np.diff(words.offsets.to_numpy()))
     rows_, marks = np.split(flat, ends[:-1]), sample.column("positive").to_numpy()  # views of one array
@@ -210,16 +225,21 @@ def learn(docs: DataFrame, labels: DataFrame, most_p: int, most_u: int, epochs:
     return ensemble(positive, unlabelled, document_counts(rows, len(seeds)), prior, epochs, seeds, l2, rate, least_z, lift)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, text, score, predicted for each row of `docs`."""
+def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """`row`, a struct of all columns of `docs`, with held_out, score and predicted; a row for each row."""
     model = learn(docs, labels, **(FIT | options))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0
-    rows = docs.select("doc_id", F.coalesce(held, F.lit(True)).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(held, F.lit(True)).alias("held_out"))
     if model is None:
-        scored = rows.withColumn("score", F.lit(0.0))
+        found = rows.withColumn("score", F.lit(0.0))
     else:
-        scored = rows.mapInArrow(scorer(*model), "doc_id long, held_out boolean, text binary, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        found = rows.mapInArrow(scorer(*model), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, text, score, predicted for each row of `docs`."""
+    return scored(docs.select("doc_id", "text"), labels, **options).select("row.doc_id", "held_out", "row.text", "score", "predicted")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -243,3 +243,74 @@ def test_toxicity_screen_counts_all_rows(spark):
         toxicity.telling = keep
     train = sum(crc32(str(i).encode()) % 5 != 0 for i in texts)
     assert sum(seen) == 2 * train  # each model sees the counts of two parts of three, not of the sample
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Thousands of rows of one toxic id don't enlarge the sample."""
+    rows = [(1, f"bad words number {i % 500}") for i in range(5000)] + [(i, f"calm words {i}") for i in range(2, 60)] + [(2, "bad words once")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic long")
+    seen = []
+    keep, toxicity.ensemble = toxicity.ensemble, lambda p, u, *more: seen.append((len(p), len(u))) or keep(p, u, *more)
+    try:
+        made = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, most_p=30, most_u=40, epochs=1).collect()
+    finally:
+        toxicity.ensemble = keep
+    assert len(made) == len(rows) and seen and seen[0][0] <= 30 and seen[0][1] <= 40
+
+
+def test_toxicity_risk_and_gradient():
+    rng = np.random.default_rng(2)
+    w = np.zeros(toxicity.DIMENSIONS + 1)
+    w[:6], w[-1] = rng.normal(size=6), -0.4
+    rows = lambda n: [np.flatnonzero(rng.random(6) < 0.5).astype(np.int32) for _ in range(n)]
+    for p, u, prior in ((rows(5), rows(9), 0.2), (rows(4), rows(6), 0.9), ([np.array([0], np.int32)], [np.zeros(0, np.int32)], 0.95)):
+        loss = lambda w, y, x: math.log1p(math.exp(-y * (sum(w[i] for i in x) + w[-1])))
+        parts = lambda w: (prior * sum(loss(w, 1, x) for x in p) / len(p), sum(loss(w, -1, x) for x in u) / len(u) - prior * sum(loss(w, -1, x) for x in p) / len(p))  # noqa: E731, B023
+        first, second, g = toxicity.gradient(w, p, u, prior)
+        assert (first, second) == pytest.approx(parts(w))
+        sought = (lambda w: sum(parts(w))) if second >= 0 else (lambda w: -parts(w)[1])
+        for i in [*range(6), -1]:
+            step = np.zeros(len(w))
+            step[i] = 1e-6
+            assert g[i] == pytest.approx((sought(w + step) - sought(w - step)) / 2e-6, abs=1e-6)
+
+
+def test_mixing_odd_sources_and_words_by_source(spark):
+    rows = [(1, "a b c", None), (2, "a b", []), (3, "a b c d", ["x", None]), (4, "a", ["x", "x"]), (5, None, ["y"]), (None, "a b c d e", ["x"]), (None, "q r s t u", ["x"])]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    assert len(made) == len(rows)
+    totals = {"x": 4 + 1 + 5 + 5, "y": 0, None: 3 + 2 + 4}
+    wanted, got = mixing.targets(totals), Counter()
+    for r in made:
+        assert sum(x["taken"] for x in r["by_source"]) == r["taken"] <= 2 * r["size"]
+        got.update({x["source"]: x["taken"] for x in r["by_source"]})
+    assert all(abs(got[s] - wanted[s]) <= 1 for s in wanted)
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), most_patterns=2)
+
+
+def test_flow_against_every_integer_flow():
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    names = "abc"
+    for _ in range(12):
+        patterns = {p: int(rng.integers(1, 4)) for p in (("a",), ("a", "b"), ("b", "c")) if rng.random() < 0.8}
+        quotas = {s: int(rng.integers(0, 5)) for s in names}
+        arcs = [(p, s) for p in patterns for s in p]
+        best = None
+        for amounts in product(*(range(min(2 * patterns[p], quotas[s]) + 1) for p, s in arcs)):
+            out, into = Counter(), Counter()
+            for (p, s), n in zip(arcs, amounts, strict=True):
+                out[p] += n
+                into[s] += n
+            if all(out[p] <= 2 * patterns[p] for p in out) and all(into[s] <= quotas[s] for s in into):
+                key = (-sum(amounts), sum(max(0, out[p] - patterns[p]) for p in out))
+                best = key if best is None else min(best, key)
+        sent = mixing.route(patterns, quotas)
+        used, into = Counter(), Counter()
+        for (p, s), n in sent.items():
+            used[p] += n
+            into[s] += n
+        assert all(used[p] <= 2 * patterns[p] for p in used) and all(into[s] <= quotas[s] for s in into)
+        assert (-sum(sent.values()), sum(max(0, used[p] - patterns[p]) for p in patterns)) == (best or (0, 0))
