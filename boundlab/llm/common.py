@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boundlab.session import saved, shared_folder  # noqa: F401
+
 #: White space between words, as a Java regular expression.
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\u000b\u000c\r"
@@ -26,22 +28,6 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session's spark.checkpoint.dir names; driver and executors share it."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def row_keys(docs: DataFrame) -> list[Column]:
     """k1, k2: 128 bits that tell rows apart by all their columns, nulls included; equal rows share them."""
     names = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
