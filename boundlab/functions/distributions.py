@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boundlab.functions import arrays
+from boundlab.functions.fixed import WEST_D, WEST_N
+
 INF = float("inf")
-#: Fixed values of West (2005), the rational form of the normal CDF, leading coefficient first.
-WEST_N = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
-WEST_D = (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 Z90 = 1.6448536269514722
 
 
+LOG_ROOT = math.log(2.506628274631)
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _horner(x: Column, terms) -> Column:
     out = F.lit(terms[0])
     for t in terms[1:]:
@@ -22,12 +34,27 @@ def _horner(x: Column, terms) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    a = F.abs(x)
-    e = F.exp(-a * a / 2)
-    near = e * _horner(a, WEST_N) / _horner(a, WEST_D)
-    far = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
-    c = F.when(a > 37, 0.0).when(a < 7.07106781186547, near).otherwise(far)
-    return F.when(x > 0, 1 - c).otherwise(c)
+    def at(x):
+        a = F.abs(x)
+        near = F.exp(-a * a / 2) * _horner(a, WEST_N) / _horner(a, WEST_D)
+        far = F.exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
+        c = F.when(a > 37, 0.0).when(a < 7.07106781186547, near).otherwise(far)
+        return F.when(x > 0, 1 - c).otherwise(c)
+
+    return let(x, at)
+
+
+def normal_log_cdf(x: Column) -> Column:
+    """Log of the normal CDF; the far tail is taken in logs, so it is finite for every finite x."""
+
+    def at(x):
+        a = F.abs(x)
+        near = F.log(F.exp(-a * a / 2) * _horner(a, WEST_N) / _horner(a, WEST_D))
+        far = -a * a / 2 - F.log(a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) - LOG_ROOT
+        tail = F.when(a == INF, -INF).when(a < 7.07106781186547, near).otherwise(far)
+        return F.when(x > 0, F.log1p(-F.exp(tail))).otherwise(tail)
+
+    return let(x, at)
 
 
 def normal_logpdf(z: Column) -> Column:
@@ -39,26 +66,102 @@ def student_logpdf(z: Column, df: float = 4.0) -> Column:
     return F.lit(scale) - (df + 1) / 2 * F.log1p(z * z / df)
 
 
+def student4_log_cdf(z: Column) -> Column:
+    """Log of Student's CDF with 4 degrees of freedom. With s = |z| / sqrt(4 + z^2) a tail is (1 - s)^2 (2 + s) / 4; 1 - s is formed without cancelling."""
+
+    def at(z):
+        a, r = F.abs(z), F.sqrt(4 + z * z)
+        tail = 2 * F.log(4 / (r * (r + a))) + F.log(2 + a / r) - math.log(4)
+        tail = F.when(a == INF, -INF).otherwise(tail)
+        return F.when(z > 0, F.log1p(-F.exp(tail))).otherwise(tail)
+
+    return let(z, at)
+
+
 def student4_cdf(z: Column) -> Column:
-    u = 1 + z * z / 4
-    inner = 0.5 + 0.375 * z / F.sqrt(u) * (1 - z * z / (12 * u))
-    return F.when(z == INF, 1.0).when(z == -INF, 0.0).otherwise(inner)
+    return F.exp(student4_log_cdf(z))
+
+
+def student_log_cdf(z: Column, df: float = 4.0) -> Column:
+    """Log of Student's CDF: closed form for 4 degrees of freedom, an Arrow UDF over the incomplete beta function for others."""
+    if df == 4.0:
+        return student4_log_cdf(z)
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(arrays.log_stdtr(x.to_numpy(float), df)).where(x.notna())
+
+    return run(z)
+
+
+class LatentDistribution:
+    """The family of the predictions: 'gaussian' (or 'normal'), or 'student_t' with df degrees of freedom."""
+
+    def __init__(self, dist: str = "gaussian", df: float = 4.0):
+        if dist not in ("gaussian", "normal", "student_t"):
+            raise ValueError(f"unknown distribution {dist}")
+        self.normal, self.df = dist != "student_t", df
+
+    def log_cdf(self, z: Column) -> Column:
+        return normal_log_cdf(z) if self.normal else student_log_cdf(z, self.df)
+
+    def cdf(self, z: Column) -> Column:
+        return normal_cdf(z) if self.normal else F.exp(student_log_cdf(z, self.df))
+
+    def logpdf(self, z: Column) -> Column:
+        return normal_logpdf(z) if self.normal else student_logpdf(z, self.df)
+
+    def array_cdf(self, z: np.ndarray) -> np.ndarray:
+        return arrays.ndtr(z) if self.normal else np.exp(arrays.log_stdtr(z, self.df))
+
+    def ppf(self, q: float) -> float:
+        if self.normal:
+            return NormalDist().inv_cdf(q)
+        if q == 0.5:
+            return 0.0
+        high = 1.0
+        while self.array_cdf(np.array([high]))[0] < max(q, 1 - q):
+            high *= 2
+        at = arrays.quantile(self.array_cdf, max(q, 1 - q), np.zeros(1), np.array([high]))[0]
+        return float(at if q > 0.5 else -at)
+
+
+GAUSSIAN = LatentDistribution()
 
 
 def log1mexp(x: Column) -> Column:
     """log(1 - e^x) for x < 0, stable at both ends."""
-    x = F.least(x, F.lit(-1e-10))
-    return F.when(x < -math.log(2), F.log1p(-F.exp(x))).otherwise(F.log(-F.expm1(x)))
+    return let(F.least(x, F.lit(-1e-10)), lambda x: F.when(x < -math.log(2), F.log1p(-F.exp(x))).otherwise(F.log(-F.expm1(x))))
 
 
-def interval_probability(mu: Column, sigma: Column, lower: Column, upper: Column, exact: Column, cdf=normal_cdf, logpdf=normal_logpdf) -> Column:
-    """P(lower <= Y <= upper); 1 for exact rows. Narrow intervals use the density at their middle."""
-    s = F.greatest(sigma, F.lit(1e-6))
-    z_l, z_u = (lower - mu) / s, (upper - mu) / s
-    narrow = F.exp(logpdf((z_l + z_u) / 2)) * (z_u - z_l)
-    both = F.when(z_l > 0, cdf(-z_l) - cdf(-z_u)).otherwise(cdf(z_u) - cdf(z_l))
-    q = F.when(exact, 1.0).when(upper == INF, cdf(-z_l)).when(lower == -INF, cdf(z_u)).when(z_u - z_l < 1e-3, narrow).otherwise(both)
-    return F.least(F.lit(1.0), q)
+def interval_log_probability(mu: Column, sigma: Column, lower: Column, upper: Column, exact: Column, dist: LatentDistribution = GAUSSIAN) -> Column:
+    """log P(lower <= Y <= upper), finite far out; of an exact row the log density at its value.
+
+    Two-sided intervals take the difference on the side of the nearer tail;
+    narrow ones (under a thousandth of sigma) the density at their middle.
+    """
+    z = F.struct(((lower - mu) / F.greatest(sigma, F.lit(1e-6))).alias("l"), ((upper - mu) / F.greatest(sigma, F.lit(1e-6))).alias("u"), F.greatest(sigma, F.lit(1e-6)).alias("s"))
+
+    def at(z):
+        low, high = z["l"], z["u"]
+        # the larger and the smaller of the two tails on the chosen side
+        more = F.when(upper == INF, -low).when(lower == -INF, high).when(low > 0, -low).otherwise(high)
+        less = F.when((upper == INF) | (lower == -INF), -INF).when(low > 0, -high).otherwise(low)
+        ends = F.transform(F.array(more, less), dist.log_cdf) if dist.normal or dist.df == 4.0 else F.array(dist.log_cdf(more), dist.log_cdf(less))
+        both = let(ends, lambda e: F.when(F.get(e, F.lit(1)) == -INF, F.get(e, F.lit(0))).otherwise(F.get(e, F.lit(0)) + log1mexp(F.get(e, F.lit(1)) - F.get(e, F.lit(0)))))
+        narrow = (upper < INF) & (lower > -INF) & (high - low < 1e-3)
+        density = dist.logpdf((low + high) / 2) + F.log(F.greatest(high - low, F.lit(1e-300)))
+        return F.when(exact, dist.logpdf(high) - F.log(z["s"])).when(narrow, density).otherwise(F.least(both, F.lit(0.0)))
+
+    if not dist.normal and dist.df != 4.0:  # a UDF can't stand inside a lambda
+        s = F.greatest(sigma, F.lit(1e-6))
+        return at({"l": (lower - mu) / s, "u": (upper - mu) / s, "s": s})
+    return let(z, at)
+
+
+def interval_probability(mu: Column, sigma: Column, lower: Column, upper: Column, exact: Column, dist: LatentDistribution = GAUSSIAN) -> Column:
+    """P(lower <= Y <= upper); 1 for exact rows."""
+    return F.when(exact, 1.0).otherwise(F.exp(F.least(interval_log_probability(mu, sigma, lower, upper, F.lit(False), dist), F.lit(0.0))))
 
 
 def exact_nll(y: Column, mu: Column, sigma: Column, logpdf=normal_logpdf) -> Column:
@@ -66,8 +169,9 @@ def exact_nll(y: Column, mu: Column, sigma: Column, logpdf=normal_logpdf) -> Col
     return -logpdf((y - mu) / s) + F.log(s)
 
 
-def tobit_nll(q: Column, nll: Column, exact: Column) -> Column:
-    return F.when(exact, nll).otherwise(-F.log(F.greatest(q, F.lit(1e-300))))
+def tobit_nll(mu: Column, sigma: Column, lower: Column, upper: Column, exact: Column, dist: LatentDistribution = GAUSSIAN) -> Column:
+    """Minus the log density of exact rows, minus the log probability of the others' intervals."""
+    return -interval_log_probability(mu, sigma, lower, upper, exact, dist)
 
 
 def deficit(q: Column, tau: float) -> Column:
@@ -87,6 +191,26 @@ def exceedance(components: Column, threshold: Column | float) -> Column:
     return F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(components)
 
 
+def predictive_quantile(components: Column, q: float, dist: LatentDistribution = GAUSSIAN) -> Column:
+    """The q quantile of an equal-weight mixture, an array of struct<mu, sigma>: closed form for one component, bisection in an Arrow UDF for more."""
+    z = dist.ppf(q)
+    far = max(8.0, abs(dist.ppf(min(q, 1 - q) / 2)) + 4)
+
+    @F.pandas_udf("double")
+    def solve(mu: pd.Series, sigma: pd.Series) -> pd.Series:
+        out = np.full(len(mu), np.nan)
+        size = np.array([0 if m is None else len(m) for m in mu])
+        for n in np.unique(size[size > 0]):
+            rows = np.flatnonzero(size == n)
+            m, s = (np.array([np.asarray(x.iloc[i], float) for i in rows]) for x in (mu, sigma))
+            s = np.maximum(s, 1e-6)
+            out[rows] = arrays.quantile(lambda x: dist.array_cdf((x[:, None] - m) / s).mean(axis=1), q, (m - far * s).min(axis=1), (m + far * s).max(axis=1))  # noqa: B023
+        return pd.Series(out)
+
+    one = F.get(components, F.lit(0))
+    return F.when(F.size(components) == 1, one["mu"] + z * F.greatest(one["sigma"], F.lit(1e-6))).otherwise(F.nanvl(solve(F.transform(components, lambda c: c["mu"]), F.transform(components, lambda c: c["sigma"])), F.lit(None).cast("double")))
+
+
 def mixture_moments(components: Column) -> tuple[Column, Column]:
     """Mean and total standard deviation of an equal-weight mixture."""
     mean = lambda f: F.aggregate(F.transform(components, f), F.lit(0.0), lambda a, x: a + x) / F.size(components)
@@ -111,9 +235,7 @@ def conc_bounds(lower: Column, upper: Column, floor: float = 1e-6, ceil: float =
     return low, high
 
 
-def normal_cdf_sql(x: str) -> str:
-    """The same rational form as DuckDB text."""
-
+def _tail_sql(x: str, log: bool) -> str:
     def horner(terms):
         out = f"{terms[0]!r}::DOUBLE"
         for t in terms[1:]:
@@ -121,6 +243,19 @@ def normal_cdf_sql(x: str) -> str:
         return out
 
     a = f"abs({x})"
-    far = f"exp(-{a} * {a} / 2) / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65))))) / 2.506628274631"
-    c = f"CASE WHEN {a} > 37 THEN 0.0 WHEN {a} < 7.07106781186547 THEN exp(-{a} * {a} / 2) * {horner(WEST_N)} / {horner(WEST_D)} ELSE {far} END"
+    near = f"exp(-{a} * {a} / 2) * {horner(WEST_N)} / {horner(WEST_D)}"
+    part = f"({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65)))))"
+    if log:
+        return f"CASE WHEN isinf({x}) THEN '-inf'::DOUBLE WHEN {a} < 7.07106781186547 THEN ln({near}) ELSE -{a} * {a} / 2 - ln({part}) - {LOG_ROOT!r}::DOUBLE END"
+    return f"CASE WHEN {a} > 37 THEN 0.0 WHEN {a} < 7.07106781186547 THEN {near} ELSE exp(-{a} * {a} / 2) / {part} / 2.506628274631 END"
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The same rational form as DuckDB text."""
+    c = _tail_sql(x, False)
     return f"(CASE WHEN {x} > 0 THEN 1 - ({c}) ELSE ({c}) END)"
+
+
+def normal_log_cdf_sql(x: str) -> str:
+    c = _tail_sql(x, True)
+    return f"(CASE WHEN {x} > 0 THEN ln(1 - exp({c})) ELSE ({c}) END)"

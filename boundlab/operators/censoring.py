@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boundlab.operators.metrics import mean
+from boundlab.operators.ranking import value_runs
 
 
 def mechanism(obs: DataFrame, by: list[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def thresholds(obs: DataFrame, by: list[str]) -> DataFrame:
     cut = F.when(F.col("censoring_class") == "left_censored_p", F.col("upper")).when(F.col("censoring_class") == "right_censored_p", F.col("lower"))
     side = F.when(F.col("censoring_class") == "left_censored_p", "left").otherwise("right")
     pool = obs.where(cut.isNotNull()).select(*by, side.alias("side"), cut.alias("cut")).distinct()
-    return pool.withColumn("place", F.row_number().over(Window.partitionBy(*by, "side").orderBy("cut")) - 1)
+    return value_runs(pool, [*by, "side"], "cut").select(*by, "side", "cut", F.col("first").alias("place"))
 
 
 def censored_again(obs: DataFrame, strength: float = 0.0, seed: str = "hide") -> DataFrame:
@@ -37,12 +38,11 @@ def censored_again(obs: DataFrame, strength: float = 0.0, seed: str = "hide") ->
     """
     by = ["endpoint"]
     exact = obs.where("exact_mask and value_p is not null")
-    runs = exact.groupBy("endpoint", "value_p").agg(F.count("*").alias("_n"))
-    runs = runs.withColumns({"_first": F.sum("_n").over(Window.partitionBy("endpoint").orderBy("value_p")) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy("endpoint"))}).drop("_n")
+    runs = value_runs(exact, by, "value_p").select(F.col("endpoint").alias("_re"), F.col("value_p").alias("_rv"), F.col("first").alias("_first"), F.col("all").alias("_all"))
     model = mechanism(obs, by).select("endpoint", "p_censored", "p_right")
     pool = thresholds(obs, by)
     sizes = pool.groupBy("endpoint").pivot("side", ["left", "right"]).count()
-    rows = exact.join(runs, ["endpoint", "value_p"]).join(model, by).join(sizes, by, "left")
+    rows = exact.join(runs, (F.col("endpoint") == F.col("_re")) & (F.col("value_p") == F.col("_rv"))).join(model, by).join(sizes, by, "left")
     rank = F.coalesce(F.try_divide(F.col("_first"), F.col("_all") - 1), F.lit(0.5))
     chance = F.least(F.greatest(F.col("p_censored") * (1 + F.lit(strength) * (rank - 0.5) * 2), F.lit(0.0)), F.lit(1.0))
     side = F.when(F.col("left").isNull(), "right").when(F.col("right").isNull(), "left").when(uniform(f"{seed}-side") < F.col("p_right"), "right").otherwise("left")

@@ -2,40 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boundlab.functions.distributions import Z90
 from boundlab.operators.metrics import coverage, mean, scale, value
+from boundlab.operators.ranking import at_ranks
+from boundlab.session import saved, small
 
 
 def quantiles(calibration: DataFrame, by: list[str], alpha: float = 0.1, least: int = 10) -> DataFrame:
-    """by, n, q: the score of rank min(k + 1, n), k = ceil((n + 1)(1 - alpha)), of exact calibration rows.
-
-    Scores are counted by value first; the wanted rank then falls into one run
-    of equal scores, so the windows see different scores alone.
-    """
+    """by, n, q: the score of rank min(k + 1, n), k = ceil((n + 1)(1 - alpha)), of exact calibration rows."""
     scores = calibration.where("exact_mask and value_p is not null").withColumn("_s", F.abs(value() - mean()) / scale())
-    runs = scores.groupBy(*by, "_s").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_s"))
-    all_ = F.sum("_n").over(Window.partitionBy(*by))
-    ranked = runs.withColumns({"_to": upto, "n": all_})
-    k = F.least(F.ceil((F.col("n") + 1.0) * (1 - alpha)) + 1, F.col("n"))
-    return ranked.where((F.col("_to") >= k) & (F.col("n") >= least)).groupBy(*by, "n").agg(F.min("_s").alias("q"))
+    rank = lambda n: F.least(F.ceil((n + 1.0) * (1 - alpha)), n - 1)  # noqa: E731  from 0
+    return at_ranks(scores, by, "_s", {"q": rank}).where(F.col("all") >= least).select(*by, F.col("all").alias("n"), "q")
 
 
 def split_conformal(rows: DataFrame, by: list[str], alpha: float = 0.1) -> DataFrame:
     """Coverage on rows with calibration = false, by `by`; groups too small to calibrate use the normal quantile."""
-    q = quantiles(rows.where("calibration"), by, alpha).drop("n")
+    rows = saved(rows)
+    q = small(saved(quantiles(rows.where("calibration"), by, alpha).drop("n")))
     both = rows.where("not calibration").join(q, by, "left").withColumn("q", F.coalesce("q", F.lit(Z90)))
     return both.groupBy(*by, "q").agg(*coverage(mean() - F.col("q") * scale(), mean() + F.col("q") * scale(), alpha))
 
 
 def mondrian_conformal(rows: DataFrame, by: list[str], group: str, alpha: float = 0.1) -> DataFrame:
     """As split_conformal with a quantile for each group, then the one over all groups, then the normal one."""
+    rows = saved(rows)
     calibration = rows.where("calibration")
-    own = quantiles(calibration, [*by, group], alpha).select(*by, group, F.col("q").alias("q_own"))
-    wide = quantiles(calibration, by, alpha).select(*by, F.col("q").alias("q_all"))
+    own = small(saved(quantiles(calibration, [*by, group], alpha).select(*by, group, F.col("q").alias("q_own"))))
+    wide = small(saved(quantiles(calibration, by, alpha).select(*by, F.col("q").alias("q_all"))))
     both = rows.where("not calibration").join(own, [*by, group], "left").join(wide, by, "left")
     both = both.withColumn("q", F.coalesce("q_own", "q_all", F.lit(Z90)))
     return both.groupBy(*by).agg(*coverage(mean() - F.col("q") * scale(), mean() + F.col("q") * scale(), alpha), F.count_distinct(group).alias("n_groups"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundlab.functions.distributions import INF, Z90, interval_probability, normal_cdf
+from boundlab.operators.ranking import average_rank, quantiles, value_runs
+from boundlab.operators.splits import fold_table
+from boundlab.session import saved, small
+from boundlab.sources.observations import direction
 
 
 def value() -> Column:
@@ -20,28 +26,55 @@ def scale() -> Column:
     return F.greatest(F.col("sigma"), F.lit(1e-6))
 
 
-def fold_models(folded: DataFrame) -> DataFrame:
-    """folded with mu, sigma: mean and sample deviation of the exact values trained on, by scaffold, else of the endpoint.
+def fold_predictions(obs: DataFrame, key: Column, k: int = 5, seed: int = 0) -> DataFrame:
+    """obs with fold, mu, sigma: folds of whole groups of `key`; mean and sample deviation of the exact values trained on, by scaffold, else of the endpoint.
 
-    Moments are summed once by (endpoint, scaffold, fold); a fold's training
-    moments are all minus its own, so nothing is replicated by fold.
+    One pass over obs gathers moments by (endpoint, group, scaffold); the rest works
+    on these: groups are dealt into folds, moments merged by fold about a centre (so
+    that large, narrow values don't cancel), and a fold's training moments are all
+    minus its own. A second pass joins the two small tables.
     """
-    exact = folded.where("exact_mask and value_p is not null")
-    sums = exact.groupBy("endpoint", "scaffold", "fold").agg(F.count("*").alias("n"), F.sum(value()).alias("s"), F.sum(value() * value()).alias("q"))
-    folds = folded.select("endpoint", "scaffold", "fold").distinct()
-    own = folds.join(sums, ["endpoint", "scaffold", "fold"], "left").na.fill(0, ["n", "s", "q"])
-
-    def rest(keys):
-        over = Window.partitionBy(*keys)
-        return {c: F.sum(c).over(over) for c in ("n", "s", "q")}
-
-    near = rest(["endpoint", "scaffold"])
-    wide, wide_fold = rest(["endpoint"]), rest(["endpoint", "fold"])
-    full = own.select("endpoint", "scaffold", "fold", *((near[c] - F.col(c)).alias(f"a_{c}") for c in "nsq"), *((wide[c] - wide_fold[c]).alias(f"b_{c}") for c in "nsq"))
-    moment = lambda p: F.try_divide(F.col(f"{p}_s"), F.col(f"{p}_n"))
-    sd = lambda p: F.when(F.col(f"{p}_n") > 1, F.sqrt(F.greatest((F.col(f"{p}_q") - F.col(f"{p}_s") * F.col(f"{p}_s") / F.col(f"{p}_n")) / (F.col(f"{p}_n") - 1), F.lit(0.0))))
-    model = full.select("endpoint", "scaffold", "fold", F.coalesce(moment("a"), moment("b")).alias("mu"), F.greatest(F.coalesce(sd("a"), sd("b")), F.lit(1e-6)).alias("sigma"))
-    return folded.join(model, ["endpoint", "scaffold", "fold"])
+    rows = obs.withColumn("_key", F.coalesce(key, F.lit("None")))
+    y = F.when(F.col("exact_mask"), value())
+    cells = saved(rows.groupBy("endpoint", "_key", "scaffold").agg(F.count(y).alias("n"), F.avg(y).alias("m"), (F.var_pop(y) * F.count(y)).alias("q")))
+    lots = saved(fold_table(cells.select("endpoint", F.col("_key").alias("key")).distinct(), k, seed).select(F.col("endpoint").alias("l_e"), F.col("key").alias("l_k"), "fold"))
+    weighted = lambda by, name: cells.groupBy(*(F.col(c).alias(f"{name}_{c}") for c in by)).agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias(name))
+    same = lambda by, name: reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"{name}_{c}")), by, F.lit(True))
+    near, wide = ["endpoint", "scaffold"], ["endpoint"]
+    both = cells.join(weighted(near, "a"), same(near, "a")).join(weighted(wide, "b"), same(wide, "b"))
+    both = both.join(lots, (F.col("endpoint") == F.col("l_e")) & (F.col("_key") == F.col("l_k")))
+    parts = [F.sum("n").alias("n")]
+    for c in "ab":
+        far = F.col("m") - F.col(c)
+        parts += [F.first(c).alias(c), F.sum(F.col("n") * far).alias(f"s{c}"), F.sum(F.col("q") + F.col("n") * far * far).alias(f"q{c}")]
+    folds = both.groupBy(*near, "fold").agg(*parts).na.fill(0, ["sa", "qa", "sb", "qb"])
+
+    def rest(rows_, by, centre):
+        """Sums of a fold's training rows about the centre: a group's fold rows, k at most, minus their own."""
+        over = Window.partitionBy(*by)
+        names = {"n": "n", "s": f"s{centre}", "q": f"q{centre}"}
+        return rows_.select(*by, "fold", centre, *((F.sum(c).over(over) - F.col(c)).alias(f"{centre}_{x}") for x, c in names.items()))
+
+    by_endpoint = folds.groupBy("endpoint", "fold").agg(F.sum("n").alias("n"), F.first("b").alias("b"), F.sum("sb").alias("sb"), F.sum("qb").alias("qb"))
+    wide_rest = rest(by_endpoint, wide, "b").withColumnsRenamed({"endpoint": "w_e", "fold": "w_f"})
+    # every fold of the endpoint can meet every scaffold only where it has rows of it, and these are in `folds`
+    model = rest(folds, near, "a").join(wide_rest, (F.col("endpoint") == F.col("w_e")) & (F.col("fold") == F.col("w_f")))
+    mu = lambda c: F.when(F.col(f"{c}_n") > 0, F.col(c) + F.col(f"{c}_s") / F.col(f"{c}_n"))
+    left = lambda c: F.greatest(F.col(f"{c}_q") - F.col(f"{c}_s") * F.col(f"{c}_s") / F.col(f"{c}_n"), F.lit(0.0))
+    sd = lambda c: F.when(F.col(f"{c}_n") > 1, F.sqrt(left(c) / (F.col(f"{c}_n") - 1)))
+    model = model.select(F.col("endpoint").alias("m_e"), F.col("scaffold").alias("m_s"), F.col("fold").alias("m_f"), F.coalesce(mu("a"), mu("b")).alias("mu"), F.greatest(F.coalesce(sd("a"), sd("b")), F.lit(1e-6)).alias("sigma"))
+    model = saved(model)
+    out = rows.join(small(lots), (F.col("endpoint") == F.col("l_e")) & (F.col("_key") == F.col("l_k"))).drop("l_e", "l_k", "_key")
+    return out.join(small(model), (F.col("endpoint") == F.col("m_e")) & F.col("scaffold").eqNullSafe(F.col("m_s")) & (F.col("fold") == F.col("m_f"))).drop("m_e", "m_s", "m_f")
+
+
+def decision_thresholds(rows: DataFrame, train: Column, fallback: float = 6.0) -> DataFrame:
+    """endpoint, threshold: the median of exact values trained on, else of all exact values, else `fallback`."""
+    exact = saved(rows.where("exact_mask and value_p is not null").select("endpoint", "value_p", train.alias("train")))
+    by_train = quantiles(exact.where("train"), ["endpoint"], "value_p", {"t": 0.5}).select(F.col("endpoint").alias("t_e"), "t")
+    by_all = quantiles(exact, ["endpoint"], "value_p", {"a": 0.5}).select(F.col("endpoint").alias("a_e"), "a")
+    every = rows.select("endpoint").distinct().join(by_train, F.col("endpoint") == F.col("t_e"), "left").join(by_all, F.col("endpoint") == F.col("a_e"), "left")
+    return every.select("endpoint", F.coalesce("t", "a", F.lit(fallback)).alias("threshold"))
 
 
 def _at_least(n: Column, k: int, value: Column) -> Column:
@@ -73,11 +106,11 @@ def decision_rows(rows: DataFrame, threshold: Column) -> DataFrame:
 
 
 def decisions(cut: float = 0.5) -> list[Column]:
-    t, yes, n = F.col("t"), F.col("p") >= cut, F.count("*")
+    t, yes, n = F.col("t"), F.col("p") >= cut, F.count("t")
     pos, neg = F.count_if(t), F.count_if(~t)
     fs, fl = F.try_divide(F.count_if(t & ~yes), pos), F.try_divide(F.count_if(~t & yes), neg)
     balanced = F.coalesce((2 - fs - fl) / 2, 1 - fs, 1 - fl)
-    guarded = {"false_safe": fs, "false_liability": fl, "balanced_accuracy": balanced, "regret": F.avg(F.abs(F.col("p") - t.cast("double")))}
+    guarded = {"false_safe": fs, "false_liability": fl, "balanced_accuracy": balanced, "regret": F.avg(F.when(t.isNotNull(), F.abs(F.col("p") - t.cast("double"))))}
     return [n.alias("n_resolvable"), pos.alias("n_positive"), *(_at_least(n, 5, c).alias(k) for k, c in guarded.items())]
 
 
@@ -112,30 +145,67 @@ def constraint_diagnostics(tau: float = 0.85) -> list[Column]:
     return [F.avg((q >= tau).cast("double")).alias("satisfied"), F.avg(F.when(q.isNotNull(), F.greatest(F.lit(tau) - q, F.lit(0.0)))).alias("shortfall"), F.avg(q).alias("mean_probability")]
 
 
-def average_rank(rows: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
-    """Adds average ranks. Values are counted first, so windows run over different values alone."""
-    counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(*by).orderBy(column)
-    ranks = counts.select(*by, column, (F.sum("_n").over(ahead) - (F.col("_n") - 1) / 2).alias(name))
-    return rows.join(ranks, [*by, column])
-
-
 def spearman(rows: DataFrame, by: list[str], a: str = "mu", b: str = "value_p") -> DataFrame:
-    exact = rows.where(F.col("exact_mask") & F.col(b).isNotNull())
+    exact = saved(rows.where(F.col("exact_mask") & F.col(b).isNotNull()).select(*by, a, b))
     ranked = average_rank(average_rank(exact, by, a, "_ra"), by, b, "_rb")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_ra", "_rb")).alias("spearman"))
 
 
 def auc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve from rank sums; ties count half."""
-    ranked = average_rank(rows, by, score, "_r")
+    ranked = average_rank(saved(rows.select(*by, score, label)), by, score, "_r")
     pos, neg = F.count_if(F.col(label)), F.count_if(~F.col(label))
     sums = F.sum(F.when(F.col(label), F.col("_r")))
     return ranked.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(sums - pos * (pos + 1) / 2, pos * neg).alias("auc"))
 
 
 def tail_mean(rows: DataFrame, by: list[str], column: str, alpha: float) -> DataFrame:
-    """CVaR: the 1 - alpha quantile plus the mean excess over it divided by alpha."""
-    cut = rows.groupBy(*by).agg(F.percentile(column, F.lit(1 - alpha)).alias("eta"))
-    both = rows.join(cut, by)
-    return both.groupBy(*by, "eta").agg((F.col("eta") + F.avg(F.greatest(F.col(column) - F.col("eta"), F.lit(0.0))) / alpha).alias("cvar"))
+    """CVaR: the 1 - alpha quantile plus the mean excess over it divided by alpha. Works on runs of equal values."""
+    runs = saved(value_runs(rows, by, column))
+    at = F.lit(1 - alpha) * (F.col("all") - 1)
+    pick = lambda r: F.max(F.when((F.col("first") <= r) & (r < F.col("first") + F.col("n")), F.col(column)))
+    cut = runs.groupBy(*by, "all").agg(pick(F.floor(at)).alias("_l"), pick(F.ceil(at)).alias("_h"))
+    cut = cut.select(*(F.col(c).alias(f"c_{c}") for c in by), (F.col("_l") + (F.col("_h") - F.col("_l")) * (at - F.floor(at))).alias("eta"))
+    both = runs.join(cut, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"c_{c}")), by, F.lit(True)))
+    over = F.sum(F.col("n") * F.greatest(F.col(column) - F.col("eta"), F.lit(0.0))) / F.sum("n")
+    return both.groupBy(*by, "eta").agg((F.col("eta") + over / alpha).alias("cvar"))
+
+
+def reduced(rows: DataFrame, constraints: DataFrame, by: list[str], column: str = "d") -> DataFrame:
+    """by, constraint, eps, G: each constraint's mean or CVaR of `column` over the rows of its direction.
+
+    `constraints`: constraint, direction, eps, reduction ('mean' or 'cvar'), alpha. A
+    constraint without rows has G = 0.
+    """
+    listed = constraints.collect()  # some constraints of an experiment, not data
+    out = None
+    for c in listed:
+        mine = rows.where(F.col("direction") == c["direction"])
+        if c["reduction"] == "cvar":
+            g = tail_mean(mine, by, column, c["alpha"]).withColumnRenamed("cvar", "G").drop("eta")
+        else:
+            g = mine.groupBy(*by).agg(F.avg(column).alias("G"))
+        every = rows.select(*by).distinct().join(g, by, "left").select(*by, F.lit(c["constraint"]).alias("constraint"), F.lit(c["eps"]).alias("eps"), F.coalesce("G", F.lit(0.0)).alias("G"))
+        out = every if out is None else out.unionByName(every)
+    return out
+
+
+def direction_constraints(rows: DataFrame, eps: float, by: list[str]) -> DataFrame:
+    """by, constraint, direction, eps, n: a mean budget for each censoring direction that has rows."""
+    found = rows.where("not exact_mask").groupBy(*by, direction().alias("direction")).agg(F.count("*").alias("n"))
+    return found.select(*by, F.col("direction").alias("constraint"), "direction", F.lit(eps).alias("eps"), "n")
+
+
+def score_row(rows: DataFrame, by: list[str], threshold: Column) -> DataFrame:
+    """One flat row a cell: acc_, viol_ and dec_ scores, cov90, cov90_width, exceed_ece. `rows`: predictions with mu, sigma; `threshold` may be a column."""
+    t = rows.withColumns({"t": truth(threshold), "p": normal_cdf((mean() - threshold) / scale())})
+    told = F.col("t").isNotNull()
+    low, high = gaussian_interval()
+    renamed = lambda cols, prefix, names: [c.alias(f"{prefix}_{n}") for c, n in zip(cols, names, strict=True)]
+    acc = renamed(accuracy(), "acc", ("mae", "rmse", "bias", "n_exact"))
+    viol = renamed(violation(), "viol", ("violation_rate", "right_violation_rate", "left_violation_rate", "n_censored"))
+    dec = renamed(decisions(), "dec", ("n_resolvable", "n_positive", "false_safe_rate", "false_liability_rate", "balanced_accuracy", "decision_regret"))
+    cover = coverage(low, high)
+    one = t.groupBy(*by).agg(F.count("*").alias("n_test"), *acc, *viol, *dec, cover[1].alias("cov90"), cover[2].alias("cov90_width"))
+    ece = calibration_error(calibration_bins(t.where(told), by), by).drop("n").withColumnRenamed("ece", "exceed_ece")
+    return one.join(ece, by, "left")

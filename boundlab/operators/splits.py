@@ -1,25 +1,37 @@
 """Train/test splits that keep groups together, with audits of leakage.
 
-A split is a DataFrame (row_id, endpoint, fold, role). Fold numbers come from
-md5 of seed and key: equal for any partitioning and engine.
+A split is rows with a `fold`: the number (or name) of the fold that tests the
+row; every other fold trains on it. `assignments` turns any kind of split into
+rows (kind, endpoint, fold, row_id, role). Fold numbers come from md5 of seed
+and key: equal for any partitioning and engine.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boundlab.operators.ranking import hash_ranked, quantiles, tile
+
 
 def _turn(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key).cast("binary"))
 
 
+def fold_table(keys: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """(endpoint, key) of different groups -> endpoint, key, fold: dealt into k equal lots of groups."""
+    dealt = hash_ranked(keys, ["endpoint"], _turn(seed, F.col("key")), ["key"])
+    return dealt.select("endpoint", "key", tile(F.col("place"), F.col("all"), k).alias("fold"))
+
+
 def grouped_folds(obs: DataFrame, key: Column, k: int = 5, seed: int = 0) -> DataFrame:
     """obs with `fold`: whole groups of an endpoint dealt into k equal lots of groups. Missing keys are the group 'None'."""
     rows = obs.withColumn("_key", F.coalesce(key, F.lit("None")))
-    deal = Window.partitionBy("endpoint").orderBy(_turn(seed, F.col("_key")), "_key")
-    lots = rows.select("endpoint", "_key").distinct().withColumn("fold", F.ntile(k).over(deal) - 1)
-    return rows.join(lots, ["endpoint", "_key"]).drop("_key")
+    lots = fold_table(rows.select("endpoint", F.col("_key").alias("key")).distinct(), k, seed)
+    lots = lots.select(F.col("endpoint").alias("_e"), F.col("key").alias("_k"), "fold")
+    return rows.join(lots, (F.col("endpoint") == F.col("_e")) & (F.col("_key") == F.col("_k"))).drop("_key", "_e", "_k")
 
 
 def random_folds(obs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
@@ -27,38 +39,125 @@ def random_folds(obs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return obs.withColumn("fold", F.pmod(F.conv(F.substring(_turn(seed, F.col("row_id")), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
 
 
+def structure_key(obs: DataFrame) -> Column:
+    """The scaffold where the table has one, else the compound, as rows of single measurements have no scaffold."""
+    return F.col("scaffold") if "scaffold" in obs.columns else F.col("compound_id")
+
+
+def source_split(obs: DataFrame, least_source: int = 50, least_test: int = 30, least_train: int = 100) -> DataFrame:
+    """Rows of sources that are large enough, with `fold`: the source, held out as a whole; `place` orders folds by size, from 0."""
+    sizes = source_folds(obs, least_source, least_test, least_train)
+    larger = F.struct(-F.col("n_test"), F.col("fold"), F.col("source_name"))
+    order = sizes.groupBy("endpoint").agg(F.array_sort(F.collect_list(larger)).alias("order"))  # sources of an endpoint
+    named = sizes.join(order, "endpoint").select(F.col("endpoint").alias("_e"), F.col("source_name").alias("_s"), "fold", (F.array_position("order", larger) - 1).cast("int").alias("place"))
+    return obs.join(named, (F.col("endpoint") == F.col("_e")) & (F.col("source_name") == F.col("_s"))).drop("_e", "_s")
+
+
 def source_folds(obs: DataFrame, least_source: int = 50, least_test: int = 30, least_train: int = 100) -> DataFrame:
-    """One fold a source of at least `least_source` rows, held out as a whole: (endpoint, fold, n_test, n_train)."""
-    sizes = obs.where("source_name is not null").groupBy("endpoint", "source_name").agg(F.count("*").alias("n_test"))
-    totals = obs.groupBy("endpoint").agg(F.count("*").alias("n"))
-    found = sizes.where(F.col("n_test") >= least_source).join(totals, "endpoint").withColumn("n_train", F.col("n") - F.col("n_test"))
-    return found.where((F.col("n_test") >= least_test) & (F.col("n_train") >= least_train)).select("endpoint", F.substring("source_name", 1, 24).alias("fold"), "n_test", "n_train")
+    """One fold a source of at least `least_source` rows: (endpoint, source_name, fold, n_test, n_train); names end after 24 characters."""
+    sizes = obs.groupBy("endpoint", "source_name").agg(F.count("*").alias("n_test"))
+    totals = sizes.groupBy("endpoint").agg(F.sum("n_test").alias("n"))
+    found = sizes.where(F.col("source_name").isNotNull() & (F.col("n_test") >= least_source)).join(totals, "endpoint").withColumn("n_train", F.col("n") - F.col("n_test"))
+    return found.where((F.col("n_test") >= least_test) & (F.col("n_train") >= least_train)).select("endpoint", "source_name", F.substring("source_name", 1, 24).alias("fold"), "n_test", "n_train")
 
 
-def threshold_bands(obs: DataFrame, bands: int = 3, least_exact: int = 100, least_test: int = 30, least_train: int = 100) -> DataFrame:
-    """Quantile bands of the exact values, each tested by the other rows: (endpoint, fold, low, high, n_test, n_train)."""
+def band_edges(obs: DataFrame, bands: int = 3, least_exact: int = 100) -> DataFrame:
+    """endpoint, edges: the quantiles 0, 1/bands, ..., 1 of exact values, where there are enough."""
     exact = obs.where("exact_mask and value_p is not null")
-    edges = exact.groupBy("endpoint").agg(F.percentile("value_p", F.array(*(F.lit(i / bands) for i in range(bands + 1)))).alias("e"), F.count("*").alias("n_exact")).where(F.col("n_exact") >= least_exact)
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("fold"), F.get("e", i).alias("low"), F.get("e", i + 1).alias("high"))))
-    bands_ = edges.select("endpoint", band.alias("b")).select("endpoint", "b.*")
-    inside = (F.col("value_p") >= F.col("low")) & ((F.col("value_p") < F.col("high")) | ((F.col("fold") == bands - 1) & (F.col("value_p") <= F.col("high"))))
-    tests = exact.join(F.broadcast(bands_), "endpoint").where(inside).groupBy("endpoint", "fold", "low", "high").agg(F.count("*").alias("n_test"))
-    found = tests.join(obs.groupBy("endpoint").agg(F.count("*").alias("n")), "endpoint").withColumn("n_train", F.col("n") - F.col("n_test")).drop("n")
-    return found.where((F.col("n_test") >= least_test) & (F.col("n_train") >= least_train))
+    found = quantiles(exact, ["endpoint"], "value_p", {f"e{i}": i / bands for i in range(bands + 1)}).where(F.col("all") >= least_exact)
+    return found.select("endpoint", F.array(*(F.col(f"e{i}") for i in range(bands + 1))).alias("edges"))
+
+
+def threshold_split(obs: DataFrame, bands: int = 3, least_exact: int = 100, least_test: int = 30, least_train: int = 100) -> DataFrame:
+    """Exact rows with `fold`, their band of values, and its `low` and `high`; bands are closed below, the last on both sides. Censored rows are never tested."""
+    edges = band_edges(obs, bands, least_exact).withColumnRenamed("endpoint", "_e")
+    exact = obs.where("exact_mask and value_p is not null").join(edges, F.col("endpoint") == F.col("_e")).drop("_e")
+    above = F.size(F.filter(F.slice("edges", 2, bands - 1), lambda x: x <= F.col("value_p")))
+    rows = exact.withColumn("fold", above).withColumns({"low": F.get("edges", F.col("fold")), "high": F.get("edges", F.col("fold") + 1)}).drop("edges")
+    totals = obs.groupBy(F.col("endpoint").alias("_e")).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy("endpoint", "fold").agg(F.count("*").alias("_t")).join(totals, F.col("endpoint") == F.col("_e"))
+    good = sizes.where((F.col("_t") >= least_test) & (F.col("_n") - F.col("_t") >= least_train)).select("endpoint", "fold")
+    return rows.join(good, ["endpoint", "fold"], "left_semi")
 
 
 def crossed_folds(obs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """Folds of assay x scaffold pairs; test rows whose assay or scaffold is also trained on get role 'dropped'."""
     rows = grouped_folds(obs, F.concat_ws("|", "assay_id", "scaffold"), k, seed)
-    spread = lambda c: rows.groupBy("endpoint", c).agg(F.count_distinct("fold").alias(f"n_{c}"))
-    both = rows.join(spread("assay_id"), ["endpoint", "assay_id"]).join(spread("scaffold"), ["endpoint", "scaffold"])
-    return both.withColumn("role", F.when((F.col("n_assay_id") == 1) & (F.col("n_scaffold") == 1), "test").otherwise("dropped"))
+
+    def spread(c):
+        found = rows.groupBy("endpoint", c).agg(F.count_distinct("fold").alias(f"n_{c}"))
+        return found.select(F.col("endpoint").alias(f"e_{c}"), F.col(c).alias(f"k_{c}"), f"n_{c}")
+
+    for c in ("assay_id", "scaffold"):
+        rows = rows.join(spread(c), (F.col("endpoint") == F.col(f"e_{c}")) & F.col(c).eqNullSafe(F.col(f"k_{c}"))).drop(f"e_{c}", f"k_{c}")
+    return rows.withColumn("role", F.when((F.col("n_assay_id") == 1) & (F.col("n_scaffold") == 1), "test").otherwise("dropped"))
+
+
+#: Which column keeps together what; the rest have rules of their own.
+GROUPED = {"assay": lambda o: F.col("assay_id"), "document": lambda o: F.col("document_id"), "scaffold": structure_key, "compound": lambda o: F.col("compound_id")}
+NEEDS = {"assay": "assay_id", "document": "document_id", "compound": "compound_id", "source": "source_name"}
+KINDS = ("random", *GROUPED, "source", "threshold", "assay_scaffold")
+
+
+def split(obs: DataFrame, kind: str, k: int = 5, seed: int = 0) -> DataFrame | None:
+    """Test rows of one kind of split, with `fold` as a string; None where the table lacks the columns."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown split {kind}; known are {', '.join(KINDS)}")
+    needs = {"assay_scaffold": {"assay_id", "scaffold"}}.get(kind, {NEEDS[kind]} if kind in NEEDS else set())
+    if not needs <= set(obs.columns):
+        return None
+    if kind == "random":
+        found = random_folds(obs, k, seed)
+    elif kind in GROUPED:
+        found = grouped_folds(obs, GROUPED[kind](obs), k, seed)
+    elif kind == "source":
+        found = source_split(obs).drop("place")
+    elif kind == "threshold":
+        found = threshold_split(obs).drop("low", "high")
+    else:
+        found = crossed_folds(obs, k, seed).where("role = 'test'").drop("role", "n_assay_id", "n_scaffold")
+    return found.withColumn("fold", F.col("fold").cast("string"))
+
+
+def make_splits(obs: DataFrame, kinds: Iterable[str] = KINDS, k: int = 5, seed: int = 0) -> DataFrame:
+    """kind, endpoint, fold, row_id of all test rows of the kinds that the table allows. A fold trains on the endpoint's other rows (see assignments)."""
+    out = None
+    for kind in kinds:
+        found = split(obs, kind, k, seed)
+        if found is not None:
+            found = found.select(F.lit(kind).alias("kind"), "endpoint", "fold", "row_id")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("the table has the columns of none of these splits")
+    return out
+
+
+def assignments(obs: DataFrame, tests: DataFrame) -> DataFrame:
+    """kind, endpoint, fold, row_id, role: every row of an endpoint for each of its folds, 'test' or 'train'.
+
+    Of assay_scaffold, rows that share only an assay or a scaffold with the test side still train.
+    """
+    folds = tests.select("kind", "endpoint", "fold").distinct()
+    every = obs.select("endpoint", "row_id").join(folds, "endpoint")
+    marks = tests.withColumn("role", F.lit("test"))
+    return every.join(marks, ["kind", "endpoint", "fold", "row_id"], "left").withColumn("role", F.coalesce("role", F.lit("train")))
+
+
+def validation(obs: DataFrame, made: DataFrame) -> DataFrame:
+    """Faults of exported assignments by kind, endpoint and fold: rows in both roles, doubled rows, unknown ids, empty sides."""
+    known = obs.select("endpoint", "row_id").distinct().withColumn("_known", F.lit(True))
+    one = made.groupBy("kind", "endpoint", "fold", "row_id").agg(F.count_distinct("role").alias("roles"), F.count("*").alias("times"), F.max((F.col("role") == "test").cast("int")).alias("tests"), F.max((F.col("role") == "train").cast("int")).alias("trains"))
+    seen = one.join(known, ["endpoint", "row_id"], "left")
+    faults = seen.groupBy("kind", "endpoint", "fold").agg(
+        F.sum("tests").alias("n_test"), F.sum("trains").alias("n_train"), F.count_if(F.col("roles") > 1).alias("n_shared"), F.count_if(F.col("times") > F.col("roles")).alias("n_doubled"), F.count_if(F.col("_known").isNull()).alias("n_unknown")
+    )
+    return faults.withColumn("ok", (F.col("n_test") > 0) & (F.col("n_train") > 0) & (F.col("n_shared") + F.col("n_doubled") + F.col("n_unknown") == 0))
 
 
 def overlap(folded: DataFrame, key: str = "compound_id") -> DataFrame:
     """Per endpoint and fold: the part of test rows whose key is also trained on."""
-    spread = folded.groupBy("endpoint", key).agg(F.count_distinct("fold").alias("n_folds"))
-    both = folded.join(spread, ["endpoint", key])
+    spread = folded.groupBy("endpoint", key).agg(F.count_distinct("fold").alias("n_folds")).select(F.col("endpoint").alias("_e"), F.col(key).alias("_k"), "n_folds")
+    both = folded.join(spread, (F.col("endpoint") == F.col("_e")) & (F.col(key) == F.col("_k")))
     return both.groupBy("endpoint", "fold").agg(F.count("*").alias("n_test"), F.avg((F.col("n_folds") > 1).cast("double")).alias("overlap"))
 
 
@@ -67,14 +166,19 @@ def overlap_summary(shares: DataFrame) -> DataFrame:
 
 
 def calibration_slice(obs: DataFrame, share: float = 0.2, least: int = 50, seed: int = 0) -> DataFrame:
-    """obs with `calibration`: the first max(least, share * n) rows of each endpoint in hash order.
-
-    The rank that decides is found by hash prefix, so no window holds a whole endpoint.
-    """
-    turned = obs.withColumn("_turn", _turn(seed, F.col("row_id"))).withColumn("_lot", F.substring("_turn", 1, 3))
-    lots = turned.groupBy("endpoint", "_lot").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("endpoint").orderBy("_lot")
-    lots = lots.withColumn("_before", F.sum("_n").over(ahead) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy("endpoint"))).drop("_n")
-    inside = Window.partitionBy("endpoint", "_lot").orderBy("_turn", "row_id")
-    ranked = turned.join(lots, ["endpoint", "_lot"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
-    return ranked.withColumn("calibration", F.col("_rank") <= F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("_all")))).drop("_turn", "_lot", "_before", "_all", "_rank")
+    """obs with `calibration`: the first max(least, share * n) rows of each endpoint in hash order."""
+    ranked = hash_ranked(obs, ["endpoint"], _turn(seed, F.col("row_id")), ["row_id"], prefix=3)
+    return ranked.withColumn("calibration", F.col("place") < F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("all")))).drop("place", "all")
+
+
+def sample_audit(sliced: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """endpoint, n_calibration, n_calibration_exact, n of a calibration slice; with the counts on record also `ok`, whether they agree."""
+    names = ["n_calibration", "n_calibration_exact", "n"]
+    found = sliced.groupBy("endpoint").agg(F.count_if("calibration").alias(names[0]), F.count_if(F.col("calibration") & F.col("exact_mask")).alias(names[1]), F.count("*").alias(names[2]))
+    if recorded is None:
+        return found
+    was = recorded.select("endpoint", *(F.col(c).alias(f"recorded_{c}") for c in names))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"recorded_{c}"))
+    return found.join(was, "endpoint", "full").withColumn("ok", same)

@@ -9,6 +9,7 @@ from boundlab.functions import distributions as D
 from boundlab.operators import censoring, conformal, curation, inference, metrics, splits
 from boundlab.operators.metrics import mean
 from boundlab.plans import grid
+from boundlab.session import saved
 from boundlab.sources.observations import OBS_SQL, direction, observations
 
 QUERIES: dict = {}
@@ -33,8 +34,11 @@ def query(oracle: str | None = None, floats: tuple[str, ...] = ()):
 
 
 def assay_predictions(spark, sf_dir: str) -> DataFrame:
-    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id")).withColumn("fold", F.col("fold").cast("int"))
-    return metrics.fold_models(folded)
+    return metrics.fold_predictions(observations(spark, sf_dir), F.col("assay_id"))
+
+
+def _folded(spark, sf_dir: str) -> DataFrame:
+    return splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
 
 
 FOLD_SQL = OBS_SQL + """, lots AS (
@@ -76,16 +80,22 @@ def concentration_bounds(spark, sf_dir):
     return rows.groupBy("censoring_class").agg(F.count("*").alias("n"), F.avg(F.log("lo")).alias("mean_log_low"), F.avg(log_high).alias("mean_log_high"), F.count_if(F.col("hi") == float("inf")).alias("n_open"), F.max(F.abs(D.conc_to_p(D.p_to_conc(F.col("p_true"))) - F.col("p_true"))).alias("round_trip"))
 
 
-@query(FOLD_SQL + """, c AS (SELECT assay_id, count(*) AS n FROM folded WHERE fold <> 0 GROUP BY 1) SELECT assay_id, n, CAST(row_number() OVER (ORDER BY n DESC, assay_id) AS INTEGER) AS idx FROM c""")
+@query(FOLD_SQL + """, c AS (SELECT assay_id, count(*) AS n FROM folded WHERE fold <> 0 GROUP BY 1) SELECT assay_id, n, CAST(row_number() OVER (ORDER BY n DESC, md5(assay_id), assay_id) AS INTEGER) AS idx FROM c""")
 def assay_vocabulary(spark, sf_dir):
-    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
-    return curation.assay_vocabulary(folded, F.col("fold") != 0)
+    return curation.assay_vocabulary(_folded(spark, sf_dir), F.col("fold") != 0)
+
+
+@query(FOLD_SQL + """, c AS (SELECT assay_id, count(*) AS n FROM folded WHERE fold <> 0 GROUP BY 1), v AS (SELECT assay_id, row_number() OVER (ORDER BY n DESC, md5(assay_id), assay_id) AS idx FROM c)
+SELECT fold, CAST(sum(coalesce(idx, 0)) AS BIGINT) AS sum_idx, count(*) FILTER (WHERE idx IS NULL) AS n_unknown FROM folded LEFT JOIN v USING (assay_id) GROUP BY 1""")
+def assay_lookup(spark, sf_dir):
+    folded = saved(_folded(spark, sf_dir).select("assay_id", "fold"))
+    rows = curation.vocabulary_index(folded, curation.assay_vocabulary(folded, F.col("fold") != 0))
+    return rows.groupBy("fold").agg(F.sum("assay_idx").alias("sum_idx"), F.count_if(F.col("assay_idx") == 0).alias("n_unknown"))
 
 
 @query(FOLD_SQL + """ SELECT endpoint, coalesce(median(value_p) FILTER (WHERE exact_mask AND fold <> 0), 6.0) AS threshold FROM folded GROUP BY 1""", ("threshold",))
 def decision_thresholds(spark, sf_dir):
-    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
-    return folded.groupBy("endpoint").agg(F.coalesce(F.median(F.when(F.col("exact_mask") & (F.col("fold") != 0), F.col("value_p"))), F.lit(6.0)).alias("threshold"))
+    return metrics.decision_thresholds(_folded(spark, sf_dir), F.col("fold") != 0)
 
 
 def _fold_counts(folded: DataFrame) -> DataFrame:
@@ -120,19 +130,49 @@ def split_document(spark, sf_dir):
     return _fold_counts(splits.grouped_folds(observations(spark, sf_dir), F.col("document_id")))
 
 
-@query(OBS_SQL + """, t AS (SELECT endpoint, count(*) AS n FROM obs GROUP BY 1), s AS (SELECT endpoint, source_name, count(*) AS n_test FROM obs GROUP BY ALL)
-SELECT endpoint, substr(source_name, 1, 24) AS fold, n_test, n - n_test AS n_train FROM s JOIN t USING (endpoint) WHERE n_test >= 50 AND n - n_test >= 100""")
+_BY_FOLD = "SELECT endpoint, fold, count(*) AS n_test, count(*) FILTER (WHERE exact_mask) AS n_exact, bit_xor(('0x' || substr(md5(row_id), 1, 8))::BIGINT) AS rows_hash FROM {rows} GROUP BY ALL"
+_ROWS_HASH = lambda: F.bit_xor(F.conv(F.substring(F.md5(F.col("row_id").cast("binary")), 1, 8), 16, 10).cast("long")).alias("rows_hash")
+_SOURCE_SQL = """, t AS (SELECT endpoint, count(*) AS n FROM obs GROUP BY 1), s AS (SELECT endpoint, source_name, count(*) AS n_test FROM obs GROUP BY ALL),
+held AS (SELECT o.*, substr(o.source_name, 1, 24) AS fold FROM obs o JOIN s USING (endpoint, source_name) JOIN t USING (endpoint) WHERE n_test >= 50 AND n - n_test >= 100)"""
+_BAND_SQL = """, e AS (SELECT endpoint, quantile_cont(value_p, [0.0, 1/3, 2/3, 1.0]) AS e, count(*) AS n FROM obs WHERE exact_mask GROUP BY 1 HAVING count(*) >= 100),
+banded AS (SELECT o.*, CASE WHEN value_p >= e[3] THEN 2 WHEN value_p >= e[2] THEN 1 ELSE 0 END AS band, e FROM obs o JOIN e USING (endpoint) WHERE exact_mask),
+z AS (SELECT endpoint, band, count(*) AS n_test FROM banded GROUP BY ALL), nn AS (SELECT endpoint, count(*) AS n FROM obs GROUP BY 1),
+bands AS (SELECT banded.* EXCLUDE (band), band AS fold FROM banded JOIN z USING (endpoint, band) JOIN nn USING (endpoint) WHERE n_test >= 30 AND nn.n - n_test >= 100)"""
+
+
+@query(OBS_SQL + _SOURCE_SQL + _BY_FOLD.format(rows="held"))
 def split_source(spark, sf_dir):
-    return splits.source_folds(observations(spark, sf_dir))
+    return splits.source_split(observations(spark, sf_dir)).groupBy("endpoint", "fold").agg(F.count("*").alias("n_test"), F.count_if("exact_mask").alias("n_exact"), _ROWS_HASH())
 
 
-@query(OBS_SQL + """, e AS (SELECT endpoint, quantile_cont(value_p, [0.0, 1/3, 2/3, 1.0]) AS e, count(*) AS n FROM obs WHERE exact_mask GROUP BY 1 HAVING count(*) >= 100),
-b AS (SELECT endpoint, CAST(i AS INTEGER) AS fold, e[i + 1] AS low, e[i + 2] AS high FROM e, range(3) r(i)),
-x AS (SELECT endpoint, fold, low, high, count(*) AS n_test FROM obs JOIN b USING (endpoint) WHERE exact_mask AND value_p >= low AND (value_p < high OR fold = 2 AND value_p <= high) GROUP BY ALL),
-t AS (SELECT endpoint, count(*) AS n FROM obs GROUP BY 1)
-SELECT x.*, n - n_test AS n_train FROM x JOIN t USING (endpoint) WHERE n_test >= 30 AND n - n_test >= 100""", ("low", "high"))
+@query(OBS_SQL + _BAND_SQL + "SELECT endpoint, CAST(fold AS INTEGER) AS fold, min(e[fold + 1]) AS low, min(e[fold + 2]) AS high, count(*) AS n_test, bit_xor(('0x' || substr(md5(row_id), 1, 8))::BIGINT) AS rows_hash FROM bands GROUP BY endpoint, fold", ("low", "high"))
 def split_threshold(spark, sf_dir):
-    return splits.threshold_bands(observations(spark, sf_dir))
+    rows = splits.threshold_split(observations(spark, sf_dir))
+    return rows.groupBy("endpoint", F.col("fold").cast("int").alias("fold")).agg(F.min("low").alias("low"), F.min("high").alias("high"), F.count("*").alias("n_test"), _ROWS_HASH())
+
+
+_KINDS_SQL = "".join(f""", lots_{kind} AS (SELECT endpoint, k, ntile(5) OVER (PARTITION BY endpoint ORDER BY md5('0|' || k), k) - 1 AS fold FROM (SELECT DISTINCT endpoint, {key} AS k FROM obs)),
+{kind}_rows AS (SELECT '{kind}' AS kind, o.endpoint, CAST(l.fold AS VARCHAR) AS fold, o.row_id FROM obs o JOIN lots_{kind} l ON o.endpoint = l.endpoint AND {key} = l.k)""" for kind, key in (("assay", "assay_id"), ("scaffold", "scaffold"), ("compound", "compound_id")))
+_ALL_SQL = OBS_SQL + _SOURCE_SQL + _BAND_SQL + _KINDS_SQL + """, tests AS (SELECT 'random' AS kind, endpoint, CAST(('0x' || substr(md5('0|' || row_id), 1, 8))::BIGINT % 5 AS VARCHAR) AS fold, row_id FROM obs
+UNION ALL SELECT * FROM assay_rows UNION ALL SELECT * FROM scaffold_rows UNION ALL SELECT * FROM compound_rows
+UNION ALL SELECT 'source', endpoint, fold, row_id FROM held UNION ALL SELECT 'threshold', endpoint, CAST(fold AS VARCHAR), row_id FROM bands)"""
+_SOME_KINDS = ("random", "assay", "scaffold", "compound", "source", "threshold")
+
+
+@query(_ALL_SQL + " SELECT kind, endpoint, fold, count(*) AS n_test, bit_xor(('0x' || substr(md5(row_id), 1, 8))::BIGINT) AS rows_hash FROM tests GROUP BY ALL")
+def split_dispatcher(spark, sf_dir):
+    return splits.make_splits(observations(spark, sf_dir), _SOME_KINDS).groupBy("kind", "endpoint", "fold").agg(F.count("*").alias("n_test"), _ROWS_HASH())
+
+
+@query(_ALL_SQL + """, f AS (SELECT DISTINCT kind, endpoint, fold FROM tests),
+made AS (SELECT f.kind, f.endpoint, f.fold, o.row_id, CASE WHEN t.row_id IS NULL THEN 'train' ELSE 'test' END AS role FROM obs o JOIN f USING (endpoint) LEFT JOIN tests t ON t.kind = f.kind AND t.endpoint = f.endpoint AND t.fold = f.fold AND t.row_id = o.row_id),
+one AS (SELECT kind, endpoint, fold, row_id, count(DISTINCT role) AS roles, count(*) AS times, max(CAST(role = 'test' AS INTEGER)) AS tests, max(CAST(role = 'train' AS INTEGER)) AS trains FROM made GROUP BY ALL)
+SELECT kind, endpoint, fold, CAST(sum(tests) AS BIGINT) AS n_test, CAST(sum(trains) AS BIGINT) AS n_train, count(*) FILTER (WHERE roles > 1) AS n_shared, count(*) FILTER (WHERE times > roles) AS n_doubled,
+  count(*) FILTER (WHERE row_id NOT IN (SELECT row_id FROM obs)) AS n_unknown, sum(tests) > 0 AND sum(trains) > 0 AND count(*) FILTER (WHERE roles > 1 OR times > roles) = 0 AS ok FROM one GROUP BY ALL""")
+def split_export_validation(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    made = splits.assignments(obs, splits.make_splits(obs, _SOME_KINDS))
+    return splits.validation(obs, made)
 
 
 @query(_grouped_sql("concat_ws('|', assay_id, scaffold)") + """ SELECT endpoint, CAST(fold AS INTEGER) AS fold, count(*) AS n_test, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM folded t WHERE t.endpoint = f.endpoint AND t.fold <> f.fold AND t.assay_id = f.assay_id)
@@ -146,8 +186,7 @@ _OVERLAP = """, o AS (SELECT endpoint, fold, count(*) AS n_test, avg(CAST(EXISTS
 
 @query(FOLD_SQL + _OVERLAP + " SELECT * FROM o", ("overlap",))
 def compound_overlap(spark, sf_dir):
-    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
-    return splits.overlap(folded).withColumn("fold", F.col("fold").cast("int"))
+    return splits.overlap(_folded(spark, sf_dir))
 
 
 @query(FOLD_SQL + _OVERLAP + " SELECT endpoint, count(*) AS n_folds, avg(overlap) AS mean_overlap, min(overlap) AS min_overlap, max(overlap) AS max_overlap FROM o GROUP BY 1", ("mean_overlap", "min_overlap", "max_overlap"))
@@ -155,38 +194,74 @@ def overlap_summary(spark, sf_dir):
     return splits.overlap_summary(splits.overlap(splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))))
 
 
-@query(FOLD_SQL + " SELECT endpoint, CAST(0 AS BIGINT) AS n_shared, count(DISTINCT fold) AS n_folds, min(n) AS least_rows FROM (SELECT endpoint, fold, count(*) AS n FROM folded GROUP BY ALL) GROUP BY 1")
+@query(FOLD_SQL + """, a AS (SELECT endpoint, assay_id, count(DISTINCT fold) AS n FROM folded GROUP BY ALL), c AS (SELECT endpoint, fold, count(*) AS n FROM folded GROUP BY ALL)
+SELECT endpoint, n_shared, n_folds, least_rows FROM (SELECT endpoint, count(*) FILTER (WHERE n > 1) AS n_shared FROM a GROUP BY 1) JOIN (SELECT endpoint, count(*) AS n_folds, min(n) AS least_rows FROM c GROUP BY 1) USING (endpoint)""")
 def split_validation(spark, sf_dir):
-    folded = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id"))
+    folded = _folded(spark, sf_dir)
     shared = folded.groupBy("endpoint", "assay_id").agg(F.count_distinct("fold").alias("n")).groupBy("endpoint").agg(F.count_if(F.col("n") > 1).alias("n_shared"))
     sizes = folded.groupBy("endpoint", "fold").agg(F.count("*").alias("n")).groupBy("endpoint").agg(F.count("*").alias("n_folds"), F.min("n").alias("least_rows"))
     return shared.join(sizes, "endpoint")
 
 
-@query(OBS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('0|' || row_id), row_id) AS k, count(*) OVER (PARTITION BY endpoint) AS n FROM obs)
-SELECT endpoint, count(*) FILTER (WHERE k <= greatest(50, floor(0.2 * n))) AS n_calibration, count(*) FILTER (WHERE k <= greatest(50, floor(0.2 * n)) AND exact_mask) AS n_calibration_exact, count(*) AS n FROM r GROUP BY 1""")
+_SLICE_SQL = OBS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('0|' || row_id), row_id) AS k, count(*) OVER (PARTITION BY endpoint) AS n FROM obs),
+counts AS (SELECT endpoint, count(*) FILTER (WHERE k <= greatest(50, floor(0.2 * n))) AS n_calibration, count(*) FILTER (WHERE k <= greatest(50, floor(0.2 * n)) AND exact_mask) AS n_calibration_exact, count(*) AS n FROM r GROUP BY 1)"""
+
+
+@query(_SLICE_SQL + " SELECT * FROM counts")
 def calibration_sample_audit(spark, sf_dir):
-    rows = splits.calibration_slice(observations(spark, sf_dir))
-    return rows.groupBy("endpoint").agg(F.count_if("calibration").alias("n_calibration"), F.count_if(F.col("calibration") & F.col("exact_mask")).alias("n_calibration_exact"), F.count("*").alias("n"))
+    return splits.sample_audit(splits.calibration_slice(observations(spark, sf_dir)))
+
+
+@query(_SLICE_SQL + """ SELECT *, n_calibration AS recorded_n_calibration, n_calibration_exact + CAST(endpoint LIKE 'A%' AS BIGINT) AS recorded_n_calibration_exact, n AS recorded_n, NOT endpoint LIKE 'A%' AS ok FROM counts""")
+def calibration_sample_recorded(spark, sf_dir):
+    """The audit against counts on record; those of endpoints that begin with A are made to be off by one."""
+    sliced = saved(splits.calibration_slice(observations(spark, sf_dir)).select("endpoint", "calibration", "exact_mask"))
+    recorded = splits.sample_audit(sliced).withColumn("n_calibration_exact", F.col("n_calibration_exact") + F.col("endpoint").startswith("A").cast("long"))
+    return splits.sample_audit(sliced, recorded)
 
 
 _ZL, _ZU = "((lower - mu) / sigma)", "((upper - mu) / sigma)"
-_CDF = D.normal_cdf_sql
+_CDF, _LOG = D.normal_cdf_sql, D.normal_log_cdf_sql
 _PROB = PRED_SQL + f""", z AS (SELECT *, CASE WHEN isinf(lower) THEN NULL ELSE {_ZL} END AS zl, CASE WHEN isinf(upper) THEN NULL ELSE {_ZU} END AS zu FROM pred),
 q AS (SELECT *, least(1.0, CASE WHEN exact_mask THEN 1.0 WHEN upper = 'inf'::DOUBLE THEN {_CDF("(-zl)")} WHEN lower = '-inf'::DOUBLE THEN {_CDF("zu")}
-  WHEN zu - zl < 1e-3 THEN exp(-((zl + zu) / 2) ** 2 / 2) / sqrt(2 * pi()) * (zu - zl) WHEN zl > 0 THEN {_CDF("(-zl)")} - {_CDF("(-zu)")} ELSE {_CDF("zu")} - {_CDF("zl")} END) AS q FROM z)"""
+  WHEN zu - zl < 1e-3 THEN exp(-((zl + zu) / 2) ** 2 / 2) / sqrt(2 * pi()) * (zu - zl) WHEN zl > 0 THEN {_CDF("(-zl)")} - {_CDF("(-zu)")} ELSE {_CDF("zu")} - {_CDF("zl")} END) AS q,
+  CASE WHEN NOT exact_mask THEN least(0.0, CASE WHEN upper = 'inf'::DOUBLE THEN {_LOG("(-zl)")} WHEN lower = '-inf'::DOUBLE THEN {_LOG("zu")} WHEN zu - zl < 1e-3 THEN -((zl + zu) / 2) ** 2 / 2 - 0.5 * ln(2 * pi()) + ln(zu - zl)
+    WHEN zl > 0 THEN {_LOG("(-zl)")} + ln(1 - exp({_LOG("(-zu)")} - {_LOG("(-zl)")})) ELSE {_LOG("zu")} + ln(1 - exp({_LOG("zl")} - {_LOG("zu")})) END) END AS lq FROM z)"""
 
 
 @query(_PROB + """ SELECT endpoint, censoring_class, count(*) AS n, avg(q) AS mean_q, avg(greatest(0.85 - q, 0) ** 2) AS mean_deficit,
-  avg(CASE WHEN exact_mask THEN ((value_p - mu) / sigma) ** 2 / 2 + 0.5 * ln(2 * pi()) + ln(sigma) ELSE -ln(greatest(q, 1e-300)) END) AS mean_nll,
+  avg(CASE WHEN exact_mask THEN ((value_p - mu) / sigma) ** 2 / 2 + 0.5 * ln(2 * pi()) + ln(sigma) ELSE -lq END) AS mean_nll,
   avg(CASE WHEN isinf(lower) THEN 0 ELSE greatest(lower - mu, 0) END + CASE WHEN isinf(upper) THEN 0 ELSE greatest(mu - upper, 0) END) AS mean_hinge FROM q GROUP BY ALL""", ("mean_q", "mean_deficit", "mean_nll", "mean_hinge"))
 def interval_likelihoods(spark, sf_dir):
     mu, sigma, low, high, exact = (F.col(c) for c in ("mu", "sigma", "lower", "upper", "exact_mask"))
-    rows = assay_predictions(spark, sf_dir).withColumn("q", D.interval_probability(mu, sigma, low, high, exact))
-    nll = D.tobit_nll(F.col("q"), D.exact_nll(F.col("value_p"), mu, sigma), exact)
+    rows = assay_predictions(spark, sf_dir).withColumn("lq", D.interval_log_probability(mu, sigma, low, high, exact))
+    rows = rows.withColumn("q", F.when(exact, 1.0).otherwise(F.exp("lq")))
+    nll = F.when(exact, D.exact_nll(F.col("value_p"), mu, sigma)).otherwise(-F.col("lq"))
     return rows.groupBy("endpoint", "censoring_class").agg(F.count("*").alias("n"), F.avg("q").alias("mean_q"), F.avg(D.deficit(F.col("q"), 0.85)).alias("mean_deficit"), F.avg(nll).alias("mean_nll"), F.avg(D.hinge(mu, low, high)).alias("mean_hinge"))
 
 
+_FAR = PRED_SQL + """, k AS (SELECT endpoint, mu, sigma, unnest([2.0, 20.0, 40.0, 100.0]) AS z FROM pred), far AS (SELECT endpoint, z, CAST(mu + z * sigma AS DOUBLE) AS cut, mu, sigma, (mu + z * sigma - mu) / sigma AS zz FROM k)"""
+
+
+@query(_FAR + f""" SELECT endpoint, z, count(*) AS n, avg(-{_LOG("(-zz)")}) AS nll_right, avg(-{_LOG("(-zz)")}) AS nll_left, avg(-({_LOG("(-zz)")} + ln(1 - exp({_LOG("(-(zz + 0.5))")} - {_LOG("(-zz)")})))) AS nll_interval FROM far GROUP BY ALL""", ("z", "nll_right", "nll_left", "nll_interval"))
+def far_tails(spark, sf_dir):
+    """Open and closed intervals 2 to 100 deviations away: probabilities underflow, their logs must not."""
+    far = assay_predictions(spark, sf_dir).select("endpoint", "mu", "sigma", F.explode(F.array(*(F.lit(z) for z in (2.0, 20.0, 40.0, 100.0)))).alias("z"))
+    mu, sigma, no, inf = F.col("mu"), F.col("sigma"), F.lit(False), F.lit(float("inf"))
+    nll = lambda low, high: F.avg(D.tobit_nll(mu, sigma, low, high, no))
+    above, below = mu + F.col("z") * sigma, mu - F.col("z") * sigma
+    return far.groupBy("endpoint", "z").agg(F.count("*").alias("n"), nll(above, inf).alias("nll_right"), nll(-inf, below).alias("nll_left"), nll(above, above + 0.5 * sigma).alias("nll_interval"))
+
+
+_QUANT = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+
+
+@query(PRED_SQL + " SELECT endpoint, " + ", ".join(f"avg(mu + {D.GAUSSIAN.ppf(q)!r}::DOUBLE * sigma) AS {n}" for n, q in _QUANT.items()) + " FROM pred GROUP BY 1", tuple(_QUANT))
+def predictive_quantiles(spark, sf_dir):
+    one = F.array(F.struct("mu", "sigma"))
+    return assay_predictions(spark, sf_dir).groupBy("endpoint").agg(*(F.avg(D.predictive_quantile(one, q)).alias(n) for n, q in _QUANT.items()))
+
+
 _T4 = lambda z: f"(0.5 + 0.375 * {z} / sqrt(1 + {z} ** 2 / 4) * (1 - {z} ** 2 / (12 * (1 + {z} ** 2 / 4))))"
 
 
@@ -369,7 +444,7 @@ def curation_summary(spark, sf_dir):
 
 
 @query(OBS_SQL + """ SELECT endpoint, count(*) AS n, 100.0 * count(*) FILTER (WHERE censoring_class = 'exact') / count(*) AS pct_exact, 100.0 * count(*) FILTER (WHERE censoring_class = 'left_censored_p') / count(*) AS pct_left, 100.0 * count(*) FILTER (WHERE censoring_class = 'right_censored_p') / count(*) AS pct_right, 100.0 * count(*) FILTER (WHERE censoring_class = 'interval_censored_p') / count(*) AS pct_interval,
-  median(value_p) AS median_p, string_agg(DISTINCT source_name, ';' ORDER BY source_name) AS sources, count(DISTINCT compound_id) AS n_compounds, count(DISTINCT scaffold) AS n_scaffolds, count(DISTINCT assay_id) AS n_assays, count(DISTINCT document_id) AS n_documents, count(*) >= 100 AS pass_gate FROM obs GROUP BY 1""", ("pct_exact", "pct_left", "pct_right", "pct_interval", "median_p"))
+  median(value_p) AS median_p, string_agg(DISTINCT source_name, ';' ORDER BY source_name) AS sources, '' AS relations, '' AS units, '' AS flags, count(DISTINCT compound_id) AS n_compounds, count(DISTINCT scaffold) AS n_scaffolds, count(DISTINCT assay_id) AS n_assays, count(DISTINCT document_id) AS n_documents, count(*) >= 100 AS pass_gate FROM obs GROUP BY 1""", ("pct_exact", "pct_left", "pct_right", "pct_interval", "median_p"))
 def endpoint_audit(spark, sf_dir):
     return curation.endpoint_audit(observations(spark, sf_dir))
 
