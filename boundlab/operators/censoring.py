@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundlab.operators.metrics import mean
+from boundlab.operators.metrics import auc, mean
 from boundlab.operators.ranking import value_runs
+from boundlab.session import saved
+
+
+def labels() -> dict[str, F.Column]:
+    """is_censored, is_left and is_right of a row."""
+    kind = F.col("censoring_class")
+    return {"is_censored": kind != "exact", "is_left": kind == "left_censored_p", "is_right": kind == "right_censored_p"}
 
 
 def mechanism(obs: DataFrame, by: list[str]) -> DataFrame:
@@ -65,3 +74,85 @@ def recovery(least: int = 3) -> list[F.Column]:
     e = F.when(F.col("recensored") & F.col("value_p").isNotNull(), mean() - F.col("value_p"))
     n = F.count(e)
     return [n.alias("n"), *(F.when(n >= least, c).alias(k) for k, c in (("mae", F.avg(F.abs(e))), ("rmse", F.sqrt(F.avg(e * e))), ("bias", F.avg(e))))]
+
+
+def predict_censoring(rows: DataFrame, groups: dict[str, list[str]], train: F.Column, iterations: int = 300) -> DataFrame:
+    """features, auc, base_rate, n_test: how well logistic models over groups of features tell censored test rows.
+
+    Besides each group, their union is tried. The penalty is that of C = 1 on
+    summed losses, 1 / n here, on features as they are. The AUC is null where
+    either side has a single class.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    spark = rows.sparkSession
+    every = list(dict.fromkeys(c for g in groups.values() for c in g))
+    data = saved(rows.select(*(F.col(c).cast("double").alias(c) for c in every), labels()["is_censored"].cast("double").alias("label"), train.alias("train")))
+    n, n_pos, n_test, base = data.agg(F.count_if("train"), F.count_if(F.col("train") & (F.col("label") == 1)), F.count_if(~F.col("train")), F.avg("label")).first()
+    out = []
+    for name, columns in (groups | ({"+".join(groups): every} if len(groups) > 1 else {})).items():
+        if not columns:
+            continue
+        found = None
+        if 0 < n_pos < n:
+            x = VectorAssembler(inputCols=columns, outputCol="x").transform(data)
+            model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1 / n, standardization=False, maxIter=iterations).fit(x.where("train"))
+            test = model.transform(x.where("not train")).select(F.lit(1).alias("grp"), F.round(F.get(vector_to_array("probability"), F.lit(1)), 12).alias("p"), (F.col("label") == 1).alias("y"))
+            row = auc(test, ["grp"], "p", "y").first()
+            found = row["auc"] if row else None
+        out.append((name, found, base, n_test))
+    return spark.createDataFrame(out, "features string, auc double, base_rate double, n_test long")
+
+
+def ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> list[float]:
+    """Intercept and weights of a ridge regression, from one aggregate of second moments."""
+    import numpy as np
+
+    names = [*features, target]
+    n, *means = rows.agg(F.count(target), *(F.avg(c) for c in names)).first()
+    centred = {c: F.col(c) - m for c, m in zip(names, means, strict=True)}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = dict(zip(pairs, rows.agg(*(F.sum(centred[a] * centred[b]) for a, b in pairs)).first(), strict=True))
+    at = lambda a, b: sums.get((a, b), sums.get((b, a)))
+    gram = np.array([[at(a, b) for b in features] for a in features]) + alpha * np.eye(len(features))
+    w = np.linalg.solve(gram, np.array([at(a, target) for a in features]))
+    return [float(means[-1] - w @ np.array(means[:-1])), *map(float, w)]
+
+
+def informativeness(rows: DataFrame, features: list[str], train: F.Column, permutations: int = 2000, seed: int = 0, least_train: int = 50, least_test: int = 15) -> DataFrame:
+    """One row: is censoring informative beyond the features?
+
+    A ridge regression on exact training rows gives predictions. Over test rows the
+    positive part of value minus prediction (exact rows) is compared with that of
+    lower bound minus prediction (right-censored rows, where it is a lower bound).
+    The difference of means is held against relabelled rows: a permutation gives
+    each row a hash of seed, permutation and row, and the rows with the smallest
+    hashes are the censored ones. Few test rows as a rule; each permutation is a
+    group of its own, so they spread over tasks.
+    """
+    kind = labels()
+    exact = rows.where(train & ~kind["is_censored"] & F.col("value_p").isNotNull())
+    n_train = exact.count()
+    layout = "n_exact_train long, n_right_test long, n_exact_test long, difference double, p double, informative boolean"
+    if n_train < least_train:
+        return rows.sparkSession.createDataFrame([(n_train, None, None, None, None, None)], layout)
+    w = ridge(exact, features, "value_p")
+    fitted = reduce(lambda a, x: a + x[0] * F.col(x[1]).cast("double"), zip(w[1:], features, strict=True), F.lit(w[0]))
+    test = rows.where(~train & (kind["is_right"] | (~kind["is_censored"] & F.col("value_p").isNotNull())))
+    residual = F.greatest(F.when(kind["is_right"], F.col("lower")).otherwise(F.col("value_p")) - fitted, F.lit(0.0))
+    test = saved(test.select("row_id", kind["is_right"].alias("c"), residual.alias("r")))
+    n_right, n_exact, m_right, m_exact = test.agg(F.count_if("c"), F.count_if(~F.col("c")), F.avg(F.when(F.col("c"), F.col("r"))), F.avg(F.when(~F.col("c"), F.col("r")))).first()
+    if n_right < least_test or n_exact < least_test:
+        return rows.sparkSession.createDataFrame([(n_train, n_right, n_exact, None, None, None)], layout)
+    observed, n = m_right - m_exact, n_right + n_exact
+    # the sum over the first n_right rows in hash order, without ordering them: rows of equal residual are exchangeable
+    drawn = test.select("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k"), "row_id").select("k", "r", F.xxhash64(F.lit(seed), "k", "row_id").alias("h"))
+    cut = F.percentile_approx("h", F.lit(n_right / n), F.lit(10_000))
+    cuts = drawn.groupBy("k").agg(cut.alias("cut"))
+    split = drawn.join(F.broadcast(cuts.withColumnRenamed("k", "ck")), F.col("k") == F.col("ck"))
+    stats = split.groupBy("k").agg((F.avg(F.when(F.col("h") <= F.col("cut"), F.col("r"))) - F.avg(F.when(F.col("h") > F.col("cut"), F.col("r")))).alias("s"))
+    beyond = stats.where(F.abs("s") >= abs(observed)).count()
+    p = (beyond + 1) / (permutations + 1)
+    return rows.sparkSession.createDataFrame([(n_train, n_right, n_exact, observed, p, bool(p < 0.05 and observed > 0))], layout)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boundlab.functions.distributions import Z90
 from boundlab.operators.metrics import coverage, mean, scale, value
 from boundlab.operators.ranking import at_ranks
+from boundlab.operators.splits import calibration_slice
 from boundlab.session import saved, small
 
 
@@ -35,3 +36,16 @@ def mondrian_conformal(rows: DataFrame, by: list[str], group: str, alpha: float
     both = rows.where("not calibration").join(own, [*by, group], "left").join(wide, by, "left")
     both = both.withColumn("q", F.coalesce("q_own", "q_all", F.lit(Z90)))
     return both.groupBy(*by).agg(*coverage(mean() - F.col("q") * scale(), mean() + F.col("q") * scale(), alpha), F.count_distinct(group).alias("n_groups"))
+
+
+def study(pred: DataFrame, by: list[str], group: str, seeds: tuple[int, ...], alpha: float = 0.1) -> DataFrame:
+    """seed, by, method, coverage, width, interval_score: raw, split and group-conditional intervals on what each seed's calibration slice leaves."""
+    out = None
+    for seed in seeds:
+        rows = saved(calibration_slice(pred, seed=seed))
+        test = rows.where("not calibration")
+        raw = test.groupBy(*by).agg(*coverage(mean() - Z90 * scale(), mean() + Z90 * scale(), alpha))
+        for method, made in (("raw", raw), ("split", split_conformal(rows, by, alpha)), ("mondrian", mondrian_conformal(rows, by, group, alpha))):
+            made = made.select(F.lit(seed).alias("seed"), *by, F.lit(method).alias("method"), "n_exact", "coverage", "width", "interval_score")
+            out = made if out is None else out.unionByName(made)
+    return out

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boundlab.functions import distributions as D
-from boundlab.operators import censoring, conformal, curation, inference, metrics, splits
+from boundlab.operators import censoring, conformal, curation, fitting, inference, metrics, splits
 from boundlab.operators.metrics import mean
 from boundlab.plans import grid
 from boundlab.session import saved
-from boundlab.sources.observations import OBS_SQL, direction, observations
+from boundlab.sources import features, loaders
+from boundlab.sources.observations import MEAS_SQL, OBS_SQL, direction, measurements, observations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -517,10 +518,18 @@ f AS (SELECT treatment, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_pairs,
 b AS (SELECT *, greatest(vm - within / size, 0) AS between_ FROM f)
 SELECT treatment, n_groups, n_pairs, within, between_ AS between, sum(m / (between_ + within / n)) / sum(1 / (between_ + within / n)) AS estimate, sqrt(1 / sum(1 / (between_ + within / n))) AS standard_error FROM u JOIN b USING (treatment) WHERE n_groups >= 3 AND n_pairs >= 6 GROUP BY ALL""", ("within", '"between"', "estimate", "standard_error"))
 def mixed_effects(spark, sf_dir):
-    cells = result_cells(spark, sf_dir).select("endpoint", "fold", "treatment", "mae")
+    return inference.moments_intercept(_paired_cells(spark, sf_dir), ["treatment"], "d")
+
+
+def _paired_cells(spark, sf_dir: str) -> DataFrame:
+    cells = saved(result_cells(spark, sf_dir).select("endpoint", "fold", "treatment", "mae"))
     base = cells.where("treatment = 'exact_only'").select("endpoint", "fold", F.col("mae").alias("_b"))
-    pairs = cells.where("treatment <> 'exact_only'").join(base, ["endpoint", "fold"]).withColumn("d", F.col("mae") - F.col("_b")).where("d is not null")
-    return inference.random_intercept(pairs, ["treatment"], "d")
+    return cells.where("treatment <> 'exact_only'").join(base, ["endpoint", "fold"]).withColumn("d", F.col("mae") - F.col("_b")).where("d is not null")
+
+
+def mixed_effects_reml(spark, sf_dir):
+    """The same model by restricted maximum likelihood (no SQL form)."""
+    return inference.random_intercept(_paired_cells(spark, sf_dir), ["treatment"], "d")
 
 
 @query("""WITH s AS (SELECT e AS endpoint, CAST(f AS BIGINT) AS fold, t AS treatment, sha256('endpoint=' || e || '|fold=' || f || '|treatment=' || t) AS tag FROM unnest(['A_F', 'N_O', 'R_F']) a(e), range(5) b(f), unnest(['exact_only', 'tobit']) c(t))
@@ -539,16 +548,245 @@ def verified_numbers(spark, sf_dir):
     return grid.verified(found, expected, ["treatment"], 0.1)
 
 
-def fitted_models(spark, sf_dir):
-    """Iterative fits (no SQL form): five treatments over five folds, each fitted until it converges, scored on their test rows."""
-    from boundlab.operators import fitting
+_LOADED = "count(*) AS n, count(*) FILTER (WHERE exact_mask) AS n_exact, count(*) FILTER (WHERE isinf(lower)) AS n_left, count(*) FILTER (WHERE isinf(upper)) AS n_right, count(DISTINCT compound_id) AS n_compounds, max(year) AS latest, bit_xor(('0x' || substr(md5(row_id), 1, 8))::BIGINT) AS rows_hash"
+
+
+def _loaded(rows: DataFrame) -> DataFrame:
+    inf = float("inf")
+    return rows.groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if("exact_mask").alias("n_exact"), F.count_if(F.col("lower") == -inf).alias("n_left"), F.count_if(F.col("upper") == inf).alias("n_right"), F.count_distinct("compound_id").alias("n_compounds"), F.max("year").alias("latest"), _ROWS_HASH())
+
+
+@query(MEAS_SQL + f""", f AS (SELECT 'A_F_B' AS endpoint, activity_id AS row_id, parent_structure AS compound_id, document_year AS year, lower, upper, exact_mask FROM meas WHERE target_key = 'A' AND standard_type = 'F' AND assay_type = 'B' AND core_clean AND parent_structure IS NOT NULL
+UNION ALL SELECT 'N_O', activity_id, parent_structure, document_year, lower, upper, exact_mask FROM meas WHERE target_key = 'N' AND standard_type = 'O' AND parent_structure IS NOT NULL) SELECT endpoint, {_LOADED} FROM f GROUP BY 1""")
+def measurement_loader(spark, sf_dir):
+    table = measurements(spark, sf_dir)
+    return _loaded(loaders.measurement_rows(table, "A", "F", "B").unionByName(loaders.measurement_rows(table, "N", "O", clean=False)))
+
+
+@query(MEAS_SQL + f""", f AS (SELECT 'property' AS endpoint, activity_id AS row_id, parent_structure AS compound_id, document_year AS year, lower, upper, exact_mask FROM meas WHERE parent_structure IS NOT NULL) SELECT endpoint, {_LOADED} FROM f GROUP BY 1""")
+def property_loader(spark, sf_dir):
+    table = measurements(spark, sf_dir).withColumns({"structure": F.col("parent_structure"), "value_p": F.col("p_value")})
+    return _loaded(loaders.property_rows(table, "property"))
+
+
+@query(MEAS_SQL + """, g AS (SELECT endpoint, compound_id, string_agg(DISTINCT assay_id, '; ' ORDER BY assay_id) AS assay_ids, max(document_year) AS year, min(CASE WHEN exact_mask THEN p_true END) AS lo, max(CASE WHEN exact_mask THEN p_true END) AS hi FROM meas GROUP BY ALL)
+SELECT endpoint, count(*) AS n, count(*) FILTER (WHERE lo IS NOT NULL) AS n_exact, count(DISTINCT trim(split_part(assay_ids, ';', 1))) AS n_first_assays, max(year) AS latest, avg(hi) AS mean_p FROM g GROUP BY 1""", ("mean_p",))
+def endpoint_loader(spark, sf_dir):
+    exact = F.when(F.col("censoring_class") == "exact", F.col("p_true"))
+    groups = measurements(spark, sf_dir).groupBy("endpoint", "compound_id").agg(F.array_join(F.array_sort(F.collect_set("assay_id")), "; ").alias("assay_ids"), F.max("document_year").alias("year"), F.max(exact).alias("hi"))
+    table = groups.select(F.concat_ws("|", "endpoint", "compound_id").alias("row_id"), F.col("endpoint").alias("endpoint_id"), "assay_ids", F.col("assay_ids").alias("document_ids"), F.col("compound_id").alias("structure"), F.when(F.col("hi").isNull(), "right_censored_p").otherwise("exact").alias("censoring_class"), F.col("hi").alias("lower_bound_p"), F.col("hi").alias("upper_bound_p"), F.col("hi").alias("value_p"), "year")
+    return loaders.endpoint_rows(table).groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if("exact_mask").alias("n_exact"), F.count_distinct("assay_id").alias("n_first_assays"), F.max("year").alias("latest"), F.avg("value_p").alias("mean_p"))
+
+
+_MODES = "".join(f" UNION ALL SELECT '{m}' AS mode, * FROM meas WHERE standard_relation IN ('=', '<', '<=', '>', '>=') AND unit = 'nM' AND conc > 0 AND p_true BETWEEN 0 AND 14 AND organism = 'Homo sapiens' AND confidence_score >= {c} AND (validity IS NULL OR validity IN ({v})){d}" for m, c, v, d in (("strict", 9, "'Manually validated'", " AND potential_duplicate = 0"), ("broad", 7, "'Manually validated', 'Outside typical range'", ""))).removeprefix(" UNION ALL ")
+
+
+@query(MEAS_SQL + f", kept AS ({_MODES}) SELECT mode, endpoint, count(*) AS n, bit_xor(h) AS rows_hash FROM kept GROUP BY ALL")
+def record_rules(spark, sf_dir):
+    table = measurements(spark, sf_dir).withColumnsRenamed({"standard_relation": "relation", "confidence_score": "confidence", "activity_id": "row_id"})
+    parts = [curation.records(table, mode, ["nM"], "Homo sapiens").withColumn("mode", F.lit(mode)) for mode in ("strict", "broad")]
+    return parts[0].unionByName(parts[1]).groupBy("mode", "endpoint").agg(F.count("*").alias("n"), _ROWS_HASH())
+
 
-    rows = splits.grouped_folds(observations(spark, sf_dir), F.col("assay_id")).withColumns({"fold": F.col("fold").cast("int"), "x1": (F.col("assay_id").cast("double") % 100) / 100, "x2": F.length("scaffold").cast("double") / 10})
-    cells = [{"treatment": t, "fold": f} for t in fitting.TREATMENTS for f in range(5)]
-    fitted = fitting.fit_cells(rows, ["x1", "x2"], cells)
-    scored = fitting.apply_cells(rows, ["x1", "x2"], fitted)
-    done = spark.createDataFrame([(r.treatment, int(r.fold), int(r.steps), bool(r.converged)) for r in fitted.itertuples()], "treatment string, fold int, steps int, converged boolean")
-    return scored.groupBy("treatment", "fold").agg(*metrics.accuracy(), *metrics.violation()).join(F.broadcast(done), ["treatment", "fold"])
+_STRUCTURES = MEAS_SQL + """, st AS (SELECT *, coalesce(parent_structure, child_structure) AS structure FROM meas), sf AS (SELECT *, CASE WHEN structure IS NULL THEN 'missing' WHEN contains(structure, '.') THEN 'mixture' WHEN NOT organic THEN 'inorganic' WHEN heavy_atoms < 5 THEN 'too_small' WHEN heavy_atoms > 120 OR weight > 1200 THEN 'too_large' END AS structure_fault FROM st)"""
 
 
-QUERIES["fitted_models"] = fitted_models
+@query(_STRUCTURES + " SELECT count(*) AS n, count(*) FILTER (WHERE structure_fault IS NULL) AS n_valid, count(parent_structure) AS n_parent, count(*) FILTER (WHERE parent_structure IS NULL AND structure IS NOT NULL) AS n_child, count(*) FILTER (WHERE scaffold IS NULL) AS n_no_scaffold, " + ", ".join(f"count(*) FILTER (WHERE structure_fault = '{c}') AS n_{c}" for c in ("missing", "mixture", "inorganic", "too_small", "too_large")) + " FROM sf")
+def structure_summary(spark, sf_dir):
+    return curation.structure_summary(curation.structures(measurements(spark, sf_dir)))
+
+
+@query(MEAS_SQL + """ SELECT mode, comment, CASE WHEN comment IS NULL THEN 'keep' WHEN comment = 'see paper' THEN 'flag' WHEN mode = 'strict' THEN 'quarantine' ELSE 'flag' END AS action, count(*) AS n FROM meas, (VALUES ('strict'), ('broad')) m(mode) GROUP BY ALL""")
+def comment_rules(spark, sf_dir):
+    table = measurements(spark, sf_dir).select("comment", F.explode(F.array(F.lit("strict"), F.lit("broad"))).alias("mode"))
+    action = F.when(F.col("mode") == "strict", curation.comment_action(F.col("comment"), "strict")).otherwise(curation.comment_action(F.col("comment"), "broad"))
+    return table.groupBy("mode", "comment", action.alias("action")).agg(F.count("*").alias("n"))
+
+
+@query(_GROUPS + """ SELECT endpoint, resolution, count(*) AS n, CASE WHEN resolution IN ('contradiction', 'broad', 'discordant') THEN 'quarantine' ELSE 'keep' END AS strict, CASE WHEN resolution = 'discordant' OR resolution = 'contradiction' AND n_measurements = 1 THEN 'quarantine' WHEN resolution = 'contradiction' THEN 'flag' ELSE 'keep' END AS broad FROM grp GROUP BY ALL""")
+def duplicate_actions(spark, sf_dir):
+    groups = _groups(spark, sf_dir)
+    return groups.groupBy("endpoint", "resolution", curation.group_action(F.col("resolution"), "strict").alias("strict"), curation.group_action(F.col("resolution"), "broad").alias("broad")).agg(F.count("*").alias("n"))
+
+
+@query(MEAS_SQL + """ SELECT endpoint, count(*) AS n_rows, count(*) FILTER (WHERE censoring_class = 'exact') AS n_exact, count(*) FILTER (WHERE censoring_class <> 'exact') AS n_censored, count(*) FILTER (WHERE censoring_class = 'left_censored_p') AS n_left, count(*) FILTER (WHERE censoring_class = 'right_censored_p') AS n_right, count(*) FILTER (WHERE censoring_class = 'interval_censored_p') AS n_interval,
+  count(*) FILTER (WHERE censoring_class <> 'exact') / count(*) AS censored_share, min(document_year) AS earliest_year, max(document_year) AS latest_year, count(document_year) / count(*) AS with_year, bit_xor(('0x' || substr(md5(activity_id || '|' || censoring_class), 1, 8))::BIGINT) AS content_hash, count(*) >= 100 AS pass_gate,
+  count(DISTINCT compound_id) AS n_compounds, count(DISTINCT scaffold) AS n_scaffolds, count(DISTINCT assay_id) AS n_assays, count(DISTINCT document_id) AS n_documents FROM meas GROUP BY 1""", ("censored_share", "with_year"))
+def endpoint_manifest(spark, sf_dir):
+    return curation.endpoint_manifest(measurements(spark, sf_dir).withColumnsRenamed({"activity_id": "row_id", "document_year": "year"}))
+
+
+@query(MEAS_SQL + """ SELECT endpoint, count(*) AS n, string_agg(DISTINCT standard_relation, ';' ORDER BY standard_relation) AS relations, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, string_agg(DISTINCT validity, ';' ORDER BY validity) AS flags, median(p_value) AS median_p FROM meas GROUP BY 1""", ("median_p",))
+def measurement_audit(spark, sf_dir):
+    table = measurements(spark, sf_dir).withColumnsRenamed({"standard_relation": "relation", "p_value": "value_p"})
+    return curation.endpoint_audit(table).select("endpoint", "n", "relations", "units", "flags", "median_p")
+
+
+@query(MEAS_SQL + """ SELECT standard_relation, count(*) AS n, count(*) FILTER (WHERE standard_relation IN ('<', '<=')) AS n_low_open, count(*) FILTER (WHERE standard_relation IN ('>', '>=')) AS n_high_open FROM meas GROUP BY 1""")
+def relation_bounds(spark, sf_dir):
+    low, high = curation.relation_bounds(F.col("p_true"), F.col("standard_relation"))
+    inf = float("inf")
+    return measurements(spark, sf_dir).groupBy("standard_relation").agg(F.count("*").alias("n"), F.count_if(low == -inf).alias("n_low_open"), F.count_if(high == inf).alias("n_high_open"))
+
+
+@query(OBS_SQL + " SELECT endpoint, count(*) FILTER (WHERE censoring_class <> 'exact') AS is_censored, count(*) FILTER (WHERE censoring_class = 'left_censored_p') AS is_left, count(*) FILTER (WHERE censoring_class = 'right_censored_p') AS is_right FROM obs GROUP BY 1")
+def censoring_labels(spark, sf_dir):
+    return observations(spark, sf_dir).groupBy("endpoint").agg(*(F.count_if(c).alias(k) for k, c in censoring.labels().items()))
+
+
+@query(PRED_SQL + _TRUTH + """, b AS (SELECT endpoint, fold, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS conf, avg(CAST(t AS DOUBLE)) AS freq FROM r GROUP BY ALL), e AS (SELECT endpoint, fold, CASE WHEN sum(n) >= 20 THEN sum(n * abs(conf - freq)) / sum(n) END AS exceed_ece FROM b GROUP BY ALL),
+a AS (SELECT endpoint, fold, count(*) AS dec_n_resolvable, avg(CAST(p < 0.5 AS DOUBLE)) FILTER (WHERE t) AS fs, avg(CAST(p >= 0.5 AS DOUBLE)) FILTER (WHERE NOT t) AS fl, avg(abs(p - CAST(t AS DOUBLE))) AS g FROM r GROUP BY ALL),
+m AS (SELECT endpoint, fold, count(*) AS n_test, count(*) FILTER (WHERE exact_mask) AS acc_n_exact, """ + ACC + """, """ + VIO + """, avg(CAST(value_p BETWEEN mu - 1.6448536269514722 * sigma AND mu + 1.6448536269514722 * sigma AS DOUBLE)) FILTER (WHERE exact_mask) AS cov, avg(2 * 1.6448536269514722 * sigma) FILTER (WHERE exact_mask) AS wid FROM pred GROUP BY ALL)
+SELECT endpoint, fold, n_test, acc_n_exact, CASE WHEN acc_n_exact >= 3 THEN mae END AS acc_mae, CASE WHEN acc_n_exact >= 3 THEN rmse END AS acc_rmse, violation_rate AS viol_violation_rate, coalesce(dec_n_resolvable, 0) AS dec_n_resolvable, CASE WHEN dec_n_resolvable >= 5 THEN fs END AS dec_false_safe_rate, CASE WHEN dec_n_resolvable >= 5 THEN g END AS dec_decision_regret,
+  CASE WHEN acc_n_exact >= 10 THEN cov END AS cov90, CASE WHEN acc_n_exact >= 10 THEN wid END AS cov90_width, exceed_ece FROM m LEFT JOIN a USING (endpoint, fold) LEFT JOIN e USING (endpoint, fold)""", ("acc_mae", "acc_rmse", "viol_violation_rate", "dec_false_safe_rate", "dec_decision_regret", "cov90", "cov90_width", "exceed_ece"))
+def score_rows(spark, sf_dir):
+    pred = saved(assay_predictions(spark, sf_dir).select("endpoint", "fold", "exact_mask", "value_p", "lower", "upper", "mu", "sigma"))
+    return metrics.score_row(pred, ["endpoint", "fold"], F.lit(5.0)).select("endpoint", "fold", "n_test", "acc_n_exact", "acc_mae", "acc_rmse", "viol_violation_rate", "dec_n_resolvable", "dec_false_safe_rate", "dec_decision_regret", "cov90", "cov90_width", "exceed_ece")
+
+
+@query(_PROB + """, c AS (SELECT endpoint, CASE WHEN upper = 'inf'::DOUBLE THEN 'right' WHEN lower = '-inf'::DOUBLE THEN 'left' ELSE 'interval' END AS direction, round(greatest(0.85 - q, 0) ** 2, 9) AS d FROM q WHERE NOT exact_mask),
+e AS (SELECT endpoint, quantile_cont(d, 0.75) AS eta FROM c WHERE direction = 'right' GROUP BY 1), ends AS (SELECT DISTINCT endpoint FROM c)
+SELECT endpoint, 'left_mean' AS "constraint", 0.05 AS eps, coalesce(g, 0) AS "G" FROM ends LEFT JOIN (SELECT endpoint, avg(d) AS g FROM c WHERE direction = 'left' GROUP BY 1) USING (endpoint)
+UNION ALL SELECT endpoint, 'right_tail', 0.1, coalesce(g, 0) FROM ends LEFT JOIN (SELECT endpoint, eta + avg(greatest(d - eta, 0)) / 0.25 AS g FROM c JOIN e USING (endpoint) WHERE direction = 'right' GROUP BY endpoint, eta) USING (endpoint)""", ("eps", '"G"'))
+def constraint_values(spark, sf_dir):
+    q = D.interval_probability(mean(), F.col("sigma"), F.col("lower"), F.col("upper"), F.col("exact_mask"))
+    rows = saved(assay_predictions(spark, sf_dir).where("not exact_mask").select("endpoint", direction().alias("direction"), F.round(D.deficit(q, 0.85), 9).alias("d")))
+    listed = spark.createDataFrame([("left_mean", "left", 0.05, "mean", None), ("right_tail", "right", 0.1, "cvar", 0.25)], "constraint string, direction string, eps double, reduction string, alpha double")
+    return metrics.reduced(rows, listed, ["endpoint"])
+
+
+@query(OBS_SQL + """ SELECT endpoint, CASE WHEN upper = 'inf'::DOUBLE THEN 'right' WHEN lower = '-inf'::DOUBLE THEN 'left' ELSE 'interval' END AS "constraint", CASE WHEN upper = 'inf'::DOUBLE THEN 'right' WHEN lower = '-inf'::DOUBLE THEN 'left' ELSE 'interval' END AS direction, CAST(0.05 AS DOUBLE) AS eps, count(*) AS n FROM obs WHERE NOT exact_mask GROUP BY ALL""")
+def direction_budgets(spark, sf_dir):
+    return metrics.direction_constraints(observations(spark, sf_dir), 0.05, ["endpoint"])
+
+
+@query(_CELLS + " SELECT treatment, eps, avg(mae) AS mae, count(*) AS n_cells FROM cells GROUP BY ALL", ("eps", "mae"))
+def cell_means(spark, sf_dir):
+    return inference.cell_mean(result_cells(spark, sf_dir), "mae", ["treatment", "eps"])
+
+
+@query(_CELLS + " SELECT 'tobit' AS a, count(*) AS n, median(m.mae - b.mae) AS median_delta FROM means m JOIN means b USING (endpoint) WHERE m.treatment = 'tobit' AND b.treatment = 'exact_only' AND m.mae - b.mae IS NOT NULL HAVING count(*) >= 3", ("median_delta",))
+def treatment_deltas(spark, sf_dir):
+    means = _means(spark, sf_dir).withColumn("a", F.lit("tobit"))
+    return inference.treatment_delta(means, "mae", "tobit", "exact_only", ["a"])
+
+
+@query(_CELLS + """, c AS (SELECT endpoint, fold, eps, avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask AND upper = 'inf'::DOUBLE) AS g_right, avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask AND lower = '-inf'::DOUBLE) AS g_left, avg(CAST(mu < lower OR mu > upper AS DOUBLE)) FILTER (WHERE NOT exact_mask) AS v FROM moved WHERE treatment LIKE 'satisficing@%' GROUP BY ALL),
+x AS (SELECT *, greatest(g_right, g_left) - eps AS x FROM c) SELECT eps, count(*) AS n, avg(CAST(coalesce(x, 0) <= 1e-3 AS DOUBLE)) AS feasible, median(x) AS median_excess, max(x) AS max_excess, avg(v) AS violation_rate FROM x GROUP BY 1""", ("eps", "feasible", "median_excess", "max_excess", "violation_rate"))
+def budget_feasibility(spark, sf_dir):
+    cells = result_cells(spark, sf_dir).where(F.col("treatment").startswith("satisficing@"))
+    return inference.budget_sweep(cells.select("eps", F.col("violation_right").alias("g_right"), F.col("violation_left").alias("g_left"), "violation_rate"))
+
+
+_ERRORS = _hidden_sql(0.0).removeprefix("WITH ")
+
+
+@query("WITH " + _ERRORS + """, mu AS (SELECT endpoint, avg(value_p) AS mu FROM obs WHERE exact_mask GROUP BY 1),
+e AS (SELECT 'natural' AS mode, endpoint, t AS treatment, avg(abs(mu + s - value_p)) AS hidden_mae FROM h JOIN mu USING (endpoint), (VALUES ('exact_only', 0.0), ('tobit', 0.3)) a(t, s) WHERE recensored GROUP BY ALL)
+SELECT mode, treatment, avg(hidden_mae) AS mean, stddev(hidden_mae) AS sd, count(*) AS n FROM e GROUP BY ALL""", ("mean", "sd"))
+def hidden_error_summary(spark, sf_dir):
+    return inference.hidden_summary(_hidden_errors(spark, sf_dir))
+
+
+def _hidden_errors(spark, sf_dir: str) -> DataFrame:
+    """Errors on re-censored rows of the endpoint's mean, and of it shifted by 0.3: two made-up arms."""
+    obs = observations(spark, sf_dir)
+    mu = obs.where("exact_mask").groupBy("endpoint").agg(F.avg("value_p").alias("mu"))
+    rows = censoring.censored_again(obs).where("recensored").join(mu, "endpoint")
+    arms = F.explode(F.array(*(F.struct(F.lit(t).alias("treatment"), F.lit(s).alias("s")) for t, s in (("exact_only", 0.0), ("tobit", 0.3)))))
+    return rows.select("endpoint", "mu", "value_p", arms.alias("a")).groupBy(F.lit("natural").alias("mode"), "endpoint", "a.treatment").agg(F.avg(F.abs(F.col("mu") + F.col("a.s") - F.col("value_p"))).alias("hidden_mae"))
+
+
+@query("WITH " + _ERRORS + """, mu AS (SELECT endpoint, avg(value_p) AS mu FROM obs WHERE exact_mask GROUP BY 1),
+e AS (SELECT endpoint, avg(abs(mu - value_p)) AS a, avg(abs(mu + 0.3 - value_p)) AS b FROM h JOIN mu USING (endpoint) WHERE recensored GROUP BY ALL)
+SELECT 'censor_aware_recovers_hidden_truth' AS name, CASE WHEN count(*) >= 3 THEN median(b) < median(a) END AS pass FROM e""")
+def success_criteria(spark, sf_dir):
+    return inference.criteria(spark, hidden=_hidden_errors(spark, sf_dir)).drop("detail")
+
+
+@query("SELECT count(*) AS n, sum(list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 0 ELSE CAST(x AS DOUBLE) END))) AS total FROM embeddings", ("total",))
+def imputed_features(spark, sf_dir):
+    x = features.finite(F.col("embedding"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.count("*").alias("n"), F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+@query("SELECT p_brand, count(*) AS n, count(DISTINCT p_name) AS n_keys, CAST(sum(3 * length(p_name) - 3) AS DOUBLE) AS total FROM part GROUP BY 1")
+def keyed_features(spark, sf_dir):
+    rows = features.featured(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_brand"), "p_name", bits=64, longest=3)
+    return rows.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_distinct("p_name").alias("n_keys"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+@query("""SELECT e AS endpoint, CAST(f AS VARCHAR) AS fold, CASE WHEN f >= 5 THEN 'no_fold' END AS error FROM unnest(['A_F', 'N_O', 'R_F']) a(e), range(7) b(f)""")
+def missing_folds(spark, sf_dir):
+    wanted = grid.specs(spark, endpoint=["A_F", "N_O", "R_F"], fold=[str(f) for f in range(7)], split_kind=["random"])
+    there, missing = grid.with_folds(wanted, splits.make_splits(observations(spark, sf_dir), ("random",)))
+    return there.withColumn("error", F.lit(None).cast("string")).unionByName(missing).select("endpoint", "fold", "error")
+
+
+_STUDY = " UNION ALL ".join(f"""SELECT {seed} AS seed, endpoint, 'split' AS method, coverage, interval_score FROM (WITH k AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('{seed}|' || row_id), row_id) <= greatest(50, floor(0.2 * count(*) OVER (PARTITION BY endpoint))) AS calibration FROM pred),
+s AS (SELECT *, abs(value_p - mu) / greatest(sigma, 1e-6) AS s FROM k WHERE exact_mask AND calibration), q AS (SELECT endpoint, s AS q FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY s) AS r, count(*) OVER (PARTITION BY endpoint) AS n FROM s) WHERE n >= 10 AND r = least(ceil((n + 1.0) * 0.9) + 1, n)),
+t AS (SELECT k.*, coalesce(q.q, 1.6448536269514722) AS q FROM k LEFT JOIN q USING (endpoint) WHERE NOT calibration) SELECT endpoint, {_COVER.format(q='q')} FROM t WHERE exact_mask GROUP BY ALL)
+UNION ALL SELECT {seed}, endpoint, 'raw', coverage, interval_score FROM (WITH k AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('{seed}|' || row_id), row_id) <= greatest(50, floor(0.2 * count(*) OVER (PARTITION BY endpoint))) AS calibration FROM pred) SELECT endpoint, {_COVER.format(q='1.6448536269514722')} FROM k WHERE exact_mask AND NOT calibration GROUP BY ALL)""" for seed in (0, 1))
+
+
+@query(PRED_SQL + " " + _STUDY, ("coverage", "interval_score"))
+def conformal_study(spark, sf_dir):
+    pred = saved(assay_predictions(spark, sf_dir).select("row_id", "endpoint", "source_name", "exact_mask", "value_p", "mu", "sigma"))
+    return conformal.study(pred, ["endpoint"], "source_name", (0, 1)).where("method <> 'mondrian'").select("seed", "endpoint", "method", "coverage", "interval_score")
+
+
+def _fit_rows(spark, sf_dir: str) -> DataFrame:
+    """The fixture with assay folds and two features."""
+    rows = _folded(spark, sf_dir).withColumns({"x1": (F.col("assay_id").cast("double") % 100) / 100, "x2": F.length("scaffold").cast("double") / 10})
+    return rows.select("row_id", "endpoint", "fold", "lower", "upper", "exact_mask", "value_p", "censoring_class", "x1", "x2")
+
+
+def fitted_models(spark, sf_dir):
+    """Iterative fits (no SQL form): eight treatments, each endpoint, fold 0, scored on their test rows."""
+    rows = _fit_rows(spark, sf_dir)
+    ends = [r[0] for r in rows.select("endpoint").distinct().orderBy("endpoint").collect()]
+    cells = [{"endpoint": e, "fold": 0, "treatment": t, "eps": w, "hidden": 3 if t.startswith("ensemble") else 0} for e in ends for t, w in (("exact_only", 0.0), ("tobit", 0.0), ("weighted_tobit", 0.25), ("weighted_tobit_anchor", 0.25), ("soft_satisficing", 4.0), ("satisficing", 0.02), ("aft_conc", 0.0), ("ensemble_satisficing", 0.05), ("no_such", 0.0))]
+    scores, _ = grid.run_cells(rows, ["x1", "x2"], cells)
+    return scores
+
+
+def fitted_inference(spark, sf_dir):
+    """Paired inference over fitted cells: plain, Tobit and two budgets on every endpoint and two folds (no SQL form)."""
+    rows = _fit_rows(spark, sf_dir)
+    ends = [r[0] for r in rows.select("endpoint").distinct().orderBy("endpoint").collect()]
+    scores, _ = grid.run_cells(rows, ["x1", "x2"], grid.sweep(ends, (0, 1), "main", (0.02, 0.1)))
+    cells = scores.where("error is null").withColumns({"treatment": inference.treatment_label(F.col("treatment"), F.col("eps")), "violation_rate": F.col("viol_violation_rate")})
+    means = saved(inference.endpoint_means(cells, ["violation_rate"], ["endpoint", "treatment", "eps"]))
+    return inference.paired(means, "violation_rate", "exact_only", [])
+
+
+def hidden_truth_study(spark, sf_dir):
+    """Both modes: exact rows are censored again, four treatments are fitted on what is left and scored on the truth (no SQL form)."""
+    folded = saved(_folded(spark, sf_dir).withColumns({"x1": (F.col("assay_id").cast("double") % 100) / 100, "x2": F.length("scaffold").cast("double") / 10}))
+    ends = [r[0] for r in folded.select("endpoint").distinct().orderBy("endpoint").collect()]
+    out = None
+    for mode, strength in (("natural", 0.0), ("informative", 0.8)):
+        again = saved(censoring.censored_again(folded, strength))
+        rows = again.select("row_id", "endpoint", "fold", F.col("hidden_lower").alias("lower"), F.col("hidden_upper").alias("upper"), (~F.col("recensored")).alias("exact_mask"), "value_p", "recensored", "x1", "x2")
+        cells = [{"endpoint": e, "fold": 0, "treatment": t, "eps": 0.05, "nu": 0.0} for e in ends for t in ("exact_only", "tobit", "satisficing", "aft_conc")]
+        predicted = fitting.apply_cells(rows, ["x1", "x2"], fitting.fit_cells(rows, ["x1", "x2"], cells))
+        e = F.when(F.col("recensored"), F.abs(F.col("mu") - F.col("value_p")))
+        scores = predicted.groupBy(F.lit(mode).alias("mode"), "endpoint", "treatment").agg(F.when(F.count(e) >= 3, F.avg(e)).alias("hidden_mae"), F.avg(F.when(F.col("exact_mask"), F.abs(F.col("mu") - F.col("value_p")))).alias("observed_mae"), F.count(e).alias("n_hidden"))
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+def censoring_predictability(spark, sf_dir):
+    """How well the compound's and the assay's features tell censored rows (no SQL form)."""
+    rows = _fit_rows(spark, sf_dir)
+    return censoring.predict_censoring(rows, {"compound": ["x2"], "assay": ["x1"]}, F.col("fold") != 0)
+
+
+def censoring_informativeness(spark, sf_dir):
+    """The permutation test of one endpoint's test fold (no SQL form)."""
+    rows = saved(_fit_rows(spark, sf_dir).where("endpoint = 'A_F'"))
+    return censoring.informativeness(rows, ["x1", "x2"], F.col("fold") != 0, permutations=200)
+
+
+for f in (mixed_effects_reml, fitted_models, fitted_inference, hidden_truth_study, censoring_predictability, censoring_informativeness):
+    QUERIES[f.__name__] = f

@@ -44,16 +44,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.withColumn("value_p", F.when(F.col("exact_mask"), F.col("p_true")))
 
 
-def sanitised(rows: DataFrame) -> DataFrame:
-    """Opens the censored side of each bound and marks exact rows (finite, equal within tolerance)."""
+def sanitised(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """Opens the censored side of each bound and marks exact rows: finite and equal, within a tolerance unless `strict`.
+
+    A column exact_mask that the rows bring wins where it isn't null.
+    """
     inf = F.lit(float("inf"))
     name = F.when(F.col("censoring_class") == "interval", "interval_censored_p").otherwise(F.col("censoring_class"))
     lower = F.when(name == "left_censored_p", -inf).otherwise(F.nanvl("lower", F.lit(None).cast("double")))
     upper = F.when(name == "right_censored_p", inf).otherwise(F.nanvl("upper", F.lit(None).cast("double")))
-    near = F.abs(F.col("lower") - F.col("upper")) <= 1e-8 + 1e-5 * F.abs("upper")
+    near = F.col("lower") == F.col("upper") if strict else F.abs(F.col("lower") - F.col("upper")) <= 1e-8 + 1e-5 * F.abs("upper")
     finite = (F.abs("lower") < inf) & (F.abs("upper") < inf)
     rows = rows.withColumns({"censoring_class": name, "lower": lower, "upper": upper})
-    rows = rows.withColumn("exact_mask", F.coalesce((F.col("censoring_class") == "exact") & finite & near, F.lit(False)))
+    given = F.col("exact_mask") if "exact_mask" in rows.columns else F.lit(None).cast("boolean")
+    rows = rows.withColumn("exact_mask", F.coalesce(given, (F.col("censoring_class") == "exact") & finite & near, F.lit(False)))
     return rows.withColumn("lower", F.when(F.col("exact_mask"), F.col("upper")).otherwise(F.col("lower")))
 
 
@@ -63,6 +67,32 @@ def direction() -> F.Column:
     return F.when(F.col("exact_mask"), "exact").when(F.col("upper") == inf, "right").when(F.col("lower") == -inf, "left").otherwise("interval")
 
 
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture as a raw measurement table: what loaders and curation rules read, with faults that a hash of the row decides."""
+    h = F.conv(F.substring(F.md5(F.col("row_id").cast("binary")), 1, 8), 16, 10).cast("long")
+    kind, pick = F.col("censoring_class"), lambda n, *cases: _cases(F.col("h") % n, cases)
+    rows = observations(spark, sf_dir).withColumn("h", h)
+    child = F.concat(F.lit("C"), F.col("compound_id"))
+    return rows.select(
+        F.col("row_id").alias("activity_id"), F.substring("endpoint", 1, 1).alias("target_key"), F.substring("endpoint", 3, 1).alias("standard_type"), pick(3, "B", "F").alias("assay_type"), (F.col("h") % 10 != 0).alias("core_clean"),
+        F.when(F.col("h") % 7 != 0, F.when(F.col("h") % 31 == 0, F.concat(child, F.lit(".Cl"))).otherwise(child)).alias("parent_structure"), F.when(F.col("h") % 77 != 0, child).alias("child_structure"),
+        kind.alias("censoring_class"), F.when(kind == "left_censored_p", F.col("upper") - 1).otherwise(F.col("lower")).alias("lower_bound_p"), F.when(kind == "right_censored_p", F.col("lower") + 1).otherwise(F.col("upper")).alias("upper_bound_p"),
+        "assay_id", "document_id", "source_name", F.when(F.col("h") % 11 != 0, 1990 + F.col("h") % 30).alias("document_year"), (7 + F.col("h") % 3).alias("confidence_score"),
+        F.when(kind == "left_censored_p", pick(2, "<", "<=")).when(kind == "right_censored_p", pick(2, ">", ">=")).when(F.col("h") % 50 == 0, F.lit("~")).otherwise(F.lit("=")).alias("standard_relation"),
+        pick(9, "uM", "nM").alias("unit"), pick(8, None, "Manually validated", "Outside typical range", "Potential missing data", None).alias("validity"), pick(12, "Not Active", "see paper", "highly active", None).alias("comment"),
+        (F.col("h") % 13 == 0).cast("int").alias("potential_duplicate"), (F.col("h") % 140).alias("heavy_atoms"), (F.col("h") % 1400).cast("double").alias("weight"), (F.col("h") % 97 != 0).alias("organic"),
+        F.lit("SINGLE PROTEIN").alias("target_type"), pick(6, "Mus musculus", "Homo sapiens").alias("organism"), F.col("value_p").alias("p_value"), "p_true", "conc", "endpoint", "scaffold", "compound_id",
+    )
+
+
+def _cases(n: F.Column, cases: tuple) -> F.Column:
+    """cases[n], the last one from there on."""
+    out = F.lit(cases[-1]).cast("string")
+    for i in reversed(range(len(cases) - 1)):
+        out = F.when(n == i, F.lit(cases[i]).cast("string")).otherwise(out)
+    return out
+
+
 #: The fixture in DuckDB's words, written on its own; each oracle begins with it.
 OBS_SQL = """WITH obs AS (
   SELECT *, 9 - log10(conc) AS p_true,
@@ -80,3 +110,12 @@ OBS_SQL = """WITH obs AS (
     )
   )
 )"""
+
+MEAS_SQL = OBS_SQL + """, hashed AS (SELECT *, ('0x' || substr(md5(row_id), 1, 8))::BIGINT AS h FROM obs),
+meas AS (SELECT row_id AS activity_id, substr(endpoint, 1, 1) AS target_key, substr(endpoint, 3, 1) AS standard_type, CASE h % 3 WHEN 0 THEN 'B' ELSE 'F' END AS assay_type, h % 10 <> 0 AS core_clean,
+  CASE WHEN h % 7 <> 0 THEN 'C' || compound_id || CASE WHEN h % 31 = 0 THEN '.Cl' ELSE '' END END AS parent_structure, CASE WHEN h % 77 <> 0 THEN 'C' || compound_id END AS child_structure,
+  censoring_class, lower, upper, exact_mask, assay_id, document_id, source_name, CASE WHEN h % 11 <> 0 THEN 1990 + h % 30 END AS document_year, 7 + h % 3 AS confidence_score,
+  CASE censoring_class WHEN 'left_censored_p' THEN CASE h % 2 WHEN 0 THEN '<' ELSE '<=' END WHEN 'right_censored_p' THEN CASE h % 2 WHEN 0 THEN '>' ELSE '>=' END ELSE CASE WHEN h % 50 = 0 THEN '~' ELSE '=' END END AS standard_relation,
+  CASE h % 9 WHEN 0 THEN 'uM' ELSE 'nM' END AS unit, CASE h % 8 WHEN 1 THEN 'Manually validated' WHEN 2 THEN 'Outside typical range' WHEN 3 THEN 'Potential missing data' END AS validity,
+  CASE h % 12 WHEN 0 THEN 'Not Active' WHEN 1 THEN 'see paper' WHEN 2 THEN 'highly active' END AS comment, CAST(h % 13 = 0 AS INTEGER) AS potential_duplicate, h % 140 AS heavy_atoms, CAST(h % 1400 AS DOUBLE) AS weight, h % 97 <> 0 AS organic,
+  CASE h % 6 WHEN 0 THEN 'Mus musculus' ELSE 'Homo sapiens' END AS organism, value_p AS p_value, p_true, conc, endpoint, scaffold, compound_id, h FROM hashed)"""
