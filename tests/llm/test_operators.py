@@ -314,3 +314,26 @@ def test_flow_against_every_integer_flow():
             into[s] += n
         assert all(used[p] <= 2 * patterns[p] for p in used) and all(into[s] <= quotas[s] for s in into)
         assert (-sum(sent.values()), sum(max(0, used[p] - patterns[p]) for p in patterns)) == (best or (0, 0))
+
+
+@pytest.mark.parametrize("groups", [None, 6])
+def test_top_k_prunes_clusters(spark, groups):
+    """Twenty clusters: a group of queries needs few of the rows, and nothing is lost. Hot and repeated vectors included."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 12))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.repeat(centres, 120, axis=0) + rng.normal(scale=0.02, size=(2400, 12))
+    x[:300] = x[0]
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    rows += [(0, rows[0][1]), (7, rows[2000][1])]  # a repeated query row, and an id with two vectors
+    seen = []
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 7 == 0, 5, groups=groups, seen=seen)
+    y = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    ids = [i for i, _ in rows]
+    want = Counter()
+    for q, i in enumerate(ids):
+        if i % 7 == 0:
+            best = sorted((-int(y[q] @ y[j]), ids[j]) for j in range(len(rows)) if ids[j] != i)[:5]
+            want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+    assert Counter(map(tuple, found.collect())) == want
+    assert seen[0].total <= len(rows) if groups is None else seen[0].share < 0.3
