@@ -1,23 +1,28 @@
 """License scans: base phrases, and an exact set-similarity join with notice templates.
 
-A text block is a line. A template matches a block that holds at least
-`threshold` of the template's different words. Words of templates are ordered by
-how many blocks of the whole corpus hold them, rarest first. With o words
-needed of a template of n, a matching block holds one of the n - o + 1 rarest
-(prefix filter), has o words (length filter) and still has o template words
-from the first shared one on (positional filter). Candidates are joined with
-the prefixes and verified in full, so no match is lost.
+Text blocks don't depend on line breaks: for each size class of templates (up to
+16, 32, 64, 128 words and so on) they are windows of twice that many words, one
+for each half, so a notice lies whole in one of them however it is wrapped. A
+template matches a block of its class that holds at least `threshold` of the
+template's different words. Words of templates are ordered by how many blocks'
+texts hold them, rarest first. With o words needed of a template of n, a
+matching block holds one of the n - o + 1 rarest (prefix filter), has o words
+(length filter) and still has o template words from the first shared one on
+(positional filter). Candidates are joined with the prefixes and verified in
+full, so no match is lost.
 
 One pass counts template words, one reads blocks; only candidate blocks leave
-it. The templates are a fixed list, so their tables are broadcast.
+it. The templates are a fixed list; their table is broadcast if it is small.
 
 Nulls: a null text is empty. Rows with equal doc_id and text share their labels;
-each is reported. A null doc_id is a value. An empty table gives no rows. Extra
-columns are ignored.
+each is reported. A null doc_id is a value. Very long texts and lines are read
+whole. Of several templates with one label the best part counts, so ties don't
+matter. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from math import ceil
 
@@ -26,22 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, table
+from .notices import NOTICES
 
-THRESHOLD = 0.8
-#: Base phrases, and wordings of public licence notices.
+THRESHOLD, LEAST_CLASS, MOST_BROADCAST = 0.8, 16, 100_000
+#: Base phrases.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-]
 #: Letters a-z, digits and bytes from 128 on stay; A-Z become a-z; the rest are gaps.
-WORDS = bytes(x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else x + 32 if 65 <= x <= 90 else 10 if x == 10 else 32 for x in range(256))
+WORDS = bytes(x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
+
+
+def size_class(words: str) -> int:
+    """The smallest power of two, LEAST_CLASS at least, that holds the template."""
+    c = LEAST_CLASS
+    while c < len(words.split()):
+        c *= 2
+    return c
 
 
 def counter(vocabulary: frozenset[bytes]):
@@ -49,22 +53,33 @@ def counter(vocabulary: frozenset[bytes]):
         for b in batches:
             found: Counter = Counter()
             for t in b.column("text"):
-                for line in (t.as_py() or b"").translate(WORDS).split(b"\n"):
-                    found.update(vocabulary.intersection(line.split()))
+                found.update(vocabulary.intersection((t.as_py() or b"").translate(WORDS).split()))
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found]), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     return run
 
 
-def reader(rank: dict[bytes, int], prefixes: frozenset[bytes], phrases: list[tuple[list[bytes], str]]):
+def blocks_of(words: list[bytes], rank: dict[bytes, int], prefixes: dict[int, frozenset[bytes]]) -> list[dict]:
+    """The windows that hold a prefix word of their class: class, different words, ranks of template words."""
+    places = [i for i, w in enumerate(words) if w in rank]
+    out = []
+    for size, marks in prefixes.items():
+        windows = {k for i in places if words[i] in marks for k in (i // size, i // size - 1) if k >= 0}
+        for k in sorted(windows):
+            low, high = k * size, (k + 2) * size
+            held = {rank[words[places[j]]] for j in range(bisect_left(places, low), bisect_left(places, high))}
+            out.append({"class": size, "size": len(set(words[low:high])), "ranks": sorted(held)})
+    return out
+
+
+def reader(rank: dict[bytes, int], prefixes: dict[int, frozenset[bytes]], phrases: list[tuple[list[bytes], str]]):
     """A row a document: its base counts, and its candidate blocks as ranks of template words."""
 
     def run(batches):
         for b in batches:
             out = []
             for t in b.column("text"):
-                text = (t.as_py() or b"").translate(WORDS)
-                words = text.split()
+                words = (t.as_py() or b"").translate(WORDS).split()
                 places, labels = [], set()
                 joined = b" ".join(words)
                 for phrase, label in phrases:
@@ -73,42 +88,40 @@ def reader(rank: dict[bytes, int], prefixes: frozenset[bytes], phrases: list[tup
                         places += at
                         if at:
                             labels.add(label)
-                blocks = []
-                for line in text.split(b"\n"):
-                    held = set(line.split())
-                    if not prefixes.isdisjoint(held):
-                        blocks.append({"size": len(held), "ranks": sorted(rank[w] for w in held if w in rank)})
-                out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), blocks))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("size", pa.int64()), ("ranks", pa.list_(pa.int32()))])))
+                out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), blocks_of(words, rank, prefixes)))
+            block = pa.struct([("class", pa.int64()), ("size", pa.int64()), ("ranks", pa.list_(pa.int32()))])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(block))
             cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), *cols], ["doc_id", "copy", "n_words", "n_base", "first_word", "last_word", "base_labels", "blocks"])
 
     return run
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, templates=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     text = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("copy"), F.col("text").cast("binary").alias("text"))
-    sets = [(label, set(words.split())) for label, words in templates]
-    vocabulary = frozenset(w.encode() for _, s in sets for w in s)
+    sets = [(label, size_class(words), set(words.split())) for label, words in templates]
+    vocabulary = frozenset(w.encode() for *_, s in sets for w in s)
     counts = text.select("text").mapInArrow(counter(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     seen = {r["word"]: r["n"] for r in counts.collect()}  # the templates' words at most
     order = sorted((w.decode() for w in vocabulary), key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    index, prefixes = [], set()
-    for k, (label, s) in enumerate(sets):
+    index, marks = [], {}
+    for label, size, s in sets:
         ranks = sorted(rank[w] for w in s)
         need = ceil(threshold * len(ranks) - 1e-9)
-        index += [(k, label, r, ranks, need) for r in ranks[: len(ranks) - need + 1]]
-        prefixes |= {order[r].encode() for r in ranks[: len(ranks) - need + 1]}
+        index += [(label, size, r, ranks, need) for r in ranks[: len(ranks) - need + 1]]
+        marks.setdefault(size, set()).update(order[r].encode() for r in ranks[: len(ranks) - need + 1])
+    prefixes = {size: frozenset(m) for size, m in marks.items()}
     phrases = [([w.encode() for w in p.split()], label) for p, label in PHRASES.items()]
-    layout = "doc_id long, copy string, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks array<struct<size: long, ranks: array<int>>>"
-    base = saved(text.mapInArrow(reader({w.encode(): i for w, i in rank.items()}, frozenset(prefixes), phrases), layout))
-    blocks = base.select("doc_id", "copy", F.explode("blocks").alias("block")).select("doc_id", "copy", F.col("block.size").alias("size"), F.col("block.ranks").alias("ranks"))
+    layout = "doc_id long, copy string, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks array<struct<class: long, size: long, ranks: array<int>>>"
+    base = saved(text.mapInArrow(reader({w.encode(): i for w, i in rank.items()}, prefixes, phrases), layout))
+    blocks = base.select("doc_id", "copy", F.explode("blocks").alias("block")).select("doc_id", "copy", F.col("block.class").alias("class"), F.col("block.size").alias("size"), F.col("block.ranks").alias("ranks"))
     starts = blocks.select("*", F.posexplode("ranks").alias("place", "rank"))
-    prefix = F.broadcast(spark.createDataFrame(index, "template int, label string, prefix int, words array<int>, need int"))
-    near = starts.join(prefix, F.col("rank") == F.col("prefix")).where((F.col("size") >= F.col("need")) & (F.size("ranks") - F.col("place") >= F.col("need")))
+    prefix = spark.createDataFrame(index, "label string, of_class long, prefix int, words array<int>, need int")
+    prefix = F.broadcast(prefix) if len(index) <= MOST_BROADCAST else prefix
+    near = starts.join(prefix, (F.col("rank") == F.col("prefix")) & (F.col("class") == F.col("of_class"))).where((F.col("size") >= F.col("need")) & (F.size("ranks") - F.col("place") >= F.col("need")))
     shared = F.size(F.array_intersect("ranks", "words"))
     hits = near.where(shared >= F.col("need")).select(F.col("doc_id").alias("h_doc"), F.col("copy").alias("h_copy"), "label", (shared / F.size("words")).alias("part"))
     hits = hits.groupBy("h_doc", "h_copy").agg(F.collect_set("label").alias("found"), F.max("part").alias("part"))
@@ -125,7 +138,7 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-_VALUES = ", ".join(f"({k}, '{label}', list_distinct(string_split('{words}', ' ')))" for k, (label, words) in enumerate(TEMPLATES))
+_VALUES = ", ".join(f"({size_class(words)}, '{label}', list_distinct(string_split('{words}', ' ')))" for label, words in NOTICES)
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS text FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, {_WORD})) AS word, generate_subscripts(regexp_extract_all(text, {_WORD}), 1) - 1 AS i FROM d),
@@ -135,10 +148,11 @@ base AS (
   UNION ALL SELECT r, i, 'gpl' FROM n WHERE word = 'general' AND w2 = 'public' AND w3 = 'license'
   UNION ALL SELECT r, i, 'reserved' FROM n WHERE word = 'all' AND w2 = 'rights' AND w3 = 'reserved'
 ),
-t(k, label, words) AS (VALUES {_VALUES}),
-b AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), {_WORD})) AS words FROM d),
+t(size, label, words) AS (VALUES {_VALUES}),
+c AS (SELECT DISTINCT size FROM t),
+b AS (SELECT r, size, k, list(DISTINCT word) AS words FROM (SELECT r, size, word, unnest([i // size, i // size - 1]) AS k FROM w, c) WHERE k >= 0 GROUP BY r, size, k),
 hit AS (
-  SELECT r, label, len(list_intersect(t.words, b.words)) / len(t.words) AS part FROM b, t
+  SELECT r, label, len(list_intersect(t.words, b.words)) / len(t.words) AS part FROM b JOIN t ON b.size = t.size
   WHERE len(list_intersect(t.words, b.words)) >= ceil({THRESHOLD} * len(t.words) - 1e-9)
 ),
 lab AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM hit) GROUP BY r),

@@ -10,7 +10,7 @@ import sentencepiece
 from helpers import components, documents, duck, simhash, spark_rows, write_tables
 from pyspark.sql import functions as F
 
-from boundlab.llm import chat, language_model, mixing, pieces, sharding, simhash as sim, topk, toxicity
+from boundlab.llm import chat, language_model, licenses, mixing, pieces, sharding, simhash as sim, topk, toxicity
 from boundlab.llm.common import table
 from boundlab.llm.registry import ORACLES, QUERIES
 
@@ -337,3 +337,84 @@ def test_top_k_prunes_clusters(spark, groups):
             want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
     assert Counter(map(tuple, found.collect())) == want
     assert seen[0].total <= len(rows) if groups is None else seen[0].share < 0.3
+
+
+def test_license_notice_however_wrapped(spark):
+    mit = dict(reversed([(label, words) for label, words in licenses.NOTICES if label == "mit"]))["mit"]
+    lines = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    noise = lambda n: " ".join(f"w{i}" for i in range(n))
+    words = mit.split()
+    rows = [(1, lines), (2, mit.upper()), (3, noise(5001) + "\n" + lines + "\n" + noise(70)), (4, " ".join(words[: len(words) // 2])), (5, " ".join(w + " " + noise(5) for w in words)), (6, " ".join(words[::-1])), (7, None), (8, " ".join(w for w in words if w != "merge")), (9, "x" * 200_000 + " " + mit)]
+    made = {r["doc_id"]: (r["labels"], round(r["score"], 3)) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(made[i] == ("mit", 1.0) for i in (1, 2, 3, 6, 9)) and made[8][0] == "mit" and 0.8 <= made[8][1] < 1
+    assert made[4][0] == made[5][0] == made[7][0] == ""
+    brute = lambda t: {label for label, ws in licenses.NOTICES for c in [licenses.size_class(ws)] for k in range(0, max(1, len(t)), c) if len(set(ws.split()) & set(t[k : k + 2 * c])) >= math.ceil(0.8 * len(set(ws.split())) - 1e-9)}
+    assert all(",".join(sorted(brute((t or "").lower().split()))) == made[i][0] for i, t in rows)
+
+
+def unigram_model():
+    """A hand-made model file: pieces with scores, no normalisation, no dummy prefix."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def message(number, body):
+        return varint(number << 3 | 2) + varint(len(body)) + body
+
+    import struct
+
+    rng = np.random.default_rng(12)
+    words = sorted({"".join(rng.choice(list("abcd\u2581"), n)) for n in (1, 1, 1, 1, 2, 2, 2, 2, 2, 3, 3, 3, 3, 4, 5) for _ in range(4)} | set("abcd\u2581"))
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((w, float(np.float32(-rng.uniform(1, 9))), 1) for w in words)]
+    raw = b"".join(message(1, message(1, w.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(t)) for w, s, t in pieces_)
+    flag = lambda n, v: varint(n << 3) + varint(v)
+    return raw + message(2, flag(3, 1)) + message(3, message(1, b"identity") + flag(3, 0) + flag(4, 0) + flag(5, 1)), pieces_
+
+
+def test_unigram_best_path_by_brute_force(spark):
+    """The relaxation against the library, and against every segmentation of short texts."""
+    raw, known = unigram_model()
+    model = pieces.Model(raw)
+    assert not model.bpe
+    library = sentencepiece.SentencePieceProcessor()
+    library.LoadFromSerializedProto(raw)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcd "), n, p=[0.22, 0.22, 0.22, 0.22, 0.12])) for n in [*range(1, 12), 40, 90, 300] for _ in range(4)] + ["", None, "abz cd", "a" * 3000]
+    made = pieces.encode_pieces(spark.createDataFrame([(t,) for t in texts], "text string"), model, back=True).collect()
+    score = {i: s for i, (_, s, kind) in enumerate(known) if kind == 1}
+    by = {w.replace("\u2581", " "): i for i, (w, _, kind) in enumerate(known) if kind == 1}
+
+    def best(t):
+        found = [0.0] + [-math.inf] * len(t)
+        for e in range(1, len(t) + 1):
+            found[e] = max((found[s] + score[by[t[s:e]]] for s in range(max(0, e - 5), e) if t[s:e] in by), default=-math.inf)
+        return found[-1]
+
+    def every(t):
+        return max([0.0] if not t else [score[by[t[:k]]] + every(t[k:]) for k in range(1, min(5, len(t)) + 1) if t[:k] in by], default=-math.inf)
+
+    for r in made:
+        text = r["text"] or ""
+        if "z" in text:
+            assert model.unknown in r["tokens"]
+            continue
+        assert r["decoded"] == text
+        got = sum(score[i] for i in r["tokens"])
+        assert got == pytest.approx(best(text), abs=1e-3)
+        assert got == pytest.approx(sum(score[i] for i in library.encode(text)), abs=1e-3)
+        if len(text) <= 9:
+            assert got == pytest.approx(every(text), abs=1e-4)
+
+
+def test_sentencepiece_query_columns(spark, hard):
+    model = pieces.read_model()
+    made = pieces.op3_sentencepiece(spark, hard).collect()
+    texts = {t or "" for _, t, *_ in documents()}
+    assert {pieces.decode(model, r["tokens"]) for r in made} == texts
+    for r in made:
+        text = pieces.decode(model, r["tokens"])
+        assert r["n_tokens"] == len(r["tokens"]) and r["round_trip"] and r["decoded_crc32"] == crc32(text.encode())
+        assert r["ids_crc32"] == crc32(np.array(r["tokens"], "<i4").tobytes()) and r["n_bytes"] == sum(i in set(model.bytes_.tolist()) for i in r["tokens"])
