@@ -418,3 +418,115 @@ def test_sentencepiece_query_columns(spark, hard):
         text = pieces.decode(model, r["tokens"])
         assert r["n_tokens"] == len(r["tokens"]) and r["round_trip"] and r["decoded_crc32"] == crc32(text.encode())
         assert r["ids_crc32"] == crc32(np.array(r["tokens"], "<i4").tobytes()) and r["n_bytes"] == sum(i in set(model.bytes_.tolist()) for i in r["tokens"])
+
+
+def brute_model(docs, train, sweeps=3, burn_in=1):
+    """The same sampler, dish by dish in plain Python: log10 probability of each document."""
+    lm = language_model
+    hashed = [lm.token_hashes((t or "").encode()) for t in docs]
+    pairs = [list(zip(map(int, h), map(int, lm.before(h)), strict=True)) for h in hashed]
+    count = Counter(p for ps, ok in zip(pairs, train, strict=True) if ok for p in ps)
+    words, seats = Counter(), Counter()
+    for (w, v), n in count.items():
+        words[w] += n
+        seats[v] += n
+    first = Counter(w for w, _ in count)
+    rate = lambda xs: min(0.95, max(0.05, sum(x == 1 for x in xs) / max(1, sum(x == 1 for x in xs) + 2 * sum(x == 2 for x in xs))))
+    d0, d1, base = rate(list(count.values())), rate(list(first.values())), 1 / (len(words) + 1)
+    draw = lambda key, sweep, turn: float(lm.uniform(np.array([key], np.uint64), sweep, turn)[0])
+    key_of = {p: int(lm.dish_key(np.array([p[0]], np.uint64), np.array([p[1]], np.uint64))[0]) for p in count}
+    root_key = {w: int(lm.mixed(np.array([w], np.uint64))[0]) for w in words}
+
+    def sit(sizes, a, d, x):
+        held = np.cumsum([max(s - d, 0) for s in sizes]) if sizes else np.zeros(1)
+        at = x * (held[-1] + a)
+        if at < a or held[-1] <= 0:
+            sizes.append(1)
+        else:
+            sizes[int(np.argmax(held > at - a))] += 1
+
+    def leave(sizes, x):
+        held = np.cumsum(sizes)
+        sizes[int(np.argmax(held > x * held[-1]))] -= 1
+
+    def seated(c, a, d, key):
+        sizes = [1] if c else []
+        for j in range(1, c):
+            sit(sizes, a, d, draw(key, 0, j))
+        return sizes
+
+    def again(sizes, want, a, d, key, sweep):
+        sizes, have = list(sizes), sum(sizes)
+        for j in range(abs(want - have)):
+            leave(sizes, draw(key, sweep, 1 << 20 | j)) if want < have else sit(sizes, a, d, draw(key, sweep, 1 << 20 | j))
+        for j in range(min(want, lm.TURNS) if want > 1 else 0):
+            leave(sizes, draw(key, sweep, 2 * j))
+            sit(sizes, a, d, draw(key, sweep, 2 * j + 1))
+        return [s for s in sizes if s]
+
+    dish, root = {p: [n] for p, n in count.items()}, {w: [n] for w, n in first.items()}
+    samples = []
+    for k in range(sweeps + 1):
+        tables, customers, top = Counter(), Counter(), sum(len(r) for r in root.values())
+        for (w, v), s in dish.items():
+            tables[v] += len(s)
+            customers[w] += len(s)
+        total = sum(customers.values())
+        prob = {w: (max(customers[w] - d1 * len(root[w]), 0) + (1 + d1 * top) * base) / (1 + total) for w in words}
+        new = {}
+        for (w, v), s in dish.items():
+            a = (1 + d0 * tables[v]) * prob[w]
+            new[w, v] = s if count[w, v] == 1 else seated(count[w, v], a, d0, key_of[w, v]) if k == 0 else again(s, count[w, v], a, d0, key_of[w, v], k)
+        after = Counter()
+        for (w, _), s in new.items():
+            after[w] += len(s)
+        weight = (1 + d1 * top) * base
+        root = {w: seated(after[w], weight, d1, root_key[w]) if k == 0 else again(root[w], after[w], weight, d1, root_key[w], k) for w in words}
+        dish = new
+        samples.append((dish, root))
+    out = []
+    for ps in pairs:
+        score = 0.0
+        for w, v in ps:
+            p = 0.0
+            for dish, root in samples[burn_in + 1 :]:
+                tables, customers = sum(len(s) for (_, c), s in dish.items() if c == v), sum(len(s) for (x, _), s in dish.items() if x == w)
+                top, total = sum(len(r) for r in root.values()), sum(len(s) for s in dish.values())
+                up = (max(customers - d1 * len(root.get(w, [])), 0) + (1 + d1 * top) * base) / (1 + total)
+                p += (max(count[w, v] - d0 * len(dish.get((w, v), [])), 0) + (1 + d0 * tables) * up) / (1 + seats[v])
+            score += math.log10(p / len(samples[burn_in + 1 :]))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize(("bucket_bytes", "parts"), [(10**9, 4), (400, 4), (400, 64)])
+def test_language_model_brute_force(spark, bucket_bytes, parts):
+    """One bucket or many, with hot words or without, 4 or 64 shuffle partitions: the plain sampler's scores."""
+    rng = np.random.default_rng(4)
+    words = ["the", "the", "the", "of", "a", "b", "c", "d", "e", "f"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 14)))) for _ in range(30)] + [None, "", "unseen the words", "the " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.createDataFrame([(None, "the of a")], "doc_id long, text string"))
+    texts.append("the of a")
+    held = F.col("doc_id") % 5 == 2
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        made = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, held, bucket_bytes=bucket_bytes).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ids = [*range(len(texts) - 1), None]
+    want = brute_model(texts, [i is None or i % 5 != 2 for i in ids])
+    assert [made[i] for i in ids] == pytest.approx(want, rel=1e-9)
+
+
+def test_seatings_keep_their_customers():
+    rng = np.random.default_rng(2)
+    c = np.r_[rng.integers(1, 40, 300), 70, 500, 40_000]
+    key, a = language_model.mixed(np.arange(len(c))), rng.uniform(0.01, 30, len(c))
+    t, sizes = language_model.first_seats(c, a, 0.6, key)
+    for sweep in (1, 2):
+        owner = np.repeat(np.arange(len(c)), t)
+        assert np.array_equal(np.bincount(owner, sizes, len(c)), c) and (sizes > 0).all() and (t <= c).all() and (t >= 1).all()
+        want = np.maximum(c + rng.integers(-3, 4, len(c)), 1)
+        t, sizes = language_model.gibbs(t, sizes, c, want, a, 0.6, key, sweep)
+        c = want
