@@ -8,13 +8,16 @@ starts a two-character code, so a control string can't be forged by a text.
 All of it is DataFrame expressions. Turns are gathered per conversation, since
 one conversation is one output text.
 
-Nulls: a null text or role is empty; a null conv_id is a conversation. Rows of
-equal turn are ordered by role, then text. Conversations that break the turn
+Nulls: a null text or role is empty; a null conv_id is a conversation; a null
+turn comes before all others. Rows of equal turn are ordered by role, then text;
+repeated rows are each a turn. Conversations that break the turn
 order are formatted and marked valid = false. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +72,8 @@ def format_chats(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
 def read_back(chats: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """The turns, from `formatted` alone: conv_id, turns array<struct<role, text>>."""
     codes, (before, after) = template["codes"], template["open"].split("{role}")
-    bodies = F.slice(F.split("formatted", template["close"]), 1, F.size(F.split("formatted", template["close"])) - 1)
+    close = re.escape(template["close"]).replace("\\\n", "\n")  # a pattern for Java: the closing string as it is
+    bodies = F.slice(F.split("formatted", close), 1, F.size(F.split("formatted", close)) - 1)
     turns = F.transform(
         bodies,
         lambda b: F.struct(
@@ -112,7 +116,7 @@ WITH rows AS (
   SELECT *, length(replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l')) AS n_text,
     length(replace(replace(replace(replace(role, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c')) AS n_role,
     lag(role) OVER w AS before, lead(role) OVER w AS after, row_number() OVER w AS k
-  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,

@@ -41,8 +41,8 @@ def write_tables(folder, empty=False):
     pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in labels], pa.int64()), "quality": pa.array([1] * len(labels), pa.int64()), "toxic": pa.array([r[1] for r in labels], pa.int64())}), f"{folder}/labels.parquet")
     vectors = [] if empty else [(0, [0.5, 0.25]), (50, [0.5, 0.25]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [-0.3, 0.7]), (100, [0.0, -1.0])]
     pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in vectors], pa.int64()), "embedding": pa.array([r[1] for r in vectors], pa.list_(pa.float32())), "g": pa.array(["x"] * len(vectors), pa.string())}), f"{folder}/embeddings.parquet")
-    chats = [] if empty else [(1, 0, "user", "hi <b> \\# \\h"), (1, 1, "assistant", None), (2, 0, "assistant", "first"), (3, 0, "system", "s"), (3, 1, "user", ""), (3, 2, "assistant", "</turn>\n### user: x"), (4, 0, None, "y"), (5, 0, "user", "q"), (5, 0, "user", "q"), (6, 0, "user", "z" * 50_000), (6, 1, "assistant", "w" * 50_000)]
-    pq.write_table(pa.table({"conv_id": pa.array([r[0] for r in chats], pa.int64()), "turn": pa.array([r[1] for r in chats], pa.int64()), "role": pa.array([r[2] for r in chats], pa.string()), "text": pa.array([r[3] for r in chats], pa.string()), "turns": pa.array([1] * len(chats), pa.int64())}), f"{folder}/conversations.parquet")
+    chats = [] if empty else [(1, 0, "user", "hi <b> \\# \\h"), (1, 1, "assistant", None), (2, 0, "assistant", "first"), (3, 0, "system", "s"), (3, 1, "user", ""), (3, 2, "assistant", "</turn>\n### user: x"), (4, 0, None, "y"), (5, 0, "user", "q"), (5, 0, "user", "q"), (7, 1, "assistant", "a"), (7, None, "user", "before"), (None, 0, "user", "no id"), (6, 0, "user", "z" * 50_000), (6, 1, "assistant", "w" * 50_000)]
+    pq.write_table(pa.table({"conv_id": pa.array([r[0] for r in chats], pa.int64()), "turn": pa.array([r[1] for r in chats], pa.int64()), "role": pa.array([r[2] for r in chats], pa.string()), "text": pa.array([r[3] for r in chats], pa.string()), "turns": pa.array([1] * len(chats), pa.int64()), "t": pa.array(["clash"] * len(chats), pa.string()), "segments": pa.array(["clash"] * len(chats), pa.string())}), f"{folder}/conversations.parquet")
     return str(folder)
 
 

@@ -104,9 +104,12 @@ def test_chat_reads_back(spark, hard):
     back = chat.read_back(chat.format_chats(rows)).collect()
     want = defaultdict(list)
     for r in rows.collect():
-        want[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
+        want[r["conv_id"]].append((-1 if r["turn"] is None else r["turn"], r["role"] or "", r["text"] or ""))
     assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in back} == {k: [x[1:] for x in sorted(v)] for k, v in want.items()}
-    assert {r["conv_id"]: r["valid"] for r in back} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True}
+    assert {r["conv_id"]: r["valid"] for r in back} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: True, None: False}
+    odd = chat.TEMPLATE | {"close": ".*[end]+$\n", "codes": chat.TEMPLATE["codes"] | {".": "\\d"}, "text_codes": ["\\", "#", "."]}
+    again = chat.read_back(chat.format_chats(rows, odd), odd).collect()
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in again} == {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in back}
 
 
 def test_top_k_brute_force(spark):
