@@ -101,8 +101,12 @@ def truth(threshold: Column) -> Column:
 
 
 def decision_rows(rows: DataFrame, threshold: Column) -> DataFrame:
-    """rows with `p`, the probability above the threshold, and `t`, the resolvable truth; others go."""
-    return rows.withColumns({"t": truth(threshold), "p": normal_cdf((mean() - threshold) / scale())}).where("t is not null")
+    """rows with `p`, the probability above the threshold, and `t`, the truth, null where it can't be told.
+
+    Such rows stay: a filter on t would be pushed below the joins with all of its
+    expression written out, and the aggregates skip nulls anyway.
+    """
+    return rows.withColumns({"t": truth(threshold), "p": normal_cdf((mean() - threshold) / scale())})
 
 
 def decisions(cut: float = 0.5) -> list[Column]:
@@ -116,8 +120,8 @@ def decisions(cut: float = 0.5) -> list[Column]:
 
 def calibration_bins(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """rows of decision_rows -> by, bin, n, confidence, frequency; equal bins, the last closed."""
-    bin_ = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
-    return rows.withColumn("bin", bin_).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg(F.col("t").cast("double")).alias("frequency"))
+    bin_ = F.when(F.col("t").isNotNull(), F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))).cast("int")
+    return rows.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg(F.col("t").cast("double")).alias("frequency")).where("bin is not null")
 
 
 def calibration_error(bins: DataFrame, by: list[str], least: int = 20) -> DataFrame:
@@ -198,8 +202,7 @@ def direction_constraints(rows: DataFrame, eps: float, by: list[str]) -> DataFra
 
 def score_row(rows: DataFrame, by: list[str], threshold: Column) -> DataFrame:
     """One flat row a cell: acc_, viol_ and dec_ scores, cov90, cov90_width, exceed_ece. `rows`: predictions with mu, sigma; `threshold` may be a column."""
-    t = rows.withColumns({"t": truth(threshold), "p": normal_cdf((mean() - threshold) / scale())})
-    told = F.col("t").isNotNull()
+    t = decision_rows(rows, threshold)
     low, high = gaussian_interval()
     renamed = lambda cols, prefix, names: [c.alias(f"{prefix}_{n}") for c, n in zip(cols, names, strict=True)]
     acc = renamed(accuracy(), "acc", ("mae", "rmse", "bias", "n_exact"))
@@ -207,5 +210,5 @@ def score_row(rows: DataFrame, by: list[str], threshold: Column) -> DataFrame:
     dec = renamed(decisions(), "dec", ("n_resolvable", "n_positive", "false_safe_rate", "false_liability_rate", "balanced_accuracy", "decision_regret"))
     cover = coverage(low, high)
     one = t.groupBy(*by).agg(F.count("*").alias("n_test"), *acc, *viol, *dec, cover[1].alias("cov90"), cover[2].alias("cov90_width"))
-    ece = calibration_error(calibration_bins(t.where(told), by), by).drop("n").withColumnRenamed("ece", "exceed_ece")
+    ece = calibration_error(calibration_bins(t, by), by).drop("n").withColumnRenamed("ece", "exceed_ece")
     return one.join(ece, by, "left")
