@@ -32,10 +32,9 @@ RATES = {"rearranged": 90, "suffix_first": 20}
 
 def apart(sentinels: tuple[str, str, str]) -> None:
     """Raises ValueError unless a sentinel can only be read where it was written: different, none inside another, no end of one is the start of one."""
-    for a in sentinels:
-        for b in sentinels:
-            shared = any(a.endswith(b[:n]) for n in range(1, len(b) + (a is not b)))
-            if not a or (a is not b and a in b) or shared:
+    for i, a in enumerate(sentinels):
+        for k, b in enumerate(sentinels):
+            if not a or (i != k and a in b) or any(a.endswith(b[:n]) for n in range(1, len(b))):
                 raise ValueError(f"sentinels {sentinels} can be misread")
 
 
