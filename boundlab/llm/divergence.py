@@ -21,20 +21,25 @@ Nulls: null texts, languages and sources are empty strings, so rows without a
 source form a source of their own. A document is a row: repeated rows count
 each, doc_id isn't read. Sources without a kept term still have pairs; with V = 0
 all values are 0. A language of one source has no pairs. Very long texts are
-read whole. An empty table gives no rows. Extra columns are ignored.
+read whole; a task holds the words of one at a time. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved, table
+from .common import saved, table
 
 #: Frequencies are parts of SCALE; a power of ten, by whose digits a division goes.
 SCALE_DIGITS = 9
-#: What stands between terms: all ASCII but letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters lower-cased, the rest of ASCII, which stands between terms, to spaces; other bytes stay.
+LETTERS = bytes(x if x >= 128 or 97 <= x <= 122 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
+#: Terms that a task holds before it gives its counts out, and rows of a batch then.
+MOST_TERMS, OUT_ROWS = 1 << 18, 1 << 15
 LEAST_DOCUMENTS, TERM_RANKS, BLOCK = 3, 200, 256
 
 
@@ -58,14 +63,38 @@ def far(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
+def _counted(batches):
+    """A task's occurrences and documents by group and term, given out whenever MOST_TERMS are held; the empty term marks that a group occurs."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    seen = 0
+
+    def given():
+        for (lang, source), (n, docs) in held.items():
+            terms = [b"", *n]
+            for i in range(0, len(terms), OUT_ROWS):
+                part = terms[i : i + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())], ["lang", "source", "term", "n", "docs"])
+
+    for b in batches:
+        for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text"), strict=True):
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            seen -= len(n)
+            words = (text.as_py() or b"").translate(LETTERS).split()
+            n.update(words)
+            docs.update(set(words))
+            seen += len(n)
+            if seen > MOST_TERMS:
+                yield from given()
+                held, seen = {}, 0
+    yield from given()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows that hold it); a group without terms has a row with the term null."""
+    """lang, source, term, n (occurrences), docs (rows that hold it); every group has a row with the empty term."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), F.split(ascii_lower(text("text")), BETWEEN, -1).alias("terms"))
-    marks = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("docs"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("docs"))))
-    # a text's ends can give empty terms; with one more for every row, "" marks that the group occurs
-    each = rows.withColumn("m", F.explode(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("docs"))), marks)))
-    return each.groupBy("lang", "source", "m.term").agg(F.sum("m.n").alias("n"), F.sum("m.docs").alias("docs"))
+    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), F.col("text").cast("binary").alias("text"))
+    each = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 class Index:
