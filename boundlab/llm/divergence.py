@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boundlab.session import small
+
 from .common import saved, table
 
 #: Frequencies are parts of SCALE; a power of ten, by whose digits a division goes.
@@ -123,7 +125,7 @@ def _named(rows: DataFrame, prefix: str, *names: str) -> DataFrame:
 
 def pair_values(index: Index, block: int = BLOCK) -> DataFrame:
     """lang, source, item, value: f of the source's p and the item's q, over all kept terms, for each two sources of a language."""
-    mine, other = _named(index.groups, "a_", "lang", "source", "zero", "kept"), _named(index.groups, "b_", "lang", "source", "zero")
+    mine, other = _named(index.groups, "a_", "lang", "source", "zero", "kept"), small(_named(index.groups, "b_", "lang", "source", "zero"))
     different = (F.col("a_lang") == F.col("b_lang")) & (F.col("a_source") != F.col("b_source"))
     empty = far(F.col("a_zero"), F.col("b_zero"))
     base = mine.join(other, different).select(F.col("a_lang").alias("lang"), F.col("a_source").alias("source"), F.col("b_source").alias("item"), (F.col("a_kept") * empty).alias("value"))
@@ -131,7 +133,7 @@ def pair_values(index: Index, block: int = BLOCK) -> DataFrame:
     levels = saved(index.postings.groupBy("lang", "source", "n", "p", "zero").agg(F.count("*").alias("times")))
     alone = []
     for one, two in (("a_", "b_"), ("b_", "a_")):
-        have, lack = _named(levels, one, "lang", "source", "p", "zero", "times"), _named(index.groups, two, "lang", "source", "zero")
+        have, lack = _named(levels, one, "lang", "source", "p", "zero", "times"), small(_named(index.groups, two, "lang", "source", "zero"))
         p, q = (F.col(f"{x}{'p' if x == one else 'zero'}") for x in ("a_", "b_"))
         alone.append(have.join(lack, different).select(F.col("a_lang").alias("lang"), F.col("a_source").alias("source"), F.col("b_source").alias("item"), (F.col(f"{one}times") * (far(p, q) - empty)).alias("value")))
     # postings of both
