@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boundlab.operators.metrics import auc, mean
-from boundlab.operators.ranking import value_runs
-from boundlab.session import saved
+from boundlab.operators.ranking import hash_ranked, value_runs
+from boundlab.session import saved, small
 
 
 def labels() -> dict[str, F.Column]:
@@ -107,53 +109,111 @@ def predict_censoring(rows: DataFrame, groups: dict[str, list[str]], train: F.Co
     return spark.createDataFrame(out, "features string, auc double, base_rate double, n_test long")
 
 
-def ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> list[float]:
-    """Intercept and weights of a ridge regression, from one aggregate of second moments."""
-    import numpy as np
-
+def ridges(rows: DataFrame, by: list[str], features: list[str], target: str, alpha: float = 1.0) -> dict[tuple, list[float]]:
+    """Intercept and weights of a ridge regression for each group, from one aggregate of central moments; a group's moments are all that comes to the driver."""
     names = [*features, target]
-    n, *means = rows.agg(F.count(target), *(F.avg(c) for c in names)).first()
-    centred = {c: F.col(c) - m for c, m in zip(names, means, strict=True)}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = dict(zip(pairs, rows.agg(*(F.sum(centred[a] * centred[b]) for a, b in pairs)).first(), strict=True))
-    at = lambda a, b: sums.get((a, b), sums.get((b, a)))
-    gram = np.array([[at(a, b) for b in features] for a in features]) + alpha * np.eye(len(features))
-    w = np.linalg.solve(gram, np.array([at(a, target) for a in features]))
-    return [float(means[-1] - w @ np.array(means[:-1])), *map(float, w)]
+    have = rows.where(F.col(target).isNotNull()).select(*by, *(F.col(c).cast("double").alias(c) for c in names))
+    moments = have.groupBy(*by).agg(F.count("*").alias("_n"), *(F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)), *(F.covar_pop(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)))
+    out = {}
+    for r in moments.collect():  # a row a group
+        c = {p: r[f"_c{i}"] * r["_n"] for i, p in enumerate(pairs)}
+        at = lambda a, b: c.get((a, b), c.get((b, a)))  # noqa: B023, E731
+        gram = np.array([[at(a, b) for b in features] for a in features]).reshape(len(features), -1) + alpha * np.eye(len(features))
+        w = np.linalg.solve(gram, np.array([at(a, target) for a in features])) if features else np.zeros(0)
+        out[tuple(r[k] for k in by)] = [float(r[f"_m{len(features)}"] - w @ np.array([r[f"_m{i}"] for i in range(len(features))])), *map(float, w)]
+    return out
+
+
+def ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> list[float]:
+    """Intercept and weights of a ridge regression over all rows."""
+    return ridges(rows, [], features, target, alpha)[()]
+
+
+ROUNDS, MIX_A, MIX_B = 6, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def shuffled(place: np.ndarray, n: int, seed: int, k: int) -> np.ndarray:
+    """Where permutation k of n places puts these: a bijection of 0 to n - 1, so a task needs its own rows alone.
+
+    A Feistel network over the next power of 4, walked along its cycle until it is back below n.
+    """
+    half = np.uint64(max(1, -(-max(n - 1, 1).bit_length() // 2)))
+    low = (np.uint64(1) << half) - np.uint64(1)
+
+    def once(x):
+        left, right = x >> half, x & low
+        for r in range(ROUNDS):
+            key = np.uint64((seed * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03 + r * 0x8CB92BA72F3D8DD7) % 2**64)
+            h = (right + key) * MIX_A
+            h = (h ^ (h >> np.uint64(29))) * MIX_B
+            left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & low)
+        return left << half | right
+
+    out = once(place.astype(np.uint64))
+    while (over := out >= n).any():
+        out[over] = once(out[over])
+    return out.astype(np.int64)
+
+
+def relabelled_sums(rows: DataFrame, by: list[str], permutations: int, seed: int) -> DataFrame:
+    """by, k, s: for each permutation the sum of `r` over the n_right rows that it labels.
+
+    `rows`: by, place (0 to n - 1), n, n_right, r. Each task adds its rows up for
+    all permutations and gives one vector a group; rows x permutations never exist.
+    """
+    keys = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in by)
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(by, dropna=False):
+                n, n_right = int(part.n.iloc[0]), int(part.n_right.iloc[0])
+                place, r = part.place.to_numpy(np.int64), part.r.to_numpy(float)
+                mine = sums.setdefault(key, np.zeros(permutations))
+                for k in range(permutations):
+                    mine[k] += r[shuffled(place, n, seed, k) < n_right].sum()
+        if sums:
+            yield pd.DataFrame([(*key, v.tolist()) for key, v in sums.items()], columns=[*by, "v"])
+
+    parts = rows.mapInPandas(run, f"{keys}, v array<double>")
+    return parts.select(*by, F.posexplode("v").alias("k", "s")).groupBy(*by, "k").agg(F.sum("s").alias("s"))
 
 
-def informativeness(rows: DataFrame, features: list[str], train: F.Column, permutations: int = 2000, seed: int = 0, least_train: int = 50, least_test: int = 15) -> DataFrame:
-    """One row: is censoring informative beyond the features?
+def informativeness(rows: DataFrame, features: list[str], train: F.Column, permutations: int = 2000, seed: int = 0, least_train: int = 50, least_test: int = 15, by: str | None = None) -> DataFrame:
+    """Is censoring informative beyond the features? A row for each value of `by` (one row without it).
 
     A ridge regression on exact training rows gives predictions. Over test rows the
     positive part of value minus prediction (exact rows) is compared with that of
     lower bound minus prediction (right-censored rows, where it is a lower bound).
-    The difference of means is held against relabelled rows: a permutation gives
-    each row a hash of seed, permutation and row, and the rows with the smallest
-    hashes are the censored ones. Few test rows as a rule; each permutation is a
-    group of its own, so they spread over tasks.
+    The difference of means is held against relabelled rows: each permutation
+    labels exactly as many rows as are right-censored. `p` counts the permutations
+    whose difference is as far from 0. Groups with too few rows have null results.
     """
     kind = labels()
-    exact = rows.where(train & ~kind["is_censored"] & F.col("value_p").isNotNull())
-    n_train = exact.count()
-    layout = "n_exact_train long, n_right_test long, n_exact_test long, difference double, p double, informative boolean"
-    if n_train < least_train:
-        return rows.sparkSession.createDataFrame([(n_train, None, None, None, None, None)], layout)
-    w = ridge(exact, features, "value_p")
-    fitted = reduce(lambda a, x: a + x[0] * F.col(x[1]).cast("double"), zip(w[1:], features, strict=True), F.lit(w[0]))
-    test = rows.where(~train & (kind["is_right"] | (~kind["is_censored"] & F.col("value_p").isNotNull())))
-    residual = F.greatest(F.when(kind["is_right"], F.col("lower")).otherwise(F.col("value_p")) - fitted, F.lit(0.0))
-    test = saved(test.select("row_id", kind["is_right"].alias("c"), residual.alias("r")))
-    n_right, n_exact, m_right, m_exact = test.agg(F.count_if("c"), F.count_if(~F.col("c")), F.avg(F.when(F.col("c"), F.col("r"))), F.avg(F.when(~F.col("c"), F.col("r")))).first()
-    if n_right < least_test or n_exact < least_test:
-        return rows.sparkSession.createDataFrame([(n_train, n_right, n_exact, None, None, None)], layout)
-    observed, n = m_right - m_exact, n_right + n_exact
-    # the sum over the first n_right rows in hash order, without ordering them: rows of equal residual are exchangeable
-    drawn = test.select("r", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k"), "row_id").select("k", "r", F.xxhash64(F.lit(seed), "k", "row_id").alias("h"))
-    cut = F.percentile_approx("h", F.lit(n_right / n), F.lit(10_000))
-    cuts = drawn.groupBy("k").agg(cut.alias("cut"))
-    split = drawn.join(F.broadcast(cuts.withColumnRenamed("k", "ck")), F.col("k") == F.col("ck"))
-    stats = split.groupBy("k").agg((F.avg(F.when(F.col("h") <= F.col("cut"), F.col("r"))) - F.avg(F.when(F.col("h") > F.col("cut"), F.col("r")))).alias("s"))
-    beyond = stats.where(F.abs("s") >= abs(observed)).count()
-    p = (beyond + 1) / (permutations + 1)
-    return rows.sparkSession.createDataFrame([(n_train, n_right, n_exact, observed, p, bool(p < 0.05 and observed > 0))], layout)
+    data = rows.select(F.col(by).cast("string").alias("g") if by else F.lit("").alias("g"), "row_id", "value_p", "lower", kind["is_right"].alias("c"), kind["is_censored"].alias("any"), F.coalesce(train, F.lit(False)).alias("train"), *(F.col(f).cast("double").alias(f) for f in features))
+    data = saved(data.where("g is not null"))
+    exact = data.where(F.col("train") & ~F.col("any") & F.col("value_p").isNotNull())
+    weights = ridges(exact, ["g"], features, "value_p")
+    listed = data.sparkSession.createDataFrame([(k[0], w) for k, w in weights.items()], "w_g string, w array<double>")
+    fitted = reduce(lambda a, i: a + F.get("w", F.lit(i + 1)) * F.col(features[i]), range(len(features)), F.get("w", F.lit(0)))
+    test = data.where(~F.col("train") & (F.col("c") | (~F.col("any") & F.col("value_p").isNotNull())))
+    residual = F.greatest(F.when(F.col("c"), F.col("lower")).otherwise(F.col("value_p")) - fitted, F.lit(0.0))
+    test = test.join(small(listed), F.col("g") == F.col("w_g")).select("g", "row_id", "c", residual.alias("r"))
+    placed = saved(hash_ranked(test, ["g"], F.md5(F.col("row_id").cast("binary")), ["row_id", "c", "r"]).select("g", "place", "c", "r"))
+    counts = placed.groupBy("g").agg(F.count("*").alias("n"), F.count_if("c").alias("n_right"), F.avg(F.when(F.col("c"), F.col("r"))).alias("m_right"), F.avg(F.when(~F.col("c"), F.col("r"))).alias("m_exact"), F.sum("r").alias("total"))
+    counts = saved(counts)
+    trained = exact.groupBy("g").agg(F.count("*").alias("n_exact_train"))
+    enough = counts.join(trained, "g").where((F.col("n_exact_train") >= least_train) & (F.col("n_right") >= least_test) & (F.col("n") - F.col("n_right") >= least_test))
+    chosen = saved(enough.select(F.col("g").alias("e_g"), F.col("n").alias("e_n"), "n_right", "total", (F.col("m_right") - F.col("m_exact")).alias("observed")))
+    relabelled = relabelled_sums(placed.join(small(chosen), F.col("g") == F.col("e_g")).select("g", "place", F.col("e_n").alias("n"), "n_right", "r"), ["g"], permutations, seed)
+    stats = relabelled.join(small(chosen), F.col("g") == F.col("e_g")).withColumn("d", F.col("s") / F.col("n_right") - (F.col("total") - F.col("s")) / (F.col("e_n") - F.col("n_right")))
+    p = stats.groupBy("g").agg(F.first("observed").alias("difference"), ((F.count_if(F.abs("d") >= F.abs("observed") - 1e-12) + 1) / (permutations + 1)).alias("p"))
+    groups = data.select("g").distinct() if by else data.sparkSession.createDataFrame([("",)], "g string")
+    out = groups
+    for more, name in ((trained, "t_g"), (counts, "c_g"), (p, "p_g")):
+        out = out.join(more.withColumnRenamed("g", name), F.col("g") == F.col(name), "left").drop(name)
+    train_n = F.coalesce("n_exact_train", F.lit(0).cast("long"))
+    tested = train_n >= least_train
+    found = out.select(*([F.col("g").alias(by)] if by else []), train_n.alias("n_exact_train"), F.when(tested, F.coalesce("n_right", F.lit(0).cast("long"))).alias("n_right_test"), F.when(tested, F.coalesce(F.col("n") - F.col("n_right"), F.lit(0).cast("long"))).alias("n_exact_test"), "difference", "p")
+    return found.withColumn("informative", (F.col("p") < 0.05) & (F.col("difference") > 0))

@@ -80,7 +80,8 @@ def curation_summary(groups: DataFrame) -> DataFrame:
 
 def endpoint_audit(rows: DataFrame, least_rows: int = 100) -> DataFrame:
     """Per endpoint: rows, shares by class, median, what relations, units and flags occur, how many different parts, and the gate."""
-    n = F.count("*")
+    used = ("endpoint", "censoring_class", "source_name", "relation", "unit", "validity", "compound_id", "scaffold", "assay_id", "document_id", "value_p")
+    rows, n = saved(rows.select(*(c for c in used if c in rows.columns))), F.count("*")  # read once, then five aggregates and a median
     part = lambda c: 100.0 * F.count_if(F.col("censoring_class") == c) / n
     seen = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";") if c in rows.columns else F.lit("")
     one = rows.groupBy("endpoint").agg(
@@ -94,6 +95,7 @@ def endpoint_audit(rows: DataFrame, least_rows: int = 100) -> DataFrame:
 
 def endpoint_manifest(rows: DataFrame, least_rows: int = 100) -> DataFrame:
     """Per endpoint: rows and classes, censored share, different compounds, scaffolds, assays and documents, years, a hash of the content, and the gate."""
+    rows = saved(rows.select("endpoint", "row_id", "censoring_class", "year", "compound_id", "scaffold", "assay_id", "document_id"))
     n, cens = F.count("*"), F.count_if(F.col("censoring_class") != "exact")
     of = lambda c: F.count_if(F.col("censoring_class") == c)
     content = F.conv(F.substring(F.md5(F.concat_ws("|", "row_id", "censoring_class").cast("binary")), 1, 8), 16, 10).cast("long")

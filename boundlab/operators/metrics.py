@@ -119,9 +119,14 @@ def decisions(cut: float = 0.5) -> list[Column]:
 
 
 def calibration_bins(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    """rows of decision_rows -> by, bin, n, confidence, frequency; equal bins, the last closed."""
+    """rows of decision_rows -> by, bin, n, confidence, frequency; equal bins, the last closed.
+
+    Rows whose truth can't be told are counted in a bin of their own, which goes
+    after the few sums are saved: a filter on it would be pushed below the
+    aggregate and the joins, with all of the probability written out.
+    """
     bin_ = F.when(F.col("t").isNotNull(), F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))).cast("int")
-    return rows.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg(F.col("t").cast("double")).alias("frequency")).where("bin is not null")
+    return saved(rows.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("confidence"), F.avg(F.col("t").cast("double")).alias("frequency"))).where("bin is not null")
 
 
 def calibration_error(bins: DataFrame, by: list[str], least: int = 20) -> DataFrame:

@@ -29,11 +29,10 @@ def _same(by: list[str], prefix: str) -> Column:
 
 
 def offsets(counts: DataFrame, by: list[str], bucket: str, n: str) -> DataFrame:
-    """o_<by>, o_<bucket>, before, all from counts by bucket: some dozens or thousands of small rows a group."""
-    listed = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(bucket).alias("b"), F.col(n).alias("n")))).alias("l"), F.sum(n).alias("all"))
-    before = F.aggregate(F.slice("l", 1, F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    each = listed.select(*by, "all", "l", F.posexplode("l").alias("i", "x"))
-    return each.select(*_keyed(by, "o_"), F.col("x.b").alias(f"o_{bucket}"), before.alias("before"), "all")
+    """o_<by>, o_<bucket>, before, all from counts by bucket: a window over some dozens or thousands of small rows a group."""
+    order = Window.partitionBy(*by).orderBy(bucket)
+    before = F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return counts.select(*_keyed(by, "o_"), F.col(bucket).alias(f"o_{bucket}"), before.alias("before"), F.sum(n).over(Window.partitionBy(*by)).alias("all"))
 
 
 def hash_ranked(rows: DataFrame, by: list[str], turn: Column, tie: list[str], prefix: int = 2) -> DataFrame:

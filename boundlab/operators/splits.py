@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundlab.operators.ranking import hash_ranked, quantiles, tile
+from boundlab.session import saved, small
 
 
 def _turn(seed: int, key: Column) -> Column:
@@ -31,7 +32,7 @@ def grouped_folds(obs: DataFrame, key: Column, k: int = 5, seed: int = 0) -> Dat
     rows = obs.withColumn("_key", F.coalesce(key, F.lit("None")))
     lots = fold_table(rows.select("endpoint", F.col("_key").alias("key")).distinct(), k, seed)
     lots = lots.select(F.col("endpoint").alias("_e"), F.col("key").alias("_k"), "fold")
-    return rows.join(lots, (F.col("endpoint") == F.col("_e")) & (F.col("_key") == F.col("_k"))).drop("_key", "_e", "_k")
+    return rows.join(small(saved(lots)), (F.col("endpoint") == F.col("_e")) & (F.col("_key") == F.col("_k"))).drop("_key", "_e", "_k")
 
 
 def random_folds(obs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
@@ -50,7 +51,7 @@ def source_split(obs: DataFrame, least_source: int = 50, least_test: int = 30, l
     larger = F.struct(-F.col("n_test"), F.col("fold"), F.col("source_name"))
     order = sizes.groupBy("endpoint").agg(F.array_sort(F.collect_list(larger)).alias("order"))  # sources of an endpoint
     named = sizes.join(order, "endpoint").select(F.col("endpoint").alias("_e"), F.col("source_name").alias("_s"), "fold", (F.array_position("order", larger) - 1).cast("int").alias("place"))
-    return obs.join(named, (F.col("endpoint") == F.col("_e")) & (F.col("source_name") == F.col("_s"))).drop("_e", "_s")
+    return obs.join(small(saved(named)), (F.col("endpoint") == F.col("_e")) & (F.col("source_name") == F.col("_s"))).drop("_e", "_s")
 
 
 def source_folds(obs: DataFrame, least_source: int = 50, least_test: int = 30, least_train: int = 100) -> DataFrame:
@@ -71,25 +72,25 @@ def band_edges(obs: DataFrame, bands: int = 3, least_exact: int = 100) -> DataFr
 def threshold_split(obs: DataFrame, bands: int = 3, least_exact: int = 100, least_test: int = 30, least_train: int = 100) -> DataFrame:
     """Exact rows with `fold`, their band of values, and its `low` and `high`; bands are closed below, the last on both sides. Censored rows are never tested."""
     edges = band_edges(obs, bands, least_exact).withColumnRenamed("endpoint", "_e")
-    exact = obs.where("exact_mask and value_p is not null").join(edges, F.col("endpoint") == F.col("_e")).drop("_e")
+    exact = obs.where("exact_mask and value_p is not null").join(small(saved(edges)), F.col("endpoint") == F.col("_e")).drop("_e")
     above = F.size(F.filter(F.slice("edges", 2, bands - 1), lambda x: x <= F.col("value_p")))
     rows = exact.withColumn("fold", above).withColumns({"low": F.get("edges", F.col("fold")), "high": F.get("edges", F.col("fold") + 1)}).drop("edges")
     totals = obs.groupBy(F.col("endpoint").alias("_e")).agg(F.count("*").alias("_n"))
     sizes = rows.groupBy("endpoint", "fold").agg(F.count("*").alias("_t")).join(totals, F.col("endpoint") == F.col("_e"))
     good = sizes.where((F.col("_t") >= least_test) & (F.col("_n") - F.col("_t") >= least_train)).select("endpoint", "fold")
-    return rows.join(good, ["endpoint", "fold"], "left_semi")
+    return rows.join(small(saved(good)), ["endpoint", "fold"], "left_semi")
 
 
 def crossed_folds(obs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """Folds of assay x scaffold pairs; test rows whose assay or scaffold is also trained on get role 'dropped'."""
-    rows = grouped_folds(obs, F.concat_ws("|", "assay_id", "scaffold"), k, seed)
-
-    def spread(c):
-        found = rows.groupBy("endpoint", c).agg(F.count_distinct("fold").alias(f"n_{c}"))
-        return found.select(F.col("endpoint").alias(f"e_{c}"), F.col(c).alias(f"k_{c}"), f"n_{c}")
-
+    pairs = saved(obs.select("endpoint", "assay_id", "scaffold").distinct())  # all else works on these
+    folded = saved(grouped_folds(pairs, F.concat_ws("|", "assay_id", "scaffold"), k, seed))
+    marks = folded
     for c in ("assay_id", "scaffold"):
-        rows = rows.join(spread(c), (F.col("endpoint") == F.col(f"e_{c}")) & F.col(c).eqNullSafe(F.col(f"k_{c}"))).drop(f"e_{c}", f"k_{c}")
+        spread = folded.groupBy(F.col("endpoint").alias("_e"), F.col(c).alias("_k")).agg(F.count_distinct("fold").alias(f"n_{c}"))
+        marks = marks.join(spread, (F.col("endpoint") == F.col("_e")) & F.col(c).eqNullSafe(F.col("_k"))).drop("_e", "_k")
+    marks = small(saved(marks.select(F.col("endpoint").alias("_e"), F.col("assay_id").alias("_a"), F.col("scaffold").alias("_s"), "fold", "n_assay_id", "n_scaffold")))
+    rows = obs.join(marks, (F.col("endpoint") == F.col("_e")) & F.col("assay_id").eqNullSafe(F.col("_a")) & F.col("scaffold").eqNullSafe(F.col("_s"))).drop("_e", "_a", "_s")
     return rows.withColumn("role", F.when((F.col("n_assay_id") == 1) & (F.col("n_scaffold") == 1), "test").otherwise("dropped"))
 
 
@@ -119,9 +120,17 @@ def split(obs: DataFrame, kind: str, k: int = 5, seed: int = 0) -> DataFrame | N
     return found.withColumn("fold", F.col("fold").cast("string"))
 
 
+def narrow(obs: DataFrame) -> DataFrame:
+    """The columns of obs that splits read, saved."""
+    return saved(obs.select(*(c for c in ("endpoint", "row_id", "assay_id", "document_id", "compound_id", "scaffold", "source_name", "exact_mask", "value_p") if c in obs.columns)))
+
+
 def make_splits(obs: DataFrame, kinds: Iterable[str] = KINDS, k: int = 5, seed: int = 0) -> DataFrame:
-    """kind, endpoint, fold, row_id of all test rows of the kinds that the table allows. A fold trains on the endpoint's other rows (see assignments)."""
-    out = None
+    """kind, endpoint, fold, row_id of all test rows of the kinds that the table allows. A fold trains on the endpoint's other rows (see assignments).
+
+    The columns that splits read are saved once and read by each kind.
+    """
+    obs, out = narrow(obs), None
     for kind in kinds:
         found = split(obs, kind, k, seed)
         if found is not None:
@@ -137,8 +146,8 @@ def assignments(obs: DataFrame, tests: DataFrame) -> DataFrame:
 
     Of assay_scaffold, rows that share only an assay or a scaffold with the test side still train.
     """
-    folds = tests.select("kind", "endpoint", "fold").distinct()
-    every = obs.select("endpoint", "row_id").join(folds, "endpoint")
+    folds = saved(tests.select("kind", "endpoint", "fold").distinct())
+    every = obs.select("endpoint", "row_id").join(small(folds), "endpoint")  # endpoints are few and hot
     marks = tests.withColumn("role", F.lit("test"))
     return every.join(marks, ["kind", "endpoint", "fold", "row_id"], "left").withColumn("role", F.coalesce("role", F.lit("train")))
 
@@ -156,6 +165,7 @@ def validation(obs: DataFrame, made: DataFrame) -> DataFrame:
 
 def overlap(folded: DataFrame, key: str = "compound_id") -> DataFrame:
     """Per endpoint and fold: the part of test rows whose key is also trained on."""
+    folded = saved(folded.select("endpoint", "fold", key))
     spread = folded.groupBy("endpoint", key).agg(F.count_distinct("fold").alias("n_folds")).select(F.col("endpoint").alias("_e"), F.col(key).alias("_k"), "n_folds")
     both = folded.join(spread, (F.col("endpoint") == F.col("_e")) & (F.col(key) == F.col("_k")))
     return both.groupBy("endpoint", "fold").agg(F.count("*").alias("n_test"), F.avg((F.col("n_folds") > 1).cast("double")).alias("overlap"))

@@ -171,8 +171,8 @@ one AS (SELECT kind, endpoint, fold, row_id, count(DISTINCT role) AS roles, coun
 SELECT kind, endpoint, fold, CAST(sum(tests) AS BIGINT) AS n_test, CAST(sum(trains) AS BIGINT) AS n_train, count(*) FILTER (WHERE roles > 1) AS n_shared, count(*) FILTER (WHERE times > roles) AS n_doubled,
   count(*) FILTER (WHERE row_id NOT IN (SELECT row_id FROM obs)) AS n_unknown, sum(tests) > 0 AND sum(trains) > 0 AND count(*) FILTER (WHERE roles > 1 OR times > roles) = 0 AS ok FROM one GROUP BY ALL""")
 def split_export_validation(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    made = splits.assignments(obs, splits.make_splits(obs, _SOME_KINDS))
+    obs = splits.narrow(observations(spark, sf_dir))
+    made = splits.assignments(obs, saved(splits.make_splits(obs, _SOME_KINDS)))
     return splits.validation(obs, made)
 
 

@@ -1,5 +1,6 @@
 """Core operators on small fixtures: hand values, simulations, invariants and round trips."""
 
+import hashlib
 import json
 import math
 import random
@@ -191,6 +192,46 @@ def test_mechanism_tests(spark):
     assert censoring.informativeness(frame.withColumns({"value_p": F.lit(1.0), "lower": F.lit(1.0)}).limit(30), ["x0"], F.col("train")).first()["p"] is None
 
 
+def test_relabelling_is_an_exact_permutation(spark):
+    for n in (1, 2, 3, 15, 16, 17, 100, 1025):
+        for k in range(4):
+            assert sorted(censoring.shuffled(np.arange(n), n, 7, k)) == list(range(n))
+    hits = np.array([censoring.shuffled(np.arange(40), 40, 1, k) < 13 for k in range(3000)])
+    assert (hits.sum(axis=1) == 13).all()
+    assert np.abs(hits.mean(axis=0) - 13 / 40).max() < 0.04  # each row as often
+    both = hits.T.astype(float) @ hits / 3000
+    assert np.abs(both[~np.eye(40, dtype=bool)] - 13 * 12 / (40 * 39)).max() < 0.04  # and each pair
+
+
+def test_permutation_test_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, n, late in (("a", 260, 0.4), ("b", 300, 0.0), ("few", 60, 0.0), ("none", 20, 0.0)):
+        x = rng.normal(size=n)
+        y = 5 + x + rng.normal(0, 0.5, n)
+        for i in range(n):
+            right = rng.random() < 0.3 if g != "few" else i == 0
+            rows.append((f"{g}{i}", g, "right_censored_p" if right else "exact", float(y[i]) + late * right, None if right else float(y[i]), float(x[i]), i % 2 == 0 and g != "none"))
+    frame = spark.createDataFrame(rows, "row_id string, endpoint string, censoring_class string, lower double, value_p double, x0 double, train boolean")
+    found = {r["endpoint"]: r for r in censoring.informativeness(frame, ["x0"], F.col("train"), permutations=300, by="endpoint", least_train=20).collect()}
+    assert set(found) == {"a", "b", "few", "none"} and found["few"]["p"] is None and found["none"]["n_right_test"] is None and found["none"]["n_exact_train"] == 0
+    for g in "ab":
+        mine = [r for r in rows if r[1] == g]
+        w = censoring.ridge(spark.createDataFrame([(r[5], r[4]) for r in mine if r[6] and r[2] == "exact"], "x0 double, y double"), ["x0"], "y")
+        test = [(hashlib.md5(r[0].encode()).hexdigest(), r[2] != "exact", max(0.0, (r[3] if r[2] != "exact" else r[4]) - w[0] - w[1] * r[5])) for r in mine if not r[6]]
+        test.sort()
+        c, v = np.array([t[1] for t in test]), np.array([t[2] for t in test])
+        observed = v[c].mean() - v[~c].mean()
+        far = 0
+        for k in range(300):
+            label = censoring.shuffled(np.arange(len(v)), len(v), 0, k) < c.sum()
+            far += abs(v[label].mean() - v[~label].mean()) >= abs(observed) - 1e-12
+        r = found[g]
+        assert (r["n_right_test"], r["n_exact_test"]) == (c.sum(), (~c).sum())
+        assert r["difference"] == pytest.approx(observed) and r["p"] == pytest.approx((far + 1) / 301)
+    assert found["a"]["informative"] and found["a"]["p"] < found["b"]["p"]
+
+
 def test_ridge_against_normal_equations(spark):
     rng = np.random.default_rng(1)
     x, y = rng.normal(3, 1, (50, 2)), rng.normal(2, 1, 50)
