@@ -36,7 +36,7 @@ DEFAULTS = {"rounds": 400, "patience": 40, "rate": 0.05, "depth": 6, "bins": 64,
 KEPT_ROUNDS = 8
 #: Slopes and curvatures of a row are kept within these, so that a far label can't rule a leaf.
 MOST_SLOPE, MOST_CURVE, LEAST_CURVE = 15.0, 15.0, 1e-16
-ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD = 0x9E3779B97F4A7C15
 
 
 @dataclass
@@ -122,7 +122,7 @@ def _drawn(h: np.ndarray, round_: int, seed: int, share: float) -> np.ndarray:
     """Which rows a round takes, by a hash of theirs."""
     if share >= 1:
         return np.ones(len(h), bool)
-    x = (h.astype(np.uint64) ^ (np.uint64(seed * 1_000_003 + round_ + 1) * ODD)) * ODD
+    x = (h.astype(np.uint64) ^ np.uint64((seed * 1_000_003 + round_ + 1) * ODD % 2**64)) * np.uint64(ODD)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (x ^ (x >> np.uint64(32))) < np.uint64(int(share * 2**64) - 1)
 

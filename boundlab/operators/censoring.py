@@ -130,30 +130,33 @@ def ridge(rows: DataFrame, features: list[str], target: str, alpha: float = 1.0)
     return ridges(rows, [], features, target, alpha)[()]
 
 
+#: Places that are moved at once.
+BLOCK = 1 << 18
 ROUNDS, MIX_A, MIX_B = 6, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def shuffled(place: np.ndarray, n: int, seed: int, k: int) -> np.ndarray:
-    """Where permutation k of n places puts these: a bijection of 0 to n - 1, so a task needs its own rows alone.
+def shuffled(place: np.ndarray, n: int, seed: int, k) -> np.ndarray:
+    """Where permutation k of n places puts these: a bijection of 0 to n - 1, so a task needs its own rows alone. For an array k, a row a permutation.
 
     A Feistel network over the next power of 4, walked along its cycle until it is back below n.
     """
     half = np.uint64(max(1, -(-max(n - 1, 1).bit_length() // 2)))
     low = (np.uint64(1) << half) - np.uint64(1)
+    which = np.atleast_1d(np.asarray(k, np.uint64))[:, None] * np.uint64(0xD1B54A32D192ED03)
 
-    def once(x):
+    def once(x, own):
         left, right = x >> half, x & low
         for r in range(ROUNDS):
-            key = np.uint64((seed * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03 + r * 0x8CB92BA72F3D8DD7) % 2**64)
-            h = (right + key) * MIX_A
+            h = (right + own + np.uint64((seed * 0x9E3779B97F4A7C15 + r * 0x8CB92BA72F3D8DD7) % 2**64)) * MIX_A
             h = (h ^ (h >> np.uint64(29))) * MIX_B
             left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & low)
         return left << half | right
 
-    out = once(place.astype(np.uint64))
+    out = once(place.astype(np.uint64)[None, :], which)
+    own = np.broadcast_to(which, out.shape)
     while (over := out >= n).any():
-        out[over] = once(out[over])
-    return out.astype(np.int64)
+        out[over] = once(out[over], own[over])
+    return (out if np.ndim(k) else out[0]).astype(np.int64)
 
 
 def relabelled_sums(rows: DataFrame, by: list[str], permutations: int, seed: int) -> DataFrame:
@@ -171,8 +174,10 @@ def relabelled_sums(rows: DataFrame, by: list[str], permutations: int, seed: int
                 n, n_right = int(part.n.iloc[0]), int(part.n_right.iloc[0])
                 place, r = part.place.to_numpy(np.int64), part.r.to_numpy(float)
                 mine = sums.setdefault(key, np.zeros(permutations))
-                for k in range(permutations):
-                    mine[k] += r[shuffled(place, n, seed, k) < n_right].sum()
+                step = max(1, BLOCK // len(part))
+                for k in range(0, permutations, step):
+                    some = np.arange(k, min(k + step, permutations))
+                    mine[some] += (shuffled(place, n, seed, some) < n_right) @ r
         if sums:
             yield pd.DataFrame([(*key, v.tolist()) for key, v in sums.items()], columns=[*by, "v"])
 

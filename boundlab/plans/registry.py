@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boundlab.functions import distributions as D
-from boundlab.operators import censoring, conformal, curation, fitting, inference, metrics, splits
+from boundlab.operators import censoring, conformal, curation, inference, metrics, splits
 from boundlab.operators.metrics import mean
-from boundlab.plans import grid
+from boundlab.plans import fits, grid
 from boundlab.session import saved
 from boundlab.sources import features, loaders
 from boundlab.sources.observations import MEAS_SQL, OBS_SQL, direction, measurements, observations
@@ -735,58 +735,5 @@ def conformal_study(spark, sf_dir):
     return conformal.study(pred, ["endpoint"], "source_name", (0, 1)).where("method <> 'mondrian'").select("seed", "endpoint", "method", "coverage", "interval_score")
 
 
-def _fit_rows(spark, sf_dir: str) -> DataFrame:
-    """The fixture with assay folds and two features."""
-    rows = _folded(spark, sf_dir).withColumns({"x1": (F.col("assay_id").cast("double") % 100) / 100, "x2": F.length("scaffold").cast("double") / 10})
-    return rows.select("row_id", "endpoint", "fold", "lower", "upper", "exact_mask", "value_p", "censoring_class", "x1", "x2")
-
-
-def fitted_models(spark, sf_dir):
-    """Iterative fits (no SQL form): eight treatments, each endpoint, fold 0, scored on their test rows."""
-    rows = _fit_rows(spark, sf_dir)
-    ends = [r[0] for r in rows.select("endpoint").distinct().orderBy("endpoint").collect()]
-    cells = [{"endpoint": e, "fold": 0, "treatment": t, "eps": w, "hidden": 3 if t.startswith("ensemble") else 0} for e in ends for t, w in (("exact_only", 0.0), ("tobit", 0.0), ("weighted_tobit", 0.25), ("weighted_tobit_anchor", 0.25), ("soft_satisficing", 4.0), ("satisficing", 0.02), ("aft_conc", 0.0), ("ensemble_satisficing", 0.05), ("no_such", 0.0))]
-    scores, _ = grid.run_cells(rows, ["x1", "x2"], cells)
-    return scores
-
-
-def fitted_inference(spark, sf_dir):
-    """Paired inference over fitted cells: plain, Tobit and two budgets on every endpoint and two folds (no SQL form)."""
-    rows = _fit_rows(spark, sf_dir)
-    ends = [r[0] for r in rows.select("endpoint").distinct().orderBy("endpoint").collect()]
-    scores, _ = grid.run_cells(rows, ["x1", "x2"], grid.sweep(ends, (0, 1), "main", (0.02, 0.1)))
-    cells = scores.where("error is null").withColumns({"treatment": inference.treatment_label(F.col("treatment"), F.col("eps")), "violation_rate": F.col("viol_violation_rate")})
-    means = saved(inference.endpoint_means(cells, ["violation_rate"], ["endpoint", "treatment", "eps"]))
-    return inference.paired(means, "violation_rate", "exact_only", [])
-
-
-def hidden_truth_study(spark, sf_dir):
-    """Both modes: exact rows are censored again, four treatments are fitted on what is left and scored on the truth (no SQL form)."""
-    folded = saved(_folded(spark, sf_dir).withColumns({"x1": (F.col("assay_id").cast("double") % 100) / 100, "x2": F.length("scaffold").cast("double") / 10}))
-    ends = [r[0] for r in folded.select("endpoint").distinct().orderBy("endpoint").collect()]
-    out = None
-    for mode, strength in (("natural", 0.0), ("informative", 0.8)):
-        again = saved(censoring.censored_again(folded, strength))
-        rows = again.select("row_id", "endpoint", "fold", F.col("hidden_lower").alias("lower"), F.col("hidden_upper").alias("upper"), (~F.col("recensored")).alias("exact_mask"), "value_p", "recensored", "x1", "x2")
-        cells = [{"endpoint": e, "fold": 0, "treatment": t, "eps": 0.05, "nu": 0.0} for e in ends for t in ("exact_only", "tobit", "satisficing", "aft_conc")]
-        predicted = fitting.apply_cells(rows, ["x1", "x2"], fitting.fit_cells(rows, ["x1", "x2"], cells))
-        e = F.when(F.col("recensored"), F.abs(F.col("mu") - F.col("value_p")))
-        scores = predicted.groupBy(F.lit(mode).alias("mode"), "endpoint", "treatment").agg(F.when(F.count(e) >= 3, F.avg(e)).alias("hidden_mae"), F.avg(F.when(F.col("exact_mask"), F.abs(F.col("mu") - F.col("value_p")))).alias("observed_mae"), F.count(e).alias("n_hidden"))
-        out = scores if out is None else out.unionByName(scores)
-    return out
-
-
-def censoring_predictability(spark, sf_dir):
-    """How well the compound's and the assay's features tell censored rows (no SQL form)."""
-    rows = _fit_rows(spark, sf_dir)
-    return censoring.predict_censoring(rows, {"compound": ["x2"], "assay": ["x1"]}, F.col("fold") != 0)
-
-
-def censoring_informativeness(spark, sf_dir):
-    """The permutation test of one endpoint's test fold (no SQL form)."""
-    rows = saved(_fit_rows(spark, sf_dir).where("endpoint = 'A_F'"))
-    return censoring.informativeness(rows, ["x1", "x2"], F.col("fold") != 0, permutations=200)
-
-
-for f in (mixed_effects_reml, fitted_models, fitted_inference, hidden_truth_study, censoring_predictability, censoring_informativeness):
-    QUERIES[f.__name__] = f
+QUERIES[mixed_effects_reml.__name__] = mixed_effects_reml
+QUERIES.update(fits.QUERIES)
