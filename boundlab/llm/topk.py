@@ -20,7 +20,8 @@ clusters, where one copy of the data is the least that can be sent).
 
 Components become floor(256 * x). Shorter vectors count as ending in zeros.
 Vectors null or with null or non-finite components take no part. Scores are
-exact while they fit a long. A null vec_id is no query. Repeated data rows are
+exact while they fit a long. A row with a null vec_id is neither query nor
+candidate; other ids are any 64-bit integers. Repeated data rows are
 different candidates; a query never meets a row of its own id. Repeated query
 rows are each answered, with equal results if their vectors are equal. Empty
 tables give no rows. Extra columns are ignored.
@@ -159,8 +160,8 @@ def top_k(rows: DataFrame, query: F.Column, k: int = 5, pivots: int | None = Non
     """query_id, rank, vec_id, score: the k best rows for each row that `query` holds for. `seen` gets the Plan."""
     spark = rows.sparkSession
     layout = "query_id long, rank int, vec_id long, score long"
-    vectors = quantised(rows.select("vec_id", "embedding"))
-    asked = vectors.where(query & F.col("vec_id").isNotNull()).groupBy("vec_id", "vec").agg(F.count("*").alias("times"))
+    vectors = quantised(rows.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))  # without nulls ids stay 64-bit integers everywhere
+    asked = vectors.where(query).groupBy("vec_id", "vec").agg(F.count("*").alias("times"))
     asked = saved(asked.withColumn("q", F.xxhash64("vec_id", "vec")))
     norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
     n, dims, most = vectors.agg(F.count("*"), F.max(F.size("vec")), F.max(norm)).first()
@@ -188,10 +189,10 @@ def top_k(rows: DataFrame, query: F.Column, k: int = 5, pivots: int | None = Non
                 if b.num_rows:
                     x = matrix(b.column("vec"), dims)
                     at, _ = cells.nearest(x, data)
-                    ids = b.column("vec_id").to_numpy(zero_copy_only=False)
+                    ids = b.column("vec_id").to_numpy()
                     keep = np.flatnonzero(n_query[at] > 0)
                     take = pa.array(keep)
-                    part = np.nan_to_num(ids[keep]).astype(np.int64) % first[at[keep]]
+                    part = ids[keep] % first[at[keep]]
                     names = ["vec_id"] if data else ["q", "vec_id"]
                     yield pa.RecordBatch.from_arrays([pa.array(at[keep]), pa.array(part), *(b.column(c).take(take) for c in names), pa.array([x[i].tobytes() for i in keep], pa.binary())], ["g", "c", *names, "vec"])
 
@@ -238,7 +239,7 @@ def top_k(rows: DataFrame, query: F.Column, k: int = 5, pivots: int | None = Non
             if b.num_rows:
                 x = matrix(b.column("vec"), dims)
                 at, far = cells.nearest(x, True)
-                ids = np.nan_to_num(b.column("vec_id").to_numpy(zero_copy_only=False)).astype(np.int64)
+                ids = b.column("vec_id").to_numpy()
                 bytes_ = pa.array([r.tobytes() for r in x], pa.binary())
                 for g in range(len(plan.sent)):
                     rows_ = np.flatnonzero(far >= plan.least[g][at])

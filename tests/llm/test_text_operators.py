@@ -125,6 +125,18 @@ def test_top_k_brute_force(spark):
     assert sorted(map(tuple, found.collect())) == want
 
 
+def test_top_k_large_and_null_ids(spark):
+    big = 2**60
+    rows = [(None, [9.0, 9.0])] * 3 + [(big + 1, [1.0, 0.5]), (big + 2, [0.5, 1.0]), (-big - 3, [1.0, 1.0]), (0, [0.25, 0.5])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1), F.col("vec_id") >= 0, 5).collect()
+    x = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if i is not None}
+    want = []
+    for q in (big + 1, big + 2, 0):
+        best = sorted((-int(x[q] @ v), i) for i, v in x.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_mixing_overlapping_sources(spark):
     rows = [(i, " ".join(["w"] * (3 + i % 5)), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(90)]
     made = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
