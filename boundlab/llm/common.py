@@ -28,10 +28,19 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
+def _hashable(name: str, kind: str) -> Column:
+    """A column as Spark can hash it: a map by its sorted entries, what holds maps or variants deeper down as JSON."""
+    column = F.col(f"`{name}`")
+    if kind.startswith("map<") and "map<" not in kind[4:] and "variant" not in kind:
+        return F.array_sort(F.map_entries(column))
+    if "map<" in kind or "variant" in kind:
+        return F.to_json(F.struct(column.alias("v")))
+    return column
+
+
 def row_keys(docs: DataFrame) -> list[Column]:
     """k1, k2: 128 bits that tell rows apart by all their columns, nulls included; equal rows share them."""
-    names = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    parts = [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    parts = [x for c, kind in docs.dtypes for x in (F.col(f"`{c}`").isNull(), _hashable(c, kind))]
     return [F.xxhash64(F.lit(k), *parts).alias(f"k{k}") for k in (1, 2)]
 
 

@@ -7,11 +7,12 @@ import duckdb
 import pandas as pd
 import public_tokenizers
 import sentencepiece
-from helpers import components, documents, simhash, write_tables
+from helpers import components, documents, prose, simhash, write_tables
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from boundlab.llm import toxicity
-from boundlab.llm.common import table
+from boundlab.llm.common import packed, table
 from boundlab.llm.registry import ORACLES
 
 GAPS = dict.fromkeys(map(ord, "\t\v\f\r"), " ")
@@ -118,3 +119,23 @@ def test_null_and_repeated_ids_lose_no_document(spark):
     mixed = kept(corpus_pipeline.mixing_stage(spark, docs.where("text <> ''"), folder))
     assert set(mixed) == set(good)  # 1.5 of all words: each document once or twice
     assert all(good[k] <= n <= 2 * good[k] for k, n in mixed.items())
+
+
+def test_rows_that_differ_in_a_map_are_documents_of_their_own(spark):
+    """Maps, maps inside other types and variants tell rows apart; the order of a map's entries doesn't."""
+    text = prose(60)
+    rows = spark.createDataFrame([(i, text, "en", "a", len(text)) for i in range(6)], "i int, text string, lang string, source string, n_chars long")
+    at = lambda *cases: F.get(F.array(*cases), F.col("i"))
+    pair = lambda *kv: F.create_map(*(F.lit(x) for x in kv))
+    docs = rows.select(
+        F.lit(7).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars",
+        at(pair("a", 1, "b", 9), pair("b", 9, "a", 1), pair("a", 2), F.lit(None), pair("a", 1), pair("a", 1)).alias("tags"),
+        at(*(F.array(pair("k", v)) for v in (1, 1, 1, 1, 2, 1))).alias("deep"),
+        F.parse_json(at(*(F.lit(x) for x in ("1", "1", "1", "1", "1", "2")))).alias("v"),
+    )
+    keys = packed(docs).select("k1", "k2").collect()
+    assert len(set(keys)) == 5 and keys[0] == keys[1]
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    found = mixed.groupBy(F.array_sort(F.map_entries("tags")).alias("t"), F.to_json(F.struct("deep", "v")).alias("d")).count().collect()
+    assert {(str(r["t"]), r["d"]) for r in found} <= {(str(r["t"]), r["d"]) for r in docs.select(F.array_sort(F.map_entries("tags")).alias("t"), F.to_json(F.struct("deep", "v")).alias("d")).collect()}
+    assert len(found) == 5
