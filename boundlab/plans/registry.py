@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from boundlab.functions import distributions as D
 from boundlab.operators import censoring, conformal, curation, inference, metrics, splits
 from boundlab.operators.metrics import mean
 from boundlab.plans import fits, grid
-from boundlab.session import saved
-from boundlab.sources import features, loaders
+from boundlab.session import saved, shared_folder
+from boundlab.sources import features, loaders, store
 from boundlab.sources.observations import MEAS_SQL, OBS_SQL, direction, measurements, observations
 
 QUERIES: dict = {}
@@ -563,6 +565,16 @@ def measurement_loader(spark, sf_dir):
     return _loaded(loaders.measurement_rows(table, "A", "F", "B").unionByName(loaders.measurement_rows(table, "N", "O", clean=False)))
 
 
+@query(MEAS_SQL + """ SELECT assay_type, count(*) AS n, count(document_year) AS n_year, bit_xor(('0x' || substr(md5(activity_id), 1, 8))::BIGINT) AS rows_hash FROM meas WHERE target_key = 'A' AND standard_type = 'F' GROUP BY 1""")
+def measurement_store(spark, sf_dir):
+    """The shared table, laid out once a session and input, read by partition."""
+    root = f"{shared_folder(spark)}/store-{spark.sparkContext.applicationId}"
+    source = f"{sf_dir}/lineitem.parquet"
+    name = f"measurements_{sha256(source.encode()).hexdigest()[:12]}"
+    table = store.stored(spark, root, name, source, measurements(spark, sf_dir)).where("target_key = 'A' and standard_type = 'F'")
+    return table.withColumnRenamed("activity_id", "row_id").groupBy("assay_type").agg(F.count("*").alias("n"), F.count("document_year").alias("n_year"), _ROWS_HASH())
+
+
 @query(MEAS_SQL + f""", f AS (SELECT 'property' AS endpoint, activity_id AS row_id, parent_structure AS compound_id, document_year AS year, lower, upper, exact_mask FROM meas WHERE parent_structure IS NOT NULL) SELECT endpoint, {_LOADED} FROM f GROUP BY 1""")
 def property_loader(spark, sf_dir):
     table = measurements(spark, sf_dir).withColumns({"structure": F.col("parent_structure"), "value_p": F.col("p_value")})
@@ -726,13 +738,18 @@ def missing_folds(spark, sf_dir):
 _STUDY = " UNION ALL ".join(f"""SELECT {seed} AS seed, endpoint, 'split' AS method, coverage, interval_score FROM (WITH k AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('{seed}|' || row_id), row_id) <= greatest(50, floor(0.2 * count(*) OVER (PARTITION BY endpoint))) AS calibration FROM pred),
 s AS (SELECT *, abs(value_p - mu) / greatest(sigma, 1e-6) AS s FROM k WHERE exact_mask AND calibration), q AS (SELECT endpoint, s AS q FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY s) AS r, count(*) OVER (PARTITION BY endpoint) AS n FROM s) WHERE n >= 10 AND r = least(ceil((n + 1.0) * 0.9) + 1, n)),
 t AS (SELECT k.*, coalesce(q.q, 1.6448536269514722) AS q FROM k LEFT JOIN q USING (endpoint) WHERE NOT calibration) SELECT endpoint, {_COVER.format(q='q')} FROM t WHERE exact_mask GROUP BY ALL)
-UNION ALL SELECT {seed}, endpoint, 'raw', coverage, interval_score FROM (WITH k AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('{seed}|' || row_id), row_id) <= greatest(50, floor(0.2 * count(*) OVER (PARTITION BY endpoint))) AS calibration FROM pred) SELECT endpoint, {_COVER.format(q='1.6448536269514722')} FROM k WHERE exact_mask AND NOT calibration GROUP BY ALL)""" for seed in (0, 1))
+UNION ALL SELECT {seed}, endpoint, 'raw', coverage, interval_score FROM (WITH k AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('{seed}|' || row_id), row_id) <= greatest(50, floor(0.2 * count(*) OVER (PARTITION BY endpoint))) AS calibration FROM pred) SELECT endpoint, {_COVER.format(q='1.6448536269514722')} FROM k WHERE exact_mask AND NOT calibration GROUP BY ALL)
+UNION ALL SELECT {seed}, endpoint, 'mondrian', coverage, interval_score FROM (WITH k AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY md5('{seed}|' || row_id), row_id) <= greatest(50, floor(0.2 * count(*) OVER (PARTITION BY endpoint))) AS calibration FROM pred),
+s AS (SELECT *, abs(value_p - mu) / greatest(sigma, 1e-6) AS s FROM k WHERE exact_mask AND calibration),
+o AS (SELECT endpoint, source_name, s AS o FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, source_name ORDER BY s) AS r, count(*) OVER (PARTITION BY endpoint, source_name) AS n FROM s) WHERE n >= 10 AND r = least(ceil((n + 1.0) * 0.9) + 1, n)),
+w AS (SELECT endpoint, s AS w FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY s) AS r, count(*) OVER (PARTITION BY endpoint) AS n FROM s) WHERE n >= 10 AND r = least(ceil((n + 1.0) * 0.9) + 1, n)),
+t AS (SELECT k.*, coalesce(o, w, 1.6448536269514722) AS q FROM k LEFT JOIN o USING (endpoint, source_name) LEFT JOIN w USING (endpoint) WHERE NOT calibration) SELECT endpoint, {_COVER.format(q='q')} FROM t WHERE exact_mask GROUP BY ALL)""" for seed in (0, 1))
 
 
 @query(PRED_SQL + " " + _STUDY, ("coverage", "interval_score"))
 def conformal_study(spark, sf_dir):
     pred = saved(assay_predictions(spark, sf_dir).select("row_id", "endpoint", "source_name", "exact_mask", "value_p", "mu", "sigma"))
-    return conformal.study(pred, ["endpoint"], "source_name", (0, 1)).where("method <> 'mondrian'").select("seed", "endpoint", "method", "coverage", "interval_score")
+    return conformal.study(pred, ["endpoint"], "source_name", (0, 1)).select("seed", "endpoint", "method", "coverage", "interval_score")
 
 
 QUERIES[mixed_effects_reml.__name__] = mixed_effects_reml
