@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ def shape_of(key: str, bits: int, longest: int) -> np.ndarray:
 def featured(rows: DataFrame, key: str, function: Callable[..., np.ndarray] = shape_of, cache: str | None = None, **parameters) -> DataFrame:
     """rows with `x`, an array of doubles that `function(key, **parameters)` gives; null keys have none.
 
-    With `cache`, a shared folder, a table of features is kept there under a hash of
-    the function's name, the parameters and the set of keys, and used again.
+    With `cache`, a shared folder, a table of features grows there under a hash of
+    the function's code and the parameters: only keys that it doesn't hold yet are
+    computed, and added to it.
     """
     keys = rows.select(F.col(key).alias("_k")).where("_k is not null").distinct()
 
@@ -40,26 +43,33 @@ def featured(rows: DataFrame, key: str, function: Callable[..., np.ndarray] = sh
         for pdf in batches:
             yield pd.DataFrame({"_k": pdf["_k"], "x": [function(k, **parameters).tolist() for k in pdf["_k"]]})
 
-    made = keys.mapInPandas(run, "_k string, x array<double>").select("_k", finite(F.col("x")).alias("x"))
     if cache:
         spark = rows.sparkSession
-        content = keys.agg(F.count("*"), F.bit_xor(F.xxhash64("_k")), F.sum(F.xxhash64(F.lit(1), "_k") % 1_000_003)).first()
-        name = hashlib.sha256(json.dumps([function.__name__, parameters, list(content)], sort_keys=True).encode()).hexdigest()[:16]
-        path = f"{cache}/features-{name}"
-        if not _there(spark, path):
-            made.write.mode("overwrite").parquet(path)
-        made = spark.read.parquet(path)
+        path = f"{cache}/features-{_identity(function, parameters)}"
+        known = _read(spark, path)
+        if known is not None:
+            keys = saved(keys.join(known.select(F.col("_k").alias("_h")), F.col("_k") == F.col("_h"), "left_anti"))
+        if known is None or keys.limit(1).count():
+            keys.mapInPandas(run, "_k string, x array<double>").select("_k", finite(F.col("x")).alias("x")).write.mode("append").parquet(path)
+        made = _read(spark, path).dropDuplicates(["_k"])  # two jobs may have added a key at once
     else:
-        made = saved(made)
+        made = saved(keys.mapInPandas(run, "_k string, x array<double>").select("_k", finite(F.col("x")).alias("x")))
     return rows.join(made, F.col(key) == F.col("_k"), "left").drop("_k")
 
 
-def _there(spark, path: str) -> bool:
-    """Whether a finished table lies there: Spark writes _SUCCESS last."""
-    from pyspark.errors import AnalysisException
+def _identity(function: Callable, parameters: dict) -> str:
+    """A hash over a function's source (or its code where there is none) and its parameters."""
+    try:
+        body = inspect.getsource(function)
+    except (OSError, TypeError):
+        code = getattr(function, "__code__", None)
+        body = repr((code.co_code, code.co_consts, code.co_names)) if code else repr(function)
+    return hashlib.sha256(json.dumps([function.__name__, body, parameters], sort_keys=True, default=repr).encode()).hexdigest()[:16]
+
 
+def _read(spark, path: str) -> DataFrame | None:
+    """The table that lies there, or None."""
     try:
-        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").first()
-        return True
+        return spark.read.schema("_k string, x array<double>").parquet(path)
     except AnalysisException:
-        return False
+        return None
