@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from hashlib import sha256
 
 from pyspark.sql import DataFrame
@@ -285,6 +286,40 @@ def mixture_predictions(spark, sf_dir):
     return rows.groupBy("endpoint").agg(F.avg(mu).alias("mean_mu"), F.avg(sigma).alias("mean_sigma"), F.avg(D.exceedance(F.col("parts"), 5.0)).alias("mean_exceedance"))
 
 
+_DF = (1.0, 2.5, 30.0)
+
+
+def _t_sql(z: str, df: float) -> str:
+    """Student's CDF by Simpson's rule over the angle atan(z / sqrt(df)), 400 steps: another way than the engine's."""
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    angle = f"atan({z} / sqrt({df!r}::DOUBLE))"
+    return f"(0.5 + {c!r}::DOUBLE * {angle} / 1200 * list_sum([(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * cos({angle} * i / 400) ** {df - 1!r}::DOUBLE for i in range(401)]))"
+
+
+@query(PRED_SQL + """, z AS (SELECT endpoint, (p_true - mu) / sigma AS z FROM pred), v AS (""" + " UNION ALL ".join(f"SELECT endpoint, {df!r}::DOUBLE AS df, avg({_t_sql('z', df)}) AS mean_cdf, min({_t_sql('z', df)}) AS least_cdf FROM z GROUP BY 1" for df in _DF) + ") SELECT * FROM v", ("df", "mean_cdf", "least_cdf"))
+def student_t_degrees(spark, sf_dir):
+    """Student's CDF of every row for degrees of freedom without a closed form here: one pass for all of them."""
+    z = (F.col("p_true") - F.col("mu")) / F.col("sigma")
+    rows = saved(assay_predictions(spark, sf_dir).select("endpoint", z.alias("z")))
+    parts = [F.struct(F.lit(df).alias("df"), F.exp(D.student_log_cdf(F.col("z"), df)).alias("cdf")) for df in _DF]
+    long = rows.select("endpoint", F.inline(F.array(*parts)))
+    return long.groupBy("endpoint", "df").agg(F.avg("cdf").alias("mean_cdf"), F.min("cdf").alias("least_cdf"))
+
+
+_THREE = f"({_CDF('((mid - mu) / sigma)')} + {_CDF('((mid - mu - 0.2) / (1.5 * sigma))')} + {_CDF('((mid - mu + 0.5) / (0.4 * sigma))')}) / 3"
+
+
+@query(PRED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", b AS (SELECT endpoint, mu, sigma, q, mu - 9 * sigma - 1 AS low, mu + 9 * sigma + 1 AS high, 0 AS step FROM pred, (VALUES (0.05), (0.5), (0.95)) a(q)
+UNION ALL SELECT endpoint, mu, sigma, q, CASE WHEN {_THREE} < q THEN mid ELSE low END, CASE WHEN {_THREE} < q THEN high ELSE mid END, step + 1 FROM (SELECT *, (low + high) / 2 AS mid FROM b WHERE step < 45))
+SELECT endpoint, """ + ", ".join(f"avg(low) FILTER (WHERE q = {q}) AS {n}" for n, q in _QUANT.items()) + " FROM b WHERE step = 45 GROUP BY 1", tuple(_QUANT))
+def mixture_quantiles(spark, sf_dir):
+    """Quantiles of a mixture of three components a row, which have no closed form."""
+    part = lambda shift, scale: F.struct((F.col("mu") + shift).alias("mu"), (F.col("sigma") * scale).alias("sigma"))
+    parts = F.array(part(0.0, 1.0), part(0.2, 1.5), part(-0.5, 0.4))
+    rows = saved(assay_predictions(spark, sf_dir).select("endpoint", parts.alias("parts")))
+    return rows.groupBy("endpoint").agg(*(F.avg(D.predictive_quantile(F.col("parts"), q)).alias(n) for n, q in _QUANT.items()))
+
+
 _TRUTH = f""", d AS (SELECT *, {_CDF("((mu - 5.0) / sigma)")} AS p, CASE WHEN exact_mask THEN value_p > 5 WHEN upper = 'inf'::DOUBLE AND lower >= 5 THEN true WHEN lower = '-inf'::DOUBLE AND upper <= 5 THEN false END AS t FROM pred),
 r AS (SELECT * FROM d WHERE t IS NOT NULL)"""
 
@@ -634,6 +669,25 @@ def measurement_audit(spark, sf_dir):
     return curation.endpoint_audit(table).select("endpoint", "n", "relations", "units", "flags", "median_p")
 
 
+_SERIES = ("target_key", "standard_type", "assay_type", "compound_id")
+
+
+@query(MEAS_SQL + f""", g AS (SELECT {", ".join(_SERIES)}, count(*) AS n_measurements, median(value) AS median_p, max(value) - min(value) AS exact_range, max(low) AS bound_low, min(high) AS bound_high, min(document_year) AS min_year, max(document_year) AS max_year, count(DISTINCT document_id) AS n_documents
+  FROM (SELECT *, CASE WHEN exact_mask THEN p_value END AS value, CASE WHEN NOT exact_mask THEN lower END AS low, CASE WHEN NOT exact_mask THEN upper END AS high FROM meas) GROUP BY ALL)
+SELECT target_key, standard_type, assay_type, count(*) AS n_groups, CAST(sum(n_measurements) AS BIGINT) AS n_rows, CAST(sum(n_documents) AS BIGINT) AS n_documents, min(min_year) AS earliest, max(max_year) AS latest, avg(max_year - min_year) AS mean_years, count(*) FILTER (WHERE min_year IS NULL) AS n_undated,
+  count(*) FILTER (WHERE coalesce(bound_low > bound_high OR median_p < bound_low OR median_p > bound_high, false)) AS n_contradiction, avg(median_p) AS mean_median FROM g GROUP BY ALL""", ("mean_years", "mean_median"))
+def measurement_series(spark, sf_dir):
+    """Measurements of one compound by target, measured quantity and kind of assay, with the years that they span."""
+    table = measurements(spark, sf_dir)
+    inf, kind = float("inf"), F.col("censoring_class")
+    bounds = {"exact_mask": kind == "exact", "value_p": F.when(kind == "exact", F.col("p_value")), "lower": F.when(kind == "left_censored_p", -inf).otherwise(F.col("lower_bound_p")), "upper": F.when(kind == "right_censored_p", inf).otherwise(F.col("upper_bound_p"))}
+    groups = curation.aggregated(table.withColumns(bounds).withColumnRenamed("document_year", "year"), list(_SERIES))
+    return groups.groupBy(*_SERIES[:3]).agg(
+        F.count("*").alias("n_groups"), F.sum("n_measurements").alias("n_rows"), F.sum("n_documents").alias("n_documents"), F.min("min_year").alias("earliest"), F.max("max_year").alias("latest"), F.avg(F.col("max_year") - F.col("min_year")).alias("mean_years"),
+        F.count_if(F.col("min_year").isNull()).alias("n_undated"), F.count_if(F.col("resolution") == "contradiction").alias("n_contradiction"), F.avg("median_p").alias("mean_median"),
+    )
+
+
 @query(MEAS_SQL + """ SELECT standard_relation, count(*) AS n, count(*) FILTER (WHERE standard_relation IN ('<', '<=')) AS n_low_open, count(*) FILTER (WHERE standard_relation IN ('>', '>=')) AS n_high_open FROM meas GROUP BY 1""")
 def relation_bounds(spark, sf_dir):
     low, high = curation.relation_bounds(F.col("p_true"), F.col("standard_relation"))
