@@ -24,7 +24,7 @@ An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,54 +64,74 @@ def targets(totals: dict, weights=WEIGHTS, share: float = SHARE, most: int = MOS
 def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tuple, int]:
     """Min-cost flow: words sent from each pattern to each of its sources, {(pattern, source): words}.
 
-    Successive shortest paths; a pattern has an arc of its size for each copy
-    with costs 0, 1, 2, ... Source quotas bind; what can't be routed is left.
-    Patterns whose sources occur in no other one need no flow.
+    A path costs what the copy costs that it begins with, so paths are taken
+    price by price: each further copy adds the patterns' sizes to what may leave
+    them, and a maximum flow by levels is found on top of the last one before
+    the next copy opens. Shortest paths never get cheaper again, hence the cost
+    is least. Source quotas bind; what can't be routed is left. The same
+    patterns give the same routes, whatever their order.
     """
-    uses = Counter(s for pattern in patterns for s in pattern)
-    alone = {p: n for p, n in patterns.items() if len(p) == 1 and uses[p[0]] == 1}
-    sent = {(p, p[0]): min(most * n, quotas[p[0]]) for p, n in alone.items()}
-    patterns = {p: n for p, n in patterns.items() if p not in alone}
-    head, cost, left, out = [], [], [], {}
-
-    def arc(a, b, capacity, price):
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            out.setdefault(x, []).append(len(head))
+    ordered = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
+    nodes = {p: i + 1 for i, p in enumerate(ordered)}
+    nodes |= {("source", s): len(ordered) + 1 + i for i, s in enumerate(quotas)}
+    start, end = 0, len(nodes) + 1
+    head, left, out = [], [], [[] for _ in range(end + 1)]
+
+    def arc(a, b, capacity):
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            out[x].append(len(head))
             head.append(y)
             left.append(c)
-            cost.append(p)
-
-    for pattern, size in patterns.items():
-        for copy in range(most):
-            arc("start", ("p", pattern), size, copy)
-        for source in pattern:
-            arc(("p", pattern), ("s", source), most * size, 0)
-    for source, quota in quotas.items():
-        arc(("s", source), "end", quota, 0)
-    while True:
-        far, via, queue = {"start": 0}, {}, deque(["start"])
+        return len(head) - 2
+
+    leaving = [(arc(start, nodes[p], 0), patterns[p]) for p in ordered]
+    routes = {(p, s): arc(nodes[p], nodes["source", s], most * patterns[p]) for p in ordered for s in p}
+    for s, quota in quotas.items():
+        arc(nodes["source", s], end, quota)
+
+    def levels():
+        level, queue = [-1] * (end + 1), deque([start])
+        level[start] = 0
         while queue:
             a = queue.popleft()
-            for e in out.get(a, []):
-                b = head[e]
-                if left[e] and far[a] + cost[e] < far.get(b, 1 << 60):
-                    far[b], via[b] = far[a] + cost[e], e
-                    queue.append(b)
-        if "end" not in far:
-            break
-        path, at = [], "end"
-        while at != "start":
-            path.append(via[at])
-            at = head[via[at] ^ 1]
-        push = min(left[e] for e in path)
-        for e in path:
-            left[e] -= push
-            left[e ^ 1] += push
-    for pattern in patterns:
-        for e in out[("p", pattern)]:
-            if head[e][0] == "s" and e % 2 == 0:
-                sent[pattern, head[e][1]] = left[e ^ 1]
-    return sent
+            for e in out[a]:
+                if left[e] and level[head[e]] < 0:
+                    level[head[e]] = level[a] + 1
+                    queue.append(head[e])
+        return level
+
+    def block(level):
+        """Fills every path that climbs one level a step; a node's arcs are tried once."""
+        tried, path, at = [0] * (end + 1), [], start
+        while True:
+            if at == end:
+                push = min(left[e] for e in path)
+                for e in path:
+                    left[e] -= push
+                    left[e ^ 1] += push
+                full = next(i for i, e in enumerate(path) if not left[e])
+                at = head[path[full] ^ 1]
+                del path[full:]
+            while tried[at] < len(out[at]):
+                e = out[at][tried[at]]
+                if left[e] and level[head[e]] == level[at] + 1:
+                    break
+                tried[at] += 1
+            else:
+                if not path:
+                    return
+                at = head[path.pop() ^ 1]
+                tried[at] += 1
+                continue
+            path.append(e)
+            at = head[e]
+
+    for _ in range(most):
+        for e, size in leaving:
+            left[e] += size
+        while (level := levels())[end] >= 0:
+            block(level)
+    return {key: left[e ^ 1] for key, e in routes.items()}
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: tuple[str, ...] = (), most_patterns: int = MOST_PATTERNS) -> DataFrame:

@@ -331,6 +331,36 @@ def test_flow_against_every_integer_flow():
         assert (-sum(sent.values()), sum(max(0, used[p] - patterns[p]) for p in patterns)) == (best or (0, 0))
 
 
+def test_flow_of_ten_thousand_patterns_is_greatest_and_cheapest():
+    rng = np.random.default_rng(4)
+    names = [f"s{i:02d}" for i in range(40)]
+    patterns = {}
+    while len(patterns) < 10_000:
+        patterns[tuple(sorted(rng.choice(names, int(rng.integers(1, 5)), replace=False)))] = int(rng.integers(1, 1000))
+    whole = sum(patterns.values())
+    quotas = {s: int(w * 1.6 * whole) for s, w in zip(names, rng.dirichlet(np.full(40, 0.6)), strict=True)}
+    sent = mixing.route(patterns, quotas)
+    assert sent == mixing.route(dict(reversed(patterns.items())), quotas)
+    used, into = Counter(), Counter()
+    for (p, s), n in sent.items():
+        used[p] += n
+        into[s] += n
+    assert all(used[p] <= 2 * n for p, n in patterns.items()) and all(into[s] <= quotas[s] for s in names)
+
+    def closure(found, spread):
+        while (more := found | spread(found)) != found:
+            found = more
+        return found
+
+    # unmet sources, and those whose words could be handed to them, touch used-up patterns alone
+    short = closure({s for s in names if into[s] < quotas[s]}, lambda r: {s for p in patterns if r & set(p) for s in p if sent[p, s]})
+    assert all(used[p] == 2 * n for p, n in patterns.items() if short & set(p))
+    # no repeated word could come from a pattern that still has a first copy to give
+    again = closure({s for p, n in patterns.items() if used[p] > n for s in p if sent[p, s]}, lambda r: {s for p in patterns if r & set(p) for s in p if sent[p, s]})
+    assert all(used[p] >= n for p, n in patterns.items() if again & set(p))
+    assert short and again and any(used[p] > n for p, n in patterns.items())
+
+
 @pytest.mark.parametrize("groups", [None, 6])
 def test_top_k_prunes_clusters(spark, groups):
     """Twenty clusters: a group of queries needs few of the rows, and nothing is lost. Hot and repeated vectors included."""
