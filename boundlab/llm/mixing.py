@@ -13,13 +13,14 @@ patterns, come to the driver; beyond `most_patterns` different sets of sources
 an error is raised before any is collected.
 
 Running totals are two-level (see common.running_total), so a hot source is
-spread over thousands of pieces.
+spread over as many pieces as its rows need.
 
 Nulls: a null text has size 0; the null source is a source and comes last; a
 null or empty array of sources is the null source alone. A null doc_id is
-ordered as an empty string. Repeated rows are each a document; the window that
-ranks one bucket of a source holds all rows that are equal in doc_id and text.
-An empty table gives no rows. Extra columns are ignored.
+ordered as an empty string. Repeated rows are each a document; rows equal in
+doc_id and text may stand in any order, and many of them are ranked by many
+tasks. Very long texts are read whole. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +30,17 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, saved, table, words_of
+from .common import PIECE, prefix_length, running_total, saved, table, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED, MOST_PATTERNS = 1.5, 2, "mix-1", 100_000
 
 
 def sizes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, order key and its bucket."""
+    """doc_id, source, size and order key."""
     text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     key = F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary"))
-    found = docs.select("doc_id", *carry, "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"))
-    return found.withColumn("bucket", F.substring("key", 1, 3))
+    return docs.select("doc_id", *carry, "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), key.alias("key"))
 
 
 def targets(totals: dict, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> dict:
@@ -134,7 +134,7 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
     return {key: left[e ^ 1] for key, e in routes.items()}
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: tuple[str, ...] = (), most_patterns: int = MOST_PATTERNS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: tuple[str, ...] = (), most_patterns: int = MOST_PATTERNS, piece: int = PIECE) -> DataFrame:
     """A row for each row of `docs`: doc_id, source, size, source_size, target, taken, by_source array<struct<source, taken>>, and the columns `carry`.
 
     `source` may be a string (one membership each) or an array of strings; then
@@ -146,10 +146,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     nothing = F.array(F.lit(None).cast("string"))
     pattern = F.when(F.coalesce(F.size("source"), F.lit(0)) > 0, F.array_sort(F.array_distinct("source"))).otherwise(nothing) if many else F.array("source")
     member = rows.withColumn("pattern", pattern)
-    sums = saved(member.groupBy("pattern").agg(F.sum("size").alias("n")))
+    sums = saved(member.groupBy("pattern").agg(F.sum("size").alias("n"), F.count("*").alias("docs")))
     if (n := sums.count()) > most_patterns:
         raise ValueError(f"{n} different sets of sources; the flow takes {most_patterns}")
-    patterns = {tuple(r["pattern"]): r["n"] for r in sums.collect()}  # most_patterns rows at most
+    found = sums.collect()  # most_patterns rows at most
+    patterns = {tuple(r["pattern"]): r["n"] for r in found}
+    digits = prefix_length(sum(r["docs"] for r in found), piece)
     totals: dict = {}
     for pattern, n in patterns.items():
         for s in pattern:
@@ -163,7 +165,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
             ends.append(ends[-1] + sent.get((p, s), 0))
         quota.append((list(p), list(zip(p, ends[:-1], ends[1:], strict=True)), patterns[p], sum(totals[s] for s in p), float(sum(wanted[s] for s in p))))
     layout = "q_pattern array<string>, stretches array<struct<source: string, low: long, high: long>>, pattern_size long, source_size long, target double"
-    ranked = running_total(member, ["pattern"], ["key", "doc_id", "size"], "size", "before", "bucket")
+    ranked = running_total(member, ["pattern"], ["key", "doc_id", "size"], "size", "before", digits, piece)
     both = ranked.join(spark.createDataFrame(quota, layout), F.col("pattern") == F.col("q_pattern"))  # arrays that hold a null are equal too
 
     def share_of(stretch):

@@ -15,9 +15,10 @@ unlinked documents fill the shards up to exactly even counts (law `rows`: counts
 at most one apart).
 
 Nulls: a null text is empty and equal to other empty texts; a null doc_id is
-hashed as an empty string. Repeated rows are each a document; those equal in
-doc_id and text are ranked by one window. An empty table
-gives no rows. Extra columns are ignored.
+hashed as an empty string. Repeated rows are each a document; rows equal in
+doc_id and text may stand in any order, and many of them are ranked by many
+tasks. Very long texts are hashed whole. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, saved, table
+from .common import PIECE, prefix_length, running_total, saved, table
 
 SHARDS, ROUNDS = 40, 6
 
@@ -34,7 +35,7 @@ def sized(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(F.concat(F.lit("shard|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text.cast("binary"))).cast("binary"))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("copies"), key.alias("key"))
-    return rows.withColumn("bucket", F.substring("key", 1, 3)).withColumn("first", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return rows.withColumn("first", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
 def at(values: list[int]) -> Column:
@@ -66,7 +67,7 @@ def fill(n: int, free: list[int], votes: dict[int, int]) -> list[tuple[int, int,
     return parts
 
 
-def propagate(cells: DataFrame, free: list[int], rounds: int) -> DataFrame:
+def propagate(cells: DataFrame, free: list[int], rounds: int, digits: int) -> DataFrame:
     """copies, label, n -> the same after the rounds."""
     spark = cells.sparkSession
     state = saved(cells)
@@ -81,8 +82,8 @@ def propagate(cells: DataFrame, free: list[int], rounds: int) -> DataFrame:
         if not allowed:
             break
         limits = spark.createDataFrame([(*key, n) for key, n in allowed.items()], "a_label int, a_target int, allowed long")
-        turns = asked.withColumn("turn", F.md5(F.concat("copies", F.lit(f"|{k}")))).withColumn("turn_bucket", F.substring("turn", 1, 2))
-        turns = running_total(turns, ["label", "target"], ["turn"], "n", "before", "turn_bucket")
+        turns = asked.withColumn("turn", F.md5(F.concat("copies", F.lit(f"|{k}"))))
+        turns = running_total(turns, ["label", "target"], ["turn"], "n", "before", digits)
         moved = turns.join(F.broadcast(limits), (F.col("label") == F.col("a_label")) & (F.col("target") == F.col("a_target"))).where("before < allowed")
         moved = moved.withColumn("step", F.least("n", F.col("allowed") - F.col("before")))
         change = moved.select("copies", F.explode(F.array(F.struct(F.col("label"), (-F.col("step")).alias("n")), F.struct(F.col("target").alias("label"), F.col("step").alias("n")))).alias("x"))
@@ -91,17 +92,17 @@ def propagate(cells: DataFrame, free: list[int], rounds: int) -> DataFrame:
     return state
 
 
-def settle(state: DataFrame, free: list[int]) -> tuple[DataFrame, list[tuple[str, int, int, int]]]:
+def settle(state: DataFrame, free: list[int], digits: int) -> tuple[DataFrame, list[tuple[str, int, int, int]]]:
     """(copies, label) of groups that lie in one shard, and (copies, shard, from, to) of the others, fewer than shards."""
-    groups = state.groupBy("copies").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("label").alias("label")).withColumn("bucket", F.substring("copies", 1, 3))
-    whole = running_total(groups.where("parts = 1"), ["label"], ["copies"], "n", "before", "bucket")
+    groups = state.groupBy("copies").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("label").alias("label"))
+    whole = running_total(groups.where("parts = 1"), ["label"], ["copies"], "n", "before", digits)
     whole = whole.withColumn("label", F.when(F.col("before") + F.col("n") <= F.get(at(free), F.col("label")), F.col("label"))).drop("before")
     found = saved(whole.unionByName(groups.where("parts > 1").withColumn("label", F.lit(None).cast("int"))).drop("parts"))
     sums = lambda df: {r["label"]: r["n"] for r in df.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).collect()}
     held = sums(found)
     room = [f - held.get(s, 0) for s, f in enumerate(free)]
     low = [sum(room[:s]) for s in range(len(room))]
-    rest = running_total(found.where("label is null").drop("label").withColumn("all", F.lit(0)), ["all"], ["copies"], "n", "before", "bucket")
+    rest = running_total(found.where("label is null").drop("label").withColumn("all", F.lit(0)), ["all"], ["copies"], "n", "before", digits)
     shard = lambda row: F.size(F.filter(at(low), lambda x: x <= row)) - 1
     rest = saved(rest.withColumn("s", shard(F.col("before"))).withColumn("label", F.when(F.col("s") == shard(F.col("before") + F.col("n") - 1), F.col("s"))).select("copies", "n", "label"))
     held = sums(rest)
@@ -111,11 +112,12 @@ def settle(state: DataFrame, free: list[int]) -> tuple[DataFrame, list[tuple[str
     return found.select("copies", "label").unionByName(rest.select("copies", "label")).where("label is not null"), parts
 
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of `docs`."""
     spark = docs.sparkSession
     rows = saved(sized(docs, shards))
     total = rows.count()
+    digits = prefix_length(total, piece)
     want = [total // shards + (s < total % shards) for s in range(shards)]
     linked = rows.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1").select(F.col("copies").alias("l_copies"))
     cells = saved(rows.join(linked, F.col("copies") == F.col("l_copies"), "left_semi").groupBy("copies", "first").agg(F.count("*").alias("n")))
@@ -126,8 +128,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     free, parts = list(want), []
     for copies, by in sorted(votes.items(), key=lambda x: (-sum(x[1].values()), x[0])):
         parts += [(copies, *part) for part in fill(sum(by.values()), free, by)]
-    small = cells.join(F.broadcast(large), F.col("copies") == F.col("g_copies"), "left_anti")
-    whole, across = settle(propagate(small.select("copies", F.col("first").alias("label"), "n"), free, rounds), free)
+    fitting = cells.join(F.broadcast(large), F.col("copies") == F.col("g_copies"), "left_anti")
+    whole, across = settle(propagate(fitting.select("copies", F.col("first").alias("label"), "n"), free, rounds, digits), free, digits)
     parts += across
     labels = cells.join(whole.select(F.col("copies").alias("w_copies"), "label"), F.col("copies") == F.col("w_copies"))
     labels = labels.select(F.col("copies").alias("c_copies"), F.col("first").alias("c_first"), "label")
@@ -135,11 +137,11 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     cut = F.broadcast(spark.createDataFrame([(c,) for c in sorted({p[0] for p in parts})], "p_copies string"))
     ranges = F.broadcast(spark.createDataFrame(parts, "r_copies string, label int, low long, high long"))
     in_cut = F.col("copies") == F.col("p_copies")
-    split = running_total(rows.join(cut, in_cut, "left_semi"), ["copies"], ["key"], "one", "place", "bucket")
+    split = running_total(rows.join(cut, in_cut, "left_semi"), ["copies"], ["key"], "one", "place", digits, piece)
     split = split.join(ranges, (F.col("copies") == F.col("r_copies")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))).select(*rows.columns, "label")
     placed = rows.join(cut, in_cut, "left_anti").join(labels, (F.col("copies") == F.col("c_copies")) & (F.col("first") == F.col("c_first")), "left").select(*rows.columns, "label").unionByName(split)
     # order inside a shard; linked rows beyond the shard's size go to the pool of unlinked ones
-    ranked = saved(running_total(placed, ["label"], ["key", "doc_id", "text_crc32", "size"], "one", "rank", "bucket"))
+    ranked = saved(running_total(placed, ["label"], ["key", "doc_id", "text_crc32", "size"], "one", "rank", digits, piece))
     sizes = spark.createDataFrame(list(enumerate(want)), "s int, want long")
     kept = ranked.join(F.broadcast(sizes), F.col("label") == F.col("s"), "left").withColumn("stays", F.col("label").isNotNull() & (F.col("rank") < F.col("want")))
     loads = {r["label"]: r["n"] for r in kept.where("stays").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -147,7 +149,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     low = [0]  # the pool's ranks from low[s] on go to shard s, after the rows that it holds
     for s in range(shards - 1):
         low.append(low[-1] + want[s] - held[s])
-    pool = running_total(kept.where("not stays").drop("rank").withColumn("all", F.lit(0)), ["all"], ["key", "doc_id", "text_crc32", "size"], "one", "rank", "bucket")
+    pool = running_total(kept.where("not stays").drop("rank").withColumn("all", F.lit(0)), ["all"], ["key", "doc_id", "text_crc32", "size"], "one", "rank", digits, piece)
     pool = pool.withColumn("g", F.size(F.filter(at(low), lambda x: x <= F.col("rank"))) - 1)
     pool = pool.withColumn("slot", F.col("rank") - F.get(at(low), F.col("g")) + F.get(at(held), F.col("g")))
     columns = ["doc_id", "size", "text_crc32"]

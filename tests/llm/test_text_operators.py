@@ -1,5 +1,6 @@
 """Each dealt operator against SQL or brute force, on real rows, on the hard cases and on nothing."""
 
+import itertools
 import math
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -11,7 +12,7 @@ from helpers import components, documents, duck, simhash, spark_rows, write_tabl
 from pyspark.sql import functions as F
 
 from boundlab.llm import chat, language_model, licenses, mixing, pieces, sharding, simhash as sim, topk, toxicity
-from boundlab.llm.common import table
+from boundlab.llm.common import prefix_length, running_total, table
 from boundlab.llm.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -575,3 +576,69 @@ def test_seatings_keep_their_customers():
         want = np.maximum(c + rng.integers(-3, 4, len(c)), 1)
         t, sizes = language_model.gibbs(t, sizes, c, want, a, 0.6, key, sweep)
         c = want
+
+
+def repeated_rows(spark):
+    """Rows equal in id and text by the hundred, among others; their order mustn't matter."""
+    rows = [(7, "same text here", "a")] * 300 + [(None, None, "b")] * 90 + [(8, "another text", None)] * 150 + [(100 + i, f"alone {i}" + " w" * (i % 7), "ab"[i % 2]) for i in range(260)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+
+
+@pytest.mark.parametrize("piece", [4, 40, 1000])
+def test_mixing_of_repeated_rows(spark, piece):
+    docs = repeated_rows(spark)
+    made = mixing.mix(docs, piece=piece).drop("source", "by_source").withColumn("target", F.round("target", 4))
+    assert spark_rows(made) == duck(mixing.ORACLE, SMALL, documents=docs.toArrow())
+
+
+@pytest.mark.parametrize("piece", [4, 40, 1000])
+def test_running_total_of_repeated_rows(spark, piece):
+    docs = mixing.sizes(repeated_rows(spark)).select("source", "key", "size")
+    made = running_total(docs, ["source"], ["key", "size"], "size", "before", prefix_length(docs.count(), piece), piece)
+    assert made.columns == ["source", "key", "size", "before"]
+    groups, want = defaultdict(list), []
+    for r in docs.collect():
+        groups[r["source"]].append((r["key"], r["size"]))
+    for source, rows in groups.items():
+        before = 0
+        for key, size in sorted(rows):
+            want.append((source, key, size, before))
+            before += size
+    assert Counter(map(tuple, made.collect())) == Counter(want)
+
+
+@pytest.mark.parametrize("piece", [4, 1000])
+def test_shards_of_repeated_rows(spark, piece):
+    docs = repeated_rows(spark)
+    made = sharding.balanced_shards(docs, 8, piece=piece).collect()
+    slots = defaultdict(list)
+    for r in made:
+        slots[r["shard"]].append(r["slot"])
+    assert [sorted(slots[s]) for s in range(8)] == [list(range(100))] * 8
+    assert Counter(r["doc_id"] for r in made) == Counter(r["doc_id"] for r in docs.collect())
+    assert len({r["shard"] for r in made if r["doc_id"] == 7}) == 3  # 300 rows, 100 a shard
+
+
+def least_cuts(groups, want):
+    """Fewest further shards that groups of these sizes need, over all layouts into shards of these sizes."""
+    best = {tuple(sorted(want)): 0}
+    for n in groups:
+        after = {}
+        for free, cuts in best.items():
+            for parts in itertools.product(*(range(min(n, f) + 1) for f in free)):
+                if sum(parts) == n:
+                    left = tuple(sorted(f - p for f, p in zip(free, parts, strict=True)))
+                    after[left] = min(after.get(left, math.inf), cuts + sum(p > 0 for p in parts) - 1)
+        best = after
+    return min(best.values())
+
+
+@pytest.mark.parametrize("sizes, shards", [((2, 2, 2), 2), ((3, 3, 2), 2), ((4, 4, 4), 3), ((5, 2, 2), 3), ((7, 3), 3), ((2,) * 6, 4)])
+def test_shards_against_every_layout(spark, sizes, shards):
+    alone = 6
+    total = sum(sizes) + alone
+    want = [total // shards + (s < total % shards) for s in range(shards)]
+    best = least_cuts(sizes, want)
+    found = spread(spark, [f"group {k}" for k, n in enumerate(sizes) for _ in range(n)] + [f"alone {i}" for i in range(alone)], shards)
+    cuts = sum(found.values()) - len(found)
+    assert cuts == best
