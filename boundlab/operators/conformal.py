@@ -9,7 +9,7 @@ from boundlab.functions.distributions import Z90
 from boundlab.operators.metrics import coverage, mean, scale, value
 from boundlab.operators.ranking import at_ranks
 from boundlab.operators.splits import calibration_slice
-from boundlab.session import saved, small
+from boundlab.session import kept, saved, small
 
 
 def quantiles(calibration: DataFrame, by: list[str], alpha: float = 0.1, least: int = 10) -> DataFrame:
@@ -21,7 +21,7 @@ def quantiles(calibration: DataFrame, by: list[str], alpha: float = 0.1, least:
 
 def split_conformal(rows: DataFrame, by: list[str], alpha: float = 0.1) -> DataFrame:
     """Coverage on rows with calibration = false, by `by`; groups too small to calibrate use the normal quantile."""
-    rows = saved(rows)
+    rows = kept(rows.drop("row_id") if "row_id" in rows.columns else rows)
     q = small(saved(quantiles(rows.where("calibration"), by, alpha).drop("n")))
     both = rows.where("not calibration").join(q, by, "left").withColumn("q", F.coalesce("q", F.lit(Z90)))
     return both.groupBy(*by, "q").agg(*coverage(mean() - F.col("q") * scale(), mean() + F.col("q") * scale(), alpha))
@@ -29,7 +29,7 @@ def split_conformal(rows: DataFrame, by: list[str], alpha: float = 0.1) -> DataF
 
 def mondrian_conformal(rows: DataFrame, by: list[str], group: str, alpha: float = 0.1) -> DataFrame:
     """As split_conformal with a quantile for each group, then the one over all groups, then the normal one."""
-    rows = saved(rows)
+    rows = kept(rows.drop("row_id") if "row_id" in rows.columns else rows)
     calibration = rows.where("calibration")
     own = small(saved(quantiles(calibration, [*by, group], alpha).select(*by, group, F.col("q").alias("q_own"))))
     wide = small(saved(quantiles(calibration, by, alpha).select(*by, F.col("q").alias("q_all"))))
@@ -42,7 +42,7 @@ def study(pred: DataFrame, by: list[str], group: str, seeds: tuple[int, ...], al
     """seed, by, method, coverage, width, interval_score: raw, split and group-conditional intervals on what each seed's calibration slice leaves."""
     out = None
     for seed in seeds:
-        rows = saved(calibration_slice(pred, seed=seed))
+        rows = kept(calibration_slice(pred, seed=seed).drop("row_id"))
         test = rows.where("not calibration")
         raw = test.groupBy(*by).agg(*coverage(mean() - Z90 * scale(), mean() + Z90 * scale(), alpha))
         for method, made in (("raw", raw), ("split", split_conformal(rows, by, alpha)), ("mondrian", mondrian_conformal(rows, by, group, alpha))):

@@ -284,3 +284,28 @@ def test_comment_rules(spark):
     texts = [None, " ", "Not Active (dose)", "see paper", "non-toxic", "reactive"]
     made = spark.createDataFrame([(t,) for t in texts], "t string").select(curation.comment_action(F.col("t"), "strict"), curation.comment_action(F.col("t"), "broad")).collect()
     assert [tuple(r) for r in made] == [("keep", "keep"), ("keep", "keep"), ("quarantine", "flag"), ("flag", "flag"), ("quarantine", "flag"), ("flag", "flag")]
+
+
+def test_marks_validate_like_written_assignments(spark):
+    """Doubled ids among them: what is counted by row and fold is what the assignments themselves give."""
+    rows = [(f"r{i % 190}", "e" if i % 190 % 3 else "f", f"a{i % 190 % 17}", f"c{i % 190 % 29}", f"s{i % 190 % 5}", "lab" if i % 190 % 2 else "shop", i % 190 % 4 > 0, float(i % 190) if i % 190 % 4 > 0 else None) for i in range(200)]
+    obs = spark.createDataFrame(rows * 2 + [(f"q{i}", "f", f"a{i % 7}", None, None, "lab", True, float(i)) for i in range(300)], "row_id string, endpoint string, assay_id string, compound_id string, scaffold string, source_name string, exact_mask boolean, value_p double")
+    kinds = ("random", "assay", "scaffold", "compound", "source", "threshold")
+    marks = splits.marked(obs, kinds)
+    tests = splits.make_splits(obs, kinds)
+    listed = lambda df: sorted(tuple(r) for r in df.select("kind", "endpoint", "fold", "row_id").collect())
+    assert listed(marks.select("endpoint", "row_id", F.inline("tests"))) == listed(tests)
+    want, found = splits.validation(obs, splits.assignments(obs, tests)), splits.marks_validation(obs, marks)
+    assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    unknown = splits.marks_validation(obs.where("row_id <> 'q1'"), marks).where("endpoint = 'f'")
+    assert {r["n_unknown"] for r in unknown.collect()} == {1}
+
+
+@pytest.mark.parametrize("share, least", [(0.2, 50), (0.0, 0), (1.0, 5), (0.5, 10**6), (0.003, 1)])
+def test_calibration_slice_is_the_first_rows_in_hash_order(spark, share, least):
+    rows = [(f"r{i}", "e" if i % 3 else "f") for i in range(900)] + [("one", "g")] * 3
+    made = splits.calibration_slice(spark.createDataFrame(rows, "row_id string, endpoint string"), share, least)
+    found = made.groupBy("endpoint").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("calibration"), F.col("row_id")))).alias("ids")).collect()
+    for r in found:
+        mine = sorted((hashlib.md5(f"0|{i}".encode()).hexdigest(), i) for i, e in rows if e == r["endpoint"])
+        assert r["n"] == len(mine) and r["ids"] == sorted(i for _, i in mine[: max(least, int(share * len(mine)))])
