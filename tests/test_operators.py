@@ -309,3 +309,29 @@ def test_calibration_slice_is_the_first_rows_in_hash_order(spark, share, least):
     for r in found:
         mine = sorted((hashlib.md5(f"0|{i}".encode()).hexdigest(), i) for i, e in rows if e == r["endpoint"])
         assert r["n"] == len(mine) and r["ids"] == sorted(i for _, i in mine[: max(least, int(share * len(mine)))])
+
+
+def test_weights_stand_for_equal_rows(spark):
+    """Ranks, AUC, quantiles and thresholds from counted values are those of the rows."""
+    rng = random.Random(8)
+    rows = [("e" if rng.random() < 0.6 else "f", float(rng.randint(0, 9)), rng.random() < 0.4, rng.randint(0, 2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "endpoint string, value_p double, y boolean, fold int")
+    counted = df.groupBy("endpoint", "value_p", "y").agg(F.count("*").alias("w"))
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert same(metrics.auc(df, ["endpoint"], "value_p", "y"), metrics.auc(counted, ["endpoint"], "value_p", "y", "w"))
+    assert same(ranking.quantiles(df, ["endpoint"], "value_p", {"q": 0.3}), ranking.quantiles(counted, ["endpoint"], "value_p", {"q": 0.3}, "w"))
+    exact = df.withColumn("exact_mask", F.col("y"))
+    one = [metrics.decision_thresholds(exact, F.col("fold") != f).select("endpoint", F.lit(f).alias("fold"), "threshold") for f in range(3)]
+    assert same(one[0].unionByName(one[1]).unionByName(one[2]), metrics.fold_thresholds(exact, [0, 1, 2]))
+
+
+def test_equal_rows_are_one_line_of_the_logistic_fit(spark, monkeypatch):
+    """Rows of few different features reach the fit as few weighted lines."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df, *a: seen.append(df.count()) or fit(self, df, *a))
+    rows = [("exact" if (i * 7) % 10 < 6 + i % 3 else "left_censored_p", float(i % 3), i % 5 > 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "censoring_class string, a double, train boolean")
+    found = censoring.predict_censoring(df, {"a": ["a"]}, F.col("train")).first()
+    assert seen == [6] and found["n_test"] == 120 and found["base_rate"] == pytest.approx(sum(r[0] != "exact" for r in rows) / 600)
