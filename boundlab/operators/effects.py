@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boundlab.functions.arrays import log_ndtr
-from boundlab.session import saved, small
+from boundlab.session import kept, saved, small
 
 LOG_ROOT = 0.5 * math.log(2 * math.pi)
 LOW, HIGH = -4.0, 3.0
@@ -90,13 +90,16 @@ def _by_assay(features: list[str], weights: dict):
                     continue
                 w, v = weights[cell]
                 x = np.c_[np.ones(len(rows)), rows[features].to_numpy(float)]
-                loss, g_mu, h_mu, g_l, h_l = terms(rows.lower.to_numpy(float), rows.upper.to_numpy(float), rows.exact_mask.to_numpy(bool), x @ w + rows.b.to_numpy(float), x @ v + rows.r.to_numpy(float))
+                n, exact, raw = rows.n.to_numpy(float), rows.exact_mask.to_numpy(bool), x @ v + rows.r.to_numpy(float)
+                loss, g_mu, h_mu, g_l, h_l = (n * a for a in terms(rows.lower.to_numpy(float), rows.upper.to_numpy(float), exact, x @ w + rows.b.to_numpy(float), raw))
+                more = np.where(exact, rows.spread.to_numpy(float) * np.exp(-2 * np.clip(raw, LOW, HIGH)), 0)  # exact rows lie about the line's mean
+                loss, g_l = loss + more / 2, g_l - more * ((raw > LOW) & (raw < HIGH))
                 code, assays = pd.factorize(rows.assay)
                 known = code >= 0
                 sums = lambda a: np.array([np.bincount(code[known], c[known], len(assays)) for c in np.atleast_2d(a)]).T
-                mine = np.c_[sums(np.array([np.ones(len(rows)), loss, g_mu, h_mu, g_l, h_l])), sums((x * h_mu[:, None]).T), sums((x * h_l[:, None]).T)]
+                mine = np.c_[sums(np.array([n, loss, g_mu, h_mu, g_l, h_l])), sums((x * h_mu[:, None]).T), sums((x * h_l[:, None]).T)]
                 out.append(pd.DataFrame({"cell": cell, "assay": assays, "v": list(mine)}))
-                shared = np.r_[len(rows), loss.sum(), x.T @ g_mu, x.T @ g_l, ((x * h_mu[:, None]).T @ x).ravel(), ((x * h_l[:, None]).T @ x).ravel()]
+                shared = np.r_[n.sum(), loss.sum(), x.T @ g_mu, x.T @ g_l, ((x * h_mu[:, None]).T @ x).ravel(), ((x * h_l[:, None]).T @ x).ravel()]
                 out.append(pd.DataFrame({"cell": [cell], "assay": [None], "v": [shared]}))
             if out:
                 yield pd.concat(out)
@@ -135,8 +138,15 @@ def fit_effects(rows: DataFrame, features: list[str], cell: str = "endpoint", as
     Newton step could still gain, for each row. tau of 0 takes the effects out.
     """
     p = len(features) + 1
-    use = saved(rows.select(F.col(cell).alias("cell"), F.col(assay).alias("assay"), "lower", "upper", "exact_mask", *(F.col(f).cast("double").alias(f) for f in features)).where("cell is not null"))
-    first = use.groupBy("cell").agg(F.count("*").alias("n"), F.avg(F.when(F.col("exact_mask"), F.col("lower"))).alias("m"), F.stddev_pop(F.when(F.col("exact_mask"), F.col("lower"))).alias("sd")).collect()  # a row a cell
+    single = rows.select(F.col(cell).alias("cell"), F.col(assay).alias("assay"), "lower", "upper", "exact_mask", *(F.col(f).cast("double").alias(f) for f in features)).where("cell is not null")
+    first = single.groupBy("cell").agg(F.count("*").alias("n"), F.avg(F.when(F.col("exact_mask"), F.col("lower"))).alias("m"), F.stddev_pop(F.when(F.col("exact_mask"), F.col("lower"))).alias("sd")).collect()  # a row a cell
+    # exact rows of an assay with equal features by count, mean and spread, censored ones with equal bounds too by count
+    exact = F.coalesce(F.col("exact_mask"), F.lit(False))
+    lines = single.withColumns({"exact_mask": exact, "_l": F.when(~exact, F.col("lower")), "_u": F.when(~exact, F.col("upper"))}).groupBy("cell", "assay", "exact_mask", *features, "_l", "_u")
+    value = F.when(F.col("exact_mask"), F.col("upper"))
+    lines = lines.agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("_m"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("spread"))
+    bound = lambda c: F.when(F.col("exact_mask"), F.col("_m")).otherwise(F.col(c))
+    use = kept(lines.select("cell", "assay", bound("_l").alias("lower"), bound("_u").alias("upper"), "exact_mask", "n", "spread", *features).repartition(rows.sparkSession.sparkContext.defaultParallelism))
     cells: dict = {}
     for r in first:
         w, v = np.zeros(p), np.zeros(p)
@@ -145,7 +155,7 @@ def fit_effects(rows: DataFrame, features: list[str], cell: str = "endpoint", as
     open_ = {k for k, c in cells.items() if c["error"] is None}
     scale_b, scale_r = (1 / t**2 if t > 0 else None for t in (tau_b, tau_r))
     zero = F.lit(0.0)
-    effects = saved(use.where("assay is not null").groupBy("cell", "assay").agg(F.count("*").alias("n")).select("cell", "assay", "n", *(zero.alias(c) for c in ("b", "r", "db", "dr"))))
+    effects = saved(use.where("assay is not null").groupBy("cell", "assay").agg(F.sum("n").cast("long").alias("n")).select("cell", "assay", "n", *(zero.alias(c) for c in ("b", "r", "db", "dr"))))
 
     def numbers(name) -> F.Column:
         """A number of each open cell, by its key."""

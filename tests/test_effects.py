@@ -134,3 +134,23 @@ def test_many_assays_stay_in_spark(spark, n):
     assert made.effects.count() == n and abs(made.cells["e"]["w"][1] - 1) < 0.05
     truth = made.effects.withColumn("t", F.when(F.pmod(F.hash(F.substring("assay", 2, 9).cast("long")), F.lit(2)) == 0, 1.0).otherwise(-1.0))
     assert truth.agg(F.corr("b", "t")).first()[0] > 0.85
+
+
+def test_lines_of_equal_rows_give_the_fit_of_the_rows(spark, monkeypatch):
+    """Equal features within an assay make a line of many rows; features that differ by next to nothing keep rows apart and give the same fit."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        x, kind = float(rng.integers(0, 3)), rng.integers(0, 4)
+        y = 5 + x / 2 + (i % 5) / 4 + float(rng.normal(0, 0.4))
+        low, high = (y, y) if kind < 2 else (5.5, math.inf) if kind == 2 else (y - 0.2, y + 0.2)
+        rows.append(("e", f"a{i % 5}", low, high, bool(kind < 2), x, x + i * 1e-12))
+    df = spark.createDataFrame(rows, "endpoint string, assay_id string, lower double, upper double, exact_mask boolean, x double, apart double")
+    written, keep = [], effects.kept
+    monkeypatch.setattr(effects, "kept", lambda d: written.append(keep(d)) or written[-1])
+    one, other = effects.fit_effects(df, ["x"], tau_b=0.5, tau_r=0.3), effects.fit_effects(df, ["apart"], tau_b=0.5, tau_r=0.3)
+    assert written[0].count() < 200 < written[1].count() <= 300
+    a, b = one.cells["e"], other.cells["e"]
+    assert a["n"] == b["n"] == 300 and a["loss"] == pytest.approx(b["loss"], rel=1e-7)
+    assert np.r_[a["w"], a["v"]] == pytest.approx(np.r_[b["w"], b["v"]], abs=1e-5)
+    assert [r["n"] for r in one.effects.collect()] == [60] * 5
