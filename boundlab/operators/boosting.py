@@ -3,15 +3,17 @@
 Labels are bounds on ln(concentration); errors are normal with a fixed scale. A
 round adds one tree a cell, fitted to the slopes and curvatures of the loss at
 the margins so far. Features are cut into bins once, at approximate quantiles of
-the training rows. A level of a tree is one aggregate: each task sums slopes and
-curvatures of its rows by (cell, node, feature, bin), and what comes to the
-driver, bins x features x nodes of each cell, decides the splits. Rows stay
-where they are; margins are written to the checkpoint folder every few rounds,
-and rounds since are evaluated again from the trees, which are small.
+the training rows, and rows are laid out by cell and bins. A round reads the rows
+once: as a tree knows a row by its bins alone, slopes and curvatures are added up
+by (cell, bins of the round's features), and what rounds since the last writing
+of the margins add is evaluated once for each run of equal bins. A level of a
+tree is one aggregate of these sums by (cell, node, feature, bin); what comes to
+the driver, bins x features x nodes of each cell, decides the splits. Margins are
+written to the checkpoint folder every few rounds.
 
 Missing features go the way that gains more at each split. Rows marked `valid`
-take no part in fitting; their loss, gathered along with the next round's first
-level, stops a cell that hasn't improved for `patience` rounds, and their exact
+take no part in fitting; their loss, gathered along with the next round's sums,
+stops a cell that hasn't improved for `patience` rounds, and their exact
 labels give a calibrated deviation (`fit_scale`).
 """
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from boundlab.functions import distributions as D
-from boundlab.operators.effects import terms
-from boundlab.session import saved
+from boundlab.operators.effects import HIGH, LOG_ROOT, LOW, terms
+from boundlab.session import kept, saved
 
 LOG_TEN = math.log(10)
 DEFAULTS = {"rounds": 400, "patience": 40, "rate": 0.05, "depth": 6, "bins": 64, "scale": 1.0, "least_weight": 1.0, "penalty": 1.0, "subsample": 0.8, "columns": 0.8, "seed": 0}
@@ -127,47 +129,95 @@ def _drawn(h: np.ndarray, round_: int, seed: int, share: float) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) < np.uint64(int(share * 2**64) - 1)
 
 
-def _level(p: int, asked: dict, o: dict):
-    """Sums of a task's rows by (cell, node, feature, bin); feature -1 holds losses: bin 0 of training rows, 1 of validation rows."""
-    bins, log_scale = o["bins"], math.log(o["scale"])
+def _slopes(low: np.ndarray, high: np.ndarray, margin: np.ndarray, log_scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, slope and curvature of each row as `terms` has them; exact rows take the parabola alone."""
+    log_s = min(max(log_scale, LOW), HIGH)
+    s = math.exp(log_s)
+    z = (high - margin) / s
+    loss, g, h = z * z / 2 + log_s + LOG_ROOT, -z / s, np.full(len(z), 1 / s**2)
+    cut = np.flatnonzero(~(low == high))
+    if len(cut):
+        loss[cut], g[cut], h[cut] = terms(low[cut], high[cut], np.zeros(len(cut), bool), margin[cut], np.full(len(cut), log_scale))[:3]
+    return loss, g, h
+
+
+def _round_sums(p: int, asked: dict, columns: list[int], round_: int, o: dict):
+    """A round's sums of a task's rows. asked: by number of cell, the trees that margins don't hold yet.
+
+    Kind 0: slopes and curvatures of the rows drawn, by cell and bins of `columns` (none: not wanted). Kinds 1 and 2: loss
+    and number of training and of validation rows. Rows lie by cell and bins, so that trees are evaluated once a run of equal ones.
+    """
+    names, used = [f"b{i}" for i in range(p)], [f"b{i}" for i in columns]
+    log_scale = math.log(o["scale"])
+
+    def run(batches):
+        losses = np.zeros((4, max(asked) + 1))
+        for pdf in batches:
+            pdf = pdf[pdf.c.isin(asked)]
+            if not len(pdf):
+                continue
+            c, x = pdf.c.to_numpy(), pdf[names].to_numpy(np.int32)
+            head = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1]).any(axis=1)])
+            first, margin = c[head], pdf.margin.to_numpy(float)[head].copy()
+            for k in np.unique(first):
+                mine = np.flatnonzero(first == k)
+                for t in asked[k]:
+                    margin[mine] += t.values(x[head[mine]], o["bins"])
+            loss, g, h = _slopes(pdf.low.to_numpy(float), pdf.high.to_numpy(float), np.repeat(margin, np.diff(np.r_[head, len(c)])), log_scale)
+            valid = pdf.valid.to_numpy(bool)
+            for i, w in enumerate((loss * ~valid, ~valid, loss * valid, valid)):
+                losses[i] += np.bincount(c, w, losses.shape[1])
+            if columns:
+                use = ~valid & _drawn(pdf.h.to_numpy(np.int64), round_, o["seed"], o["subsample"])
+                add = lambda v: np.add.reduceat(np.where(use, v, 0.0), head)  # noqa: B023, E731
+                out = pd.DataFrame({"c": first, "kind": 0, **{n: x[head, i] for n, i in zip(used, columns, strict=True)}, "g": add(np.clip(g, -MOST_SLOPE, MOST_SLOPE)), "h": add(np.clip(h, LEAST_CURVE, MOST_CURVE))})
+                yield out[out.h > 0]
+        seen = np.flatnonzero(losses[1] + losses[3])
+        for kind in (1, 2):
+            yield pd.DataFrame({"c": seen, "kind": kind, **dict.fromkeys(used, 0), "g": losses[2 * kind - 2, seen], "h": losses[2 * kind - 1, seen]})
+
+    return run, f"c int, kind int, {''.join(n + ' int, ' for n in used)}g double, h double", used
+
+
+def _level(p: int, asked: dict, columns: list[int], o: dict):
+    """A task's round sums by (cell, node, feature, bin). asked: by number of cell, the tree, its open nodes, and whether losses are wanted; these get feature -1 and bin 0 for training rows, 1 for validation rows."""
+    bins = o["bins"]
 
     def run(batches):
         total: dict = {}
         for pdf in batches:
-            for cell, rows in pdf.groupby("cell"):
-                if cell not in asked:
+            for k, rows in pdf.groupby("c"):
+                if k not in asked:
                     continue
-                trees, tree, open_, round_, losses, columns = asked[cell]
-                x = rows[[f"b{i}" for i in range(p)]].to_numpy(np.int32)
-                margin = rows.margin.to_numpy(float) + sum((t.values(x, bins) for t in trees), np.zeros(len(x)))
-                valid = rows.valid.to_numpy(bool)
-                loss, g, h, _, _ = terms(rows.low.to_numpy(float), rows.high.to_numpy(float), (rows.low == rows.high).to_numpy(), margin, np.full(len(x), log_scale))
-                mine = total.setdefault(cell, {})
+                tree, open_, losses = asked[k]
+                mine = total.setdefault(k, {})
                 if losses:
-                    mine["loss"] = mine.get("loss", 0) + np.array([[loss[~valid].sum(), (~valid).sum()], [loss[valid].sum(), valid.sum()]])
-                g, h = np.clip(g, -MOST_SLOPE, MOST_SLOPE), np.clip(h, LEAST_CURVE, MOST_CURVE)
-                use = ~valid & _drawn(rows.h.to_numpy(np.int64), round_, o["seed"], o["subsample"])
+                    told = rows[rows.kind > 0]
+                    mine["loss"] = mine.get("loss", 0) + np.array([np.bincount(told.kind - 1, told[v], 2) for v in ("g", "h")])
+                rows = rows[rows.kind == 0]
+                x = np.zeros((len(rows), p), np.int32)
+                for f in columns:
+                    x[:, f] = rows[f"b{f}"]
                 place = np.full(max(open_) + 1 if open_ else 1, -1)
                 place[open_] = np.arange(len(open_))
                 node = tree.nodes(x, bins)
                 slot = np.where(node < len(place), place[np.minimum(node, len(place) - 1)], -1)
-                use &= slot >= 0
-                size = len(open_) * (bins + 1)
+                use, size = slot >= 0, len(open_) * (bins + 1)
+                g, h = rows.g.to_numpy(float)[use], rows.h.to_numpy(float)[use]
                 for f in columns:
                     key = slot[use] * (bins + 1) + x[use, f]
-                    sums = np.array([np.bincount(key, g[use], size), np.bincount(key, h[use], size)])
-                    mine[f] = mine.get(f, 0) + sums
+                    mine[f] = mine.get(f, 0) + np.array([np.bincount(key, g, size), np.bincount(key, h, size)])
         out = []
-        for cell, mine in total.items():
-            open_ = asked[cell][2]
+        for k, mine in total.items():
+            open_ = asked[k][1]
             for f, sums in mine.items():
                 if isinstance(f, str):
-                    out += [(cell, -1, -1, k, float(a), float(n)) for k, (a, n) in enumerate(sums)]
+                    out += [(k, -1, -1, i, float(sums[0, i]), float(sums[1, i])) for i in (0, 1)]
                 else:
                     at = np.flatnonzero(sums.any(axis=0))
-                    out += [(cell, int(open_[i // (bins + 1)]), f, int(i % (bins + 1)), float(sums[0, i]), float(sums[1, i])) for i in at]
+                    out += [(k, int(open_[i // (bins + 1)]), f, int(i % (bins + 1)), float(sums[0, i]), float(sums[1, i])) for i in at]
         if out:
-            yield pd.DataFrame(out, columns=["cell", "node", "feature", "bin", "g", "h"])
+            yield pd.DataFrame(out, columns=["c", "node", "feature", "bin", "g", "h"])
 
     return run
 
@@ -178,7 +228,6 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
     p, bins = len(features), o["bins"]
     low, high = D.conc_bounds(F.col("lower"), F.col("upper"))
     use = rows.where(F.col(cell).isNotNull()).select(F.col(cell).alias("cell"), F.xxhash64(key).alias("h"), F.coalesce(valid if valid is not None else F.lit(False), F.lit(False)).alias("valid"), F.log(low).alias("low"), F.when(high == float("inf"), high).otherwise(F.log(high)).alias("high"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)))
-    use = saved(use)
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
     cuts = [F.percentile_approx(finite(f"x{i}"), F.array(*(F.lit(k / bins) for k in range(1, bins))), F.lit(10_000)).alias(f"e{i}") for i in range(p)]
     exact = F.when(F.col("low") == F.col("high"), F.col("low"))
@@ -187,16 +236,26 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
     cells = {r["cell"]: {"edges": [np.unique(r[f"e{i}"] or []) for i in range(p)], "base": r["base"], "n": r["n"], "trees": [], "best": 0, "history": [], "sigma": None, "error": None} for r in first}
     edges = {k: c["edges"] for k, c in cells.items()}
     base = {k: c["base"] for k, c in cells.items()}
+    number = {k: i for i, k in enumerate(sorted(cells))}
+    name = {i: k for k, i in number.items()}
 
     def cut(batches):
         for pdf in batches:
-            for k, part in pdf.groupby("cell"):
+            codes, names = pd.factorize(pdf.cell)
+            values, out = pdf[[f"x{i}" for i in range(p)]].to_numpy(float), pdf[["h", "valid", "low", "high"]]
+            c, x, margin = np.full(len(pdf), -1, np.int32), np.zeros((len(pdf), p), np.int32), np.zeros(len(pdf))
+            for j, k in enumerate(names):
                 if k in edges:
-                    x = binned(part[[f"x{i}" for i in range(p)]].to_numpy(float), edges[k], bins)
-                    yield pd.concat([part[["cell", "h", "valid", "low", "high"]].reset_index(drop=True).assign(margin=base[k]), pd.DataFrame(x, columns=[f"b{i}" for i in range(p)])], axis=1)
-
-    layout = f"cell string, h long, valid boolean, low double, high double, margin double, {', '.join(f'b{i} int' for i in range(p))}"
-    data = saved(use.mapInPandas(cut, layout))
+                    at = np.flatnonzero(codes == j)
+                    c[at], x[at], margin[at] = number[k], binned(values[at], edges[k], bins), base[k]
+            out = out.assign(c=c, margin=margin, **{f"b{i}": x[:, i] for i in range(p)})
+            yield out[c >= 0]
+
+    layout = f"c int, h long, valid boolean, low double, high double, margin double, {', '.join(f'b{i} int' for i in range(p))}"
+    if not cells:
+        return Boosted(list(features), o, cells)
+    lie = ["c", *(f"b{i}" for i in range(p)), "h"]  # h parts runs that are long
+    data = kept(use.mapInPandas(cut, layout).repartitionByRange(*lie).sortWithinPartitions(*lie))
     open_cells = set(cells)
     written = dict.fromkeys(cells, 0)  # trees that the margins hold
     for round_ in range(o["rounds"] + 1):
@@ -204,13 +263,17 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
         draw = np.random.default_rng([o["seed"], round_])
         chosen = sorted(draw.choice(p, max(1, round(o["columns"] * p)), replace=False).tolist())
         growing = {k: (Tree(), [0]) for k in sorted(open_cells)}
+        fresh = {number[k]: cells[k]["trees"][written[k] :] for k in open_cells}
+        run, shape, used = _round_sums(p, fresh, [] if last else chosen, round_, o)
+        lines = saved(data.where(F.col("c").isin(*fresh)).mapInPandas(run, shape).groupBy("c", "kind", *used).agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
         for level in range(1 if last else o["depth"]):
-            asked = {k: (cells[k]["trees"][written[k] :], tree, nodes, round_, level == 0, chosen) for k, (tree, nodes) in growing.items() if k in open_cells and nodes}
+            asked = {number[k]: (tree, nodes, level == 0) for k, (tree, nodes) in growing.items() if k in open_cells and nodes}
             if not asked:
                 break
-            sums = data.where(F.col("cell").isin(*asked)).mapInPandas(_level(p, asked, o), "cell string, node int, feature int, bin int, g double, h double")
-            found = sums.groupBy("cell", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()  # bins x features x nodes a cell
-            for k, mine in found.groupby("cell"):
+            sums = lines.mapInPandas(_level(p, asked, [] if last else chosen, o), "c int, node int, feature int, bin int, g double, h double")
+            found = sums.groupBy("c", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()  # bins x features x nodes a cell
+            for i, mine in found.groupby("c"):
+                k = name[i]
                 c = cells[k]
                 if level == 0:
                     losses = mine[mine.feature < 0].set_index("bin")
@@ -245,16 +308,15 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
         if not open_cells:
             break
         if (round_ + 1) % KEPT_ROUNDS == 0:
-            fresh = {k: cells[k]["trees"][written[k] :] for k in open_cells}
+            fresh = {number[k]: cells[k]["trees"][written[k] :] for k in open_cells}
 
             def moved(batches, fresh=fresh):
                 for pdf in batches:
-                    for k, part in pdf.groupby("cell"):
-                        if k in fresh:
-                            x = part[[f"b{i}" for i in range(p)]].to_numpy(np.int32)
-                            yield part.assign(margin=part.margin.to_numpy(float) + sum(t.values(x, bins) for t in fresh[k]))
+                    for k, part in pdf.groupby("c", sort=False):  # rows stay in their order
+                        x = part[[f"b{i}" for i in range(p)]].to_numpy(np.int32)
+                        yield part.assign(margin=part.margin.to_numpy(float) + sum(t.values(x, bins) for t in fresh[k]))
 
-            data = saved(data.where(F.col("cell").isin(*open_cells)).mapInPandas(moved, layout))
+            data = kept(data.where(F.col("c").isin(*fresh)).mapInPandas(moved, layout))
             written.update({k: len(cells[k]["trees"]) for k in open_cells})
     return Boosted(list(features), o, cells)
 
@@ -266,10 +328,14 @@ def predicted(rows: DataFrame, model: Boosted, cell: str = "endpoint") -> DataFr
 
     def run(batches):
         for pdf in batches:
-            for k, part in pdf.groupby(cell):
+            codes, names = pd.factorize(pdf[cell])
+            values, mu, sigma = pdf[model.features].to_numpy(float), np.zeros(len(pdf)), np.zeros(len(pdf))
+            known = np.zeros(len(pdf), bool)
+            for j, k in enumerate(names):
                 if k in model.cells:
-                    mu = 9 - model.margins(k, part[model.features].to_numpy(float)) / LOG_TEN
-                    yield part.assign(mu=mu, sigma=model.cells[k]["sigma"] or plain)
+                    at = np.flatnonzero(codes == j)
+                    known[at], mu[at], sigma[at] = True, 9 - model.margins(k, values[at]) / LOG_TEN, model.cells[k]["sigma"] or plain
+            yield pdf.assign(mu=mu, sigma=sigma)[known]
 
     return rows.mapInPandas(run, layout)
 

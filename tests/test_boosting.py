@@ -119,6 +119,33 @@ def test_better_than_the_linear_arm_on_a_step(spark):
     assert boosted < 0.3 and boosted < 0.5 * linear
 
 
+def test_a_round_reads_runs_of_equal_bins_as_one(monkeypatch):
+    """Sums of a round by bins against those of every row; trees are asked once a run, whatever the number of its rows."""
+    rng, n, o = np.random.default_rng(4), 4000, boosting.DEFAULTS | {"bins": 8, "scale": 0.7, "subsample": 0.6}
+    low = rng.normal(5, 9, n)
+    pdf = pd.DataFrame({"c": rng.integers(0, 3, n), "h": rng.integers(-(2**62), 2**62, n), "valid": rng.random(n) < 0.2, "low": low, "high": np.where(rng.random(n) < 0.3, INF, np.where(rng.random(n) < 0.3, low + 1, low)), "margin": 0.0, "b0": rng.integers(0, 3, n), "b1": rng.integers(0, 2, n), "b2": rng.integers(0, 2, n)})
+    pdf["margin"] = pdf.c + 0.5 * pdf.b0
+    pdf = pdf.sort_values(["c", "b0", "b1", "b2"])
+    tree = boosting.Tree()
+    tree.split(0, 1, 0, True, (-0.25, 0.75))
+    asked_rows, plain = [], boosting.Tree.values
+    monkeypatch.setattr(boosting.Tree, "values", lambda self, x, missing: (asked_rows.append(len(x)), plain(self, x, missing))[1])
+    run, shape, used = boosting._round_sums(3, {0: [tree], 2: []}, [0, 2], 5, o)
+    got = pd.concat(run(iter([pdf[:2500], pdf[2500:]])))
+    assert sum(asked_rows) <= 13 and used == ["b0", "b2"] and shape.startswith("c int, kind int, b0 int, b2 int")
+    pdf = pdf[pdf.c != 1]
+    margin = pdf.margin + np.where(pdf.c == 0, np.where(pdf.b1 <= 0, -0.25, 0.75), 0)
+    loss, g, h, _, _ = boosting.terms(pdf.low.to_numpy(), pdf.high.to_numpy(), (pdf.low == pdf.high).to_numpy(), margin.to_numpy(), np.full(len(pdf), math.log(0.7)))
+    drawn = ~pdf.valid & boosting._drawn(pdf.h.to_numpy(), 5, 0, 0.6)
+    each = pdf.assign(g=np.clip(g, -15, 15), h=np.clip(h, 1e-16, 15), loss=loss)
+    want = each[drawn].groupby(["c", "b0", "b2"])[["g", "h"]].sum()
+    sums = got[got.kind == 0].groupby(["c", "b0", "b2"])[["g", "h"]].sum()
+    assert want.index.equals(sums.index) and np.allclose(want, sums)
+    for kind, valid in ((1, False), (2, True)):
+        want = each[pdf.valid == valid].groupby("c").loss.agg(["sum", "count"])
+        assert np.allclose(want, got[got.kind == kind].groupby("c")[["g", "h"]].sum())
+
+
 def test_nothing_to_fit(spark):
     rows = spark.createDataFrame(table(5, 1, lambda x: x[:, 0])).limit(0)
     model = boosting.fit_boosted(rows, ["x1"], rounds=3)
