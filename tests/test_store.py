@@ -49,3 +49,31 @@ def test_a_stopped_build_leaves_the_version_before(spark, tmp_path):
         store.stored(spark, root, "t", source, broken, buckets=2)
     assert store.current(spark, root, "t") == version and spark.table(version[0]).count() == 20
     assert store.stored(spark, root, "t", source, buckets=2).count() == 25
+
+
+def test_narrow_rows_move_and_buckets_follow_the_size(spark, tmp_path, monkeypatch):
+    """`derive` makes columns after the shuffle; the table is as if made before, and another session reads the buckets it was written with."""
+    rows = spark.range(3000).select((F.col("id") * 7).alias("a"))
+    source, root = str(tmp_path / "in"), str(tmp_path / "store")
+    rows.repartition(3).write.parquet(source)
+    wide = lambda r: r.select(F.concat(F.lit("r"), "a").alias("activity_id"), F.when(F.col("a") % 2 == 0, "A").otherwise("B").alias("target_key"), F.lit("x").alias("standard_type"), F.repeat(F.lit("long"), 50).alias("text"))
+    monkeypatch.setattr(store, "BUCKET_BYTES", 400)
+    n = store.buckets_for(spark, source)
+    assert n > store.LEAST_BUCKETS and store.buckets_for(spark, source) == n
+    made = store.stored(spark, root, "t", source, rows, at=F.concat(F.lit("r"), F.col("a")), derive=wide)
+    other = store.stored(spark, root, "u", source, wide(rows), buckets=n)
+    ordered = lambda df: sorted(df.select(wide(rows).columns).collect())
+    assert ordered(made) == ordered(wide(rows)) == ordered(other)
+    version = store.current(spark, root, "t")[0]
+    files = made.select(F.regexp_extract(F.input_file_name(), r"_(\d{5})\.c000", 1).alias("f"), F.pmod(F.hash("activity_id"), F.lit(n)).alias("b"))
+    assert files.where("cast(f as int) <> b").count() == 0  # one bucket a task: rows lie where their key says
+    monkeypatch.setattr(store, "BUCKET_BYTES", 10**9)
+    spark.sql(f"DROP TABLE {version}")
+    again = store.stored(spark, root, "t", source, rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = again.join(other.select("activity_id", F.lit(1).alias("note")), "activity_id")
+        assert store.current(spark, root, "t")[0] == version and "Exchange" not in plan(joined) and joined.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
