@@ -9,18 +9,18 @@ of a context restaurant is a customer of the parent.
 Seatings (the customers of each table) are kept from sweep to sweep. In a Gibbs
 sweep customers of a dish, drawn at random, get up and sit down again one by one,
 at a new table with the Pitman-Yor probability given the parent; a dish has as
-many turns as customers, `TURNS` at most. Sweeps run in parallel over dishes:
+many turns as customers, however many. Sweeps run in parallel over dishes:
 each sees the restaurants' table counts and the parent's probabilities as they
-were before the sweep. Random numbers are hashes of dish, sweep and turn, so
-results depend neither on partitions nor on retries. Predictive probabilities
-are averaged over the sweeps after the burn-in. The first seating is made one by
-one up to the `FIRST`-th customer of a dish, in growing groups beyond.
+were before the sweep. Random numbers are hashes of dish, sweep and turn (dishes
+of more than `LONG` customers: drawn from a seed of dish and sweep), so results
+depend neither on partitions nor on retries. Predictive probabilities are
+averaged over the sweeps after the burn-in. Customers first come one by one, too.
 
 How it is spread: a bucket holds all dishes of its words; their number follows
 from the size of the texts. Tokens are shuffled once, packed by batch and bucket.
 Hot words (found in a sample of the ids, which decides the placement alone) are
-spread over the buckets by context; their few unigram seatings stay on the
-driver. Contexts meet all buckets: each bucket sends its table counts to the
+spread over the buckets by context; their unigram dishes are seated in tasks of
+their own. Contexts meet all buckets: each bucket sends its table counts to the
 partition of the context and gets the sums back, by shuffle. A sweep's seatings
 go to the checkpoint folder. Dishes with one customer never change and are only
 counted. Scores are summed by document inside the tasks, then over the buckets.
@@ -33,6 +33,9 @@ An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import pickle
+import random
+import sys
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -47,8 +50,9 @@ FOLDS, HELD = 7, 2
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = (1.0, 1.0)  # of contexts, of the unigram restaurant
 END = xxhash.xxh64_intdigest(b"\n")
-SLICE_TOKENS, BUCKET_BYTES, MOST_HOT = 60_000, 16_000_000, 4096
-TURNS, FIRST, CELLS = 16, 64, 1 << 21
+SLICE_TOKENS, BUCKET_BYTES, MOST_HOT, HOT_TASKS = 60_000, 16_000_000, 4096, 64
+TURNS = sys.maxsize  # of a dish in a sweep: its customers alone limit them
+LONG, PIECE = 128, 1 << 15  # customers from which a dish is seated on its own; dishes seated side by side
 U = np.uint64
 
 
@@ -97,113 +101,147 @@ def before(hashes: np.ndarray) -> np.ndarray:
 # Seatings: (t, sizes), the number of tables of each dish and all tables' customers, dish after dish.
 
 
-def _rows(t: np.ndarray, sizes: np.ndarray, more: np.ndarray):
-    """(dishes, matrix of their tables with room for `more` new ones, used columns), in pieces of bounded size."""
+def _rows(t: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, steps: np.ndarray):
+    """(dishes, matrix of their tables, used rows of it), in pieces of bounded size: a column a dish, those with more steps first."""
     start = np.cumsum(t) - t
-    need = t + more
-    power = np.ceil(np.log2(np.maximum(need, 2))).astype(int)
-    for p in np.unique(power):
-        rows = np.flatnonzero(power == p)
-        width = max(1, int(need[rows].max()))
-        for i in range(0, len(rows), max(1, CELLS // width)):
-            part = rows[i : i + max(1, CELLS // width)]
-            m = np.zeros((len(part), width), np.int64)
-            own = t[part]
-            r = np.repeat(np.arange(len(part)), own)
-            c = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-            m[r, c] = sizes[np.repeat(start[part], own) + c]
-            yield part, m, own.copy()
+    order = chosen[np.argsort(-steps[chosen], kind="stable")]
+    for i in range(0, len(order), PIECE):
+        part = order[i : i + PIECE]
+        own = t[part]
+        m = np.zeros((int(own.max()) + 2, len(part)), np.int32)
+        r = np.repeat(np.arange(len(part)), own)
+        c = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        m[c, r] = sizes[np.repeat(start[part], own) + c]
+        yield part, m, own.copy()
 
 
 def _joined(n: int, parts) -> tuple[np.ndarray, np.ndarray]:
-    """The seatings of n dishes from pieces of rows."""
+    """The seatings of n dishes from (dishes, matrix of tables), or (dish, tables)."""
     t = np.zeros(n, np.int64)
     found = []
     for rows, m in parts:
+        m = m.T
         there = m > 0
-        t[rows] = there.sum(axis=1)
+        t[rows] = there.sum(axis=-1)
         found.append((np.repeat(rows, t[rows]), m[there]))
     if not found:
         return t, np.zeros(0, np.int64)
     who, size = (np.concatenate(x) for x in zip(*found, strict=True))
-    return t, size[np.argsort(who, kind="stable")]
-
-
-def _leave(m: np.ndarray, rows: np.ndarray, u: np.ndarray) -> None:
-    """One customer of each row, drawn by u, gets up."""
-    total = np.cumsum(m[rows], axis=1)
-    m[rows, (total > (u * total[:, -1])[:, None]).argmax(axis=1)] -= 1
-
-
-def _sit(m: np.ndarray, used: np.ndarray, rows: np.ndarray, a: np.ndarray, d: float, u: np.ndarray) -> None:
-    """One customer of each row sits down: at a new table with weight a, at others by their customers less d."""
-    weight = np.maximum(m[rows] - d, 0)
-    total = np.cumsum(weight, axis=1)
-    at = u * (total[:, -1] + a)
-    new = (at < a) | (total[:, -1] <= 0)
-    k = np.where(new, used[rows], (total > (at - a)[:, None]).argmax(axis=1))
-    m[rows, k] += 1
-    used[rows[new]] += 1
+    return t, size[np.argsort(who, kind="stable")].astype(np.int64)
+
+
+def _leave(m: np.ndarray, at: slice | np.ndarray, u: np.ndarray) -> None:
+    """One customer of each dish, drawn by u, gets up."""
+    total = np.cumsum(m[:, at], axis=0, dtype=np.int32)
+    m[(total <= u * total[-1]).sum(axis=0), np.arange(m.shape[1])[at]] -= 1
+
+
+def _sit(m: np.ndarray, used: np.ndarray, at: slice | np.ndarray, a: np.ndarray, d: float, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One customer of each dish sits down: at a new table with weight a, at others by their customers less d. The matrix, with room for one more."""
+    total = np.cumsum(np.maximum(m[:, at] - d, 0), axis=0)
+    x = u * (total[-1] + a)
+    new = (x < a) | (total[-1] <= 0)
+    k = (total <= x - a).sum(axis=0)
+    k = np.where(new, used[at], np.where(k < len(m), k, 0))
+    at = np.arange(m.shape[1])[at]
+    m[k, at] += 1
+    used[at[new]] += 1
+    if new.any() and used[at].max() == len(m):
+        m = np.take_along_axis(m, np.argsort(m == 0, axis=0, kind="stable"), axis=0)  # the others in their order
+        used = (m > 0).sum(axis=0)
+        room = used.max() + 2 + used.max() // 4
+        m = np.r_[m, np.zeros((max(0, room - len(m)), m.shape[1]), m.dtype)][:room]
+    return m, used
+
+
+def _pair(a: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables of dishes with two customers: the last to sit down decides, whatever was before."""
+    return np.where(u * ((1 - d) + a) < a, [[1], [1]], [[2], [0]])
+
+
+def _long(sizes: np.ndarray, want: int, turns: int, a: float, d: float, seed: int) -> np.ndarray:
+    """The same for one dish of many customers, who come or go up to `want` and then have their turns.
+
+    A list of all customers' tables gives one to leave, and one to join if a draw
+    keeps it (by 1 less d / customers), so a turn costs the same for any number of tables.
+    """
+    draw = random.Random(seed).random
+    n, t, size, free = int(sizes.sum()), len(sizes), sizes.tolist(), []
+    seat = array("I", np.repeat(np.arange(t, dtype=np.uint32), sizes).tobytes() + bytes(4 * max(1, want - n)))
+    come = want > n
+    for turn in range(-abs(want - n), turns):
+        if turn >= 0 or not come:
+            i = int(draw() * n)
+            k = seat[i]
+            n -= 1
+            seat[i] = seat[n]
+            size[k] -= 1
+            if not size[k]:
+                t -= 1
+                free.append(k)
+        if turn >= 0 or come:
+            if draw() * (n - d * t + a) < a or not n:
+                t += 1
+                if free:
+                    k = free.pop()
+                else:
+                    k = len(size)
+                    size.append(0)
+            else:
+                k = seat[int(draw() * n)]
+                while draw() * size[k] < d:
+                    k = seat[int(draw() * n)]
+            seat[n] = k
+            n += 1
+            size[k] += 1
+    return np.array([x for x in size if x], np.int64)
 
 
 def first_seats(c: np.ndarray, a: np.ndarray, d: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seatings of dishes with c customers each."""
+    """Seatings of dishes with c customers each, who come one by one."""
 
     def made():
-        one = np.minimum(c, FIRST)
-        for rows, m, used in _rows((c > 0).astype(np.int64), np.ones(int((c > 0).sum()), np.int64), one):
-            for j in range(1, int(one[rows].max(initial=0))):
-                r = np.flatnonzero(one[rows] > j)
-                _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], 0, j))
+        pairs = np.flatnonzero(c == 2)
+        yield pairs, _pair(a[pairs], d, uniform(key[pairs], 0, 1))
+        for rows, m, used in _rows((c > 0).astype(np.int64), np.ones(int((c > 0).sum()), np.int64), np.flatnonzero((c <= LONG) & (c != 2)), c):
+            left = np.sort(c[rows])
+            for j in range(1, int(left[-1])):
+                r = slice(0, len(rows) - np.searchsorted(left, j, "right"))
+                m, used = _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], 0, j))
             yield rows, m
+        for i in np.flatnonzero(c > LONG):
+            yield np.array([i]), _long(np.zeros(0, np.int64), int(c[i]), 0, float(a[i]), d, int(key[i]))[:, None]
 
-    t, sizes = _joined(len(c), made())
-    more = np.flatnonzero(c > FIRST)
-    if not len(more):
-        return t, sizes
-    # the others come in groups: shares of new tables, and the rest by the tables' sizes
-    k, n, grown, news, j = np.full(len(more), FIRST), t[more].copy(), [], [], FIRST
-    while (k < c[more]).any():
-        step = np.minimum(np.maximum(k // 8, 1), c[more] - k)
-        new = np.minimum(step, (step * a[more] / (k - d * n + a[more]) + uniform(key[more], 0, j)).astype(np.int64))
-        grown.append((k + step - new) / k)
-        news.append(new)
-        k, n, j = k + step, n + new, j + 1
-    growth = np.cumprod(np.array(grown)[::-1], axis=0)[::-1]  # of a table from before each group on
-    since = np.r_[growth[1:], np.ones((1, len(more)))]
-    mine = np.isin(np.repeat(np.arange(len(c)), t), more)
-    old, own = sizes[mine] * np.repeat(growth[0], t[more]), np.repeat(np.arange(len(more)), t[more])
-    fresh, count = since.T.ravel(), np.array(news).T.ravel()
-    size = np.floor(np.r_[old, np.repeat(fresh, count)]).astype(np.int64)
-    own = np.r_[own, np.repeat(np.repeat(np.arange(len(more)), len(news)), count)]
-    order = np.argsort(own, kind="stable")
-    size, own = size[order], own[order]
-    begin = np.searchsorted(own, np.arange(len(more)))
-    size[begin] += c[more] - np.add.reduceat(size, begin)  # what rounding leaves goes to the first table
-    t[more] = n
-    who = np.r_[np.repeat(np.arange(len(c)), np.where(c > FIRST, 0, t)), more[own]]
-    return t, np.r_[sizes[~mine], size][np.argsort(who, kind="stable")]
+    return _joined(len(c), made())
 
 
 def gibbs(t: np.ndarray, sizes: np.ndarray, c: np.ndarray, want: np.ndarray, a: np.ndarray, d: float, key: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Brings each dish from c to `want` customers, one by one, then has customers change their seats."""
-    out, turns = [], np.where(want > 1, np.minimum(want, TURNS), 0)
-    come = np.maximum(want - c, 0)
-    for rows, m, used in _rows(t, sizes, come + turns):
-        change = (want - c)[rows]
-        for j in range(int(np.abs(change).max(initial=0))):
-            r = np.flatnonzero(change < -j)
-            if len(r):
-                _leave(m, r, uniform(key[rows[r]], sweep, 1 << 20 | j))
-            r = np.flatnonzero(change > j)
-            if len(r):
-                _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], sweep, 1 << 20 | j))
-        for j in range(int(turns[rows].max(initial=0))):
-            r = np.flatnonzero(turns[rows] > j)
-            _leave(m, r, uniform(key[rows[r]], sweep, 2 * j))
-            _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], sweep, 2 * j + 1))
-        out.append((rows, m))
-    return _joined(len(t), out)
+    """Brings each dish from c to `want` customers, one by one, then has as many customers as it has change their seats."""
+
+    def made():
+        turns, long = np.where(want > 1, want, 0), np.maximum(c, want) > LONG
+        pairs = np.flatnonzero((want == 2) & ~long)
+        yield pairs, _pair(a[pairs], d, uniform(key[pairs], sweep, 3))
+        for rows, m, used in _rows(t, sizes, np.flatnonzero(~long & (want != 2)), turns):
+            change = (want - c)[rows]
+            for j in range(int(np.abs(change).max())):
+                r = np.flatnonzero(change < -j)
+                if len(r):
+                    _leave(m, r, uniform(key[rows[r]], sweep, 1 << 20 | j))
+                r = np.flatnonzero(change > j)
+                if len(r):
+                    m, used = _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], sweep, 1 << 20 | j))
+            left = np.sort(turns[rows])
+            for j in range(int(left[-1])):
+                r = slice(0, len(rows) - np.searchsorted(left, j, "right"))
+                _leave(m, r, uniform(key[rows[r]], sweep, 2 * j))
+                m, used = _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], sweep, 2 * j + 1))
+            yield rows, m
+        start = np.cumsum(t) - t
+        for i in np.flatnonzero(long):
+            yield np.array([i]), _long(sizes[start[i] : start[i] + t[i]], int(want[i]), int(turns[i]), float(a[i]), d, int(mixed(key[i] ^ U(sweep))))[:, None]
+
+    return _joined(len(t), made())
 
 
 def hot_counter(rows):
@@ -403,6 +441,18 @@ def sweep(held: Held, seats: dict | None, tables: np.ndarray, model: dict, state
     return {"dishes": packed_seats(t, sizes, held.c), "words": packed_seats(rt, rsizes, own)}, {"customers": own.sum(), "tables": rt.sum(), "hot": hot}
 
 
+def hot_sweep(spark, hot: np.ndarray, seats: list | None, c: np.ndarray, want: np.ndarray, weight: np.ndarray, d: float, number: int) -> list[np.ndarray]:
+    """The tables of each hot word's unigram dish after a sweep, some words a task: such dishes grow with the corpus, their tables hardly."""
+
+    def seated(i):
+        one, key = slice(i, i + 1), mixed(hot[i : i + 1])
+        if seats is None:
+            return first_seats(want[one], weight[one], d, key)[1]
+        return gibbs(np.array([len(seats[i])]), seats[i], c[one], want[one], weight[one], d, key, number)[1]
+
+    return spark.sparkContext.parallelize(range(len(hot)), min(len(hot), HOT_TASKS)).map(seated).collect() if len(hot) else []
+
+
 class Contexts:
     """A partition of contexts: customers and tables of dishes with one customer, and which bucket asked for which."""
 
@@ -591,8 +641,9 @@ def score_texts(docs: DataFrame, held_out: F.Column, sweeps: int = SWEEPS, burn_
         found = _summed(column(seats, "totals"))
         customers, weight = found["hot"].astype(np.int64), np.full(n_hot, root_weight(model, state))
         d = model["discounts"][1]
-        hot_seats = first_seats(customers, weight, d, mixed(hot)) if hot_seats is None else gibbs(*hot_seats, state["hot"], customers, weight, d, mixed(hot), k)
-        state = {"customers": int(found["customers"]) + single + int(customers.sum()), "tables": int(found["tables"]) + single + int(hot_seats[0].sum()), "hot": customers, "hot_tables": hot_seats[0]}
+        hot_seats = hot_sweep(spark, hot, hot_seats, state["hot"], customers, weight, d, k)
+        hot_tables = np.array([len(x) for x in hot_seats], np.int64)
+        state = {"customers": int(found["customers"]) + single + int(customers.sum()), "tables": int(found["tables"]) + single + int(hot_tables.sum()), "hot": customers, "hot_tables": hot_tables}
         history.append((seats, state))
     used = history[burn_in + 1 :] or history[-1:]
     model["averaged"] = [s for _, s in used]
