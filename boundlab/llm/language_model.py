@@ -21,8 +21,8 @@ from the size of the texts. Tokens are shuffled once, packed by batch and bucket
 Hot words (found in a sample of the ids, which decides the placement alone) are
 spread over the buckets by context; their unigram dishes are seated in tasks of
 their own. Contexts meet all buckets: each bucket sends its table counts to the
-partition of the context and gets the sums back, by shuffle. A sweep's seatings
-go to the checkpoint folder. Dishes with one customer never change and are only
+partition of the context and gets the sums back, by shuffle; a sweep's seatings
+are messages of a bucket to itself. Dishes with one customer never change and are only
 counted. Scores are summed by document inside the tasks, then over the buckets.
 
 Nulls: a null text has the end alone. Rows with equal doc_id and text get the
@@ -36,7 +36,7 @@ import pickle
 import random
 import sys
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import table
 
 FOLDS, HELD = 7, 2
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = (1.0, 1.0)  # of contexts, of the unigram restaurant
 END = xxhash.xxh64_intdigest(b"\n")
-SLICE_TOKENS, BUCKET_BYTES, MOST_HOT, HOT_TASKS = 60_000, 16_000_000, 4096, 64
+SLICE_TOKENS, BUCKET_BYTES, MOST_HOT, HOT_TASKS = 60_000, 24_000_000, 4096, 64
 TURNS = sys.maxsize  # of a dish in a sweep: its customers alone limit them
 LONG, PIECE = 128, 1 << 15  # customers from which a dish is seated on its own; dishes seated side by side
 U = np.uint64
@@ -261,7 +261,7 @@ def hot_counter(rows):
 
 
 def packer(buckets: int, hot: np.ndarray):
-    """Rows (bucket, payload): tokens of a batch of documents by bucket; words and contexts as places in a list of hashes."""
+    """Messages to buckets: tokens of a batch of documents by bucket; words and contexts as places in a list of hashes."""
 
     most = min(600_000, max(300_000, SLICE_TOKENS * buckets))  # tokens of a batch
 
@@ -283,8 +283,8 @@ def packer(buckets: int, hot: np.ndarray):
                 rows, sizes = mine[first], np.diff(np.r_[first, len(mine)])
                 known, at = np.unique(np.concatenate([h[own], c[own]]), return_inverse=True)
                 at = at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
-                out.append((k, pickle.dumps((ids[rows], train[rows], slim(sizes), known, at[: len(own)], at[len(own) :]), 5)))
-        return [(k, bytearray(p)) for k, p in out]
+                out.append((k, ("tokens", 0, k, pickle.dumps((ids[rows], train[rows], slim(sizes), known, at[: len(own)], at[len(own) :]), 5))))
+        return out
 
     def run(rows):
         held, size = [], 0
@@ -453,11 +453,19 @@ def hot_sweep(spark, hot: np.ndarray, seats: list | None, c: np.ndarray, want: n
     return spark.sparkContext.parallelize(range(len(hot)), min(len(hot), HOT_TASKS)).map(seated).collect() if len(hot) else []
 
 
+def told(messages) -> dict:
+    """What a partition was told: (sender, body) by kind and sweep. A message is (to, (kind, sweep, sender, body))."""
+    out = defaultdict(list)
+    for _, (kind, number, sender, body) in messages:
+        out[kind, number].append((sender, body))
+    return out
+
+
 class Contexts:
     """A partition of contexts: customers and tables of dishes with one customer, and which bucket asked for which."""
 
     def __init__(self, ups):
-        ups = sorted((pickle.loads(x) for x in ups), key=lambda x: x[0])
+        ups = sorted(ups, key=lambda x: x[0])
         keys = np.unique(np.concatenate([u[1][0] for u in ups])) if ups else np.zeros(0, np.uint64)
         self.seats, self.ones, self.several = (np.zeros(len(keys), np.int64) for _ in range(3))
         self.at, self.marked = {}, {}
@@ -494,9 +502,9 @@ def _added(a, b):
     return {k: a[k] + b[k] for k in a}
 
 
-def _summed(packed) -> dict | None:
+def _summed(messages, number: int) -> dict | None:
     """Totals of all buckets, summed in a tree, so that the driver gets a few small arrays."""
-    read = packed.map(pickle.loads)
+    read = messages.filter(lambda x: x[1][:2] == ("totals", number)).map(lambda x: x[1][3])
     return read.treeAggregate(None, lambda a, b: b if a is None else _added(a, b), lambda a, b: b if a is None else a if b is None else _added(a, b))
 
 
@@ -575,22 +583,29 @@ def score_texts(docs: DataFrame, held_out: F.Column, sweeps: int = SWEEPS, burn_
     hot = counted.where(F.col("n") * limit >= size).orderBy(F.desc("n"), "word").limit(limit).toPandas()["word"] if buckets > 1 else []
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
     n_hot = len(hot)
-    packed = spark.createDataFrame(rows.select("key", (~F.col("held_out")).alias("train"), "text").rdd.mapPartitions(packer(buckets, hot)), "bucket int, payload binary")
-    tokens = packed.repartitionById(buckets, F.col("bucket")).rdd.mapPartitions(lambda it: [[bytes(r[1]) for r in it]])  # one list a bucket
-    kept = lambda rdd, names: saved(spark.createDataFrame(rdd, ", ".join(f"{x} binary" for x in names)))  # noqa: E731  a row a partition, to the checkpoint folder
-    dumped = lambda *x: tuple(bytearray(pickle.dumps(v, 5)) for v in x)
-    column = lambda frame, name: frame.select(name).rdd.map(lambda r: bytes(r[0]))
-
-    def dealt(pairs, make):
-        """(partition, bytes) to their partitions, each made into one value."""
-        return pairs.partitionBy(buckets, int).mapPartitions(lambda it: [make([x for _, x in it])], preservesPartitioning=True)
-
-    made = kept(tokens.map(lambda payloads: dumped(*Bucket(payloads, hot).fixed(buckets, n_hot)[::2])), ["held", "totals"])
-    held = column(made, "held")
-    # read once more rather than kept: what contexts' partitions get is shuffled, and so on disk, anyway
-    ups = tokens.zipWithIndex().flatMap(lambda x: [(p, pickle.dumps((x[1], u), 5)) for p, u in enumerate(Bucket(x[0], hot).fixed(buckets, n_hot)[1]) if len(u[0])])
-    contexts = column(kept(dealt(ups, lambda xs: dumped(Contexts(xs).packed())), ["contexts"]), "contexts")
-    first = _summed(column(made, "totals"))
+    # Partition k of all that follows is bucket k and the k-th part of the contexts. What is dealt out alike is put side by side by `union`
+    # without a shuffle, so that one Python worker a task reads it; zipped RDDs would take one for each and one for every pair.
+    dealt = lambda rdd: rdd.partitionBy(buckets, int)
+    beside = lambda *rdds: spark.sparkContext.union(list(rdds))
+    tokens = dealt(rows.select("key", (~F.col("held_out")).alias("train"), "text").rdd.mapPartitions(packer(buckets, hot)))
+
+    def built(b, messages):
+        payloads = [body for _, body in told(messages)["tokens", 0]]
+        if payloads:
+            held, up, totals = Bucket(payloads, hot).fixed(buckets, n_hot)
+            yield b, ("held", 0, b, pickle.dumps(held, 5))
+            yield b, ("totals", 0, b, totals)
+            yield from ((p, ("up", 0, b, u)) for p, u in enumerate(up) if len(u[0]))
+
+    def arranged(p, messages):
+        found = told(messages)
+        yield from ((b, ("held", 0, b, held)) for b, held in found["held", 0])
+        if found["up", 0]:
+            yield p, ("contexts", 0, p, pickle.dumps(Contexts(found["up", 0]).packed(), 5))
+
+    made = dealt(tokens.mapPartitionsWithIndex(built))
+    first = _summed(made, 0)
+    fixed = dealt(made.mapPartitionsWithIndex(arranged))
     n, v = int(first["n"]), int(first["v"] + (first["hot_count"] > 0).sum())
     for j in (1, 2):  # hot words' tables lie in several buckets
         first[f"types{j}"] += (first["hot"] == j).sum()
@@ -601,76 +616,67 @@ def score_texts(docs: DataFrame, held_out: F.Column, sweeps: int = SWEEPS, burn_
     state = {"customers": int(first["customers"] + first["hot"].sum()), "tables": v, "hot": first["hot"].astype(np.int64), "hot_tables": seen}
     hot_seats = None
 
-    def replies(sums, whole: bool):
-        """For each bucket the tables of the contexts that it marked; if whole, customers and tables of all that it has."""
+    def replies(moved: dict, whole: bool):
+        """For each bucket the tables of the contexts that it marked; if whole, customers and tables of all that it has. moved: messages of sweeps."""
+        numbers = list(moved)
 
-        def answer(pair):
-            c, given = Contexts.read(pair[0]), pair[1]
-            tables = [c.tables(x) for x in given]
-            for b, at in c.at.items():
-                at = at if whole else at[c.marked[b]]
-                yield b, [slim(x[at]) for x in ([c.seats] if whole else []) + tables]
+        def answer(p, messages):
+            found = told(messages)
+            for _, packed in found["contexts", 0]:
+                c = Contexts.read(packed)
+                tables = [c.tables(found["sums", j]) for j in numbers] or [c.tables(None)]
+                for b, at in c.at.items():
+                    at = at if whole else at[c.marked[b]]
+                    yield b, ("reply", 0, p, [slim(x[at]) for x in ([c.seats] if whole else []) + tables])
 
-        return dealt(contexts.zip(sums).zipWithIndex().flatMap(lambda x: [(b, pickle.dumps((x[1], r), 5)) for b, r in answer(x[0])]), lambda xs: dict(pickle.loads(x) for x in xs))
+        return dealt(beside(fixed, *moved.values()).mapPartitionsWithIndex(answer))
 
-    def sums_of(seats):
-        """What buckets' sampled dishes add to the tables of the contexts they marked, by the contexts' partition."""
-
-        def cut(x):
-            (h, s), b = x
-            h, t = Held(h), full(pickle.loads(s)["dishes"][0])
-            sums, part = np.bincount(h.context, t, len(h.contexts)).astype(np.int64), h.part(buckets)
-            return [(int(p), pickle.dumps((b, slim(sums[part == p])), 5)) for p in np.unique(part)]
-
-        return dealt(held.zip(column(seats, "seats")).zipWithIndex().flatMap(cut), lambda xs: [pickle.loads(x) for x in xs])
-
-    seats, history = None, []
+    moved, history = {}, []
     for k in range(sweeps + 1):
-        given = contexts.map(lambda _: [None]) if seats is None else sums_of(seats).map(lambda x: [x])
-
-        def step(x, k=k, state=state):
-            (h, s), reply = x
-            h = Held(h)
-            tables, part = np.zeros(len(h.contexts), np.int64), h.part(buckets)
-            for p, (t,) in reply.items():
-                tables[part == p] = full(t)
-            return dumped(*sweep(h, None if s is None else unpacked(s, h), tables, model, state, k, n_hot))
-
-        old = held.map(lambda _: None) if seats is None else column(seats, "seats")
-        seats = kept(held.zip(old).zip(replies(given, False)).map(step), ["seats", "totals"])
-        found = _summed(column(seats, "totals"))
+
+        def step(b, messages, k=k, state=state):
+            found = told(messages)
+            for _, held in found["held", 0]:
+                h, before_ = Held(held), found["seats", k - 1]
+                tables, part = np.zeros(len(h.contexts), np.int64), h.part(buckets)
+                for p, (t,) in found["reply", 0]:
+                    tables[part == p] = full(t)
+                seats, totals = sweep(h, unpacked(before_[0][1], h) if before_ else None, tables, model, state, k, n_hot)
+                yield b, ("seats", k, b, pickle.dumps(seats, 5))
+                yield b, ("totals", k, b, totals)
+                sums = np.bincount(h.context, full(seats["dishes"][0]), len(h.contexts)).astype(np.int64)
+                yield from ((int(p), ("sums", k, b, slim(sums[part == p]))) for p in np.unique(part))
+
+        moved = {k: dealt(beside(fixed, *moved.values(), replies(moved, False)).mapPartitionsWithIndex(step))}
+        found = _summed(moved[k], k)
         customers, weight = found["hot"].astype(np.int64), np.full(n_hot, root_weight(model, state))
         d = model["discounts"][1]
         hot_seats = hot_sweep(spark, hot, hot_seats, state["hot"], customers, weight, d, k)
         hot_tables = np.array([len(x) for x in hot_seats], np.int64)
         state = {"customers": int(found["customers"]) + single + int(customers.sum()), "tables": int(found["tables"]) + single + int(hot_tables.sum()), "hot": customers, "hot_tables": hot_tables}
-        history.append((seats, state))
+        history.append((k, moved[k], state))
     used = history[burn_in + 1 :] or history[-1:]
-    model["averaged"] = [s for _, s in used]
-    given = None
-    for frame, _ in used:
-        one = sums_of(frame).map(lambda x: [x])
-        given = one if given is None else given.zip(one).map(lambda x: x[0] + x[1])
-    final = replies(given, True)
-    samples = None
-    for frame, _ in used:
-        one = column(frame, "seats").map(lambda x: [x])
-        samples = one if samples is None else samples.zip(one).map(lambda x: x[0] + x[1])
-
-    def finish(x):
-        ((payloads, seatings), reply), b = x
-        bucket = Bucket(payloads, hot)
+    model["averaged"] = [s for _, _, s in used]
+    sampled = {k: m for k, m, _ in used}
+    numbers = list(sampled)
+
+    def finish(b, messages):
+        found = told(messages)
+        if not found["tokens", 0]:
+            return
+        bucket = Bucket([body for _, body in found.pop(("tokens", 0))], hot)
         part = (bucket.contexts % U(buckets)).astype(np.int64)
-        seats_, tables = np.zeros(len(part), np.int64), [np.zeros(len(part), np.int64) for _ in seatings]
-        for p, (customers, *more) in reply.items():
+        seats, tables = np.zeros(len(part), np.int64), [np.zeros(len(part), np.int64) for _ in numbers]
+        for p, (customers, *more) in found["reply", 0]:
             mine = part == p
-            seats_[mine] = full(customers)
+            seats[mine] = full(customers)
             for own, t in zip(tables, more, strict=True):
                 own[mine] = full(t)
-        docs_, sums = scored(bucket, [{"t": full(x["dishes"][0]), "rt": full(x["words"][0])} for x in map(pickle.loads, seatings)], (seats_, tables), model)
-        return [(p, (b, pickle.dumps((d, s[:2], [slim(x) for x in s[2:]]), 5))) for p, d, s in _by_document(docs_, sums, buckets)]
+        samples = [{"t": full(x["dishes"][0]), "rt": full(x["words"][0])} for x in (pickle.loads(found["seats", k][0][1]) for k in numbers)]
+        docs_, sums = scored(bucket, samples, (seats, tables), model)
+        yield from ((p, (b, pickle.dumps((d, s[:2], [slim(x) for x in s[2:]]), 5))) for p, d, s in _by_document(docs_, sums, buckets))
 
-    split = tokens.zip(samples).zip(final).zipWithIndex().flatMap(finish)
+    split = beside(tokens, *sampled.values(), replies(sampled, True)).mapPartitionsWithIndex(finish)
     merged = split.partitionBy(buckets, int).mapPartitions(_merged)
     sums = spark.createDataFrame(merged, "sums binary").mapInArrow(_unpack, "key long, score double, plus double, n_tokens int, n_known int, ends int")
     names = ["score", "plus", "n_tokens", "n_known", "ends"]
