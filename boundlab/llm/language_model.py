@@ -175,12 +175,13 @@ def _long(sizes: np.ndarray, want: int, turns: int, a: float, d: float, seed: in
             k = seat[i]
             n -= 1
             seat[i] = seat[n]
-            size[k] -= 1
-            if not size[k]:
+            left = size[k] = size[k] - 1
+            if not left:
                 t -= 1
                 free.append(k)
         if turn >= 0 or come:
-            if draw() * (n - d * t + a) < a or not n:
+            x = draw() * (n - d * t + a) - a
+            if x < 0 or not n:
                 t += 1
                 if free:
                     k = free.pop()
@@ -188,9 +189,13 @@ def _long(sizes: np.ndarray, want: int, turns: int, a: float, d: float, seed: in
                     k = len(size)
                     size.append(0)
             else:
-                k = seat[int(draw() * n)]
-                while draw() * size[k] < d:
-                    k = seat[int(draw() * n)]
+                x *= n / (n - d * t)
+                i = int(x)
+                k = seat[i]
+                while (x - i) * size[k] < d:  # what the place leaves of the draw is a draw of its own
+                    x = draw() * n
+                    i = int(x)
+                    k = seat[i]
             seat[n] = k
             n += 1
             size[k] += 1
