@@ -33,9 +33,7 @@ An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import pickle
-import random
 import sys
-from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -49,10 +47,11 @@ from .common import table
 FOLDS, HELD = 7, 2
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = (1.0, 1.0)  # of contexts, of the unigram restaurant
-END = xxhash.xxh64_intdigest(b"\n")
+END, END_BYTES = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_digest(b"\n")
 SLICE_TOKENS, BUCKET_BYTES, MOST_HOT, HOT_TASKS = 60_000, 24_000_000, 4096, 64
 TURNS = sys.maxsize  # of a dish in a sweep: its customers alone limit them
-LONG, PIECE = 128, 1 << 15  # customers from which a dish is seated on its own; dishes seated side by side
+LONG, PIECE, EMPTY, DRAWS = 512, 1 << 13, 12_000, 1 << 14  # customers from which a dish is seated on its own; dishes seated side by side, and cells without a table among them; turns drawn at once
+FAR = 1 << 13  # more than customers, tables and turns of a dish seated side by side
 U = np.uint64
 
 
@@ -60,14 +59,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     with np.errstate(over="ignore"):
         x = np.asarray(x, np.uint64) + U(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> U(shift)
+            x *= U(by)
+        x ^= x >> U(31)
+        return x
 
 
-def uniform(key: np.ndarray, sweep: int, turn: int) -> np.ndarray:
-    """A number in [0, 1) for each dish."""
-    return (mixed(np.asarray(key, np.uint64) ^ mixed(U(sweep << 40 | turn))) >> U(11)).astype(float) / 2.0**53
+def uniform(key: np.ndarray, sweep: int, turn: int | np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each dish (and turn)."""
+    return (mixed(np.asarray(key, np.uint64) ^ mixed(np.asarray(sweep << 40 | turn, np.uint64))) >> U(11)) * 2.0**-53
 
 
 def dish_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -87,8 +88,17 @@ def full(packed: tuple) -> np.ndarray:
     return out
 
 
+def close(x: np.ndarray) -> np.ndarray:
+    """Rising hashes as their differences, byte by byte: the highest bytes are alike, which a shuffle's compression uses."""
+    return np.ascontiguousarray(np.diff(x, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def apart(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def token_hashes(text: bytes | None) -> np.ndarray:
-    return np.array([*map(xxhash.xxh64_intdigest, (text or b"").lower().split()), END], np.uint64)
+    return np.frombuffer(b"".join([*map(xxhash.xxh64_digest, (text or b"").lower().split()), END_BYTES]), ">u8").astype(np.uint64)
 
 
 def before(hashes: np.ndarray) -> np.ndarray:
@@ -101,18 +111,19 @@ def before(hashes: np.ndarray) -> np.ndarray:
 # Seatings: (t, sizes), the number of tables of each dish and all tables' customers, dish after dish.
 
 
-def _rows(t: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, steps: np.ndarray):
-    """(dishes, matrix of their tables, used rows of it), in pieces of bounded size: a column a dish, those with more steps first."""
-    start = np.cumsum(t) - t
-    order = chosen[np.argsort(-steps[chosen], kind="stable")]
-    for i in range(0, len(order), PIECE):
-        part = order[i : i + PIECE]
-        own = t[part]
-        m = np.zeros((int(own.max()) + 2, len(part)), np.int32)
-        r = np.repeat(np.arange(len(part)), own)
-        c = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        m[c, r] = sizes[np.repeat(start[part], own) + c]
-        yield part, m, own.copy()
+def _pieces(chosen: np.ndarray, steps: np.ndarray, tables: np.ndarray):
+    """The chosen dishes in pieces of bounded size, of like steps (within a factor of four) and like numbers of tables; those with more steps first."""
+    kind = np.log2(np.maximum(steps[chosen], 1)).astype(np.int64) // 2
+    order = chosen[np.lexsort((tables[chosen], kind))]
+    kind, most = np.sort(kind), tables[order]
+    i = 0
+    while i < len(order):
+        n = min(PIECE, int(np.searchsorted(kind, kind[i], "right")) - i)
+        empty = most[i : i + n] * np.arange(1, n + 1) - np.cumsum(most[i : i + n])  # cells of the piece without a table, if it ends here
+        n = max(1, int(np.searchsorted(empty, EMPTY)))
+        part = order[i : i + n]
+        yield part[np.argsort(-steps[part], kind="stable")]
+        i += n
 
 
 def _joined(n: int, parts) -> tuple[np.ndarray, np.ndarray]:
@@ -130,28 +141,71 @@ def _joined(n: int, parts) -> tuple[np.ndarray, np.ndarray]:
     return t, size[np.argsort(who, kind="stable")].astype(np.int64)
 
 
-def _leave(m: np.ndarray, at: slice | np.ndarray, u: np.ndarray) -> None:
-    """One customer of each dish, drawn by u, gets up."""
-    total = np.cumsum(m[:, at], axis=0, dtype=np.int32)
-    m[(total <= u * total[-1]).sum(axis=0), np.arange(m.shape[1])[at]] -= 1
-
-
-def _sit(m: np.ndarray, used: np.ndarray, at: slice | np.ndarray, a: np.ndarray, d: float, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One customer of each dish sits down: at a new table with weight a, at others by their customers less d. The matrix, with room for one more."""
-    total = np.cumsum(np.maximum(m[:, at] - d, 0), axis=0)
-    x = u * (total[-1] + a)
-    new = (x < a) | (total[-1] <= 0)
-    k = (total <= x - a).sum(axis=0)
-    k = np.where(new, used[at], np.where(k < len(m), k, 0))
-    at = np.arange(m.shape[1])[at]
-    m[k, at] += 1
-    used[at[new]] += 1
-    if new.any() and used[at].max() == len(m):
-        m = np.take_along_axis(m, np.argsort(m == 0, axis=0, kind="stable"), axis=0)  # the others in their order
-        used = (m > 0).sum(axis=0)
-        room = used.max() + 2 + used.max() // 4
-        m = np.r_[m, np.zeros((max(0, room - len(m)), m.shape[1]), m.dtype)][:room]
-    return m, used
+class Side:
+    """Dishes seated side by side, a column each: under a row of zeros the customers of the first table, of the first two and so on, then numbers too large for any."""
+
+    def __init__(self, own: np.ndarray, sizes: np.ndarray):
+        """Tables of each dish, and all their customers, dish after dish."""
+        self.t, ends = own.astype(np.int64), np.cumsum(own)
+        self.s = np.repeat(np.arange(FAR, FAR + int(own.max(initial=0)) + 3, dtype=np.int16)[:, None], len(own), axis=1)
+        self.s[0] = 0
+        total = np.r_[0, np.cumsum(sizes)]
+        who = np.repeat(np.arange(len(own)), own)
+        self.s[np.arange(len(who)) - (ends - own)[who] + 1, who] = total[1:] - total[ends - own][who]
+        self.n = np.diff(total[np.r_[0, ends]]).astype(float)
+        self.most = int(own.max(initial=0))
+
+    def leave(self, at: slice | np.ndarray, u: np.ndarray) -> None:
+        """One customer of each dish, drawn by u, gets up."""
+        s = self.s[:, at]
+        s -= s > (u * self.n[at]).astype(np.int16)
+        self.n[at] -= 1
+        gone = np.flatnonzero((s[1:] == s[:-1]).any(axis=0))
+        if len(gone):  # a table was left: those after it move up
+            own = s[:, gone]
+            k = (own[1:] == own[:-1]).argmax(axis=0) + 1
+            s[:, gone] = np.where(np.arange(len(s))[:, None] >= k, np.r_[own[1:], own[-1:] + 1], own)
+            self.t[gone if isinstance(at, slice) else at[gone]] -= 1
+        if not isinstance(at, slice):
+            self.s[:, at] = s
+
+    def sit(self, at: slice | np.ndarray, a: np.ndarray, d: float, u: np.ndarray) -> None:
+        """One customer of each dish sits down: at a new table with weight a, at others by their customers less d."""
+        if self.most + 2 > len(self.s):
+            self.s = np.r_[self.s, self.s[-1] + np.arange(1, 3 + len(self.s) // 4, dtype=np.int16)[:, None]]
+        s, n, t = self.s[:, at], self.n[at] + 1, self.t[at]
+        rest = n - 1 - d * t
+        x = u * (rest + a) - a
+        new = (x < 0) | (n == 1)
+        x = np.where(new, 2.0 * FAR, np.minimum(x, rest * (1 - 1e-9)))
+        s += s > (x + (d * np.arange(len(s)))[:, None]).astype(np.int16)
+        self.n[at] = n
+        new = np.flatnonzero(new)
+        if len(new):
+            own = t[new] + 1
+            s[own, new] = n[new]
+            self.t[new if isinstance(at, slice) else at[new]] = own
+            self.most = max(self.most, int(own.max()))
+        if not isinstance(at, slice):
+            self.s[:, at] = s
+
+    def tables(self) -> np.ndarray:
+        """Customers of each table, zeros after a dish's last."""
+        m = np.diff(self.s[: self.most + 1], axis=0)
+        return np.where(np.arange(self.most)[:, None] < self.t, m, 0)
+
+
+def _draws(key: np.ndarray, left: np.ndarray, sweep: int, turns: int, each: int):
+    """(first dishes that have this turn, `each` rows of draws) turn after turn, drawn for some turns at once; left: turns of each dish, falling."""
+    up, j = left[::-1], 0
+    while j < turns:
+        n = len(left) - int(np.searchsorted(up, j, "right"))
+        some = min(turns - j, max(1, (1 << 14) // n))
+        u = uniform(key[:n], sweep, np.arange(each * j, each * (j + some))[:, None])
+        for i in range(some):
+            n = len(left) - int(np.searchsorted(up, j + i, "right"))
+            yield slice(0, n), u[each * i : each * (i + 1), :n]
+        j += some
 
 
 def _pair(a: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
@@ -163,42 +217,79 @@ def _long(sizes: np.ndarray, want: int, turns: int, a: float, d: float, seed: in
     """The same for one dish of many customers, who come or go up to `want` and then have their turns.
 
     A list of all customers' tables gives one to leave, and one to join if a draw
-    keeps it (by 1 less d / customers), so a turn costs the same for any number of tables.
+    keeps it (by 1 less d / customers), so a turn costs the same for any number of
+    tables. Draws are made for many turns at once.
     """
-    draw = random.Random(seed).random
+    rng = np.random.default_rng(seed)
     n, t, size, free = int(sizes.sum()), len(sizes), sizes.tolist(), []
-    seat = array("I", np.repeat(np.arange(t, dtype=np.uint32), sizes).tobytes() + bytes(4 * max(1, want - n)))
-    come = want > n
-    for turn in range(-abs(want - n), turns):
-        if turn >= 0 or not come:
-            i = int(draw() * n)
+    seat = np.repeat(np.arange(t), sizes).tolist()
+
+    def draws(turns):
+        for i in range(0, turns, DRAWS):
+            u = rng.random((4, min(DRAWS, turns - i)))
+            u[3] = d / np.maximum(u[3], 1e-300)
+            yield u
+
+    def place(least, n, hole):
+        """A table to join: that of a customer drawn (none in the hole), unless it has fewer customers than the draw asks for."""
+        while True:
+            i = int(rng.random() * n)
+            k = seat[n if i == hole else i]
+            if size[k] >= least:
+                return k
+            least = d / max(rng.random(), 1e-300)
+
+    def opened():
+        if free:
+            return free.pop()
+        size.append(0)
+        return len(size) - 1
+
+    while n > want:
+        i = int(rng.random() * n)
+        k = seat[i]
+        n -= 1
+        seat[i] = seat[n]
+        seat.pop()
+        size[k] -= 1
+        if not size[k]:
+            t -= 1
+            free.append(k)
+    for new, which, _, least in draws(want - n):
+        at = (which * np.arange(n, n + len(which))).astype(np.int64).tolist()
+        for u, i, enough in zip(new.tolist(), at, least.tolist(), strict=True):
+            if u * (n - d * t + a) < a or not n:
+                k = opened()
+                t += 1
+            else:
+                k = seat[i]
+                if size[k] < enough:
+                    k = place(d / max(rng.random(), 1e-300), n, -1)
+            seat.append(k)
+            size[k] += 1
+            n += 1
+    others = n - 1
+    limit = a / (others - d * t + a) if n > 1 else 1.0
+    for new, which, gone, least in draws(turns):
+        up, at = ((x * m).astype(np.int64).tolist() for x, m in ((gone, n), (which, others)))
+        for i, u, j, enough in zip(up, new.tolist(), at, least.tolist(), strict=True):
             k = seat[i]
-            n -= 1
-            seat[i] = seat[n]
-            left = size[k] = size[k] - 1
+            left = size[k] - 1
+            size[k] = left
             if not left:
                 t -= 1
                 free.append(k)
-        if turn >= 0 or come:
-            x = draw() * (n - d * t + a) - a
-            if x < 0 or not n:
+                limit = a / (others - d * t + a)
+            if u < limit:
+                k = opened()
                 t += 1
-                if free:
-                    k = free.pop()
-                else:
-                    k = len(size)
-                    size.append(0)
+                limit = a / (others - d * t + a)
             else:
-                x *= n / (n - d * t)
-                i = int(x)
-                k = seat[i]
-                while (x - i) * size[k] < d:  # what the place leaves of the draw is a draw of its own
-                    x = draw() * n
-                    i = int(x)
-                    k = seat[i]
-            seat[n] = k
-            n += 1
+                k = seat[others if i == j else j]  # the others are all but i
+                if size[k] < enough:
+                    k = place(d / max(rng.random(), 1e-300), others, i)
             size[k] += 1
+            seat[i] = k
     return np.array([x for x in size if x], np.int64)
 
 
@@ -208,12 +299,15 @@ def first_seats(c: np.ndarray, a: np.ndarray, d: float, key: np.ndarray) -> tupl
     def made():
         pairs = np.flatnonzero(c == 2)
         yield pairs, _pair(a[pairs], d, uniform(key[pairs], 0, 1))
-        for rows, m, used in _rows((c > 0).astype(np.int64), np.ones(int((c > 0).sum()), np.int64), np.flatnonzero((c <= LONG) & (c != 2)), c):
-            left = np.sort(c[rows])
-            for j in range(1, int(left[-1])):
-                r = slice(0, len(rows) - np.searchsorted(left, j, "right"))
-                m, used = _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], 0, j))
-            yield rows, m
+        alone = np.flatnonzero(c == 1)
+        yield alone, np.ones((1, len(alone)), np.int16)
+        guess = (1 + a * np.log1p(c / (1 + a))).astype(np.int64)  # puts like dishes side by side, no more
+        for rows in _pieces(np.flatnonzero((c <= LONG) & (c > 2)), c, guess):
+            side, own = Side(np.ones(len(rows), np.int64), np.ones(len(rows), np.int64)), a[rows]
+            for j, (r, u) in enumerate(_draws(key[rows], c[rows], 0, int(c[rows[0]]), 1)):
+                if j:  # the first has sat down
+                    side.sit(r, own[r], d, u[0])
+            yield rows, side.tables()
         for i in np.flatnonzero(c > LONG):
             yield np.array([i]), _long(np.zeros(0, np.int64), int(c[i]), 0, float(a[i]), d, int(key[i]))[:, None]
 
@@ -224,27 +318,28 @@ def gibbs(t: np.ndarray, sizes: np.ndarray, c: np.ndarray, want: np.ndarray, a:
     """Brings each dish from c to `want` customers, one by one, then has as many customers as it has change their seats."""
 
     def made():
-        turns, long = np.where(want > 1, want, 0), np.maximum(c, want) > LONG
+        long = np.maximum(c, want) > LONG
         pairs = np.flatnonzero((want == 2) & ~long)
         yield pairs, _pair(a[pairs], d, uniform(key[pairs], sweep, 3))
-        for rows, m, used in _rows(t, sizes, np.flatnonzero(~long & (want != 2)), turns):
-            change = (want - c)[rows]
+        alone = np.flatnonzero((want == 1) & ~long)
+        yield alone, np.ones((1, len(alone)), np.int16)
+        start = np.cumsum(t) - t
+        for rows in _pieces(np.flatnonzero(~long & (want > 2)), want, t):
+            own, weight, keys, change = t[rows], a[rows], key[rows], (want - c)[rows]
+            side = Side(own, sizes[np.repeat(start[rows] - np.cumsum(own) + own, own) + np.arange(own.sum())])
             for j in range(int(np.abs(change).max())):
                 r = np.flatnonzero(change < -j)
                 if len(r):
-                    _leave(m, r, uniform(key[rows[r]], sweep, 1 << 20 | j))
+                    side.leave(r, uniform(keys[r], sweep, 1 << 20 | j))
                 r = np.flatnonzero(change > j)
                 if len(r):
-                    m, used = _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], sweep, 1 << 20 | j))
-            left = np.sort(turns[rows])
-            for j in range(int(left[-1])):
-                r = slice(0, len(rows) - np.searchsorted(left, j, "right"))
-                _leave(m, r, uniform(key[rows[r]], sweep, 2 * j))
-                m, used = _sit(m, used, r, a[rows[r]], d, uniform(key[rows[r]], sweep, 2 * j + 1))
-            yield rows, m
-        start = np.cumsum(t) - t
+                    side.sit(r, weight[r], d, uniform(keys[r], sweep, 1 << 20 | j))
+            for r, (u, v) in _draws(keys, want[rows], sweep, int(want[rows[0]]), 2):
+                side.leave(r, u)
+                side.sit(r, weight[r], d, v)
+            yield rows, side.tables()
         for i in np.flatnonzero(long):
-            yield np.array([i]), _long(sizes[start[i] : start[i] + t[i]], int(want[i]), int(turns[i]), float(a[i]), d, int(mixed(key[i] ^ U(sweep))))[:, None]
+            yield np.array([i]), _long(sizes[start[i] : start[i] + t[i]], int(want[i]), int(want[i]) if want[i] > 1 else 0, float(a[i]), d, int(mixed(key[i] ^ U(sweep))))[:, None]
 
     return _joined(len(t), made())
 
@@ -268,7 +363,7 @@ def hot_counter(rows):
 def packer(buckets: int, hot: np.ndarray):
     """Messages to buckets: tokens of a batch of documents by bucket; words and contexts as places in a list of hashes."""
 
-    most = min(600_000, max(300_000, SLICE_TOKENS * buckets))  # tokens of a batch
+    most = min(1_200_000, max(300_000, SLICE_TOKENS * buckets))  # tokens of a batch
 
     def flush(held):
         h, c = np.concatenate([x[2] for x in held]), np.concatenate([before(x[2]) for x in held])
@@ -288,7 +383,7 @@ def packer(buckets: int, hot: np.ndarray):
                 rows, sizes = mine[first], np.diff(np.r_[first, len(mine)])
                 known, at = np.unique(np.concatenate([h[own], c[own]]), return_inverse=True)
                 at = at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
-                out.append((k, ("tokens", 0, k, pickle.dumps((ids[rows], train[rows], slim(sizes), known, at[: len(own)], at[len(own) :]), 5))))
+                out.append((k, ("tokens", 0, k, pickle.dumps((ids[rows], train[rows], slim(sizes), close(known), at[: len(own)], at[len(own) :]), 5))))
         return out
 
     def run(rows):
@@ -312,7 +407,8 @@ class Bucket:
     def __init__(self, payloads: list[bytes], hot: np.ndarray):
         read = []
         while payloads:
-            read.append(pickle.loads(payloads.pop()))
+            ids, taught, sizes, known, words, contexts = pickle.loads(payloads.pop())
+            read.append((ids, taught, sizes, apart(known), words, contexts))
         hashes = np.unique(np.concatenate([r[3] for r in read])) if read else np.zeros(0, np.uint64)
         wide = [(np.searchsorted(hashes, r[3]).astype(np.uint64), r[4], r[5]) for r in read]
         empty = [np.zeros(0, k) for k in (np.int64, bool, np.int64)]
@@ -328,10 +424,8 @@ class Bucket:
         self.cell[order] = np.cumsum(new, dtype=np.int32) - 1
         cells = key[new]
         del key, order, new
-        used, self.word = np.unique(cells >> U(32), return_inverse=True)
-        self.words = hashes[used.astype(np.int64)]
-        used, self.context = np.unique(cells & U(0xFFFFFFFF), return_inverse=True)
-        self.contexts = hashes[used.astype(np.int64)]
+        self.words, self.word = self._used(hashes, (cells >> U(32)).astype(np.int64))
+        self.contexts, self.context = self._used(hashes, (cells & U(0xFFFFFFFF)).astype(np.int64))
         taught = train[self.owner]
         self.count = np.bincount(self.cell[taught], minlength=len(cells)).astype(np.int64)
         self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
@@ -341,6 +435,13 @@ class Bucket:
             at = np.minimum(np.searchsorted(hot, self.words), len(hot) - 1)
             self.hot = np.where(hot[at] == self.words, at, -1)
 
+    @staticmethod
+    def _used(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes at these places, and where each place's is among them."""
+        there = np.zeros(len(hashes), bool)
+        there[at] = True
+        return hashes[there], (np.cumsum(there) - 1)[at]
+
     def kept(self) -> tuple[np.ndarray, np.ndarray]:
         """Words that are taught, and places of those whose unigram seating can change, or that are hot."""
         known = self.word_count > 0
@@ -604,12 +705,12 @@ def score_texts(docs: DataFrame, held_out: F.Column, sweeps: int = SWEEPS, burn_
 
     def arranged(p, messages):
         found = told(messages)
-        yield from ((b, ("held", 0, b, held)) for b, held in found["held", 0])
         if found["up", 0]:
             yield p, ("contexts", 0, p, pickle.dumps(Contexts(found["up", 0]).packed(), 5))
 
     made = dealt(tokens.mapPartitionsWithIndex(built))
     first = _summed(made, 0)
+    held = made.filter(lambda x: x[1][0] == "held")
     fixed = dealt(made.mapPartitionsWithIndex(arranged))
     n, v = int(first["n"]), int(first["v"] + (first["hot_count"] > 0).sum())
     for j in (1, 2):  # hot words' tables lie in several buckets
@@ -641,8 +742,8 @@ def score_texts(docs: DataFrame, held_out: F.Column, sweeps: int = SWEEPS, burn_
 
         def step(b, messages, k=k, state=state):
             found = told(messages)
-            for _, held in found["held", 0]:
-                h, before_ = Held(held), found["seats", k - 1]
+            for _, packed in found["held", 0]:
+                h, before_ = Held(packed), found["seats", k - 1]
                 tables, part = np.zeros(len(h.contexts), np.int64), h.part(buckets)
                 for p, (t,) in found["reply", 0]:
                     tables[part == p] = full(t)
@@ -652,7 +753,7 @@ def score_texts(docs: DataFrame, held_out: F.Column, sweeps: int = SWEEPS, burn_
                 sums = np.bincount(h.context, full(seats["dishes"][0]), len(h.contexts)).astype(np.int64)
                 yield from ((int(p), ("sums", k, b, slim(sums[part == p]))) for p in np.unique(part))
 
-        moved = {k: dealt(beside(fixed, *moved.values(), replies(moved, False)).mapPartitionsWithIndex(step))}
+        moved = {k: dealt(beside(held, *moved.values(), replies(moved, False)).mapPartitionsWithIndex(step))}
         found = _summed(moved[k], k)
         customers, weight = found["hot"].astype(np.int64), np.full(n_hot, root_weight(model, state))
         d = model["discounts"][1]

@@ -1,6 +1,7 @@
 """Seatings of the language model: every customer of a dish has a turn, however many there are."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from boundlab.llm import language_model as lm
@@ -84,3 +85,52 @@ def test_hot_words_are_seated_like_others(spark):
     t, sizes = lm.gibbs(t, sizes, c, want, weight, 0.6, lm.mixed(hot), 1)
     assert [x.tolist() for x in again] == [x.tolist() for x in np.split(sizes, np.cumsum(t)[:-1])]
     assert lm.hot_sweep(spark, hot[:0], None, c[:0], c[:0], weight[:0], 0.6, 0) == []
+
+
+def test_turns_are_drawn_for_many_dishes_and_turns_at_once(monkeypatch):
+    """The calls for draws of a sweep don't follow the turns: before, two a turn and piece, and some a turn of a large dish."""
+    rng = np.random.default_rng(7)
+    c = np.r_[np.full(60, 100), np.full(3, 500)]
+    a, key, calls = rng.uniform(0.5, 3, len(c)), lm.mixed(np.arange(len(c))), []
+    plainly = lm.uniform
+    monkeypatch.setattr(lm, "uniform", lambda *x: calls.append(1) or plainly(*x))
+    t, sizes = lm.first_seats(c, a, 0.6, key)
+    lm.gibbs(t, sizes, c, c, a, 0.6, key, 1)
+    assert len(calls) < 40
+
+
+def test_a_large_dish_comes_one_by_one():
+    """The tables of a dish beyond LONG whose customers came alone, by the law of their number step by step."""
+    customers, a, d, dishes = lm.LONG + 90, 3.0, 0.6, 300
+    law = np.zeros(customers + 1)
+    law[1], t = 1.0, np.arange(customers + 1)
+    for n in range(1, customers):
+        new = a / np.maximum(n - d * t + a, a)  # no more tables than customers
+        law = law * (1 - new) + np.r_[0, (law * new)[:-1]]
+    mean = (law * t).sum()
+    spread = np.sqrt((law * (t - mean) ** 2).sum())
+    c, key = np.full(dishes, customers), lm.mixed(np.arange(dishes))
+    tables, sizes = lm.first_seats(c, np.full(dishes, a), d, key)
+    assert abs(tables.mean() - mean) < 5 * spread / np.sqrt(dishes) and 0.8 < tables.std() / spread < 1.2
+    fewer = c - 40
+    tables, sizes = lm.gibbs(tables, sizes, c, fewer, np.full(dishes, a), d, key, 1)
+    assert np.array_equal(np.bincount(np.repeat(np.arange(dishes), tables), sizes), fewer)
+
+
+def test_token_messages_are_tight():
+    """A batch's hashes are sent as differences, which the shuffle's compression shortens, and come back as they were."""
+    words = lm.mixed(np.arange(9000))
+    hashes = np.sort(np.r_[words, lm.U(0), lm.U(2**64 - 1)])
+    assert np.array_equal(lm.apart(lm.close(hashes)), hashes) and len(lm.apart(lm.close(hashes[:0]))) == 0
+    rng = np.random.default_rng(1)
+    rows = [{"key": i, "train": True, "text": " ".join(f"w{k}" for k in rng.integers(0, 40_000, 200)).encode()} for i in range(1500)]
+    sent = [m[3] for _, m in lm.packer(8, words[:0])(rows)]
+    tokens = 201 * len(rows)
+    assert sum(len(pa.compress(m, codec="lz4", asbytes=True)) for m in sent) < 9.3 * tokens  # 9.8 as plain hashes
+    every = [lm.token_hashes(r["text"]) for r in rows]
+    pairs = np.unique(np.concatenate([lm.dish_key(h, lm.before(h)) for h in every]), return_counts=True)
+    parts = [lm.Bucket([m], words[:0]) for m in sent]
+    assert sum(len(b.cell) for b in parts) == tokens
+    got = np.concatenate([np.repeat(lm.dish_key(b.words[b.word], b.contexts[b.context]), b.count) for b in parts])
+    again = np.unique(got, return_counts=True)
+    assert np.array_equal(pairs[0], again[0]) and np.array_equal(pairs[1], again[1])
