@@ -77,3 +77,11 @@ def test_narrow_rows_move_and_buckets_follow_the_size(spark, tmp_path, monkeypat
         assert store.current(spark, root, "t")[0] == version and "Exchange" not in plan(joined) and joined.count() == 3000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_fixtures_small_tables_are_sent_to_the_items(spark):
+    """No join of the fixture deals out all items: Spark took suppliers joined with their places to be the product of their sizes."""
+    from boundlab.sources.observations import raw_rows
+
+    rows = raw_rows(spark, "/root/testdata/sf0.1")
+    assert "Exchange hashpartitioning" not in plan(rows) and rows.columns[-2:] == ["p_brand", "r_name"]
