@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boundlab.operators import fitting, metrics
+from boundlab.operators import effects, fitting, metrics
 from boundlab.plans import grid
 
 
@@ -31,3 +31,25 @@ def test_scores_of_lines_are_those_of_rows(spark):
     lines = data.groupBy("endpoint", "fold", "lower", "upper", "exact_mask", "value_p", "x").count()
     made = fitting.cell_predictions(lines, ["x"], fitted)
     assert made.count() == 4 * lines.count() < 4 * len(rows)
+
+
+def test_folds_of_effects_are_laid_out_once(spark):
+    """Cells of held-out folds from one layout are those fitted one by one, for assays in many rows of the layout and for rows without an assay."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(1500):
+        a, x = int(rng.integers(0, 4)) if i % 3 else 0, float(rng.normal())
+        y, kind = 5 + 0.5 * x + 0.2 * a + float(rng.normal(0, 0.3)), i % 5
+        low, high = ((y, y), (y, y), (-math.inf, y + 0.2), (y - 0.2, math.inf), (y - 0.2, y + 0.2))[kind]
+        rows.append(("pq"[i % 2], i % 3 if i % 11 else None, None if i % 13 == 0 else f"a{a}", low, high, kind < 2, y if kind < 2 else None, x))
+    data = spark.createDataFrame(rows, "endpoint string, fold int, assay_id string, lower double, upper double, exact_mask boolean, value_p double, x double")
+    options = {"tau_b": 0.5, "tau_r": 0.3, "steps": 12, "tolerance": 1e-9}
+    made = effects.fit_effects(data, ["x"], held="fold", folds=3, **options)
+    assert set(made.cells) == {f"{e}|{f}" for e in "pq" for f in range(3)}
+    own = {(r["cell"], r["assay"]): (r["n"], r["b"], r["r"]) for r in made.effects.collect()}
+    for f in range(3):
+        alone = effects.fit_effects(data.where(f"fold is null or fold <> {f}"), ["x"], **options)
+        for e in "pq":
+            a, b = made.cells[f"{e}|{f}"], alone.cells[e]
+            assert a["n"] == b["n"] and a["loss"] == pytest.approx(b["loss"], rel=1e-9) and np.allclose(np.r_[a["w"], a["v"]], np.r_[b["w"], b["v"]], atol=1e-6)
+        for r in alone.effects.collect():
+            assert own[f"{r['cell']}|{f}", r["assay"]] == (r["n"], pytest.approx(r["b"], abs=1e-6), pytest.approx(r["r"], abs=1e-6))
