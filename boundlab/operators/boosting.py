@@ -9,7 +9,8 @@ by (cell, bins of the round's features), and what rounds since the last writing
 of the margins add is evaluated once for each run of equal bins. A level of a
 tree is one aggregate of these sums by (cell, node, feature, bin); what comes to
 the driver, bins x features x nodes of each cell, decides the splits. Margins are
-written to the checkpoint folder every few rounds.
+written to the checkpoint folder every few rounds. Cells that differ in the fold
+held out share one layout of the rows (`held`), by their features' own values.
 
 Missing features go the way that gains more at each split. Rows marked `valid`
 take no part in fitting; their loss, gathered along with the next round's sums,
@@ -21,9 +22,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -36,6 +39,10 @@ LOG_TEN = math.log(10)
 DEFAULTS = {"rounds": 400, "patience": 40, "rate": 0.05, "depth": 6, "bins": 64, "scale": 1.0, "least_weight": 1.0, "penalty": 1.0, "subsample": 0.8, "columns": 0.8, "seed": 0}
 #: Rounds between two writings of the margins.
 KEPT_ROUNDS = 8
+#: Different values of cells and features that are predicted on their own.
+FEW = 100_000
+#: Rows of a task that are added up at once where rows are laid out for all folds.
+TOGETHER = 200_000
 #: Slopes and curvatures of a row are kept within these, so that a far label can't rule a leaf.
 MOST_SLOPE, MOST_CURVE, LEAST_CURVE = 15.0, 15.0, 1e-16
 ODD = 0x9E3779B97F4A7C15
@@ -179,6 +186,101 @@ def _round_sums(p: int, asked: dict, columns: list[int], round_: int, o: dict):
     return run, f"c int, kind int, {''.join(n + ' int, ' for n in used)}g double, h double", used
 
 
+def _kinds(p: int) -> dict:
+    """The columns of a block of rows that are laid out for all folds."""
+    return {"c": np.int32, "fold": np.int32, "low": float, "high": float, "h": np.int64, "valid": bool, **{f"x{i}": float for i in range(p)}}
+
+
+def _blocks(p: int):
+    """Rows as blocks, a column's values in one binary value: what goes to Python every round is copied, not converted value by value."""
+    kinds = _kinds(p)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy(zero_copy_only=False).astype(t).tobytes()], pa.binary()) for k, t in kinds.items()], names=list(kinds))
+
+    return run, ", ".join(f"{k} binary" for k in kinds)
+
+
+def _held_sums(p: int, asked: dict, columns: list[int], round_: int, o: dict):
+    """The same sums for cells that differ in the fold held out, from rows that are laid out once for all of them.
+
+    asked: by number of an endpoint, for each fold (number of the cell, base margin, edges, trees). Rows lie by endpoint,
+    features, fold and bounds. Of exact rows of a run, count, mean and spread about it are all that a parabola needs; a run with a
+    slope beyond MOST_SLOPE goes row by row. Censored rows with equal bounds are one line. Only what a margin changes is done for each cell.
+    """
+    names, used = [f"x{i}" for i in range(p)], [f"b{i}" for i in columns]
+    log_s = min(max(math.log(o["scale"]), LOW), HIGH)
+    steep, flat = math.exp(-2 * log_s), log_s + LOG_ROOT
+    size = 1 + max(cell[0] for cells in asked.values() for cell in cells.values())
+
+    def sums(pdf, losses):
+        c, fold, low, high = pdf.c.to_numpy(), pdf.fold.to_numpy(), pdf.low.to_numpy(float), pdf.high.to_numpy(float)
+        x = pdf[names].to_numpy(float)
+        x = np.where(np.isfinite(x), x, np.inf)  # missing ones are equal
+        starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (fold[1:] != fold[:-1]) | (x[1:] != x[:-1]).any(axis=1)])
+        run_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(c)]))
+        total = lambda v: np.add.reduceat(v.astype(float), starts)
+        valid, exact = pdf.valid.to_numpy(bool), low == high
+        drawn = ~valid & _drawn(pdf.h.to_numpy(np.int64), round_, o["seed"], o["subsample"]) if columns else np.zeros(len(c), bool)
+        mean = total(np.where(exact, low, 0)) / np.maximum(total(exact), 1)
+        away = np.where(exact, low - mean[run_of], 0.0)
+        sets = [(total(exact & s), total(away * s), total(away * away * s)) for s in (~valid, valid)]
+        n_drawn, away_drawn = total(exact & drawn), total(away * drawn)
+        least, most = np.minimum.reduceat(away, starts), np.maximum.reduceat(away, starts)
+        cut = np.flatnonzero(~exact)
+        first = np.flatnonzero(np.r_[True, (run_of[cut[1:]] != run_of[cut[:-1]]) | (low[cut[1:]] != low[cut[:-1]]) | (high[cut[1:]] != high[cut[:-1]])]) if len(cut) else cut
+        line = cut[first]
+        counts = [np.add.reduceat(s[cut].astype(float), first) if len(cut) else np.zeros(0) for s in (~valid, valid, drawn)]
+        head_c, head_fold, head_x = c[starts], fold[starts], x[starts]
+        for base in np.unique(head_c):  # endpoints whose cells are all closed have none
+            for slot, (number, start, edges, trees) in asked.get(int(base), {}).items():
+                runs = np.flatnonzero((head_c == base) & (head_fold != slot))
+                if not len(runs):
+                    continue
+                bins = binned(head_x[runs], edges, o["bins"])
+                margin = np.full(len(starts), np.nan)
+                margin[runs] = start + sum((t.values(bins, o["bins"]) for t in trees), np.zeros(len(runs)))
+                far = margin - mean
+                mine = np.flatnonzero(~np.isnan(margin[run_of[line]]))
+                at = run_of[line[mine]]
+                lost, slope, bend = terms(low[line[mine]], high[line[mine]], np.zeros(len(mine), bool), margin[at], np.full(len(mine), math.log(o["scale"])))[:3] if len(mine) else np.zeros((3, 0))
+                for i, (n, one, two) in enumerate(sets):
+                    n, one, two, d = n[runs], one[runs], two[runs], far[runs]
+                    losses[2 * i, number] += ((two - 2 * d * one + n * d * d) * steep / 2 + n * flat).sum() + lost @ counts[i][mine]
+                    losses[2 * i + 1, number] += n.sum() + counts[i][mine].sum()
+                if not columns:
+                    continue
+                g, h = -(away_drawn - n_drawn * far) * steep, n_drawn * min(max(steep, LEAST_CURVE), MOST_CURVE)
+                for r in runs[np.maximum(np.abs(most - far), np.abs(least - far))[runs] * steep > MOST_SLOPE]:
+                    own = slice(starts[r], starts[r + 1] if r + 1 < len(starts) else len(c))
+                    g[r] = np.clip((far[r] - away[own]) * steep, -MOST_SLOPE, MOST_SLOPE)[exact[own] & drawn[own]].sum()
+                g += np.bincount(at, np.clip(slope, -MOST_SLOPE, MOST_SLOPE) * counts[2][mine], len(starts))
+                h += np.bincount(at, np.clip(bend, LEAST_CURVE, MOST_CURVE) * counts[2][mine], len(starts))
+                out = pd.DataFrame({"c": number, "kind": 0, **{n: bins[:, i] for n, i in zip(used, columns, strict=True)}, "g": g[runs], "h": h[runs]})
+                yield out[out.h > 0]
+
+    kinds = _kinds(p)
+
+    def run(batches):
+        losses, held, rows = np.zeros((4, size)), [], 0
+        for pdf in batches:
+            for block in pdf[list(kinds)].itertuples(index=False):
+                held.append([np.frombuffer(b, t) for b, t in zip(block, kinds.values(), strict=True)])
+                rows += len(held[-1][0])
+                if rows >= TOGETHER:
+                    yield from sums(pd.DataFrame({k: np.concatenate(v) for k, v in zip(kinds, zip(*held, strict=True), strict=True)}), losses)
+                    held, rows = [], 0
+        if rows:
+            yield from sums(pd.DataFrame({k: np.concatenate(v) for k, v in zip(kinds, zip(*held, strict=True), strict=True)}), losses)
+        seen = np.flatnonzero(losses[1] + losses[3])
+        for kind in (1, 2):
+            yield pd.DataFrame({"c": seen, "kind": kind, **dict.fromkeys(used, 0), "g": losses[2 * kind - 2, seen], "h": losses[2 * kind - 1, seen]})
+
+    return run, f"c int, kind int, {''.join(n + ' int, ' for n in used)}g double, h double", used
+
+
 def _level(p: int, asked: dict, columns: list[int], o: dict):
     """A task's round sums by (cell, node, feature, bin). asked: by number of cell, the tree, its open nodes, and whether losses are wanted; these get feature -1 and bin 0 for training rows, 1 for validation rows."""
     bins = o["bins"]
@@ -222,17 +324,24 @@ def _level(p: int, asked: dict, columns: list[int], o: dict):
     return run
 
 
-def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", key: str = "row_id", valid: Column | None = None, **options) -> Boosted:
-    """Fits every cell of `rows` (cell, key, lower, upper on the p scale, features) at once. `key` decides which rows a round draws."""
+def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", key: str = "row_id", valid: Column | None = None, held: str | None = None, folds: int = 1, **options) -> Boosted:
+    """Fits every cell of `rows` (cell, key, lower, upper on the p scale, features) at once. `key` decides which rows a round draws.
+
+    With `held`, the column of a row's fold, there is a cell 'cell|f' for each of the `folds` folds, which trains on the
+    other rows; rows are laid out once for all of them, and trees are evaluated anew for each run of equal features.
+    """
     o = DEFAULTS | options
     p, bins = len(features), o["bins"]
     low, high = D.conc_bounds(F.col("lower"), F.col("upper"))
-    use = rows.where(F.col(cell).isNotNull()).select(F.col(cell).alias("cell"), F.xxhash64(key).alias("h"), F.coalesce(valid if valid is not None else F.lit(False), F.lit(False)).alias("valid"), F.log(low).alias("low"), F.when(high == float("inf"), high).otherwise(F.log(high)).alias("high"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)))
+    use = rows.where(F.col(cell).isNotNull()).select(F.col(cell).alias("cell"), F.xxhash64(key).alias("h"), F.coalesce(valid if valid is not None else F.lit(False), F.lit(False)).alias("valid"), F.log(low).alias("low"), F.when(high == float("inf"), high).otherwise(F.log(high)).alias("high"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)), *([F.coalesce(F.col(held).cast("int"), F.lit(-1)).alias("fold")] if held else []))
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
     cuts = [F.percentile_approx(finite(f"x{i}"), F.array(*(F.lit(k / bins) for k in range(1, bins))), F.lit(10_000)).alias(f"e{i}") for i in range(p)]
     exact = F.when(F.col("low") == F.col("high"), F.col("low"))
     middle = F.when(F.col("high") == float("inf"), F.col("low")).otherwise((F.col("low") + F.col("high")) / 2)
-    first = use.where("not valid").groupBy("cell").agg(F.count("*").alias("n"), F.coalesce(F.avg(exact), F.avg(middle)).alias("base"), *cuts).collect()  # a row a cell
+    spread = use
+    if held:
+        spread = use.withColumn("_f", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold")))).withColumn("cell", F.concat_ws("|", "cell", "_f"))
+    first = spread.where("not valid").groupBy("cell").agg(F.count("*").alias("n"), F.coalesce(F.avg(exact), F.avg(middle)).alias("base"), *cuts).collect()  # a row a cell
     cells = {r["cell"]: {"edges": [np.unique(r[f"e{i}"] or []) for i in range(p)], "base": r["base"], "n": r["n"], "trees": [], "best": 0, "history": [], "sigma": None, "error": None} for r in first}
     edges = {k: c["edges"] for k, c in cells.items()}
     base = {k: c["base"] for k, c in cells.items()}
@@ -254,8 +363,15 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
     layout = f"c int, h long, valid boolean, low double, high double, margin double, {', '.join(f'b{i} int' for i in range(p))}"
     if not cells:
         return Boosted(list(features), o, cells)
-    lie = ["c", *(f"b{i}" for i in range(p)), "h"]  # h parts runs that are long
-    data = kept(use.mapInPandas(cut, layout).repartitionByRange(*lie).sortWithinPartitions(*lie))
+    if held:
+        bases = sorted({k.rsplit("|", 1)[0] for k in cells})
+        lie = ["c", *(f"x{i}" for i in range(p)), "fold", "low", "high", "h"]
+        data = use.withColumn("c", (F.array_position(F.array(*map(F.lit, bases)), F.col("cell")) - 1).cast("int")).where("c >= 0").select(*lie, "valid")
+    else:
+        lie = ["c", *(f"b{i}" for i in range(p)), "h"]  # h parts runs that are long
+        data = use.mapInPandas(cut, layout)
+    data = data.repartitionByRange(*lie).sortWithinPartitions(*lie)
+    data = kept(data.mapInArrow(*_blocks(p)) if held else data)
     open_cells = set(cells)
     written = dict.fromkeys(cells, 0)  # trees that the margins hold
     for round_ in range(o["rounds"] + 1):
@@ -264,8 +380,14 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
         chosen = sorted(draw.choice(p, max(1, round(o["columns"] * p)), replace=False).tolist())
         growing = {k: (Tree(), [0]) for k in sorted(open_cells)}
         fresh = {number[k]: cells[k]["trees"][written[k] :] for k in open_cells}
-        run, shape, used = _round_sums(p, fresh, [] if last else chosen, round_, o)
-        lines = saved(data.where(F.col("c").isin(*fresh)).mapInPandas(run, shape).groupBy("c", "kind", *used).agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
+        if held:
+            fresh = {}
+            for k in open_cells:
+                base_of, slot = k.rsplit("|", 1)
+                fresh.setdefault(bases.index(base_of), {})[int(slot)] = (number[k], base[k], edges[k], cells[k]["trees"])
+        run, shape, used = (_held_sums if held else _round_sums)(p, fresh, [] if last else chosen, round_, o)
+        mine = data if held else data.where(F.col("c").isin(*fresh))
+        lines = saved(mine.mapInPandas(run, shape).groupBy("c", "kind", *used).agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
         for level in range(1 if last else o["depth"]):
             asked = {number[k]: (tree, nodes, level == 0) for k, (tree, nodes) in growing.items() if k in open_cells and nodes}
             if not asked:
@@ -277,10 +399,10 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
                 c = cells[k]
                 if level == 0:
                     losses = mine[mine.feature < 0].set_index("bin")
-                    train, held = (float(losses.g[i] / losses.h[i]) if i in losses.index and losses.h[i] else None for i in (0, 1))
-                    c["history"].append((train, held))
+                    train, kept_out = (float(losses.g[i] / losses.h[i]) if i in losses.index and losses.h[i] else None for i in (0, 1))
+                    c["history"].append((train, kept_out))
                     watched = [x[1] for x in c["history"]]
-                    if held is None:
+                    if kept_out is None:
                         c["best"] = len(c["trees"])
                     else:
                         c["best"] = int(np.argmin(watched))
@@ -307,7 +429,7 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
             cells[k]["trees"].append(growing[k][0])
         if not open_cells:
             break
-        if (round_ + 1) % KEPT_ROUNDS == 0:
+        if (round_ + 1) % KEPT_ROUNDS == 0 and not held:
             fresh = {number[k]: cells[k]["trees"][written[k] :] for k in open_cells}
 
             def moved(batches, fresh=fresh):
@@ -322,7 +444,23 @@ def fit_boosted(rows: DataFrame, features: list[str], cell: str = "endpoint", ke
 
 
 def predicted(rows: DataFrame, model: Boosted, cell: str = "endpoint") -> DataFrame:
-    """rows of fitted cells with mu and sigma on the p scale; sigma is the calibrated one where there is one."""
+    """rows of fitted cells with mu and sigma on the p scale; sigma is the calibrated one where there is one.
+
+    Where cells and features have few values, these alone are predicted, and rows join them.
+    """
+    names = [cell, *model.features]
+    number = lambda f: F.when(~F.isnan(F.col(f"`{f}`").cast("double")), F.col(f"`{f}`").cast("double"))  # noqa: E731  missing ones are equal
+    parts = [F.col(f"`{cell}`"), *map(number, model.features)]
+    keys = rows.select(*(c.alias(n) for c, n in zip(parts, names, strict=True))).distinct()
+    if keys.limit(FEW + 1).count() <= FEW:
+        own = [f"_k{i}" for i in range(len(names))]
+        made = _predicted(keys, model, cell).select(*(F.col(f"`{n}`").alias(k) for n, k in zip(names, own, strict=True)), F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))
+        same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(k)) for c, k in zip(parts, own, strict=True)))
+        return rows.join(F.broadcast(made), same).select(*rows.columns, F.col("_mu").alias("mu"), F.col("_sigma").alias("sigma"))
+    return _predicted(rows, model, cell)
+
+
+def _predicted(rows: DataFrame, model: Boosted, cell: str) -> DataFrame:
     layout = StructType([*rows.schema.fields, StructField("mu", DoubleType()), StructField("sigma", DoubleType())])
     plain = model.options["scale"] / LOG_TEN
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boundlab.operators import censoring, effects, fitting, metrics
+from boundlab.operators import boosting, censoring, effects, fitting, metrics
 from boundlab.plans import grid
 
 
@@ -63,3 +63,24 @@ def test_looked_up_permutations_are_those_walked(monkeypatch):
         place, r = rng.permutation(n)[:part], np.maximum(rng.normal(size=part), 0)
         want = [(r * (censoring.shuffled(place, n, 3, k) < right)).sum() for k in range(6)]
         assert censoring.labelled_sums(place, r, n, right, 3, 6) == pytest.approx(want, rel=1e-12)
+
+
+def test_folds_of_boosted_trees_are_laid_out_once(spark):
+    """Cells of held-out folds from one layout grow the trees of those fitted on their own rows, with far labels, missing features and equal bounds."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(900):
+        x, z = float(rng.integers(0, 6)), float(rng.integers(0, 4)) if i % 10 else None
+        y, kind = 5 + 0.6 * (x > 2) + float(rng.normal(0, 0.3)) + (9.0 if i % 70 == 0 else 0.0), i % 5
+        low, high = ((y, y), (y, y), (-math.inf, 5.5), (5.0, math.inf), (y - 0.2, y + 0.2))[kind]
+        rows.append((f"r{i}", "pq"[i % 2], int(rng.integers(0, 3)), low, high, kind < 2, y if kind < 2 else None, x, z))
+    data = spark.createDataFrame(rows, "row_id string, endpoint string, fold int, lower double, upper double, exact_mask boolean, value_p double, x double, z double")
+    valid, options = F.xxhash64("row_id") % 5 == 0, {"rounds": 5, "patience": 3, "depth": 2, "bins": 8, "rate": 0.3, "scale": 0.8, "columns": 1.0}
+    made = boosting.fit_boosted(data, ["x", "z"], valid=valid, held="fold", folds=3, **options)
+    spread = data.withColumn("f", F.explode(F.array(*map(F.lit, range(3))))).where("f <> fold").withColumn("cell", F.concat_ws("|", "endpoint", "f"))
+    want = boosting.fit_boosted(spread, ["x", "z"], cell="cell", valid=valid, **options)
+    assert set(made.cells) == set(want.cells) and len(made.cells) == 6
+    for k, c in want.cells.items():
+        own = made.cells[k]
+        assert own["best"] == c["best"] and np.allclose(own["history"], c["history"], rtol=1e-9) and len(own["trees"]) == len(c["trees"])
+        for a, b in zip(own["trees"], c["trees"], strict=True):
+            assert (a.feature, a.bin, a.missing_left) == (b.feature, b.bin, b.missing_left) and np.allclose(a.value, b.value, rtol=1e-9)
