@@ -456,7 +456,8 @@ def predicted(rows: DataFrame, model: Boosted, cell: str = "endpoint") -> DataFr
         own = [f"_k{i}" for i in range(len(names))]
         made = _predicted(keys, model, cell).select(*(F.col(f"`{n}`").alias(k) for n, k in zip(names, own, strict=True)), F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))
         same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(k)) for c, k in zip(parts, own, strict=True)))
-        return rows.join(F.broadcast(made), same).select(*rows.columns, F.col("_mu").alias("mu"), F.col("_sigma").alias("sigma"))
+        listed = (F.nanvl(F.col(f"`{n}`"), F.lit(None)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in rows.dtypes)  # missing values are null, as they come back from Python
+        return rows.join(F.broadcast(made), same).select(*listed, F.col("_mu").alias("mu"), F.col("_sigma").alias("sigma"))
     return _predicted(rows, model, cell)
 
 
@@ -480,7 +481,7 @@ def _predicted(rows: DataFrame, model: Boosted, cell: str) -> DataFrame:
 
 def fit_scale(model: Boosted, rows: DataFrame, cell: str = "endpoint", least: int = 10) -> Boosted:
     """Sets each cell's sigma to the deviation of its errors on these exact rows (value_p), where there are enough."""
-    error = predicted(rows.where(F.col("value_p").isNotNull()), model, cell).withColumn("e", F.col("mu") - F.col("value_p"))
+    error = predicted(rows.where(F.col("value_p").isNotNull() & ~F.isnan("value_p")), model, cell).withColumn("e", F.col("mu") - F.col("value_p"))
     for r in error.groupBy(F.col(cell).alias("cell")).agg(F.count("*").alias("n"), F.stddev_pop("e").alias("sd")).collect():  # a row a cell
         if r["n"] >= least:
             model.cells[r["cell"]]["sigma"] = max(float(r["sd"]), 1e-6)
